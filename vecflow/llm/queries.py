@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import token_store, toxicity
+from . import multi_index, packing, token_store, toxicity, warc
 from .storage import workdir
 
 
@@ -40,10 +40,27 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uri = workdir(spark, "warc")
+    warc.write_archives(_table(spark, sf_dir, "pages"), uri)
+    return warc.page_records(warc.read_archives(spark, uri))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, size=4096)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": op1_token_store,
         "op2_toxicity": op2_toxicity,
+        "op3_multi_index": op3_multi_index,
+        "op9_warc": op9_warc,
+        "op10_packing": op10_packing,
     }
 
 
