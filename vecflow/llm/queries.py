@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import multi_index, packing, token_store, toxicity, warc
+from . import mixing, multi_index, packing, pii, token_store, toxicity, warc
 from .storage import workdir
 
 
@@ -44,6 +44,20 @@ def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+PSEUDONYM_KEY = "vecflow production key"
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.with_pseudonyms(docs.withColumn("before", F.col("text")), PSEUDONYM_KEY)
+    return found.select("doc_id", "text", (~F.col("text").eqNullSafe(F.col("before"))).alias("changed"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mixed(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), F.round("token_weight", 4).alias("token_weight"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     uri = workdir(spark, "warc")
     warc.write_archives(_table(spark, sf_dir, "pages"), uri)
@@ -59,6 +73,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_store": op1_token_store,
         "op2_toxicity": op2_toxicity,
         "op3_multi_index": op3_multi_index,
+        "op6_pii": op6_pii,
+        "op7_mixing": op7_mixing,
         "op9_warc": op9_warc,
         "op10_packing": op10_packing,
     }
