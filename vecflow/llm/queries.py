@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, multi_index, packing, pii, token_store, toxicity, warc
+from . import lsh_forest, mixing, multi_index, packing, pii, token_store, toxicity, warc
 from .storage import workdir
 
 
@@ -44,6 +44,10 @@ def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op4_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.joined(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 PSEUDONYM_KEY = "vecflow production key"
 
 
@@ -73,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_store": op1_token_store,
         "op2_toxicity": op2_toxicity,
         "op3_multi_index": op3_multi_index,
+        "op4_lsh_forest": op4_lsh_forest,
         "op6_pii": op6_pii,
         "op7_mixing": op7_mixing,
         "op9_warc": op9_warc,
