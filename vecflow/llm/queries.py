@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lsh_forest, mixing, multi_index, packing, pii, token_store, toxicity, warc
+from . import lsh_forest, mixing, multi_index, packing, pii, suffix_dedup, token_store, toxicity, warc
 from .storage import workdir
 
 
@@ -48,6 +48,10 @@ def op4_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.joined(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated_bytes(_table(spark, sf_dir, "documents"))
+
+
 PSEUDONYM_KEY = "vecflow production key"
 
 
@@ -78,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": op2_toxicity,
         "op3_multi_index": op3_multi_index,
         "op4_lsh_forest": op4_lsh_forest,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_pii": op6_pii,
         "op7_mixing": op7_mixing,
         "op9_warc": op9_warc,
