@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lsh_forest, mixing, multi_index, packing, pii, suffix_dedup, token_store, toxicity, warc
+from . import lsh_forest, mixing, multi_index, packing, pii, suffix_dedup, token_store, toxicity, warc, weighted_sampling
 from .storage import workdir
 
 
@@ -66,6 +66,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), F.round("token_weight", 4).alias("token_weight"))
 
 
+def op8_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_sampling.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     uri = workdir(spark, "warc")
     warc.write_archives(_table(spark, sf_dir, "pages"), uri)
@@ -85,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_pii": op6_pii,
         "op7_mixing": op7_mixing,
+        "op8_weighted_sampling": op8_weighted_sampling,
         "op9_warc": op9_warc,
         "op10_packing": op10_packing,
     }
