@@ -87,21 +87,23 @@ def _bags(batches):
         yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "toxic": pa.array(labels, pa.int32()), "sizes": pa.array(sizes, pa.list_(pa.int32())), "features": pa.array(bags, pa.list_(pa.int32()))})
 
 
-def train(labels: np.ndarray, sizes: list[np.ndarray], bags: list[np.ndarray]) -> Model:
-    """Full-batch Adam with a proximal L1 step on the noisy-or likelihood."""
-    used = [i for i, s in enumerate(sizes) if len(s)]
-    if not used or labels[used].min() == labels[used].max():
+def train(labels: np.ndarray, sentence_counts: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> Model:
+    """Full-batch Adam with a proximal L1 step on the noisy-or likelihood.
+
+    labels and sentence_counts are by document, sizes (distinct features) by sentence, flat holds
+    all sentences' features one after another. Features seen less than three times are left out."""
+    used = sentence_counts > 0
+    if not used.any() or labels[used].min() == labels[used].max():
         return Model(-30.0, {})
-    y, n = labels[used].astype(float), len(used)
-    length = np.concatenate([sizes[i] for i in used]).astype(np.int64)
-    flat = np.concatenate([bags[i] for i in used]).astype(np.int64)
-    owner = np.repeat(np.arange(n), [len(sizes[i]) for i in used])
-    starts, sentence = np.cumsum(length) - length, np.repeat(np.arange(len(length)), length)
+    y, n = labels[used].astype(np.float32), int(used.sum())
+    owner = np.repeat(np.arange(n, dtype=np.int32), sentence_counts[used])
+    sentence = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     often = np.bincount(flat, minlength=DIMENSIONS) >= 3
+    sentence, flat = sentence[often[flat]], flat[often[flat]]
     w, m, v = (np.zeros(DIMENSIONS) for _ in range(3))
     b, mb, vb = -6.0, 0.0, 0.0
     for k in range(1, EPOCHS + 1):
-        z = np.clip(b + np.add.reduceat(w[flat], starts), -30, 30)
+        z = np.clip(b + np.bincount(sentence, w[flat], minlength=len(sizes)), -30, 30)
         p = 1 / (1 + np.exp(-z))
         document = np.clip(-np.expm1(-np.bincount(owner, np.logaddexp(0, z), minlength=n)), 1e-6, 1 - 1e-6)
         back = np.where(y == 1, -(1 - document) / document, 1.0)[owner] * p
@@ -131,10 +133,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_documents: int = MAX_TRAINING_DO
         texts.join(F.broadcast(chosen), "doc_id")  # max_documents rows at most
         .select("doc_id", "toxic", "text")
         .mapInArrow(_bags, "doc_id long, toxic int, sizes array<int>, features array<int>")
-        .toPandas()
-        .sort_values("doc_id", kind="stable")
+        .toArrow()
+        .sort_by("doc_id")
     )
-    return train((bags["toxic"].to_numpy() > 0).astype(int), list(bags["sizes"]), list(bags["features"]))
+    sizes, flat = bags["sizes"].combine_chunks(), bags["features"].combine_chunks()
+    counts = sizes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    return train((bags["toxic"].to_numpy() > 0).astype(int), counts, sizes.flatten().to_numpy(), flat.flatten().to_numpy())
 
 
 def scorer(model: Model):
