@@ -86,29 +86,33 @@ def _groups(adjacent: np.ndarray) -> np.ndarray:
     return root
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _candidates(block: int):
     """Edges (a, b) that connect the documents of a node that may be similar.
 
-    Rows come sorted by prefix and document. Nodes above BLOCK connect to their first document as
+    Rows come sorted by prefix and document. Nodes above block connect to their first document as
     they stream by; of smaller ones the rows at a batch's end wait for the next batch."""
-    rest, hub = None, (None, None)
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        table = pa.concat_tables([rest, table]) if rest is not None else table
-        rest, hub, out = _connected(table, hub, last=False)
-        yield out
-    if rest is not None:
-        yield _connected(rest, hub, last=True)[2]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, hub = None, (None, None)
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([rest, table]) if rest is not None else table
+            rest, hub, out = _connected(table, hub, block, last=False)
+            yield out
+        if rest is not None:
+            yield _connected(rest, hub, block, last=True)[2]
+
+    return run
 
 
-def _connected(table: pa.Table, hub: tuple, last: bool):
+def _connected(table: pa.Table, hub: tuple, block: int, last: bool):
     prefix, node, n = (table[c].to_numpy() for c in ("prefix", "node", "n"))
     starts = np.flatnonzero(np.r_[True, prefix[1:] != prefix[:-1]]) if len(prefix) else np.zeros(0, int)
     ends = np.r_[starts[1:], len(prefix)]
     signatures = table["signature"].combine_chunks()
     a, b, keep = [], [], None
     for i, j in zip(starts.tolist(), ends.tolist()):
-        if n[i] > BLOCK:
+        if n[i] > block:
             if hub[0] != prefix[i]:
                 hub = (prefix[i], node[i])
             a.append(node[i:j])
@@ -191,7 +195,7 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     shared = tries.groupBy("prefix").agg(F.count("*").alias("n")).filter("n > 1")
     nodes = tries.join(shared, "prefix").select("prefix", "n", "node")
     members = nodes.join(sets.select("node", "signature"), "node").withColumn("signature", F.when(F.col("n") <= BLOCK, F.col("signature")))
-    edges = members.repartition("prefix").sortWithinPartitions("prefix", "node").mapInArrow(_candidates, "a long, b long")
+    edges = members.repartition("prefix").sortWithinPartitions("prefix", "node").mapInArrow(_candidates(BLOCK), "a long, b long")
     groups = stored(components(edges), "groups")
     sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
     # the documents of a group in blocks; each pair of blocks is verified by a task of its own

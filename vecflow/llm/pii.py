@@ -64,10 +64,10 @@ def permuted_text(value: Column, key: str, kind: str) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda acc: F.concat(acc["a"], acc["b"]))
 
 
-def permuted_number(value: Column, sizes: tuple[int, int], key: str, kind: str) -> Column:
-    """A keyed permutation of 0 .. sizes[0] * sizes[1] - 1."""
-    m, n = sizes
-    start = F.struct(F.floor(value / n).cast("long").alias("a"), F.pmod(value, F.lit(n)).cast("long").alias("b"), F.lit(m).alias("m"), F.lit(n).alias("n"))
+def permuted_number(value: Column, sizes: tuple, key: str, kind: str) -> Column:
+    """A keyed permutation of 0 .. sizes[0] * sizes[1] - 1; sizes are numbers or columns."""
+    m, n = (F.lit(x).cast("long") if isinstance(x, int) else x for x in sizes)
+    start = F.struct(F.floor(value / n).cast("long").alias("a"), F.pmod(value, n).cast("long").alias("b"), m.alias("m"), n.alias("n"))
     key_of = lambda turn, half: F.conv(F.substring(_digest(key, kind, turn, half), 1, 12), 16, 10).cast("long")
     step = lambda acc, turn: F.struct(acc["b"].alias("a"), F.pmod(acc["a"] + key_of(turn, acc["b"]), acc["m"]).cast("long").alias("b"), acc["n"].alias("m"), acc["m"].alias("n"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda acc: acc["a"] * n + acc["b"])
@@ -112,10 +112,27 @@ def _iban(m: Column, key: str) -> Column:
 
 
 def _ip(m: Column, key: str) -> Column:
-    part = F.transform(F.split(m, r"\."), lambda x: x.cast("long"))
-    number = F.aggregate(part, F.lit(0).cast("long"), lambda s, x: s * 256 + x)
-    text = lambda n: F.concat_ws(".", *[(F.floor(n / 256**k) % 256).cast("long").cast("string") for k in (3, 2, 1, 0)])
-    return F.when(F.forall(part, lambda x: x < 256), let(permuted_number(number, (65536, 65536), key, "ip"), text)).otherwise(m)
+    """Each octet stays among those of as many digits: 0-9, 10-99, 100-255."""
+    octets = F.transform(F.split(m, r"\."), lambda x: F.struct(
+        x.cast("long").alias("value"),
+        F.when(F.length(x) == 1, 0).when(F.length(x) == 2, 10).otherwise(100).cast("long").alias("least"),
+        F.when(F.length(x) == 1, 10).when(F.length(x) == 2, 90).otherwise(156).cast("long").alias("n"),
+    ))
+
+    def whole(o: Column) -> Column:
+        place = lambda i: o[i]["value"] - o[i]["least"]
+        sizes = (o[0]["n"] * o[1]["n"], o[2]["n"] * o[3]["n"])
+        number = (place(0) * o[1]["n"] + place(1)) * sizes[1] + place(2) * o[3]["n"] + place(3)
+
+        def text(n: Column) -> Column:
+            left, right = F.floor(n / sizes[1]).cast("long"), n % sizes[1]
+            parts = [F.floor(left / o[1]["n"]).cast("long"), left % o[1]["n"], F.floor(right / o[3]["n"]).cast("long"), right % o[3]["n"]]
+            return F.concat_ws(".", *[(p + o[i]["least"]).cast("string") for i, p in enumerate(parts)])
+
+        return let(permuted_number(number, sizes, key, "ip"), text)
+
+    valid = F.forall(octets, lambda o: (o["value"] >= o["least"]) & (o["value"] < o["least"] + o["n"]))
+    return F.when(valid, let(octets, whole)).otherwise(m)
 
 
 def _date(m: Column, key: str, year_first: bool) -> Column:

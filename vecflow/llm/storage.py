@@ -97,12 +97,13 @@ def list_files(uri: str, suffix: str) -> list[str]:
     return sorted(f"{uri.rstrip('/')}/{x.base_name}" for x in found if x.base_name.endswith(suffix))
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of df's size, from file sizes and statistics; nothing is run."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def plan_bytes(df: DataFrame) -> int | None:
+    """The optimizer's estimate of df's size, from file sizes and statistics; nothing is run. None
+    where it has nothing to go by."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else None
 
 
 def partitions_for(df: DataFrame, target_bytes: int) -> int:
     """So many partitions that each holds about target_bytes, and at least the session's number."""
-    spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(plan_bytes(df) / target_bytes))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((plan_bytes(df) or 0) / target_bytes))

@@ -343,7 +343,7 @@ def deduplicated_bytes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     texts = stored(own.mapInArrow(_packed, "batch string, ids binary, known binary, sizes binary, body binary"), "batches")
-    partitions = int(min(MOST_PARTITIONS, max(4, plan_bytes(docs) // PARTITION_BYTES)))
+    partitions = int(min(MOST_PARTITIONS, max(4, (plan_bytes(docs) or 0) // PARTITION_BYTES)))
     hashes = texts.mapInArrow(_hashes(partitions), "part long, batch string, hashes binary, several binary")
     bits = workdir(spark, "shared")
     hashes.groupBy("part").applyInArrow(_shared, "batch string, part long, bits binary").repartition("batch").write.partitionBy("batch").parquet(bits)
