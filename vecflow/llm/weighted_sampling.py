@@ -52,7 +52,7 @@ def sample(term: Column, log_weight: Column, k: int) -> Column:
 
 
 def successors(docs: DataFrame) -> DataFrame:
-    """key, n_chars, next_key for rows (doc_id, key, n_chars), in ascending doc_id and key; the
+    """key, doc_id, n_chars, next_key for rows (doc_id, key, n_chars), in ascending doc_id and key; the
     last one's next is the first. Only ids and sizes are sorted; partitions meet at their ends."""
     placed = stored(docs.repartitionByRange("doc_id", "key").withColumn("part", F.spark_partition_id()), "order")
     within = Window.partitionBy("part").orderBy(F.asc_nulls_first("doc_id"), "key")
@@ -60,7 +60,7 @@ def successors(docs: DataFrame) -> DataFrame:
     ends = Window.partitionBy(F.lit(0)).orderBy("part")
     all_ = ends.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     following = firsts.select("part", F.coalesce(F.lead("key").over(ends), F.first("key").over(all_)).alias("first_of_next"))
-    return placed.withColumn("inner_next", F.lead("key").over(within)).join(F.broadcast(following), "part").select("key", "n_chars", F.coalesce("inner_next", "first_of_next").alias("next_key"))  # a row per partition
+    return placed.withColumn("inner_next", F.lead("key").over(within)).join(F.broadcast(following), "part").select("key", "doc_id", "n_chars", F.coalesce("inner_next", "first_of_next").alias("next_key"))  # a row per partition
 
 
 def signatures(edits: DataFrame, samples: int = SAMPLES) -> DataFrame:
@@ -84,19 +84,20 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
 def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: each
     document, the document with its last quarter replaced by the next one's beginning, and the next."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    own = own.withColumn("key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), "text"))
-    own = own.repartition(partitions_for(docs, TEXT_BYTES), "key").dropDuplicates(["key"])
-    order = stored(successors(own.select("doc_id", "key", F.length("text").cast("long").alias("n_chars"))), "successors")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), "text"))
+    order = stored(successors(rows.select("doc_id", "key", F.length("text").cast("long").alias("n_chars")).dropDuplicates(["key"])), "successors")
+    # only key and text move, once: whatever uses them has the same columns and so the same exchange
+    own = rows.select("key", "text").repartition(partitions_for(docs, TEXT_BYTES), "key").dropDuplicates(["key"])
     # what each document gives to the one before it: only that much of it is moved
     asked = order.select(F.col("next_key").alias("key"), F.col("key").alias("before"), F.floor(F.col("n_chars") / 4).cast("int").alias("n"))
     heads = own.join(asked, "key").select(F.col("before").alias("key"), F.expr("substring(text, 1, n)").alias("head"))
-    edits = own.join(heads, "key").withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 4) as int))"), F.col("head")))
+    edits = own.join(heads, "key").select("key", "text", F.expr("concat(substring(text, 1, cast(length(text) - floor(length(text) / 4) as int)), head)").alias("edited"))
     hexed = F.concat(*[F.lpad(F.lower(F.hex(f"s{k}")), SAMPLE_BITS // 4, "0") for k in range(samples)])
     sides = signatures(edits, samples).select("key", "side", hexed.alias("f"))
     prints = sides.groupBy("key").agg(F.max(F.when(F.col("side") == 0, F.col("f"))).alias("fingerprint"), F.max(F.when(F.col("side") == 1, F.col("f"))).alias("edited_fingerprint"))
-    found = stored(edits.select("key", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256")).join(prints, "key"), "fingerprints")
-    following = order.select("key", "next_key").join(found.select(F.col("key").alias("next_key"), F.col("fingerprint").alias("next")), "next_key").select("key", "next")
+    found = stored(edits.select("key", F.sha2("edited", 256).alias("edited_sha256")).join(prints, "key"), "fingerprints")
+    following = order.join(found.select(F.col("key").alias("next_key"), F.col("fingerprint").alias("next")), "next_key").select("key", "doc_id", "n_chars", "next")
     return found.join(following, "key").select(
         "doc_id",
         "n_chars",
