@@ -118,13 +118,16 @@ def write_tokens(docs: DataFrame, uri: str, vocabulary: str, end_id: int, id_col
     The driver holds the sample for the dictionary (bounded) and a line per shard."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    sample = (
-        docs.filter(F.length("text").between(1, SAMPLE_CHARACTERS))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+    # tasks send ids to the driver, not texts; then the chosen texts are read
+    chosen = (
+        docs.filter(F.length("text").between(1, SAMPLE_CHARACTERS) & F.col("doc_id").isNotNull())
+        .select("doc_id")
+        .distinct()
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(SAMPLE_DOCUMENTS)
-        .toPandas()["text"]
-        .tolist()
     )
+    found = docs.join(F.broadcast(chosen), "doc_id").filter(F.length("text").between(1, SAMPLE_CHARACTERS)).groupBy("doc_id").agg(F.min("text").alias("text")).toArrow()
+    sample = found.sort_by("doc_id")["text"].to_pylist()
     encode = encoder(vocabulary)
     dtype = id_type(encode.vocabulary_size, end_id)
     raw = train_dictionary([serialized(x, end_id, dtype) for x in encode.encode(sample)])
