@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lsh_forest, mixing, multi_index, packing, pii, suffix_dedup, token_store, toxicity, warc, weighted_sampling
+from . import lsh_forest, mixing, multi_index, packing, pii, sql, suffix_dedup, token_store, toxicity, warc, weighted_sampling
 from .storage import workdir
 
 
@@ -96,4 +96,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()
