@@ -42,6 +42,8 @@ PLACE_BITS = np.uint64(24)
 PARTITION_BYTES = 8 << 20
 MOST_PARTITIONS = 4096
 LAST = np.iinfo(np.int64).max
+#: The folder of what is sorted, beside one of places for each batch.
+ENTRIES = "entries"
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -176,10 +178,10 @@ def _shared(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"batch": table["batch"], "part": pa.array([key[0].as_py()] * len(sizes), pa.int64()), "bits": pa.array([np.packbits(shared[i:j]).tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())})
 
 
-def _side(uri: str, batch: str) -> pa.Table | None:
+def _side(folder: str) -> pa.Table | None:
     """What was written for a batch, read where the batch is at hand."""
     try:
-        files = list_files(f"{uri}/batch={batch}", ".parquet")
+        files = list_files(folder, ".parquet")
     except FileNotFoundError:
         return None
     return pa.concat_tables([pq.read_table(pa.BufferReader(read_bytes(f))) for f in files]).sort_by("part")
@@ -189,7 +191,7 @@ def _contexts(partitions: int, bits_uri: str):
     def run(batches):
         press = zstandard.ZstdCompressor(level=3).compress
         for b in _opened(batches):
-            side = _side(bits_uri, b.name)
+            side = _side(f"{bits_uri}/batch={b.name}")
             if side is None:
                 continue
             place, first, last, doc, order, part, value, new = b.anchors(partitions)
@@ -303,16 +305,16 @@ def grams8(rows: np.ndarray, at: int) -> np.ndarray:
     return np.ascontiguousarray(rows[:, at : at + 8]).view("<u8").ravel()
 
 
-def _marked(places_uri: str, least_uri: str):
+def _marked(found_uri: str, least_uri: str):
     def run(batches):
         out = zstandard.ZstdDecompressor().decompress
         for row in (r for rows in batches for i in range(rows.num_rows) for r in rows.slice(i, 1).to_pylist()):
             b = Batch(row)
             n = int(b.sizes.sum())
             change = np.zeros(n + 1, np.int64)
-            if (where := _side(places_uri, b.name)) is not None:
+            if (where := _side(f"{found_uri}/kind={b.name}")) is not None:
                 doc, place, lo, hi, entry = np.frombuffer(out(where["body"][0].as_py()), "<i4").reshape(5, -1).astype(np.int64)
-                side = _side(least_uri, b.name)
+                side = _side(f"{least_uri}/batch={b.name}")
                 least = np.concatenate([np.frombuffer(out(x), np.int64).reshape(-1, REACH + 1) for x in side["least"].to_pylist()])
                 begins = []
                 for s in range(REACH + 1):
@@ -347,11 +349,15 @@ def deduplicated_bytes(docs: DataFrame) -> DataFrame:
     hashes = texts.mapInArrow(_hashes(partitions), "part long, batch string, hashes binary, several binary")
     bits = workdir(spark, "shared")
     hashes.groupBy("part").applyInArrow(_shared, "batch string, part long, bits binary").repartition("batch").write.partitionBy("batch").parquet(bits)
-    found = stored(texts.mapInArrow(_contexts(partitions, bits), "part long, batch string, body binary, least binary"), "contexts")
-    places, least = workdir(spark, "places"), workdir(spark, "least")
-    found.filter("part < 0").select("part", "batch", "body").repartition("batch").write.partitionBy("batch").parquet(places)
-    found.filter("part >= 0").groupBy("part").applyInArrow(_least, "batch string, part long, least binary").repartition("batch").write.partitionBy("batch").parquet(least)
-    result = stored(texts.mapInArrow(_marked(places, least), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), "deduplicated")
-    for uri in (bits, places, least, *{f.rsplit("/", 1)[0] for f in found.inputFiles()}, *{f.rsplit("/", 1)[0] for f in texts.inputFiles()}):
+    found_uri, least = workdir(spark, "contexts"), workdir(spark, "least")
+    # a batch's places stay where its task writes them; only entries move on
+    columns = "part long, batch string, body binary, least binary"
+    kind = F.when(F.col("part") < 0, F.col("batch")).otherwise(ENTRIES).alias("kind")
+    texts.mapInArrow(_contexts(partitions, bits), columns).select("*", kind).write.partitionBy("kind").option("compression", "zstd").parquet(found_uri)
+    remove(spark, bits)
+    entries = spark.read.schema(f"{columns}, kind string").parquet(found_uri).filter(F.col("kind") == ENTRIES).drop("kind")
+    entries.groupBy("part").applyInArrow(_least, "batch string, part long, least binary").repartition("batch").write.partitionBy("batch").parquet(least)
+    result = stored(texts.mapInArrow(_marked(found_uri, least), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), "deduplicated")
+    for uri in (found_uri, least, *{f.rsplit("/", 1)[0] for f in texts.inputFiles()}):
         remove(spark, uri)
     return result
