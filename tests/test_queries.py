@@ -17,6 +17,25 @@ def test_query_equals_sql(spark, db, name):
     assert difference(catalogue.queries()[name](spark, SMALL), db, catalogue.oracle_sql()[name]) is None
 
 
+@pytest.mark.parametrize("name", ["knn_exact_l2", "knn_bulk_l2", "knn_filtered_label", "sq8_row_adc_topk", "sq8_u8_distance_topk", "int8_scaled_query_topk", "ivf_probe_topk", "pq_adc_topk", "two_tier_rerank"])
+def test_queries_beyond_a_block_are_answered(spark, db, monkeypatch, name):
+    from vecflow.operators import search
+
+    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    assert difference(catalogue.queries()[name](spark, SMALL), db, catalogue.oracle_sql()[name]) is None
+
+
+def test_vector_search_in_sql(spark):
+    from vecflow.plans.sqlfunctions import register_vector_search
+
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0]), (4, None)], "vec_id long, v array<double>")
+    register_vector_search(spark, rows, "find_rows")
+    ask = lambda call: [tuple(r) for r in spark.sql(f"SELECT * FROM find_rows({call}) ORDER BY rank").collect()]
+    assert ask("array(1D, 0D), 'l2', 2") == [(1, 1, 0.0), (2, 3, 0.0)]
+    assert ask("array(0D, 2D), 'ip', 1") == [(1, 2, -2.0)] and ask("array(0D, 2D), 'cosine', 1") == [(1, 2, 0.0)]
+    assert ask("NULL, 'l2', 5") == [] and ask("array(1D, 0D), 'other', 5") == [] and ask("array(1D, 0D), 'l2', 0") == []
+
+
 def test_beam_search_finds_most_neighbours(spark):
     exact = {(r.query_id, r.vec_id) for r in catalogue.queries()["knn_exact_l2"](spark, SMALL).collect()}
     found = {(r.query_id, r.vec_id) for r in catalogue.queries()["graph_beam_search"](spark, SMALL).collect()}

@@ -7,6 +7,8 @@ oracle-checked forms are column expressions.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -23,10 +25,22 @@ def ranked(found: DataFrame, k: int, by: Column, query: str = "query_id", item:
     return found.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(by, item))).filter(F.col("rank") <= max(k, 0))
 
 
+def beside(rows: DataFrame, queries: DataFrame, on: str | Column | None = None) -> DataFrame:
+    """rows beside every query, or those that on holds for. Queries (query_id, ..) are broadcast in
+    blocks of about QUERY_BLOCK, as many as it takes for all of them; rows stay where they are."""
+    n = max(1, math.ceil(queries.count() / QUERY_BLOCK))
+    found = None
+    for i in range(n):
+        block = queries if n == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)
+        pairs = rows.crossJoin(F.broadcast(block)) if on is None else rows.join(F.broadcast(block), on)
+        found = pairs if found is None else found.unionByName(pairs)
+    return found
+
+
 def distances(queries: DataFrame, vectors: DataFrame, metric: str) -> DataFrame:
-    """query_id, vec_id, distance for few queries (broadcast) against all vectors."""
+    """query_id, vec_id, distance of all queries, block by block, against all vectors."""
     measure = {"l2": V.l2_squared, "cosine": V.cosine_distance, "ip": lambda a, b: -V.inner_product(a, b)}[metric]
-    return vectors.crossJoin(F.broadcast(queries.limit(QUERY_BLOCK))).select("query_id", "vec_id", measure(F.col("q"), F.col("v")).alias("distance"))
+    return beside(vectors, queries).select("query_id", "vec_id", measure(F.col("q"), F.col("v")).alias("distance"))
 
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2") -> DataFrame:
@@ -93,13 +107,19 @@ def probe(queries: DataFrame, vectors: DataFrame, centroids: DataFrame, k: int,
     """Inverted-file search: only vectors of the nprobe lists nearest to the query are ranked."""
     lists = assigned(vectors, centroids).select("vec_id", "v", F.col("cids")[0].alias("cid"))
     asked = assigned(queries.withColumnRenamed("q", "v"), centroids, nprobe).select("query_id", F.col("v").alias("q"), F.explode("cids").alias("cid"))
-    pairs = lists.join(asked, "cid").select("query_id", "vec_id", V.l2_squared(F.col("q"), F.col("v")).alias("distance"))
+    pairs = beside(lists, asked, "cid").select("query_id", "vec_id", V.l2_squared(F.col("q"), F.col("v")).alias("distance"))
     return ranked(pairs, k, F.col("distance"))
 
 
+def residuals(vectors: DataFrame, centroids: DataFrame, nprobe: int = 1) -> DataFrame:
+    """vec_id, cid, v: each row's difference from each of its nprobe nearest centroids."""
+    lists = assigned(vectors, centroids, nprobe).select("vec_id", "v", F.explode("cids").alias("cid"))
+    return lists.join(F.broadcast(centroids), "cid").select("vec_id", "cid", V.residual(F.col("v"), F.col("c")).alias("v"))
+
+
 def reranked(candidates: DataFrame, queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Exact distances for candidates (query_id, vec_id); a missing vector is infinitely far."""
-    full = candidates.join(vectors.select("vec_id", "v"), "vec_id", "left").join(F.broadcast(queries.limit(QUERY_BLOCK)), "query_id")
+    full = candidates.join(vectors.select("vec_id", "v"), "vec_id", "left").join(queries, "query_id")
     distance = F.coalesce(V.l2_squared(F.col("q"), F.col("v")), F.lit(float("inf")))
     return ranked(full.select("query_id", "vec_id", distance.alias("distance")), k, F.col("distance"))
 
@@ -199,24 +219,26 @@ def _to_codeword(piece: Column):
     return lambda z: F.struct(V.l2_squared(piece, z["c"]).alias("d"), z["code"].alias("code"))
 
 
-def pq_encoded(vectors: DataFrame, book: DataFrame, parts: int, dimension: int) -> DataFrame:
-    """vec_id, codes: the nearest codeword of each sub-vector (the codebook is small: broadcast)."""
+def pq_encoded(vectors: DataFrame, book: DataFrame, parts: int, dimension: int, *keep: str) -> DataFrame:
+    """vec_id, the columns to keep, codes: the nearest codeword of each sub-vector (the codebook is
+    small: broadcast)."""
     words = book.groupBy("m").agg(F.sort_array(F.collect_list(F.struct("code", "c"))).alias("words"))
     whole = words.agg(F.sort_array(F.collect_list(F.struct("m", "words")))["words"].alias("book"))
     pieces = V.subspaces(F.col("v"), parts, dimension)
     nearest = [F.array_min(F.transform(F.col("book")[i], _to_codeword(p)))["code"] for i, p in enumerate(pieces)]
-    return vectors.crossJoin(F.broadcast(whole)).select("vec_id", F.array(*nearest).alias("codes"))
+    return vectors.crossJoin(F.broadcast(whole)).select("vec_id", *keep, F.array(*nearest).alias("codes"))
 
 
-def pq_distances(queries: DataFrame, encoded: DataFrame, book: DataFrame, parts: int, dimension: int) -> DataFrame:
-    """query_id, vec_id, distance by lookup tables: squared distance of query parts to codewords."""
+def pq_distances(queries: DataFrame, encoded: DataFrame, book: DataFrame, parts: int, dimension: int, on: str | None = None) -> DataFrame:
+    """query_id, vec_id, distance by lookup tables: squared distance of query parts to codewords. With
+    on only rows that have the query's value there are compared."""
     words = book.groupBy("m").agg(F.sort_array(F.collect_list(F.struct("code", "c"))).alias("words"))
     whole = words.agg(F.sort_array(F.collect_list(F.struct("m", "words")))["words"].alias("book"))
     pieces = V.subspaces(F.col("q"), parts, dimension)
     table = F.array(*[F.transform(F.col("book")[i], _to_codeword(p))["d"] for i, p in enumerate(pieces)])
-    tables = queries.crossJoin(F.broadcast(whole)).select("query_id", table.alias("table"))
+    tables = queries.crossJoin(F.broadcast(whole)).select("query_id", *([on] if on else []), table.alias("table"))
     distance = V.total(F.transform("codes", lambda c, m: F.col("table")[m][c]))
-    return encoded.crossJoin(F.broadcast(tables.limit(QUERY_BLOCK))).select("query_id", "vec_id", distance.alias("distance"))
+    return beside(encoded, tables, on).select("query_id", "vec_id", distance.alias("distance"))
 
 
 def index_bytes(n: int, dimension: int, m: int = 16, nlist: int = 16, parts: int = 8) -> dict[str, int]:

@@ -57,7 +57,7 @@ def null_audit(spark, d):
 
 def left_dimension(spark, d):
     c = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("customers"))
-    return table(spark, d, "nation").join(F.broadcast(c.limit(100_000)), F.col("n_nationkey") == F.col("c_nationkey"), "left").select("n_name", F.coalesce("customers", F.lit(0)).alias("customers"))
+    return table(spark, d, "nation").join(c, F.col("n_nationkey") == F.col("c_nationkey"), "left").select("n_name", F.coalesce("customers", F.lit(0)).alias("customers"))
 
 
 def inner_dimension(spark, d):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import quantize as Q
 from ..functions import vector as V
 from ..operators import search as S
+from .sqlfunctions import register_vector_search
 from .tables import query_set, table, vectors
 
 K, PARTS, CODES, DIMENSION = 10, 8, 16, 64
@@ -41,7 +42,7 @@ def bulk(spark, d):
 def filtered(spark, d):
     v = vectors(spark, d)
     q = query_set(v).join(v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label")), "query_id")
-    pairs = v.join(F.broadcast(q.limit(S.QUERY_BLOCK)), F.col("label") == F.col("query_label"))
+    pairs = S.beside(v, q, F.col("label") == F.col("query_label"))
     return _out(S.ranked(pairs.select("query_id", "vec_id", V.l2_squared(F.col("q"), F.col("v")).alias("distance")), K, F.col("distance")))
 
 
@@ -76,7 +77,7 @@ def row_codes(spark, d):
 def row_adc(spark, d):
     v = vectors(spark, d)
     coded = v.select("vec_id", Q.row_code(F.col("v")).alias("c"))
-    pairs = coded.crossJoin(F.broadcast(query_set(v).limit(S.QUERY_BLOCK)))
+    pairs = S.beside(coded, query_set(v))
     return _out(S.ranked(pairs.select("query_id", "vec_id", Q.adc(F.col("q"), F.col("c.code"), F.col("c.scale"), F.col("c.offset")).alias("distance")), K, F.col("distance")))
 
 
@@ -111,16 +112,16 @@ def reconstruction(spark, d):
 
 def u8_distance(spark, d):
     c = _coded(spark, d).withColumn("code", Q.unsigned_codes(F.col("v"), F.col("lows"), F.col("scales"))).select("vec_id", "code", "scales")
-    q = c.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("code").alias("q")).limit(S.QUERY_BLOCK)
-    pairs = c.crossJoin(F.broadcast(q)).select("query_id", "vec_id", Q.code_distance(F.col("q"), F.col("code"), F.col("scales")).alias("distance"))
+    q = c.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("code").alias("q"))
+    pairs = S.beside(c, q).select("query_id", "vec_id", Q.code_distance(F.col("q"), F.col("code"), F.col("scales")).alias("distance"))
     return _out(S.ranked(pairs, K, F.round("distance", 9)))
 
 
 def scaled_query(spark, d):
     """Inner product of scaled queries with raw codes: ranks as on decoded vectors."""
     c = _coded(spark, d).withColumn("code", Q.signed_codes(F.col("v"), F.col("lows"), F.col("scales")))
-    q = c.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.zip_with("v", "scales", lambda x, s: x * s).alias("q")).limit(S.QUERY_BLOCK)
-    pairs = c.crossJoin(F.broadcast(q)).select("query_id", "vec_id", (-V.inner_product(F.col("q"), F.col("code"))).alias("distance"))
+    q = c.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.zip_with("v", "scales", lambda x, s: x * s).alias("q"))
+    pairs = S.beside(c, q).select("query_id", "vec_id", (-V.inner_product(F.col("q"), F.col("code"))).alias("distance"))
     return _out(S.ranked(pairs, K, F.round("distance", 9)))
 
 
@@ -174,11 +175,31 @@ def pq_decode(spark, d):
     return back.join(v, "vec_id").select("vec_id", F.round(V.l2_squared(F.col("v"), F.col("back")), 6).alias("error"))
 
 
+def ivf_pq(spark, d):
+    """Codes of residuals within lists; a query's lookup table is of its residual for each list."""
+    v = vectors(spark, d)
+    c = S.centroids_by_label(v)
+    own = S.residuals(v, c)
+    book = S.codebook(own, PARTS, CODES, DIMENSION)
+    coded = S.pq_encoded(own, book, PARTS, DIMENSION, "cid")
+    asked = S.residuals(query_set(v).select(F.col("query_id").alias("vec_id"), F.col("q").alias("v")), c, 3).select(F.col("vec_id").alias("query_id"), "cid", F.col("v").alias("q"))
+    return _out(S.ranked(S.pq_distances(asked, coded, book, PARTS, DIMENSION, "cid"), K, F.round("distance", 9)))
+
+
+def sql_search(spark, d):
+    """The table function vector_search for the vector of id 0."""
+    v = vectors(spark, d)
+    register_vector_search(spark, v)
+    row = v.filter("vec_id = 0").select("v").first()
+    point = F.array(*[F.lit(x) for x in row["v"]]) if row and row["v"] else F.lit(None).cast("array<double>")
+    return spark.sql(f"SELECT rank, vec_id, round(distance, 6) AS distance FROM vector_search(:point, 'cosine', {K})", args={"point": point})
+
+
 def _two_tier(spark, d):
     v = vectors(spark, d)
     q = query_set(v)
     coded = v.select("vec_id", Q.row_code(F.col("v")).alias("c"))
-    pool = S.ranked(coded.crossJoin(F.broadcast(q.limit(S.QUERY_BLOCK))).select("query_id", "vec_id", Q.adc(F.col("q"), F.col("c.code"), F.col("c.scale"), F.col("c.offset")).alias("distance")), 30, F.col("distance"))
+    pool = S.ranked(S.beside(coded, q).select("query_id", "vec_id", Q.adc(F.col("q"), F.col("c.code"), F.col("c.scale"), F.col("c.offset")).alias("distance")), 30, F.col("distance"))
     return v, q, S.reranked(pool.select("query_id", "vec_id"), q, v, K)
 
 
@@ -308,6 +329,12 @@ QUERIES = {
         pq_search,
         f"{BOOK} " + _rank("SELECT query_id, enc.vec_id, sum(list_sum(list_transform(list_zip(q[m * 8 + 1 : m * 8 + 8], c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS distance FROM enc, q GROUP BY ALL", by="round(distance, 9)"),
     ),
+    "ivf_pq_topk": (
+        ivf_pq,
+        f"{CENTROIDS}, {NEAR}, res AS (SELECT vec_id, cid, r, list_transform(list_zip(v, c), lambda z: z[1] - z[2]) AS d FROM near JOIN c USING (cid)), book AS (SELECT m, vec_id::INT AS code, d[m * 8 + 1 : m * 8 + 8] AS b FROM res, range(8) t(m) WHERE r = 1 AND vec_id < 16), enc AS (SELECT vec_id, cid, m, b FROM (SELECT res.vec_id, res.cid, m, b, row_number() OVER (PARTITION BY res.vec_id, m ORDER BY list_sum(list_transform(list_zip(d[m * 8 + 1 : m * 8 + 8], b), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), code) AS k FROM res, book WHERE r = 1) WHERE k = 1), ask AS (SELECT vec_id AS query_id, cid, d AS q FROM res WHERE r <= 3 AND vec_id % 50 = 0) "
+        + _rank("SELECT query_id, enc.vec_id, sum(list_sum(list_transform(list_zip(q[m * 8 + 1 : m * 8 + 8], b), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS distance FROM enc JOIN ask USING (cid) GROUP BY ALL", by="round(distance, 9)"),
+    ),
+    "sql_vector_search": (sql_search, f"WITH t AS ({_top(COSINE, 'query_id = 0')}) SELECT rank, vec_id, distance FROM t"),
     "two_tier_rerank": (two_tier, f"{WITH}, {ROW_CODED}, {POOL} " + _rank(TIER)),
     "two_tier_recall": (
         two_tier_recall,
