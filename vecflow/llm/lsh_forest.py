@@ -35,7 +35,7 @@ TREES, LABEL = 18, 7
 TARGET_RECALL = 0.995
 #: Signatures that agree less than this are no candidates (four standard errors below the threshold).
 MAY_BE = 0.65
-#: Nodes above this size connect all their documents; groups are verified in blocks of this size.
+#: Nodes above this size connect all their documents to the first; groups are verified in blocks of this size.
 BLOCK = 1024
 
 _SEEDS = np.random.default_rng(11).integers(1, 1 << 62, TREES * LABEL, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -86,38 +86,28 @@ def _groups(adjacent: np.ndarray) -> np.ndarray:
     return root
 
 
-def _candidates(block: int):
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges (a, b) that connect the documents of a node that may be similar.
 
-    Rows come sorted by prefix and document. Nodes above block connect to their first document as
-    they stream by; of smaller ones the rows at a batch's end wait for the next batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, hub = None, (None, None)
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([rest, table]) if rest is not None else table
-            rest, hub, out = _connected(table, hub, block, last=False)
-            yield out
-        if rest is not None:
-            yield _connected(rest, hub, block, last=True)[2]
-
-    return run
+    Rows come sorted by prefix and document; the rows of a batch's last node wait for the next batch."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([rest, table]) if rest is not None else table
+        rest, out = _connected(table, last=False)
+        yield out
+    if rest is not None:
+        yield _connected(rest, last=True)[1]
 
 
-def _connected(table: pa.Table, hub: tuple, block: int, last: bool):
-    prefix, node, n = (table[c].to_numpy() for c in ("prefix", "node", "n"))
+def _connected(table: pa.Table, last: bool):
+    prefix, node = (table[c].to_numpy() for c in ("prefix", "node"))
     starts = np.flatnonzero(np.r_[True, prefix[1:] != prefix[:-1]]) if len(prefix) else np.zeros(0, int)
     ends = np.r_[starts[1:], len(prefix)]
     signatures = table["signature"].combine_chunks()
     a, b, keep = [], [], None
     for i, j in zip(starts.tolist(), ends.tolist()):
-        if n[i] > block:
-            if hub[0] != prefix[i]:
-                hub = (prefix[i], node[i])
-            a.append(node[i:j])
-            b.append(np.full(j - i, hub[1]))
-        elif j == len(prefix) and not last:
+        if j == len(prefix) and not last:
             keep = table.slice(i)
         elif j - i > 1:
             labels = np.frombuffer(b"".join(signatures.slice(i, j - i).to_pylist()), "<u2").reshape(j - i, -1)
@@ -126,7 +116,7 @@ def _connected(table: pa.Table, hub: tuple, block: int, last: bool):
             a.append(node[i:j][linked])
             b.append(node[i:j][root[linked]])
     out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (a, b)], names=["a", "b"])
-    return keep, hub, out
+    return keep, out
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -192,11 +182,13 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     depth = prefix_length(threshold)
     label = lambda t: F.substring("signature", 2 * LABEL * t + 1, 2 * depth)
     tries = sets.select("node", F.posexplode(F.array(*[F.xxhash64(label(t), F.lit(t)) for t in range(TREES)])).alias("tree", "prefix"))
-    shared = tries.groupBy("prefix").agg(F.count("*").alias("n")).filter("n > 1")
-    nodes = tries.join(shared, "prefix").select("prefix", "n", "node")
-    members = nodes.join(sets.select("node", "signature"), "node").withColumn("signature", F.when(F.col("n") <= BLOCK, F.col("signature")))
-    edges = members.repartition("prefix").sortWithinPartitions("prefix", "node").mapInArrow(_candidates(BLOCK), "a long, b long")
-    groups = stored(components(edges), "groups")
+    shared = tries.groupBy("prefix").agg(F.count("*").alias("n"), F.min("node").alias("first")).filter("n > 1")
+    nodes = stored(tries.join(shared, "prefix").select("prefix", "n", "first", "node"), "nodes")
+    # only nodes of bounded size gather in a task; in larger ones each document has its edge at hand
+    members = nodes.filter(F.col("n") <= BLOCK).select("prefix", "node").join(sets.select("node", "signature"), "node")
+    edges = members.repartition("prefix").sortWithinPartitions("prefix", "node").mapInArrow(_candidates, "a long, b long")
+    large = nodes.filter(F.col("n") > BLOCK).select(F.col("node").alias("a"), F.col("first").alias("b"))
+    groups = stored(components(edges.unionByName(large)), "groups")
     sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
     # the documents of a group in blocks; each pair of blocks is verified by a task of its own
     placed = groups.join(sizes, "root").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
