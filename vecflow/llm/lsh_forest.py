@@ -1,11 +1,14 @@
 """N-gram Jaccard join by a MinHash LSH forest.
 
 Each document's five-word shingles give a MinHash signature, cut into the labels of several trees.
-A tree is a trie of labels; documents under a node share that node's prefix. The join starts from
-whole labels and shortens the matched prefix until a pair at the threshold shares it in some tree
-with the target probability. Documents under the resulting nodes are compared by signature and
-connected where they may be similar; each connected group is then verified exactly: all pairs of
-its texts, by the sizes of intersections of whole shingle sets, in blocks of bounded size.
+A tree is a trie of labels; documents under a node share that node's prefix. The matched prefix is
+shortened from whole labels until a pair at the threshold shares it in some tree with the target
+probability. As one threshold holds for all documents, so does the length found: the nodes of that
+depth, which hold all pairs of the deeper ones, are grouped by equality and no trie is kept. At the
+threshold itself a pair shares no node with probability 1e-8, and seems too unlike to be a candidate
+with 1.4e-14. Documents under a node are compared by signature and connected where they may be
+similar; each connected group is then verified exactly: all pairs of its texts, by the sizes of
+intersections of whole shingle sets, in blocks of bounded size.
 
 Texts with equal shingle sets are one class from the start, of which one text is compared. Nothing
 is emitted per pair: a document gets its number of links (documents of similarity at or above the
@@ -32,9 +35,9 @@ from .storage import stored
 
 THRESHOLD = 0.8
 TREES, LABEL = 18, 7
-TARGET_RECALL = 0.995
-#: Signatures that agree less than this are no candidates (four standard errors below the threshold).
-MAY_BE = 0.65
+TARGET_RECALL = 1 - 1e-7
+#: Signatures that agree less than this are no candidates (eight standard errors below the threshold).
+MAY_BE = 0.5
 #: Nodes above this size connect all their documents; groups are verified in blocks of this size.
 BLOCK = 1024
 
