@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from vecflow.llm import lsh_forest
 from vecflow.llm.shingles import shingle_sets
+from vecflow.operators import dedup
 
 
 def test_lsh_forest_finds_pairs_that_share_no_long_prefix(spark):
@@ -22,3 +23,14 @@ def test_lsh_forest_finds_pairs_that_share_no_long_prefix(spark):
             rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
     got = lsh_forest.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((x.doc_id, x.class_id, x.n_links) for x in got) == [(i, i - i % 2, 1) for i in range(12)]
+
+
+def test_needles_of_few_words_are_found(spark):
+    r = random.Random(2)
+    letters = lambda n: "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(n))
+    needles = [letters(60), "x" * 30 + " " + "y" * 25, "".join(r.choice("abc") for _ in range(200)), "one two three four five six seven eight", "short", letters(31)]
+    texts = [*needles, *[letters(k) + n + letters(40 - k) for k, n in enumerate(needles * 6)], "one two three", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(needles)), "item_id long, needle string")
+    want = {(i, k) for i, t in enumerate(texts) for k, n in enumerate(needles) if n in (t or "")}
+    assert {tuple(x) for x in dedup.containing(docs, items).collect()} == want
