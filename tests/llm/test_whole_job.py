@@ -1,10 +1,11 @@
 """Cases in which operators once did less than the whole job."""
 
+import collections
 import random
 
 import numpy as np
 import pyarrow as pa
-from vecflow.llm import lsh_forest
+from vecflow.llm import lsh_forest, weighted_sampling
 from vecflow.llm.shingles import shingle_sets
 from vecflow.operators import dedup
 
@@ -34,3 +35,25 @@ def test_needles_of_few_words_are_found(spark):
     items = spark.createDataFrame(list(enumerate(needles)), "item_id long, needle string")
     want = {(i, k) for i, t in enumerate(texts) for k, n in enumerate(needles) if n in (t or "")}
     assert {tuple(x) for x in dedup.containing(docs, items).collect()} == want
+
+
+def test_fingerprints_are_near_for_each_document(spark):
+    r = random.Random(4)
+    words = [[f"w{r.randrange(50000)}" for _ in range(r.randint(40, 200))] for _ in range(80)]
+    texts = [" ".join(w) for w in words]
+    for i in range(1, 80, 2):  # the next document, changed in a fifth of its words or less
+        w = words[i - 1].copy()
+        for k in range(r.randrange(len(w) // 5)):
+            w[k] = f"new{k}"
+        texts[i] = " ".join(w)
+    got = {x.doc_id: x for x in weighted_sampling.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    error = []
+    for i, t in enumerate(texts):
+        nxt = texts[(i + 1) % len(texts)]
+        q = len(t) // 4
+        for estimate, other in ((got[i].near_edited, t[: len(t) - q] + nxt[:q]), (got[i].near_next, nxt)):
+            x, y = collections.Counter(t.split()), collections.Counter(other.split())
+            true = sum((x & y).values()) / sum((x | y).values())
+            if true > 0.2:
+                error.append(estimate - true)
+    assert len(error) > 100 and np.sqrt(np.mean(np.square(error))) < 0.07 and np.abs(error).max() < 0.23

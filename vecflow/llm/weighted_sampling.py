@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from .storage import partitions_for, stored
 
-SAMPLES = 16
+SAMPLES = 64
+#: Samples drawn from a row at once; SAMPLES is a multiple of it.
+GROUP = 8
 #: A sample in the fingerprint: so many bits of a hash of term and grid point.
 SAMPLE_BITS = 24
 TEXT_BYTES = 8 << 20
@@ -39,15 +41,17 @@ def _uniforms(h: Column) -> tuple[Column, Column]:
     return low, high
 
 
-def sample(term: Column, log_weight: Column, k: int) -> Column:
-    """The k-th sample's value in the high bits, its identity in the low ones; the least one counts."""
-    a, b = _uniforms(F.xxhash64(term, F.lit(3 * k)))
-    c, d = _uniforms(F.xxhash64(term, F.lit(3 * k + 1)))
-    shift = F.xxhash64(term, F.lit(3 * k + 2)).bitwiseAND(0x7FFFFFFF).cast("double") / _UNIT
+def sample(term: Column, log_weight: Column, k: Column) -> Column:
+    """The k-th sample's value in the high bits, its identity in the low ones; the least one counts.
+    A null weight gives none."""
+    a, b = _uniforms(F.xxhash64(term, 3 * k))
+    c, d = _uniforms(F.xxhash64(term, 3 * k + 1))
+    h = F.xxhash64(term, 3 * k + 2)
+    shift = h.bitwiseAND(0x7FFFFFFF).cast("double") / _UNIT
     r, g = -F.log(a * b), -F.log(c * d)  # gamma variates of shape 2
     point = F.floor(log_weight / r + shift)
     value = F.log(g) - r * (point - shift + 1)
-    identity = F.xxhash64(term, F.lit(k), point).bitwiseAND((1 << SAMPLE_BITS) - 1)
+    identity = (F.shiftrightunsigned(h, 31) + point * 0x9E3779).bitwiseAND((1 << SAMPLE_BITS) - 1)
     return F.shiftleft(((F.greatest(F.least(value, F.lit(60.0)), F.lit(-60.0)) + 64) * _UNIT).cast("long"), SAMPLE_BITS).bitwiseOR(identity)
 
 
@@ -64,14 +68,21 @@ def successors(docs: DataFrame) -> DataFrame:
 
 
 def signatures(edits: DataFrame, samples: int = SAMPLES) -> DataFrame:
-    """key, side (0: text, 1: edited) and the samples s0, s1, .. of rows (key, text, edited) that
-    are partitioned by key; no row leaves its partition."""
+    """key, fingerprint and edited_fingerprint of rows (key, text, edited) that are partitioned by
+    key; no row leaves its partition. A term's variates serve both texts."""
     mark = lambda words, side: F.transform(words, lambda h: F.shiftleft(F.shiftright(h, 1), 1) + side)
     words = edits.select("key", F.explode(F.concat(mark(terms(F.col("text")), 0), mark(terms(F.col("edited")), 1))).alias("term"))
-    weights = words.groupBy("key", "term").agg(F.count("*").alias("n"))
-    term, side = F.shiftright("term", 1), F.col("term").bitwiseAND(1).cast("int").alias("side")
-    log_weight = F.log(F.col("n").cast("double"))
-    return weights.groupBy("key", side).agg(*[F.min(sample(term, log_weight, k)).bitwiseAND((1 << SAMPLE_BITS) - 1).alias(f"s{k}") for k in range(samples)])
+    edited = F.col("term").bitwiseAND(1)
+    weights = words.groupBy("key", F.shiftright("term", 1).alias("term")).agg(F.sum(1 - edited).alias("n0"), F.sum(edited).alias("n1"))
+    # a term that a text does not have has no weight there
+    logs = [F.log(F.nullif(F.col(n), F.lit(0)).cast("double")).alias(f"log{i}") for i, n in enumerate(("n0", "n1"))]
+    rows = weights.select("key", "term", *logs, F.explode(F.sequence(F.lit(0), F.lit(samples - 1), F.lit(GROUP))).alias("first"))
+    least = [F.min(sample(F.col("term"), F.col(f"log{i}"), F.col("first") + k)).alias(f"s{i}_{k}") for k in range(GROUP) for i in (0, 1)]
+    # the samples of a group as text: hexadecimal, of fixed length
+    hexed = lambda i: F.concat(*[F.lpad(F.lower(F.hex(F.col(f"s{i}_{k}").bitwiseAND((1 << SAMPLE_BITS) - 1))), SAMPLE_BITS // 4, "0") for k in range(GROUP)])
+    parts = rows.groupBy("key", "first").agg(*least).select("key", "first", hexed(0).alias("f0"), hexed(1).alias("f1"))
+    whole = lambda f: F.concat(*[F.max(F.when(F.col("first") == a, F.col(f))) for a in range(0, samples, GROUP)])
+    return parts.groupBy("key").agg(whole("f0").alias("fingerprint"), whole("f1").alias("edited_fingerprint"))
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -93,9 +104,7 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     asked = order.select(F.col("next_key").alias("key"), F.col("key").alias("before"), F.floor(F.col("n_chars") / 4).cast("int").alias("n"))
     heads = own.join(asked, "key").select(F.col("before").alias("key"), F.expr("substring(text, 1, n)").alias("head"))
     edits = own.join(heads, "key").select("key", "text", F.expr("concat(substring(text, 1, cast(length(text) - floor(length(text) / 4) as int)), head)").alias("edited"))
-    hexed = F.concat(*[F.lpad(F.lower(F.hex(f"s{k}")), SAMPLE_BITS // 4, "0") for k in range(samples)])
-    sides = signatures(edits, samples).select("key", "side", hexed.alias("f"))
-    prints = sides.groupBy("key").agg(F.max(F.when(F.col("side") == 0, F.col("f"))).alias("fingerprint"), F.max(F.when(F.col("side") == 1, F.col("f"))).alias("edited_fingerprint"))
+    prints = signatures(edits, samples)
     found = stored(edits.select("key", F.sha2("edited", 256).alias("edited_sha256")).join(prints, "key"), "fingerprints")
     following = order.join(found.select(F.col("key").alias("next_key"), F.col("fingerprint").alias("next")), "next_key").select("key", "doc_id", "n_chars", "next")
     return found.join(following, "key").select(
