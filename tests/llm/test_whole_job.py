@@ -5,7 +5,8 @@ import random
 
 import numpy as np
 import pyarrow as pa
-from vecflow.llm import lsh_forest, weighted_sampling
+from pyspark.sql import functions as F
+from vecflow.llm import lsh_forest, pii, weighted_sampling
 from vecflow.llm.shingles import shingle_sets
 from vecflow.operators import dedup
 
@@ -57,3 +58,19 @@ def test_fingerprints_are_near_for_each_document(spark):
             if true > 0.2:
                 error.append(estimate - true)
     assert len(error) > 100 and np.sqrt(np.mean(np.square(error))) < 0.07 and np.abs(error).max() < 0.23
+
+
+def test_pii_beside_other_numbers(spark):
+    card, account = "4673763317067198", "ES9121000418450200051332"
+    own = [f"{card} 12/26", f"12 {card}", "4673-7633-1706-7198 123", "4222222222222 4673 7633 1706 7198 12/26", f"{account} EUR", f"{card} 12-05-2024", "on 03/25/2024", "25/03/2024", "31/31/2024", "12/31/1800"]
+    got = [x.text for x in pii.with_pseudonyms(spark.createDataFrame(list(enumerate(own)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    alone = [x.text for x in pii.with_pseudonyms(spark.createDataFrame(list(enumerate([card, account])), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    assert alone[0] != card and alone[1] != account
+    assert got[0] == f"{alone[0]} 12/26" and got[1] == f"12 {alone[0]}" and got[2].replace("-", "") == f"{alone[0]} 123"
+    assert not got[3].startswith("4222222222222 ") and got[3][14:].replace(" ", "") == f"{alone[0]}12/26"
+    assert got[4] == f"{alone[1]} EUR" and got[5].startswith(alone[0] + " ") and not got[5].endswith(" 12-05-2024")
+    month, day, year = got[6][3:].split("/")
+    assert got[6] != own[6] and int(month) <= 12 < int(day) and 1900 <= int(year) < 2100
+    assert got[7] != own[7] and got[8:] == own[8:]
+    days = spark.range(0, 365 * 40).select(F.date_format(F.expr("date_add(date'1990-01-01', cast(id as int))"), "MM/dd/yyyy").alias("text")).filter("substring(text, 4, 2) > 12")
+    assert pii.with_pseudonyms(days, "k").distinct().count() == days.count()

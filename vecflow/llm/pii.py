@@ -5,7 +5,10 @@ replaced by a keyed permutation of the same format: a Feistel network whose roun
 SHA-256 of the key, the kind, the round and the other half. A permutation maps equal values to
 equal pseudonyms and different values of a format to different ones, so values stay linked across
 documents; lengths, separators, letter case, country codes, mail domains and check digits' validity
-stay. Values that fail validation are no personal data and stay as they are.
+stay. Values that fail validation are no personal data and stay as they are. Where a card or account
+number's pattern took in groups beside it, the longest run of whole groups that is valid is the
+value, and the rest is searched again. Dates with the year last are read day first, and month first
+where that is no date; their years are 1900 to 2099.
 
 A null text stays null, an empty one empty. Texts of any length are rewritten whole. Columns other
 than the text column are untouched.
@@ -30,6 +33,11 @@ PATTERNS = {
     "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|(?<![0-9])\+[0-9]{8,15}(?![0-9])",
 }
 ANY = "|".join(PATTERNS.values())
+#: Card and account numbers.
+NUMBER = f"{PATTERNS['iban']}|{PATTERNS['card']}"
+#: Stands around a number that was told from the groups beside it, while a text is searched; of
+#: noncharacters, which texts do not have.
+MARK = "\ufdd0\ufdd1\ufdd2\ufdd0"
 #: Days that dates are permuted among: 1900-01-01 to 2100-01-01, 150 * 487.
 FIRST_DAY, DAYS = "1900-01-01", (150, 487)
 
@@ -139,17 +147,35 @@ def _date(m: Column, key: str, year_first: bool) -> Column:
     part = lambda a, n: F.substring(m, a, n)
     sign = part(5, 1) if year_first else part(3, 1)
     year, month, day = (part(1, 4), part(6, 2), part(9, 2)) if year_first else (part(7, 4), part(4, 2), part(1, 2))
-    known = F.try_to_date(F.concat_ws("-", year, month, day), "yyyy-MM-dd")
-    number = F.datediff(known, F.lit(FIRST_DAY).cast("date"))
-    form = ("yyyy", "MM", "dd") if year_first else ("dd", "MM", "yyyy")
-
-    def text(n: Column) -> Column:
-        d = F.date_add(F.lit(FIRST_DAY).cast("date"), n.cast("int"))
-        a, b, c = (F.date_format(d, f) for f in form)
-        return F.concat(a, sign, b, sign, c)
-
-    inside = known.isNotNull() & number.between(0, DAYS[0] * DAYS[1] - 1)
-    return F.when(inside, let(permuted_number(number, DAYS, key, "date"), text)).otherwise(m)
+    first = F.lit(FIRST_DAY).cast("date")
+
+    def number(month: Column, day: Column) -> Column:
+        n = F.datediff(F.try_to_date(F.concat_ws("-", year, month, day), "yyyy-MM-dd"), first)
+        return F.when(n.between(0, DAYS[0] * DAYS[1] - 1), n)
+
+    def text(*form: str):
+        def write(n: Column) -> Column:
+            a, b, c = (F.date_format(F.date_add(first, n.cast("int")), f) for f in form)
+            return F.concat(a, sign, b, sign, c)
+
+        return write
+
+    def permuted(n: Column) -> Column:
+        return permuted_number(n, DAYS, key, "date")
+
+    def late(n: Column) -> Column:
+        """Permuted among the days from the 13th on, which only are read month first: again until
+        there is one (64 turns miss with 0.4 ** 64)."""
+        again = lambda x, _: F.when(F.dayofmonth(F.date_add(first, x.cast("int"))) > 12, x).otherwise(permuted(x))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(64)), permuted(n), again)
+
+    if year_first:
+        return F.coalesce(let(permuted(number(month, day)), text("yyyy", "MM", "dd")), m)
+    return F.coalesce(
+        let(permuted(number(month, day)), text("dd", "MM", "yyyy")),
+        F.when(day.cast("int") <= 12, let(late(number(day, month)), text("MM", "dd", "yyyy"))),
+        m,
+    )
 
 
 def _card(m: Column, key: str) -> Column:
@@ -170,26 +196,63 @@ def _phone(m: Column, key: str) -> Column:
     return F.when(F.length(digits(m)).between(7, 15), F.concat(country, in_places(rest, permuted_text(digits(rest), key, "phone"), "0-9"))).otherwise(m)
 
 
+def _is(m: Column, kind: str) -> Column:
+    return m.rlike(f"^(?:{PATTERNS[kind]})$".replace(r"\2", r"\1"))
+
+
 def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of a value that one of PATTERNS matched."""
-    is_ = lambda kind: m.rlike(f"^(?:{PATTERNS[kind]})$".replace(r"\2", r"\1"))
     return (
         F.when(m.contains("@"), _email(m, key))
-        .when(is_("iban"), _iban(m, key))
-        .when(is_("ip"), _ip(m, key))
-        .when(is_("ymd"), _date(m, key, True))
-        .when(is_("dmy"), _date(m, key, False))
-        .when(is_("ssn"), _ssn(m, key))
-        .when(is_("card"), _card(m, key))
+        .when(_is(m, "iban"), _iban(m, key))
+        .when(_is(m, "ip"), _ip(m, key))
+        .when(_is(m, "ymd"), _date(m, key, True))
+        .when(_is(m, "dmy"), _date(m, key, False))
+        .when(_is(m, "ssn"), _ssn(m, key))
+        .when(_is(m, "card"), _card(m, key))
         .otherwise(_phone(m, key))
     )
 
 
+def _told(m: Column, separators: str, valid) -> Column:
+    """m with MARK around its longest run of whole groups that is valid, the first such; m if none."""
+    groups = F.split(m, f"[{separators}]")
+    sizes = F.transform(groups, lambda g: F.length(g) + 1)
+    upto = lambda i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda s, x: s + x)
+    one = lambda i, j: F.struct((upto(j) - upto(i) - 1).alias("n"), (-upto(i)).alias("back"))
+    runs = F.flatten(F.transform(F.sequence(F.lit(0), F.size(groups) - 1), lambda i: F.transform(F.sequence(i + 1, F.size(groups)), lambda j: one(i, j))))
+    best = F.array_max(F.filter(runs, lambda r: valid(F.substring(m, 1 - r["back"], r["n"]))))
+    cut = lambda b: F.concat(F.substring(m, F.lit(1), -b["back"]), F.lit(MARK), F.substring(m, 1 - b["back"], b["n"]), F.lit(MARK), F.substring(m, 1 - b["back"] + b["n"], F.length(m)))
+    return F.coalesce(let(best, cut), m)
+
+
+def _pieces(text: Column, change) -> Column:
+    """text with change(m) for each m that one of PATTERNS matched."""
+    between, values = F.split(text, ANY, -1), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+    return F.array_join(F.zip_with(between, values, lambda p, m: F.concat(p, F.coalesce(change(m), F.lit("")))), "")
+
+
+def told_apart(text: Column) -> Column:
+    """text with MARK around card and account numbers. What is freed beside one may be part of the
+    next, so this is repeated until nothing changes, a turn for each number at most."""
+    card = lambda v: _is(v, "card") & (luhn_sum(digits(v)) % 10 == 0)
+    iban = lambda v: _is(v, "iban") & (mod97(F.regexp_replace(v, " ", "")) == 1)
+    mark = lambda m: F.when(m.contains("@"), m).when(_is(m, "iban"), _told(m, " ", iban)).when(_is(m, "card"), _told(m, " -", card)).otherwise(m)
+    once = lambda t: F.regexp_replace(_pieces(t, mark), f"(?:{MARK})+", MARK)
+
+    def turn(state: Column, _: Column) -> Column:
+        marked = let(state["text"], lambda t: let(once(t), lambda new: F.struct(new.alias("text"), (new == t).alias("done"))))
+        return F.when(state["done"], state).otherwise(marked)
+
+    turns = F.sequence(F.lit(0), F.size(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))))
+    return F.aggregate(turns, F.struct(text.alias("text"), F.lit(False).alias("done")), turn, lambda state: state["text"])
+
+
 def pseudonymized(text: Column, key: str) -> Column:
     """text with every validated value replaced."""
-    between, values = F.split(text, ANY, -1), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    whole = F.array_join(F.zip_with(between, values, lambda p, m: F.concat(p, F.coalesce(pseudonym(m, key), F.lit("")))), "")
-    return F.when(text.rlike("[0-9@]") & text.rlike(ANY), whole).otherwise(text)
+    replaced = lambda t: _pieces(t, lambda m: pseudonym(m, key))
+    numbers = F.replace(let(told_apart(text), replaced), F.lit(MARK), F.lit(""))
+    return F.when(text.rlike(NUMBER), numbers).when(text.rlike("[0-9@]") & text.rlike(ANY), replaced(text)).otherwise(text)
 
 
 def with_pseudonyms(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
