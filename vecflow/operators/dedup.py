@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..workspace import stored
 
 PERMUTATIONS, BANDS, ROWS = 128, 9, 13
 RESET_EVERY = 50_000
@@ -24,15 +25,19 @@ def first_of(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 def numbered(rows: DataFrame, order: str, name: str, within: str | None = None) -> DataFrame:
     """Dense numbers from 0 in ascending order, of all rows or within a key.
 
-    Rows are dealt out by ranges of the order and numbered where they are; a small table of counts
-    per range gives each range its start. No task sees all rows."""
+    Rows are dealt out by ranges of the order, sorted and written once with their place in the
+    range, so ranges are the same for all that is read from them; a small table of counts per range
+    gives each range its start. No task sees all rows. Ties are numbered in any order; nulls come
+    first."""
     keys = [within] if within else []
-    dealt = rows.repartitionByRange(*keys, order).withColumn("range_", F.spark_partition_id())
-    local = F.row_number().over(Window.partitionBy("range_", *keys).orderBy(order)) - 1
-    counts = dealt.groupBy("range_", *keys).agg(F.count("*").alias("n_"))
+    place = F.monotonically_increasing_id()  # the partition above 33 bits of the place in it
+    dealt = stored(rows.repartitionByRange(*keys, order).sortWithinPartitions(*keys, order).withColumn("place_", place), "numbered")
+    dealt = dealt.withColumns({"range_": F.shiftright("place_", 33), "place_": F.col("place_").bitwiseAND((1 << 33) - 1)})
+    counts = dealt.groupBy("range_", *keys).agg(F.count("*").alias("n_"), F.min("place_").alias("first_"))
     before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("start_", F.coalesce(F.sum("n_").over(before), F.lit(0))).drop("n_")
-    return dealt.withColumn("local_", local).join(starts, ["range_", *keys]).withColumn(name, F.col("start_") + F.col("local_")).drop("range_", "local_", "start_")
+    starts = counts.select("range_", *[F.col(k).alias("key_") for k in keys], (F.coalesce(F.sum("n_").over(before), F.lit(0)) - F.col("first_")).alias("start_"))
+    met = dealt.withColumnRenamed("range_", "own_range_").join(starts, (F.col("own_range_") == F.col("range_")) & (F.col(within).eqNullSafe(F.col("key_")) if within else F.lit(True)))
+    return met.select(*[c for c in rows.columns if c != name], (F.col("start_") + F.col("place_")).alias(name))
 
 
 def similar_pairs(docs: DataFrame, threshold: float) -> DataFrame:
