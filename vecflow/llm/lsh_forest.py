@@ -1,14 +1,23 @@
 """N-gram Jaccard join by a MinHash LSH forest.
 
 Each document's five-word shingles give a MinHash signature, cut into the labels of several trees.
-A tree is a trie of labels; documents under a node share that node's prefix. The matched prefix is
-shortened from whole labels until a pair at the threshold shares it in some tree with the target
-probability. As one threshold holds for all documents, so does the length found: the nodes of that
-depth, which hold all pairs of the deeper ones, are grouped by equality and no trie is kept. At the
-threshold itself a pair shares no node with probability 1e-8, and seems too unlike to be a candidate
-with 1.4e-14. Documents under a node are compared by signature and connected where they may be
-similar; each connected group is then verified exactly: all pairs of its texts, by the sizes of
-intersections of whole shingle sets, in blocks of bounded size.
+A tree is a trie of labels: its documents in the order of their labels, those of one prefix beside
+each other. Matching begins with whole labels. The documents of a node are compared by signature;
+how often pairs of each likeness met, over all documents, tells how many such pairs there are (a pair
+of likeness s shares a prefix of d hashes in s ** d of the trees) and so which share of them all was
+found. While that share is below the target, the matched prefix is shortened, to the longest that is
+expected to reach the target, and the share is measured again there. One more pair, at the threshold,
+counts as unseen, so tables with few pairs match short prefixes.
+
+Documents of a node that may be similar are connected, and each connected group is verified exactly:
+all pairs of its texts, by the sizes of intersections of whole shingle sets, in blocks of bounded
+size. Pairs whose signatures agree less than may_be() are not connected; a pair at the threshold
+falls below that with probability 1e-12.
+
+In a node of up to BLOCK documents each pair is compared. Documents of a larger one are dealt to
+parts and compared with the leaders of their part: a document that no leader covers becomes one, and
+is connected to every leader it is near enough to, so that by the triangle inequality of signatures
+whoever may be similar to it is connected too. The leaders of the parts are compared in the same way.
 
 Texts with equal shingle sets are one class from the start, of which one text is compared. Nothing
 is emitted per pair: a document gets its number of links (documents of similarity at or above the
@@ -21,6 +30,7 @@ other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,25 +41,50 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shingles import mixed, shingle_sets
+from .skew import MOST, join_hot
 from .storage import stored
 
 THRESHOLD = 0.8
-TREES, LABEL = 18, 7
+TREES, LABEL = 24, 7
+#: The share of the pairs at or above the threshold that shall meet in some tree.
 TARGET_RECALL = 1 - 1e-7
-#: Signatures that agree less than this are no candidates (eight standard errors below the threshold).
-MAY_BE = 0.5
-#: Nodes above this size connect all their documents; groups are verified in blocks of this size.
+#: Chance that a pair at the threshold agrees too little to be compared.
+UNLIKE = 1e-12
+#: Nodes above this size are compared by leaders; groups are verified in blocks of this size.
 BLOCK = 1024
+#: A leader covers the documents whose signatures differ in this share at most.
+COVER = 0.2
 
 _SEEDS = np.random.default_rng(11).integers(1, 1 << 62, TREES * LABEL, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FOUND = "kind int, a long, b long, prefix long, signature binary"
+_EDGE, _SEEN, _LEADER = 0, 1, 2
 
 
-def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, label: int = LABEL, target: float = TARGET_RECALL) -> int:
-    """Shortens the matched prefix from the whole label until the target recall is reached."""
-    depth = label
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < target:
-        depth -= 1
-    return depth
+def meeting(similarity: float | np.ndarray, depth: int) -> float | np.ndarray:
+    """The chance that a pair shares a prefix of depth hashes in some tree."""
+    return 1 - (1 - np.power(similarity, depth)) ** TREES
+
+
+def may_be(threshold: float = THRESHOLD, hashes: int = TREES * LABEL, unlike: float = UNLIKE) -> float:
+    """The least agreement of signatures that a pair at the threshold misses with chance unlike."""
+    total, least = 0.0, 0
+    while total <= unlike and least < hashes:
+        log = math.lgamma(hashes + 1) - math.lgamma(least + 1) - math.lgamma(hashes - least + 1)
+        total += math.exp(log + least * math.log(threshold) + (hashes - least) * math.log1p(-threshold)) if threshold < 1 else 0.0
+        least += 1
+    return max(least - 1, 0) / hashes
+
+
+def recall(seen: np.ndarray, depth: int, at: int, threshold: float = THRESHOLD) -> float:
+    """The share of pairs at or above the threshold that prefixes of length at find, as estimated from
+    seen: how often compared pairs agreed in 0, 1, .. hashes when depth was matched. Signatures
+    blur likeness, so pairs that seem up to a tenth below the threshold count as being at it."""
+    agreement = np.arange(len(seen)) / (len(seen) - 1)
+    near = agreement >= threshold - 0.1
+    likeness = np.maximum(agreement[near], threshold)
+    pairs = seen[near] / (TREES * likeness**depth)
+    unseen = 1.0  # a pair at the threshold
+    return float((np.dot(pairs, meeting(likeness, at)) + unseen * meeting(threshold, at)) / (pairs.sum() + unseen))
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -89,47 +124,134 @@ def _groups(adjacent: np.ndarray) -> np.ndarray:
     return root
 
 
-def _candidates(block: int):
-    """Edges (a, b) that connect the documents of a node that may be similar.
-
-    Rows come sorted by prefix and document. Nodes above block connect to their first document as
-    they stream by; of smaller ones the rows at a batch's end wait for the next batch."""
+class _Out:
+    """What a task found: edges, leaders, and how often pairs agreed in how many hashes."""
+
+    def __init__(self) -> None:
+        self.a, self.b, self.leaders = [], [], []
+        self.seen = np.zeros(TREES * LABEL + 1, np.int64)
+
+    def batch(self, last: bool) -> pa.RecordBatch:
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (self.a, self.b))
+        bins = np.flatnonzero(self.seen) if last else np.zeros(0, np.int64)
+        lead = self.leaders
+        n = (len(a), len(bins), len(lead))
+        columns = [
+            pa.array(np.repeat([_EDGE, _SEEN, _LEADER], n), pa.int32()),
+            pa.array(np.concatenate([a, bins, np.array([x[1] for x in lead], np.int64)]), pa.int64()),
+            pa.array(np.concatenate([b, self.seen[bins], np.zeros(n[2], np.int64)]), pa.int64()),
+            pa.array([0] * (n[0] + n[1]) + [x[0] for x in lead], pa.int64()),
+            pa.array([None] * (n[0] + n[1]) + [x[2] for x in lead], pa.binary()),
+        ]
+        self.a, self.b, self.leaders = [], [], []
+        return pa.RecordBatch.from_arrays(columns, names=["kind", "a", "b", "prefix", "signature"])
+
+
+class _Leaders:
+    """The leaders of a part of a large node, as its documents stream by."""
+
+    def __init__(self) -> None:
+        self.labels, self.nodes = np.zeros((64, TREES * LABEL), "<u2"), np.zeros(64, np.int64)
+        self.n = 0
+
+    def add(self, node: int, labels: np.ndarray, link: float, out: _Out) -> bool:
+        """Connects a document to the leaders that differ in link at most; True if it becomes one."""
+        agreed = (self.labels[: self.n] == labels).sum(axis=1)
+        out.seen += np.bincount(agreed, minlength=len(out.seen))
+        near = self.nodes[: self.n][agreed >= (1 - link) * len(labels)]
+        out.a.append(np.full(len(near), node))
+        out.b.append(near)
+        if self.n and agreed.max() >= (1 - COVER) * len(labels):
+            return False
+        if self.n == len(self.nodes):
+            self.labels, self.nodes = np.resize(self.labels, (2 * self.n, len(labels))), np.resize(self.nodes, 2 * self.n)
+        self.labels[self.n], self.nodes[self.n] = labels, node
+        self.n += 1
+        return True
+
+
+def _candidates(block: int, least: float, split: bool):
+    """Rows (prefix, part, n, node, signature) come in the order of prefix and part. Nodes up to block
+    are compared whole: their rows at a batch's end wait for the next one. Documents of larger ones
+    are compared with leaders, which are rows of the result if the node was split."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, hub = None, (None, None)
+        out, rest, lead = _Out(), None, (None, None)
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([rest, table]) if rest is not None else table
-            rest, hub, out = _connected(table, hub, block, last=False)
-            yield out
+            rest, lead = _connected(pa.concat_tables([rest, table]) if rest is not None else table, lead, out, False)
+            yield out.batch(last=False)
         if rest is not None:
-            yield _connected(rest, hub, block, last=True)[2]
+            _connected(rest, lead, out, True)
+        yield out.batch(last=True)
+
+    def _connected(table: pa.Table, lead: tuple, out: _Out, last: bool):
+        prefix, part, node, n = (table[c].to_numpy() for c in ("prefix", "part", "node", "n"))
+        if not len(node):
+            return None, lead
+        starts = np.flatnonzero(np.r_[True, (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1])])
+        ends = np.r_[starts[1:], len(node)]
+        keep = None
+        if n[starts[-1]] <= block and not last:
+            keep, starts, ends = table.slice(int(starts[-1])), starts[:-1], ends[:-1]
+        signatures = table["signature"].combine_chunks()
+        labels = np.frombuffer(b"".join(signatures.to_pylist()), "<u2").reshape(len(node), -1)
+        two = ends - starts == 2
+        i = starts[two & (n[starts] <= block)]  # most nodes, all at once
+        agreed = (labels[i] == labels[i + 1]).sum(axis=1)
+        out.seen += np.bincount(agreed, minlength=len(out.seen))
+        i = i[agreed >= least * labels.shape[1]]
+        out.a.append(node[i + 1])
+        out.b.append(node[i])
+        for i, j in zip(starts[~two | (n[starts] > block)].tolist(), ends[~two | (n[starts] > block)].tolist()):
+            if n[i] > block:
+                if lead[0] != (prefix[i], part[i]):
+                    lead = ((prefix[i], part[i]), _Leaders())
+                for k in range(i, j):
+                    # the leaders of parts are each up to COVER from their documents
+                    if lead[1].add(int(node[k]), labels[k], 1 - least + (COVER if split else 3 * COVER), out) and split:
+                        out.leaders.append((int(prefix[k]), int(node[k]), signatures[k].as_py()))
+            elif j - i > 1:
+                agreed = np.stack([(labels[i:j] == x).sum(axis=1) for x in labels[i:j]])
+                out.seen += np.bincount(agreed[np.triu_indices(j - i, 1)], minlength=len(out.seen))
+                root = _groups(agreed >= least * labels.shape[1])
+                linked = np.flatnonzero(root != np.arange(j - i))
+                out.a.append(node[i:j][linked])
+                out.b.append(node[i:j][root[linked]])
+        return keep, lead
 
     return run
 
 
-def _connected(table: pa.Table, hub: tuple, block: int, last: bool):
-    prefix, node, n = (table[c].to_numpy() for c in ("prefix", "node", "n"))
-    starts = np.flatnonzero(np.r_[True, prefix[1:] != prefix[:-1]]) if len(prefix) else np.zeros(0, int)
-    ends = np.r_[starts[1:], len(prefix)]
-    signatures = table["signature"].combine_chunks()
-    a, b, keep = [], [], None
-    for i, j in zip(starts.tolist(), ends.tolist()):
-        if n[i] > block:
-            if hub[0] != prefix[i]:
-                hub = (prefix[i], node[i])
-            a.append(node[i:j])
-            b.append(np.full(j - i, hub[1]))
-        elif j == len(prefix) and not last:
-            keep = table.slice(i)
-        elif j - i > 1:
-            labels = np.frombuffer(b"".join(signatures.slice(i, j - i).to_pylist()), "<u2").reshape(j - i, -1)
-            root = _groups(np.stack([(labels == x).mean(axis=1) >= MAY_BE for x in labels]))
-            linked = np.flatnonzero(root != np.arange(j - i))
-            a.append(node[i:j][linked])
-            b.append(node[i:j][root[linked]])
-    out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (a, b)], names=["a", "b"])
-    return keep, hub, out
+def _met(sets: DataFrame, n_sets: int, depth: int, least: float) -> DataFrame:
+    """_FOUND of the documents (node, signature) that share a prefix of depth hashes in some tree."""
+    label = lambda t: F.substring("signature", 2 * LABEL * t + 1, 2 * depth)
+    tries = sets.select("node", F.posexplode(F.array(*[F.xxhash64(label(t), F.lit(t)) for t in range(TREES)])).alias("tree", "prefix"))
+    shared = stored(tries.groupBy("prefix").agg(F.count("*").alias("n")).filter("n > 1"), "nodes")
+    nodes = join_hot(tries, shared, "prefix", "n", n_sets * TREES).join(sets.select("node", "signature"), "node")
+    parts = F.when(F.col("n") > BLOCK, F.ceil(F.col("n") / (4 * BLOCK))).otherwise(F.lit(1))
+    members = nodes.withColumns({"part": F.pmod(F.xxhash64("node"), parts).cast("long"), "label": F.expr(f"substring(signature, {2 * LABEL} * tree + 1, {2 * LABEL})")}).drop("tree")
+    order = lambda df, *by: df.repartition("prefix", "part").sortWithinPartitions("prefix", "part", *by, "node").select("prefix", "part", "n", "node", "signature")
+    found = stored(order(members, "label").mapInArrow(_candidates(BLOCK, least, True), _FOUND), "met")
+    leaders = found.filter(F.col("kind") == _LEADER).select("prefix", F.lit(0).cast("long").alias("part"), F.lit(BLOCK + 1).cast("long").alias("n"), F.col("a").alias("node"), "signature")
+    if leaders.isEmpty():
+        return found
+    return found.filter(F.col("kind") != _LEADER).unionByName(stored(order(leaders).mapInArrow(_candidates(BLOCK, least, False), _FOUND), "met"))
+
+
+def candidates(sets: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> tuple[DataFrame, int, float]:
+    """Edges (a, b) between documents that may be similar, the length of the prefix that was matched
+    in the end, and the share of pairs that is found with it, as measured there."""
+    depth, least, n_sets = LABEL, may_be(threshold), sets.count()
+    while True:
+        found = _met(sets, n_sets, depth, least)
+        seen = np.zeros(TREES * LABEL + 1)
+        for row in found.filter(F.col("kind") == _SEEN).groupBy("a").agg(F.sum("b").alias("n")).collect():  # a row per number of hashes
+            seen[row["a"]] = row["n"]
+        got = recall(seen, depth, depth, threshold)
+        if got >= target or depth == 1:
+            return found.filter(F.col("kind") == _EDGE).select("a", "b"), depth, got
+        depth = next((d for d in range(depth - 1, 1, -1) if recall(seen, depth, d, threshold) >= target), 1)
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -154,7 +276,7 @@ def _verified(threshold: float):
     def verify(key: tuple, table: pa.Table) -> pa.Table:
         """Links and the local group of each document of a block, or of a pair of blocks."""
         nodes, weight, block = table["node"].to_numpy(), table["copies"].to_numpy(), table["block"].to_numpy()
-        order = np.argsort(nodes)
+        order = np.unique(nodes, return_index=True)[1]  # rows may repeat
         sets = list(shingle_sets(table["text"].combine_chunks().take(pa.array(order))))
         nodes, weight, block = nodes[order], weight[order], block[order]
         sizes = np.array([len(s) for s in sets])
@@ -192,28 +314,27 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         signed.filter("set_key is not null").groupBy("set_key").agg(first, F.count("*").alias("copies"), F.first("signature").alias("signature")).select("set_key", "first.doc_id", "first.text_hash", F.col("first.uid").alias("node"), "copies", "signature"),
         "sets",
     )
-    depth = prefix_length(threshold)
-    label = lambda t: F.substring("signature", 2 * LABEL * t + 1, 2 * depth)
-    tries = sets.select("node", F.posexplode(F.array(*[F.xxhash64(label(t), F.lit(t)) for t in range(TREES)])).alias("tree", "prefix"))
-    shared = tries.groupBy("prefix").agg(F.count("*").alias("n")).filter("n > 1")
-    nodes = tries.join(shared, "prefix").select("prefix", "n", "node")
-    members = nodes.join(sets.select("node", "signature"), "node").withColumn("signature", F.when(F.col("n") <= BLOCK, F.col("signature")))
-    edges = members.repartition("prefix").sortWithinPartitions("prefix", "node").mapInArrow(_candidates(BLOCK), "a long, b long")
+    edges, _, _ = candidates(sets.select("node", "signature"), threshold)
     groups = stored(components(edges), "groups")
-    sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
     # the documents of a group in blocks; each pair of blocks is verified by a task of its own
-    placed = groups.join(sizes, "root").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    large = groups.groupBy("root").agg(F.count("*").alias("size")).filter(F.col("size") > BLOCK)
+    few = groups.count() <= BLOCK * MOST
+    placed = groups.join(F.broadcast(large) if few else large, "root", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     texts = own.join(placed.join(sets.drop("signature", "set_key"), "node").select("doc_id", "text_hash", "node", "copies", "root", "blocks", "block").withColumnsRenamed({"doc_id": "known", "text_hash": "known_hash"}), F.col("doc_id").eqNullSafe(F.col("known")) & (F.col("text_hash") == F.col("known_hash")))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("first"), F.greatest(k, F.col("block")).alias("second")))
-    units = texts.select("root", "node", "copies", "block", "text", F.explode(pairs).alias("pair")).select(F.col("root").alias("comp"), "pair.first", "pair.second", "node", "copies", "block", "text").dropDuplicates(["comp", "first", "second", "node"])
+    units = texts.select("root", "node", "copies", "block", "text", F.explode(pairs).alias("pair")).select(F.col("root").alias("comp"), "pair.first", "pair.second", "node", "copies", "block", "text")
     checked = stored(units.groupBy("comp", "first", "second").applyInArrow(_verified(threshold), "node long, root long, links long"), "verified")
     found = components(checked.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
-    described = sets.drop("doc_id", "text_hash", "signature").join(links, "node", "left").join(found, "node", "left").select("set_key", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
+    described = stored(sets.drop("doc_id", "text_hash", "signature").join(links, "node", "left").join(found, "node", "left").select("set_key", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root")), "described")
+    ids = signed.drop("signature")
+    n_rows = ids.count()
+    counted = join_hot(ids.filter("set_key is not null"), described, "set_key", "copies", n_rows).select("doc_id", "text_hash", "uid", "root", (F.col("copies") - 1 + F.col("links")).alias("n_links"))
     # a row without words is a group of its own
-    rows = stored(signed.drop("signature").join(described, "set_key", "left").select("doc_id", "text_hash", "uid", F.coalesce("root", -1 - F.col("uid")).alias("root"), F.coalesce(F.col("copies") - 1 + F.col("links"), F.lit(0)).cast("long").alias("n_links")), "rows")
-    classes = rows.groupBy("root").agg(first).select("root", F.col("first.doc_id").alias("class_id"), F.col("first.uid").alias("keeper_uid"))
-    return rows.join(classes, "root").select("doc_id", "text_hash", "class_id", "n_links", (F.col("uid") == F.col("keeper_uid")).alias("keeper"))
+    alone = ids.filter("set_key is null").select("doc_id", "text_hash", "uid", (-1 - F.col("uid")).alias("root"), F.lit(0).cast("long").alias("n_links"))
+    rows = stored(counted.unionByName(alone), "rows")
+    classes = stored(rows.groupBy("root").agg(first, F.count("*").alias("members")).select("root", "members", F.col("first.doc_id").alias("class_id"), F.col("first.uid").alias("keeper_uid")), "classes")
+    return join_hot(rows, classes, "root", "members", n_rows).select("doc_id", "text_hash", "class_id", "n_links", (F.col("uid") == F.col("keeper_uid")).alias("keeper"))
 
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

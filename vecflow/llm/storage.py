@@ -1,8 +1,7 @@
 """Shared work folders: where operators keep tables and files that several tasks need.
 
-The folder is the one the cluster names in spark.checkpoint.dir; only where that is unset
-(tests on one machine) a local default is used. Files are opened with the standard library for
-file: addresses and with pyarrow's file systems for all others.
+Files are opened with the standard library for file: addresses and with pyarrow's file systems for
+all others.
 """
 
 from __future__ import annotations
@@ -12,33 +11,9 @@ import os
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
-
-LOCAL_DEFAULT = "file:///tmp/checkpoints/vecflow"
-
-
-def workdir(spark: SparkSession, name: str) -> str:
-    """A new folder address below the shared folder (not yet created)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DEFAULT
-    if "://" not in base and not base.startswith("file:"):
-        base = f"file://{os.path.abspath(base)}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: its lineage ends there."""
-    spark = df.sparkSession
-    path = workdir(spark, name)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+from pyspark.sql import DataFrame
 
+from ..workspace import remove, stored, workdir  # noqa: F401 (the operators' way to the shared folder)
 
 def local_path(uri: str) -> str | None:
     """The path of a file: address, None for any other scheme."""
