@@ -16,8 +16,9 @@ falls below that with probability 1e-12.
 
 In a node of up to BLOCK documents each pair is compared. Documents of a larger one are dealt to
 parts and compared with the leaders of their part: a document that no leader covers becomes one, and
-is connected to every leader it is near enough to, so that by the triangle inequality of signatures
+is connected with every leader it is near enough to, so that by the triangle inequality of signatures
 whoever may be similar to it is connected too. The leaders of the parts are compared in the same way.
+Two edges for each document at most come of it, however many leaders there are.
 
 Texts with equal shingle sets are one class from the start, of which one text is compared. Nothing
 is emitted per pair: a document gets its number of links (documents of similarity at or above the
@@ -148,24 +149,27 @@ class _Out:
 
 
 class _Leaders:
-    """The leaders of a part of a large node, as its documents stream by."""
+    """The leaders of a part of a large node, as its documents stream by, and which are connected."""
 
     def __init__(self) -> None:
-        self.labels, self.nodes = np.zeros((64, TREES * LABEL), "<u2"), np.zeros(64, np.int64)
+        self.labels, self.nodes, self.group = np.zeros((64, TREES * LABEL), "<u2"), np.zeros(64, np.int64), np.zeros(64, np.int64)
         self.n = 0
 
     def add(self, node: int, labels: np.ndarray, link: float, out: _Out) -> bool:
-        """Connects a document to the leaders that differ in link at most; True if it becomes one."""
+        """Connects a document with the leaders that differ in link at most, by one edge to each group
+        of them that is not connected yet; True if it becomes a leader."""
         agreed = (self.labels[: self.n] == labels).sum(axis=1)
         out.seen += np.bincount(agreed, minlength=len(out.seen))
-        near = self.nodes[: self.n][agreed >= (1 - link) * len(labels)]
-        out.a.append(np.full(len(near), node))
-        out.b.append(near)
+        groups = np.unique(self.group[: self.n][agreed >= (1 - link) * len(labels)])
+        out.a.append(np.full(len(groups), node))
+        out.b.append(self.nodes[groups])
+        if len(groups) > 1:
+            self.group[: self.n][np.isin(self.group[: self.n], groups)] = groups[0]
         if self.n and agreed.max() >= (1 - COVER) * len(labels):
             return False
         if self.n == len(self.nodes):
-            self.labels, self.nodes = np.resize(self.labels, (2 * self.n, len(labels))), np.resize(self.nodes, 2 * self.n)
-        self.labels[self.n], self.nodes[self.n] = labels, node
+            self.labels, self.nodes, self.group = np.resize(self.labels, (2 * self.n, len(labels))), np.resize(self.nodes, 2 * self.n), np.resize(self.group, 2 * self.n)
+        self.labels[self.n], self.nodes[self.n], self.group[self.n] = labels, node, groups[0] if len(groups) else self.n
         self.n += 1
         return True
 
@@ -229,7 +233,7 @@ def _met(sets: DataFrame, n_sets: int, depth: int, least: float) -> DataFrame:
     tries = sets.select("node", F.posexplode(F.array(*[F.xxhash64(label(t), F.lit(t)) for t in range(TREES)])).alias("tree", "prefix"))
     shared = stored(tries.groupBy("prefix").agg(F.count("*").alias("n")).filter("n > 1"), "nodes")
     nodes = join_hot(tries, shared, "prefix", "n", n_sets * TREES).join(sets.select("node", "signature"), "node")
-    parts = F.when(F.col("n") > BLOCK, F.ceil(F.col("n") / (4 * BLOCK))).otherwise(F.lit(1))
+    parts = F.when(F.col("n") > BLOCK, F.ceil(F.col("n") / BLOCK)).otherwise(F.lit(1))
     members = nodes.withColumns({"part": F.pmod(F.xxhash64("node"), parts).cast("long"), "label": F.expr(f"substring(signature, {2 * LABEL} * tree + 1, {2 * LABEL})")}).drop("tree")
     order = lambda df, *by: df.repartition("prefix", "part").sortWithinPartitions("prefix", "part", *by, "node").select("prefix", "part", "n", "node", "signature")
     found = stored(order(members, "label").mapInArrow(_candidates(BLOCK, least, True), _FOUND), "met")
