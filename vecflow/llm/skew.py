@@ -11,8 +11,8 @@ HOT = 512
 MOST = 500_000
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, size: str, rows: int) -> DataFrame:
-    """left join right on key, an inner join. right has a key once, with the number of left's rows
+def join_hot(left: DataFrame, right: DataFrame, key: str, size: str, rows: int, how: str = "inner") -> DataFrame:
+    """left join right on key, an inner or left join. right has a key once, with the number of left's rows
     that have it in the column size; rows is left's number of rows, or more. Rows of hot keys stay
     where they are and the keys are broadcast: as each has more than rows / MOST rows, they are fewer
     than MOST. All other rows are shuffled."""
@@ -20,5 +20,5 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, size: str, rows: int)
     hot = right.filter(F.col(size) > least)
     columns = [*left.columns, *[c for c in right.columns if c != key]]
     some = left.join(F.broadcast(hot), key).select(*columns)
-    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.filter(F.col(size) <= least), key).select(*columns)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.filter(F.col(size) <= least), key, how).select(*columns)
     return some.unionByName(rest)

@@ -28,6 +28,25 @@ def _remote(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+@contextmanager
+def opened(uri: str):
+    """A file opened for reading; it can be read on, and sought."""
+    if path := local_path(uri):
+        with open(path, "rb") as f:
+            yield f
+        return
+    system, path = _remote(uri)
+    with system.open_input_file(path) as f:
+        yield f
+
+
+def file_size(uri: str) -> int:
+    if path := local_path(uri):
+        return os.path.getsize(path)
+    system, path = _remote(uri)
+    return system.get_file_info(path).size
+
+
 def read_bytes(uri: str, offset: int = 0, length: int | None = None) -> bytes:
     if path := local_path(uri):
         with open(path, "rb") as f:
