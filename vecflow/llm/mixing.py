@@ -6,14 +6,20 @@ probability that gives the cell its weight, scaled to the wanted total and never
 saturated cells cannot give goes to the others in proportion). Whether a document is taken is a
 hash of its id against that probability, so the choice is the same on every run and cluster.
 
-Null sources and languages are values of their own; a null or empty text has no tokens and is
-always kept, as it weighs nothing. Rows that repeat an id share its fate. An empty table gives an
-empty result. The operator's columns (topic, n_tokens, probability, token_weight) replace columns
-of those names.
+The topic is a column that the caller names, from whatever labels or model there are. Without one it
+is a fixed rule over the text, which tells a few kinds of text apart but knows no subjects.
+
+Null sources, languages and topics are values of their own. A document without tokens (a null, empty
+or blank text) is always kept, as it weighs nothing. Rows that repeat an id share its fate. An empty
+table gives an empty result. The operator's columns (topic, n_tokens, probability, token_weight)
+replace columns of those names. Targets that contradict each other cannot all be met: then there is
+a warning with the largest difference of a share that is left.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +31,8 @@ EVENNESS = 0.5
 #: Part of all tokens that the sample shall hold.
 KEEP = 0.5
 ROUNDS_AT_ONCE, MOST_ROUNDS, CLOSE = 6, 60, 1e-10
-#: So many cells at most are joined by broadcast or handled in one partition.
+#: So many cells at most are joined by broadcast and raked in one partition, which saves exchanges;
+#: more are raked by the values of a margin, and no task holds them all.
 FEW_CELLS = 100_000
 
 #: Fixed rule: the topic of a text is the first whose pattern it holds, else prose.
@@ -60,40 +67,42 @@ def raked(cells: DataFrame, targets: dict | None = None) -> DataFrame:
     gathered = lambda df: df.coalesce(1) if few else df
     now = gathered(cells)
     for m in MARGINS:
-        raw = now.withColumn("raw", _share(m, targets))
-        # a share per value: the sum over values is the sum over cells of raw / (cells of the value)
-        raw = raw.withColumn("raw_part", F.col("raw") / F.count("*").over(Window.partitionBy(m)))
-        now = raw.withColumn(f"share_{m}", F.col("raw") / F.sum("raw_part").over(Window.partitionBy(F.lit(0)))).drop("raw", "raw_part")
-    now = now.withColumn("weight", F.col("tokens").cast("double"))
-    for _ in range(0, MOST_ROUNDS, ROUNDS_AT_ONCE):
+        now = now.withColumns({f"share_{m}": _share(m, targets), f"part_{m}": 1 / F.count("*").over(Window.partitionBy(m))})
+    now = stored(now, "shares")
+    # a share per value: the sum over values is the sum over cells of share / (cells of the value)
+    whole = now.agg(*[F.sum(F.col(f"share_{m}") * F.col(f"part_{m}")).alias(m) for m in MARGINS]).first()
+    now = gathered(now).select(*MARGINS, "tokens", *[(F.col(f"share_{m}") / F.lit(whole[m])).alias(f"share_{m}") for m in MARGINS], F.col("tokens").cast("double").alias("weight"))
+    rounds, left = 0, None
+    while rounds < MOST_ROUNDS and (left is None or left >= CLOSE):
         for _ in range(ROUNDS_AT_ONCE):
             for m in MARGINS:
                 total = F.sum("weight").over(Window.partitionBy(m))
                 now = now.withColumn("weight", F.when(total > 0, F.col("weight") * F.col(f"share_{m}") / total).otherwise(F.lit(0.0)))
+        rounds += ROUNDS_AT_ONCE
         now = gathered(stored(now, "raking"))
-        off = [F.max(F.abs(F.col(f"got_{m}") - F.col(f"share_{m}"))).alias(m) for m in MARGINS]
         seen = now
         for m in MARGINS:
             seen = seen.withColumn(f"got_{m}", F.sum("weight").over(Window.partitionBy(m)))
-        if max([x or 0.0 for x in seen.agg(*off).first()]) < CLOSE:
-            break
+        left = max([x or 0.0 for x in seen.agg(*[F.max(F.abs(F.col(f"got_{m}") - F.col(f"share_{m}"))) for m in MARGINS]).first()])
+    if left >= CLOSE:
+        warnings.warn(f"shares are still off by up to {left:.1e} after {rounds} rounds", stacklevel=2)
     return now
 
 
 def probabilities(cells: DataFrame, keep: float = KEEP) -> DataFrame:
-    """cells (tokens, weight) with the probability that gives keep of all tokens, by weight."""
-    rate = cells.withColumn("rate", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")))
-    by_rate = Window.partitionBy(F.lit(0)).orderBy(F.desc("rate"), *MARGINS)
-    whole = Window.partitionBy(F.lit(0))
-    before = by_rate.rowsBetween(Window.unboundedPreceding, -1)
-    gone = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
-    left = F.sum("weight").over(whole) - gone("weight")
-    scale = (keep * F.sum("tokens").over(whole) - gone("tokens")) / F.when(left > 0, left)
-    tried = rate.withColumn("scale", scale).withColumn("place", F.row_number().over(by_rate))
-    fits = (F.col("rate") > 0) & (F.col("scale") * F.col("rate") <= 1)
-    chosen = tried.withColumn("chosen", F.min(F.when(fits, F.struct("place", "scale"))).over(whole)["scale"])
-    chance = F.when(F.col("rate").isNull() | F.col("chosen").isNull(), F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.col("chosen") * F.col("rate")))
-    return chosen.withColumn("probability", chance).drop("rate", "scale", "place", "chosen")
+    """cells (tokens, weight) with the probability that gives keep of all tokens, by weight. The
+    scale rises as cells reach probability 1, until no other cell does."""
+    full = lambda scale: F.lit(scale) * F.col("weight") >= F.col("tokens") * (1 - 1e-12)
+    scale, n_full = 0.0, -1
+    while True:
+        given = F.when(full(scale), F.col("tokens"))
+        row = cells.filter("tokens > 0").agg(F.sum("tokens").alias("all"), F.count(given).alias("n"), F.coalesce(F.sum(given), F.lit(0)).alias("given"), F.sum(F.when(~full(scale), F.col("weight"))).alias("left")).first()
+        if not row["left"]:  # every cell gives all it has
+            return cells.withColumn("probability", F.lit(1.0))
+        if row["n"] == n_full:
+            break
+        scale, n_full = (keep * row["all"] - row["given"]) / row["left"], row["n"]
+    return cells.withColumn("probability", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(scale) * F.col("weight") / F.col("tokens"))).otherwise(F.lit(1.0)))
 
 
 def lot(doc_id: Column) -> Column:
@@ -101,12 +110,14 @@ def lot(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit("mixing:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") / float(16**12)
 
 
-def mixed(docs: DataFrame, keep: float = KEEP, targets: dict | None = None) -> DataFrame:
-    """The sampled rows of docs, with topic, n_tokens, probability and token_weight (1 / probability)."""
-    own = docs.drop("topic", "n_tokens", "probability", "token_weight").withColumns({"topic": topic_of(F.col("text")), "n_tokens": token_count(F.col("text"))})
+def mixed(docs: DataFrame, keep: float = KEEP, targets: dict | None = None, topic: Column | None = None) -> DataFrame:
+    """The sampled rows of docs, with topic, n_tokens, probability and token_weight (1 / probability).
+    targets gives shares by margin and value, topic the topic of each row (by default topic_of)."""
+    kinds = {"topic": topic_of(F.col("text")) if topic is None else topic, "n_tokens": token_count(F.col("text"))}
+    own = docs.withColumns(kinds).drop("probability", "token_weight")
     cells = stored(own.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    chances = stored(probabilities(raked(cells, targets), keep).select(*[F.col(m).alias(f"cell_{m}") for m in MARGINS], "probability"), "chances")
+    chances = stored(probabilities(raked(cells, targets), keep).select(*[F.col(m).alias(f"cell_{m}") for m in MARGINS], F.col("probability").alias("cell_probability")), "chances")
     side = F.broadcast(chances) if chances.count() <= FEW_CELLS else chances
     same = [F.col(m).eqNullSafe(F.col(f"cell_{m}")) for m in MARGINS]
-    joined = own.join(side, same[0] & same[1] & same[2]).drop(*[f"cell_{m}" for m in MARGINS])
-    return joined.filter(lot(F.col("doc_id")) < F.col("probability")).withColumn("token_weight", 1 / F.col("probability"))
+    joined = own.join(side, same[0] & same[1] & same[2]).withColumn("probability", F.when(F.col("n_tokens") == 0, F.lit(1.0)).otherwise(F.col("cell_probability")))
+    return joined.drop("cell_probability", *[f"cell_{m}" for m in MARGINS]).filter(lot(F.col("doc_id")) < F.col("probability")).withColumn("token_weight", 1 / F.col("probability"))

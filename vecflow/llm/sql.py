@@ -75,7 +75,7 @@ WITH RECURSIVE own AS (
 ), chances AS (
     SELECT *, (SELECT arg_min(scale, place) FROM tried WHERE rate > 0 AND scale * rate <= 1) AS chosen FROM tried
 ), sampled AS (
-    SELECT o.*, CASE WHEN rate IS NULL OR chosen IS NULL THEN 1.0 ELSE least(1.0, chosen * rate) END AS p
+    SELECT o.*, CASE WHEN n_tokens = 0 OR rate IS NULL OR chosen IS NULL THEN 1.0 ELSE least(1.0, chosen * rate) END AS p
     FROM own o JOIN chances c ON {same}
 )
 SELECT doc_id, source, lang, topic, n_tokens, round(p, 6) AS probability, round(1 / p, 4) AS token_weight
