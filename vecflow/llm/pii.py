@@ -1,8 +1,10 @@
 """Format-preserving pseudonyms for personal data, as column expressions only.
 
-Values are found by pattern, validated (card and account check digits, octets, calendar dates) and
-replaced by a keyed permutation of the same format: a Feistel network whose round function is
-SHA-256 of the key, the kind, the round and the other half. A permutation maps equal values to
+Values are found by pattern, validated (card and account check digits, octets, calendar dates, social
+security areas, telephone plans) and replaced by a keyed permutation of the same format: a Feistel
+network whose round function is SHA-256 of the key, the kind, the round and the other half. Where
+only a part of a format's values is valid, the network is applied again until it gives a valid one
+(cycle walking), so valid values are permuted among themselves. A permutation maps equal values to
 equal pseudonyms and different values of a format to different ones, so values stay linked across
 documents; lengths, separators, letter case, country codes, mail domains and check digits' validity
 stay. Values that fail validation are no personal data and stay as they are. Where a card or account
@@ -10,8 +12,14 @@ number's pattern took in groups beside it, the longest run of whole groups that
 value, and the rest is searched again. Dates with the year last are read day first, and month first
 where that is no date; their years are 1900 to 2099.
 
+A telephone number has a country code after a plus sign and 8 to 15 digits in all, or begins with a
+trunk 0 and has 9 to 11, or has three figures of area and three of exchange, neither beginning with 0
+or 1, and four more.
+
+The key is a text or a column; a column that is read from a file shows in no plan.
+
 A null text stays null, an empty one empty. Texts of any length are rewritten whole. Columns other
-than the text column are untouched.
+than the text column are untouched. Rows that repeat are rewritten alike; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -20,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+#: Turns of cycle walking; a domain of which a share q is valid is missed with (1 - q) ** WALK.
+WALK = 64
 
 #: Fixed patterns, in order of precedence.
 PATTERNS = {
@@ -47,8 +57,15 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _digest(key: str, kind: str, turn: Column, half: Column) -> Column:
-    return F.sha2(F.concat(F.lit(f"{key}|{kind}|"), turn.cast("string"), F.lit("|"), half.cast("string")), 256)
+def _digest(key: str | Column, kind: str, turn: Column, half: Column) -> Column:
+    key = F.lit(key) if isinstance(key, str) else key
+    return F.sha2(F.concat(key, F.lit(f"|{kind}|"), turn.cast("string"), F.lit("|"), half.cast("string")), 256)
+
+
+def walked(value: Column, permuted, valid) -> Column:
+    """permuted(value), and again permuted until it is valid: a permutation of the valid values."""
+    again = lambda x, _: F.when(valid(x), x).otherwise(permuted(x))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), permuted(value), again)
 
 
 def _shifted(c: Column, k: Column) -> Column:
@@ -59,7 +76,7 @@ def _shifted(c: Column, k: Column) -> Column:
     return F.when(c.between("0", "9"), move(48, 10)).when(c.between("a", "z"), move(97, 26)).when(c.between("A", "Z"), move(65, 26)).otherwise(c)
 
 
-def permuted_text(value: Column, key: str, kind: str) -> Column:
+def permuted_text(value: Column, key: str | Column, kind: str) -> Column:
     """A keyed permutation of strings that keeps length and each place's kind of character."""
     half = F.floor(F.length(value) / 2).cast("int")
 
@@ -72,7 +89,7 @@ def permuted_text(value: Column, key: str, kind: str) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda acc: F.concat(acc["a"], acc["b"]))
 
 
-def permuted_number(value: Column, sizes: tuple, key: str, kind: str) -> Column:
+def permuted_number(value: Column, sizes: tuple, key: str | Column, kind: str) -> Column:
     """A keyed permutation of 0 .. sizes[0] * sizes[1] - 1; sizes are numbers or columns."""
     m, n = (F.lit(x).cast("long") if isinstance(x, int) else x for x in sizes)
     start = F.struct(F.floor(value / n).cast("long").alias("a"), F.pmod(value, n).cast("long").alias("b"), m.alias("m"), n.alias("n"))
@@ -106,12 +123,12 @@ def in_places(template: Column, figures: Column, kind: str) -> Column:
     return let(figures, lambda f: F.array_join(F.transform(F.split(template, ""), put(f)), ""))
 
 
-def _email(m: Column, key: str) -> Column:
+def _email(m: Column, key: str | Column) -> Column:
     local = F.substring_index(m, "@", 1)
     return F.concat(permuted_text(local, key, "email"), F.substring(m, F.length(local) + 1, F.length(m)))
 
 
-def _iban(m: Column, key: str) -> Column:
+def _iban(m: Column, key: str | Column) -> Column:
     plain = F.regexp_replace(m, " ", "")
     country = F.substring(plain, 1, 2)
     inner = permuted_text(F.substring(plain, F.lit(5), F.length(plain)), key, "iban")
@@ -119,7 +136,7 @@ def _iban(m: Column, key: str) -> Column:
     return F.when(mod97(plain) == 1, in_places(m, whole, "A-Z0-9")).otherwise(m)
 
 
-def _ip(m: Column, key: str) -> Column:
+def _ip(m: Column, key: str | Column) -> Column:
     """Each octet stays among those of as many digits: 0-9, 10-99, 100-255."""
     octets = F.transform(F.split(m, r"\."), lambda x: F.struct(
         x.cast("long").alias("value"),
@@ -143,7 +160,7 @@ def _ip(m: Column, key: str) -> Column:
     return F.when(valid, let(octets, whole)).otherwise(m)
 
 
-def _date(m: Column, key: str, year_first: bool) -> Column:
+def _date(m: Column, key: str | Column, year_first: bool) -> Column:
     part = lambda a, n: F.substring(m, a, n)
     sign = part(5, 1) if year_first else part(3, 1)
     year, month, day = (part(1, 4), part(6, 2), part(9, 2)) if year_first else (part(7, 4), part(4, 2), part(1, 2))
@@ -164,10 +181,8 @@ def _date(m: Column, key: str, year_first: bool) -> Column:
         return permuted_number(n, DAYS, key, "date")
 
     def late(n: Column) -> Column:
-        """Permuted among the days from the 13th on, which only are read month first: again until
-        there is one (64 turns miss with 0.4 ** 64)."""
-        again = lambda x, _: F.when(F.dayofmonth(F.date_add(first, x.cast("int"))) > 12, x).otherwise(permuted(x))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(64)), permuted(n), again)
+        """Permuted among the days from the 13th on, which only are read month first."""
+        return walked(n, permuted, lambda x: F.dayofmonth(F.date_add(first, x.cast("int"))) > 12)
 
     if year_first:
         return F.coalesce(let(permuted(number(month, day)), text("yyyy", "MM", "dd")), m)
@@ -178,29 +193,41 @@ def _date(m: Column, key: str, year_first: bool) -> Column:
     )
 
 
-def _card(m: Column, key: str) -> Column:
+def _card(m: Column, key: str | Column) -> Column:
     number = digits(m)
     body = permuted_text(F.substring(number, F.lit(1), F.length(number) - 1), key, "card")
     whole = let(body, lambda b: F.concat(b, ((10 - luhn_sum(F.concat(b, F.lit("0"))) % 10) % 10).cast("string")))
     return F.when(luhn_sum(number) % 10 == 0, in_places(m, whole, "0-9")).otherwise(m)
 
 
-def _ssn(m: Column, key: str) -> Column:
-    valid = ~m.rlike("^(000|666|9)|-00-|-0000$")
-    return F.when(valid, in_places(m, permuted_text(digits(m), key, "ssn"), "0-9")).otherwise(m)
+def _ssn(m: Column, key: str | Column) -> Column:
+    valid = lambda x: ~x.rlike("^(000|666|9)|^...00|0000$")
+    new = walked(digits(m), lambda x: permuted_text(x, key, "ssn"), valid)
+    return F.when(valid(digits(m)), in_places(m, new, "0-9")).otherwise(m)
+
+
+#: National numbers by their figures, and how those of the second plan are written.
+TRUNK, PLAN = "^0[0-9]{8,10}$", "^[2-9][0-9]{2}[2-9][0-9]{6}$"
+WRITTEN = r"^(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}$"
 
 
-def _phone(m: Column, key: str) -> Column:
-    country = F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
+def _phone(m: Column, key: str | Column) -> Column:
+    """Behind a country code (three figures, where none is told from the rest) all figures go round,
+    elsewhere those of the same plan."""
+    permuted = lambda x: permuted_text(x, key, "phone")
+    told = F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
+    country = F.when(told == "", F.substring(m, 1, 4)).otherwise(told)
     rest = F.substring(m, F.length(country) + 1, F.length(m))
-    return F.when(F.length(digits(m)).between(7, 15), F.concat(country, in_places(rest, permuted_text(digits(rest), key, "phone"), "0-9"))).otherwise(m)
+    abroad = F.when(digits(m).rlike("^[1-9][0-9]{7,14}$"), F.concat(country, in_places(rest, permuted(digits(rest)), "0-9"))).otherwise(m)
+    within = lambda plan: in_places(m, walked(digits(m), permuted, lambda x: x.rlike(plan)), "0-9")
+    return F.when(m.startswith("+"), abroad).when(digits(m).rlike(TRUNK), within(TRUNK)).when(m.rlike(WRITTEN) & digits(m).rlike(PLAN), within(PLAN)).otherwise(m)
 
 
 def _is(m: Column, kind: str) -> Column:
     return m.rlike(f"^(?:{PATTERNS[kind]})$".replace(r"\2", r"\1"))
 
 
-def pseudonym(m: Column, key: str) -> Column:
+def pseudonym(m: Column, key: str | Column) -> Column:
     """The pseudonym of a value that one of PATTERNS matched."""
     return (
         F.when(m.contains("@"), _email(m, key))
@@ -248,13 +275,13 @@ def told_apart(text: Column) -> Column:
     return F.aggregate(turns, F.struct(text.alias("text"), F.lit(False).alias("done")), turn, lambda state: state["text"])
 
 
-def pseudonymized(text: Column, key: str) -> Column:
+def pseudonymized(text: Column, key: str | Column) -> Column:
     """text with every validated value replaced."""
     replaced = lambda t: _pieces(t, lambda m: pseudonym(m, key))
     numbers = F.replace(let(told_apart(text), replaced), F.lit(MARK), F.lit(""))
     return F.when(text.rlike(NUMBER), numbers).when(text.rlike("[0-9@]") & text.rlike(ANY), replaced(text)).otherwise(text)
 
 
-def with_pseudonyms(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
+def with_pseudonyms(docs: DataFrame, key: str | Column, column: str = "text") -> DataFrame:
     """docs with the column rewritten; all other columns stay."""
     return docs.withColumn(column, pseudonymized(F.col(column).cast("string"), key))
