@@ -2,18 +2,22 @@
 
 Documents become id arrays with an end id; arrays longer than a sequence are cut into full pieces
 and a rest. Pieces are packed in groups of bounded size: best fit in descending length, then a
-local search takes the least filled bin again and again and moves its pieces away, by exchanging
-them one for one, two for one or one for two with pieces of fuller bins or by moving them, as long
-as the sum of squared fills grows, until the bin is empty. Bins that stay open are brought together
-in further rounds, again in groups, so no task holds more than a group.
+local search goes over the bins that are not full, the least filled first, and takes load from each
+by moving a piece to a fuller bin or exchanging pieces with it, one for one, two for one or one for
+two, whatever gains most. Every step raises the sum of squared fills, so bins empty, and the search
+ends when no bin that is not full has such a step left. Pieces of bins that stay open are packed
+again in other groups, round after round, until one group holds them all or a round saves nothing
+(then its input stands), so no task holds more than a group.
 
 Null and empty texts are documents of one id, the end id. Rows that repeat a document id, and
-rows with a null id, are packed each for itself. An empty table gives an empty result. Columns
-other than the two named ones are ignored.
+rows with a null id, are packed each for itself; equal lengths keep the order of their rows' numbers.
+Texts of any length are encoded whole. An empty table gives an empty result. Columns other than the
+two named ones are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import zlib
 
@@ -25,12 +29,9 @@ from pyspark.sql import functions as F
 from .storage import stored
 from .tokens import encoder
 
-GROUP_PIECES = 50_000
+GROUP_PIECES = 16_384
 #: Bins filled less than this share of a sequence go to the next round.
 CLOSED = 0.995
-ROUNDS = 4
-#: The search ends after so many bins in a row that could not be emptied.
-PATIENCE = 24
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACES = f"{PIECES}, uid long, sequence_id long, offset long, fill long"
@@ -95,79 +96,128 @@ def best_fit(lengths: np.ndarray, size: int) -> np.ndarray:
     return bins
 
 
-def improve(lengths: np.ndarray, bins: np.ndarray, size: int, patience: int = PATIENCE) -> np.ndarray:
-    """Local search over the underfull bins; each step moves load to a fuller bin."""
-    fill = np.bincount(bins, weights=lengths).astype(np.int64)
-    under = np.flatnonzero(fill[bins] < size)
-    if not len(under):
-        return bins
+def improve(lengths: np.ndarray, bins: np.ndarray, size: int, patience: int | None = None) -> np.ndarray:
+    """Local search over the underfull bins; each step moves load to a fuller bin. With patience it
+    ends after so many bins in a row that could not be emptied."""
     bins = bins.copy()
-    length, home = lengths[under].astype(np.int64), bins[under]
-    closed = np.zeros(len(fill), bool)
-    failures = 0
-    while failures < patience:
-        live = np.unique(home)
-        live = live[~closed[live]]
-        if len(live) < 2:
-            break
-        victim = int(live[np.argmin(fill[live])])
-        while True:
-            own = np.flatnonzero(home == victim)
-            if not len(own) or not _step(length, home, fill, own, victim, size):
+    while True:
+        fill = np.bincount(bins, weights=lengths).astype(np.int64)
+        under = np.flatnonzero(fill[bins] < size)
+        search = _Search(lengths[under].astype(np.int64), bins[under], fill, size)
+        steps, failures = 0, 0
+        live = np.unique(search.home)
+        for victim in live[np.argsort(fill[live], kind="stable")].tolist():
+            while 0 < fill[victim] < size and search.step(victim):
+                steps += 1
+            failures = 0 if fill[victim] == 0 else failures + 1
+            if patience is not None and failures >= patience:
                 break
-        if fill[victim]:
-            closed[victim] = True
-            failures += 1
-        else:
-            failures = 0
-    bins[under] = home
-    return np.unique(bins, return_inverse=True)[1]
-
-
-def _step(length, home, fill, own, victim: int, size: int) -> bool:
-    """One move or exchange that takes load from the victim; False if there is none."""
-    room = size - fill
-    other = np.flatnonzero((home != victim) & (fill[home] >= fill[victim]) & (room[home] > 0))
-    if not len(other):
-        return False
-
-    def shift(out: list[int], back: list[int], to: int) -> bool:
-        moved = int(length[out].sum() - length[back].sum())
-        home[out], home[back] = to, victim
-        fill[to] += moved
-        fill[victim] -= moved
+        bins[under] = search.home
+        if not steps or failures == patience:
+            return np.unique(bins, return_inverse=True)[1]
+
+
+class _Search:
+    """Pieces of bins that are not full, and their steps."""
+
+    def __init__(self, length: np.ndarray, home: np.ndarray, fill: np.ndarray, size: int):
+        self.length, self.home, self.fill, self.size = length, home, fill, size
+        self.couples: tuple[np.ndarray, np.ndarray] | None = None
+
+    def shift(self, out: list[int], back: list[int], to: int, victim: int) -> bool:
+        moved = int(self.length[out].sum() - self.length[back].sum())
+        self.home[out], self.home[back] = to, victim
+        self.fill[to] += moved
+        self.fill[victim] -= moved
+        self.couples = None
         return True
 
-    space, theirs, where = room[home[other]], length[other], home[other]
-    own = own[np.argsort(-length[own], kind="stable")]
-    for x in own:  # move
-        fits = space >= length[x]
-        if fits.any():
-            k = np.flatnonzero(fits)[np.argmin(space[fits])]
-            return shift([x], [], int(where[k]))
-    best, choice = 0, None
-    pairs = [(a, b) for i, a in enumerate(own[:16]) for b in own[i + 1 : 16]]
-    for out in [[x] for x in own] + [list(p) for p in pairs]:  # one for one, two for one
-        total = int(length[out].sum())
-        gain = total - theirs
-        ok = (gain > best) & (gain <= space)
-        if ok.any():
-            k = np.flatnonzero(ok)[np.argmax(gain[ok])]
-            best, choice = int(gain[k]), (out, [other[k]], int(where[k]))
-    for x in own[:4]:  # one for two: neighbours in the same bin, by ascending length
-        order = np.lexsort((theirs, where))
-        a, b = order[:-1], order[1:]
-        gain = length[x] - theirs[a] - theirs[b]
-        ok = (where[a] == where[b]) & (gain > best) & (gain <= space[a])
-        if ok.any():
-            k = np.flatnonzero(ok)[np.argmax(gain[ok])]
-            best, choice = int(gain[k]), ([x], [other[a[k]], other[b[k]]], int(where[a[k]]))
-    return choice is not None and shift(*choice)
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of pieces that share a bin."""
+        if self.couples is None:
+            order = np.argsort(self.home, kind="stable")
+            home, left, right, lag = self.home[order], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 1
+            while len(at := np.flatnonzero(home[lag:] == home[:-lag])):
+                left.append(order[at])
+                right.append(order[at + lag])
+                lag += 1
+            self.couples = np.concatenate(left), np.concatenate(right)
+        return self.couples
+
+    def gains(self, totals: np.ndarray, theirs: np.ndarray, where: np.ndarray, victim: int) -> tuple[int, int, int]:
+        """The largest gain of a bin from giving theirs for one of totals (ascending); which of theirs,
+        and which total. 0 if there is none."""
+        room = self.size - self.fill[where]
+        ok = (where != victim) & (self.fill[where] >= self.fill[victim]) & (room > 0)
+        fit = np.searchsorted(totals, theirs + room, side="right") - 1
+        gain = np.where(ok & (fit >= 0), totals[np.maximum(fit, 0)] - theirs, 0)
+        k = int(np.argmax(gain)) if len(gain) else 0
+        return (max(int(gain[k]), 0), k, int(fit[k])) if len(gain) else (0, 0, 0)
+
+    def step(self, victim: int) -> bool:
+        """One move or exchange that takes load from the victim; False if there is none."""
+        own = np.flatnonzero(self.home == victim)
+        own = own[np.argsort(self.length[own], kind="stable")]
+        length = self.length[own]
+        room = self.size - self.fill
+        open_ = np.flatnonzero((room > 0) & (self.fill >= self.fill[victim]))
+        open_ = open_[open_ != victim]
+        for x in own[::-1]:  # move, to the tightest bin
+            fits = open_[room[open_] >= self.length[x]]
+            if len(fits):
+                return self.shift([x], [], int(fits[np.argmin(room[fits])]), victim)
+        # one for one and two for one
+        i, j = np.triu_indices(len(own), 1)
+        single, where_single = np.unique(length, return_index=True)
+        double, where_double = np.unique(length[i] + length[j], return_index=True)
+        best, k, n = self.gains(single, self.length, self.home, victim)
+        choice = [own[where_single[n]]] if best else []
+        two, k2, n2 = self.gains(double, self.length, self.home, victim) if len(double) else (0, 0, 0)
+        if two > best:
+            best, k, choice = two, k2, [own[i[where_double[n2]]], own[j[where_double[n2]]]]
+        if best:
+            return self.shift(choice, [k], int(self.home[k]), victim)
+        a, b = self.pairs()  # one for two
+        best, k, n = self.gains(single, self.length[a] + self.length[b], self.home[a], victim)
+        return bool(best) and self.shift([own[where_single[n]]], [int(a[k]), int(b[k])], int(self.home[a[k]]), victim)
+
+
+def fullest_fit(lengths: np.ndarray, size: int) -> np.ndarray:
+    """The bin of each piece: the longest one left opens a bin, and the piece or the two pieces that
+    fill it most go in, again and again until none fits."""
+    order = np.argsort(lengths, kind="stable")
+    left, at = lengths[order].tolist(), order.tolist()
+    bins, n = np.empty(len(lengths), np.int64), 0
+    while left:
+        room = size - left.pop()
+        bins[at.pop()] = n
+        while left and left[0] <= room:
+            j = bisect.bisect_right(left, room) - 1
+            most, pick, i = left[j], (j,), 0
+            while i < j and most < room:
+                if (both := left[i] + left[j]) > room:
+                    j -= 1
+                    continue
+                if both > most:
+                    most, pick = both, (j, i)
+                i += 1
+            for k in pick:
+                del left[k]
+                bins[at.pop(k)] = n
+            room -= most
+        n += 1
+    return bins
 
 
 def pack_lengths(lengths: np.ndarray, size: int) -> np.ndarray:
-    """The bin of each piece, bins numbered from 0."""
-    return improve(lengths, best_fit(lengths, size), size)
+    """The bin of each piece, bins numbered from 0. Where the search from best fit leaves more bins
+    than the sum of lengths asks for, it also goes from fullest_fit, and the fewer bins count."""
+    found = improve(lengths, best_fit(lengths, size), size)
+    if found.max() + 1 > -(-int(lengths.sum()) // size):
+        other = improve(lengths, fullest_fit(lengths, size), size)
+        if other.max() < found.max():
+            return other
+    return found
 
 
 def _packed(size: int, round_no: int):
@@ -192,19 +242,21 @@ def _packed(size: int, round_no: int):
 def pack(pieces: DataFrame, size: int) -> DataFrame:
     """PLACES: each piece with its sequence and its offset there."""
     rest = stored(pieces.withColumn("uid", F.monotonically_increasing_id()), "pieces")
-    done = None
-    for round_no in range(ROUNDS):
-        n = rest.count()
-        groups = max(1, math.ceil(n / GROUP_PIECES))
-        part = (F.xxhash64("uid") % groups + groups) % groups if groups > 1 else F.lit(0).cast("long")
-        placed = stored(rest.withColumn("part", part).groupBy("part").applyInArrow(_packed(size, round_no), PLACES), f"packed{round_no}")
-        last = groups == 1 or round_no == ROUNDS - 1
-        closed = placed if last else placed.filter(F.col("fill") >= CLOSED * size)
+    done, before, bins_before, round_no = None, None, None, 0
+    while True:
+        groups = max(1, math.ceil(rest.count() / GROUP_PIECES))
+        part = F.pmod(F.xxhash64("uid", F.lit(round_no)), F.lit(groups)) if groups > 1 else F.lit(0).cast("long")
+        placed = stored(rest.select(*pieces.columns, "uid").withColumn("part", part).groupBy("part").applyInArrow(_packed(size, round_no), PLACES), f"packed{round_no}")
+        bins = placed.filter("offset = 0").count()
+        if bins_before is not None and bins >= bins_before:  # nothing saved: the round before stands
+            placed, groups = before, 1
+        open_ = F.col("fill") < CLOSED * size
+        closed = placed if groups == 1 else placed.filter(~open_)
         done = closed if done is None else done.unionByName(closed)
-        if last:
-            break
-        rest = placed.filter(F.col("fill") < CLOSED * size).select(*pieces.columns, "uid")
-    return done
+        if groups == 1:
+            return done
+        before = rest = placed.filter(open_)
+        bins_before, round_no = rest.filter("offset = 0").count(), round_no + 1
 
 
 def packed_documents(docs: DataFrame, vocabulary: str, end_id: int, size: int) -> DataFrame:
