@@ -2,6 +2,7 @@
 
 import collections
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -74,3 +75,269 @@ def test_pii_beside_other_numbers(spark):
     assert got[7] != own[7] and got[8:] == own[8:]
     days = spark.range(0, 365 * 40).select(F.date_format(F.expr("date_add(date'1990-01-01', cast(id as int))"), "MM/dd/yyyy").alias("text")).filter("substring(text, 4, 2) > 12")
     assert pii.with_pseudonyms(days, "k").distinct().count() == days.count()
+
+
+def test_warc_of_elsewhere(spark, tmp_path):
+    import gzip
+    import time
+
+    from vecflow.llm import warc
+
+    r = random.Random(11)
+    text = lambda n: "".join(r.choices("abcdefghij <>", k=n)).encode()
+
+    def record(i, kind, body):
+        return warc.record({"WARC-Type": kind, "WARC-Record-ID": f"<urn:x:{i}>", "WARC-Date": "2024-01-01T00:00:00Z", "WARC-Target-URI": f"http://site{i % 3}/{i}"}, body)
+
+    records, want = [], []
+    for i in range(3000):
+        kind = ("warcinfo", "request", "response", "metadata", "resource", "conversion")[i % 6]
+        payload = text(r.choice([0, 10, 5000])) if i % 50 else b"\x1f\x8b\x08" + text(300_000)
+        http = b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n" % len(payload) if kind == "response" else b""
+        records.append(record(i, kind, http + payload))
+        want.append((f"urn:x:{i}", kind, payload if kind in ("response", "resource", "conversion") else None))
+    (tmp_path / "a.warc").write_bytes(b"".join(records[:1000]))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(warc.member(x) for x in records[1000:2000]))
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(b"".join(records[2000:])) + b"\0" * 100)
+    (tmp_path / "d.warc").write_bytes(b"")
+    (tmp_path / "e.warc.gz").write_bytes(warc.member(record(9999, "resource", b"x" * 5000))[:-2000])  # cut off
+    read = warc.read_archives(spark, f"file://{tmp_path}")
+    got = [(x.record_id, x.record_type, None if x.payload is None else bytes(x.payload)) for x in read.collect()]
+    assert sorted(g for g in got if g[0] != "urn:x:9999") == sorted(want, key=lambda x: x)
+    some = read.filter((F.col("record_type") == "response") & F.col("target_uri").startswith("http://site2")).select("record_id").collect()
+    assert sorted(x.record_id for x in some) == sorted(w[0] for w in want if w[1] == "response" and int(w[0][6:]) % 3 == 2)
+    # splits of a compressed file hold each record once
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "b.warc.gz").write_bytes((tmp_path / "b.warc.gz").read_bytes())
+    reader = warc.WarcReader({"path": f"file://{tmp_path}/one", "resync": "true", "splitBytes": "100000"})
+    parts = reader.partitions()
+    found = [x["record_id"] for s in parts for x in reader.stream(s.file, s.start, s.end)]
+    assert len(parts) > 10 and sorted(found) == sorted(w[0] for w in want[1000:2000])
+
+    def seconds(times):
+        (tmp_path / f"long{times}.warc.gz").write_bytes((tmp_path / "b.warc.gz").read_bytes() * times)
+        narrow = warc.WarcReader({"path": f"file://{tmp_path}", "payload": "false"})
+        narrow.tests.append(("record_type", "in", {"nothing"}))
+        began = time.process_time()
+        assert not list(narrow.stream(f"file://{tmp_path}/long{times}.warc.gz"))
+        return time.process_time() - began
+
+    assert seconds(16) < 8 * seconds(4) + 0.5  # linear
+
+
+def test_warc_of_no_rows_and_of_repeated_rows(spark):
+    from vecflow.llm import warc
+    from vecflow.llm.storage import workdir
+
+    schema = "page_id long, url string, html string, first long, n long"
+    uri = workdir(spark, "test-warc")
+    warc.write_archives(spark.createDataFrame([], schema), uri)
+    assert warc.page_records(warc.read_archives(spark, uri)).count() == 0
+    uri, html = workdir(spark, "test-warc"), "z" * 150
+    rows = [(2, "a", html), (2, "a", html), (3, None, html), (None, None, html), (None, None, None), (4, "b", None), (4, "b", None), (5, "c", "y" * 3_000_000)]
+    rows += [(i, "u", "same" * 50) for i in range(100, 800)]  # a hot payload
+    warc.write_archives(spark.createDataFrame([(*r, 7, 7) for r in rows], schema), uri)
+    got = collections.Counter((x.page_id, x.payload_bytes, x.record_type, x.refers_to) for x in warc.page_records(warc.read_archives(spark, uri)).collect())
+    want = [(2, 150, "response", None)] * 2 + [(3, 150, "revisit", 2), (None, 150, "revisit", 2), (None, 0, "response", None), (5, 3_000_000, "response", None)] + [(4, 0, "response", None)] * 2
+    want += [(i, 200, "response" if i == 100 else "revisit", None if i == 100 else 100) for i in range(100, 800)]
+    assert got == collections.Counter(want)
+
+
+def feistel_text(value, key, kind, back=False):
+    """The permutation of strings written again, and its inverse."""
+    import hashlib
+
+    def shifted(part, stream, sign):
+        out = ""
+        for i, c in enumerate(part):
+            k = sign * int(stream[(2 * i) % 64 : (2 * i) % 64 + 2], 16)
+            for first, n in (("0", 10), ("a", 26), ("A", 26)):
+                if ord(first) <= ord(c) < ord(first) + n:
+                    c = chr((ord(c) - ord(first) + k) % n + ord(first))
+                    break
+            out += c
+        return out
+
+    stream = lambda turn, half: hashlib.sha256(f"{key}|{kind}|{turn}|{half}".encode()).hexdigest()
+    n = len(value) // 2
+    a, b = value[:n], value[n:]
+    for turn in range(8, 0, -1) if back else range(1, 9):
+        a, b = (shifted(b, stream(turn, a), -1), a) if back else (b, shifted(a, stream(turn, b), 1))
+    return a + b
+
+
+def test_pseudonyms_have_an_inverse(spark):
+    r = random.Random(7)
+    values = ["".join(r.choice("0123456789abcXYZ.-") for _ in range(r.randint(2, 24))) for _ in range(300)]
+    got = spark.createDataFrame([(v,) for v in values], "v string").select("v", pii.permuted_text(F.col("v"), "k", "any").alias("p")).collect()
+    assert all(x.p == feistel_text(x.v, "k", "any") and feistel_text(x.p, "k", "any", back=True) == x.v for x in got)
+
+
+def test_social_security_and_telephone_numbers_stay_in_their_domain(spark):
+    r = random.Random(8)
+    valid = lambda d: not (d[:3] in ("000", "666") or d[0] == "9" or d[3:5] == "00" or d[5:] == "0000")
+    numbers = list({f"{r.randrange(10**9):09d}" for _ in range(4000)})
+    own = [f"{d[:3]}-{d[3:5]}-{d[5:]}" for d in numbers]
+    got = [x.text for x in pii.with_pseudonyms(spark.createDataFrame(list(enumerate(own)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    for d, before, after in zip(numbers, own, got):
+        if not valid(d):
+            assert after == before
+            continue
+        new = feistel_text(d, "k", "ssn")
+        while not valid(new):
+            new = feistel_text(new, "k", "ssn")
+        assert after.replace("-", "") == new
+        while True:  # the inverse walks back
+            new = feistel_text(new, "k", "ssn", back=True)
+            if valid(new):
+                break
+        assert new == d
+    stay = ["1999 2000 2001", "12 3456 7890", "123 456 7890", "223-156-7890", "+012345678", "+123", "10.2024.300.400"]
+    change = ["+1 (285) 555-0658", "(285) 555-0658", "285-555-0658", "030 1234 5678", "+4930123456789", "+44 20 7946 0958"]
+    got = [x.text for x in pii.with_pseudonyms(spark.createDataFrame(list(enumerate(stay + change)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    assert got[: len(stay)] == stay
+    for before, after in zip(change, got[len(stay) :]):
+        assert before != after and re.sub(r"\d", "0", before) == re.sub(r"\d", "0", after)
+    assert got[len(stay)][:3] == "+1 " and got[-2][:4] == "+493" and got[-1][:4] == "+44 " and got[-3][0] == "0"
+    for x in got[len(stay) + 1 : len(stay) + 3]:
+        assert re.fullmatch("[2-9]..[2-9]......", re.sub(r"\D", "", x))
+
+
+def test_pseudonyms_by_a_key_file(spark, tmp_path):
+    from vecflow.llm import queries
+
+    (tmp_path / "key").write_text("from a file\n")
+    docs = spark.createDataFrame([(1, "call +1 (285) 555-0658", "x"), (2, None, "y"), (3, "", None)], "doc_id long, text string, pseudonym_key string")
+    spark.conf.set(queries.KEY_FILE_SETTING, f"file://{tmp_path}/key")
+    try:
+        found = queries.with_pseudonyms(docs)
+        plan = found._jdf.queryExecution().toString()
+        got = found.orderBy("doc_id").collect()
+    finally:
+        spark.conf.unset(queries.KEY_FILE_SETTING)
+    want = pii.with_pseudonyms(docs, "from a file").orderBy("doc_id").collect()
+    assert got == want and "from a file" not in plan and got[0].text != "call +1 (285) 555-0658"
+
+
+def test_leaders_connect_what_pairs_would_with_few_edges(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    monkeypatch.setattr(lsh_forest, "BLOCK", 16)
+    hashes = lsh_forest.TREES * lsh_forest.LABEL
+    base = r.integers(0, 1 << 16, hashes)
+    labels = np.tile(base, (400, 1))
+    for row in labels:  # of all likenesses, and all with the first label of the first tree
+        change = r.random(hashes) < r.choice([0.05, 0.15, 0.3, 0.5])
+        change[: lsh_forest.LABEL] = False
+        row[change] = r.integers(0, 1 << 16, change.sum())
+    rows = [(i, x.astype("<u2").tobytes()) for i, x in enumerate(labels)]
+    edges, depth, got = lsh_forest.candidates(spark.createDataFrame(rows, "node long, signature binary"))
+    edges = [tuple(e) for e in edges.collect()]
+    assert got >= lsh_forest.TARGET_RECALL or depth == 1
+    root = list(range(400))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in edges:
+        root[find(a)] = find(b)
+    alike = (labels[:, None, :] == labels[None, :, :]).mean(axis=2) >= lsh_forest.may_be()
+    assert all(find(i) == find(j) for i, j in np.argwhere(alike).tolist())
+    shared = sum(len(np.unique(labels[:, 7 * t : 7 * t + depth], axis=0)) < 400 for t in range(lsh_forest.TREES))
+    assert len(edges) <= 2 * 400 * shared * 2
+
+
+def test_prefixes_are_shortened_by_what_is_found():
+    hashes, label = lsh_forest.TREES * lsh_forest.LABEL, lsh_forest.LABEL
+    near, far = np.zeros(hashes + 1), np.zeros(hashes + 1)
+    near[-5:] = 10**9  # pairs that hardly differ are found with whole labels
+    far[int(0.8 * hashes)] = 10**9
+    assert lsh_forest.recall(near, label, label) > 1 - 1e-6 > lsh_forest.recall(far, label, label)
+    assert [lsh_forest.recall(far, label, d) for d in range(label, 0, -1)] == sorted(lsh_forest.recall(far, label, d) for d in range(label, 0, -1))
+    assert lsh_forest.recall(np.zeros(hashes + 1), label, label) < lsh_forest.TARGET_RECALL  # a pair may be unseen
+    from math import comb
+
+    tail = lambda m: sum(comb(hashes, i) * 0.8**i * 0.2 ** (hashes - i) for i in range(m))
+    least = round(lsh_forest.may_be() * hashes)
+    assert tail(least) <= 1e-12 < tail(least + 1)
+
+
+def test_multi_index_of_few_rows_repeated_ids_and_several_lengths(spark):
+    from vecflow.llm import multi_index
+
+    r = np.random.default_rng(5)
+    long, short = r.normal(size=(300, 24)), r.normal(size=(4, 7))
+    rows = [(i, x.tolist()) for i, x in enumerate(long)] + [(50, long[50].tolist()), (77, long[77].tolist())]
+    rows += [(1000 + 50 * i, x.tolist()) for i, x in enumerate(short)] + [(5000, [1.0])]
+    table = spark.createDataFrame([(*x, "q", 1) for x in rows], "vec_id long, embedding array<double>, query_id string, n int")
+    got = collections.defaultdict(list)
+    for x in multi_index.search(table, F.col("vec_id") % 50 == 0, 5).orderBy("query_id", "rank").collect():
+        got[x.query_id].append((x.vec_id, x.score))
+    assert 5000 not in got and [len(got[1000 + 50 * i]) for i in range(4)] == [3] * 4 and len(got) == 10
+    hits = 0
+    for q in range(0, 300, 50):
+        others = [(i, float(np.dot(x, long[q]) / np.linalg.norm(x) / np.linalg.norm(long[q]))) for i, x in rows if len(x) == 24 and i != q]
+        want = sorted(others, key=lambda t: (-t[1], t[0]))[:5]
+        hits += len({i for i, _ in want} & {i for i, _ in got[q]})
+        assert len(got[q]) == 5 and [i for i, _ in got[q]] == [i for i, _ in sorted(got[q], key=lambda t: (-t[1], t[0]))]
+    assert hits >= 27
+
+
+def test_local_search_has_no_step_left():
+    from vecflow.llm import packing
+
+    lengths = np.random.default_rng(1).integers(600, 2000, 2000)
+    bins = packing.pack_lengths(lengths, 4096)
+    assert np.bincount(bins, lengths).max() <= 4096 and bins.max() + 1 <= 1.01 * lengths.sum() / 4096 + 1
+    for start in (packing.best_fit(lengths[:60], 4096), packing.fullest_fit(lengths[:60], 4096)):
+        better = packing.improve(lengths[:60], start, 4096)
+        fill = np.bincount(better, lengths[:60]).astype(int)
+        for v in range(len(fill)):
+            own = np.flatnonzero(better == v)
+            for b in range(len(fill)):
+                if b == v or fill[b] < fill[v] or fill[b] == 4096 or fill[v] == 4096:
+                    continue
+                theirs = np.flatnonzero(better == b)
+                out = [int(lengths[i]) for i in own] + [int(lengths[i] + lengths[j]) for i in own for j in own if i < j]
+                back = [int(lengths[k]) for k in theirs]
+                assert not any(lengths[i] <= 4096 - fill[b] for i in own)
+                assert not any(0 < x - y <= 4096 - fill[b] for x in out for y in back)
+                pairs = [int(lengths[k] + lengths[m]) for k in theirs for m in theirs if k < m]
+                assert not any(0 < lengths[i] - y <= 4096 - fill[b] for i in own for y in pairs)
+
+
+def test_pack_in_rounds(spark, monkeypatch):
+    from vecflow.llm import packing
+
+    monkeypatch.setattr(packing, "GROUP_PIECES", 50)
+    lengths = np.random.default_rng(2).integers(1, 400, 700).tolist()
+    pieces = spark.createDataFrame([(i, 0, 0, int(n), i) for i, n in enumerate(lengths)], packing.PIECES)
+    got = packing.pack(pieces, 1000).toPandas()
+    assert sorted(got["doc_id"]) == list(range(700)) and got.groupby("sequence_id")["length"].sum().max() <= 1000
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert (g["offset"].to_numpy() == np.cumsum(g["length"]) - g["length"]).all()
+    assert got["sequence_id"].nunique() <= 1.03 * sum(lengths) / 1000 + 2
+
+
+def test_mixing_keeps_documents_without_tokens(spark):
+    from vecflow.llm import mixing
+
+    rows = [(i, "a few words here" if i % 4 else (None, "", " \n")[i % 3], f"s{i % 3}", "en", "t") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, probability string")
+    got = {x.doc_id: x for x in mixing.mixed(docs, keep=0.2).collect()}
+    assert all(got[i].probability == 1.0 for i in range(0, 1200, 4))
+    assert 100 < sum(i % 4 > 0 for i in got) < 260
+    own = docs.withColumn("kind", F.when(F.col("doc_id") % 2 == 0, "x"))
+    shares = mixing.mixed(own, keep=0.3, targets={"topic": {"x": 0.9, None: 0.1}}, topic=F.col("kind")).filter("n_tokens > 0").groupBy("topic").agg(F.sum("n_tokens").alias("n")).collect()
+    by = {x.topic: x.n for x in shares}
+    assert 0.8 < by["x"] / sum(by.values()) < 0.97
+
+
+def test_mixing_warns_of_contradicting_targets(spark):
+    import pytest
+    from vecflow.llm import mixing
+
+    cells = spark.createDataFrame([("a", "x", "t", 100), ("b", "y", "t", 100)], "source string, lang string, topic string, tokens long")
+    with pytest.warns(UserWarning, match="shares are still off"):
+        mixing.raked(cells, {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.1, "y": 0.9}})
