@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecflow.llm import lsh_forest, mixing, packing, pii, queries, toxicity
+from vecflow.llm import lsh_forest, mixing, packing, queries, toxicity
 from vecflow.llm.storage import stored
 
 #: Part of the tokens that mixing keeps.
@@ -25,7 +25,7 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pseudonymize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """PII: values are replaced in their format, so n_chars stays true."""
-    return pii.with_pseudonyms(docs, queries.PSEUDONYM_KEY)
+    return queries.with_pseudonyms(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
