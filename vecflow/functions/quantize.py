@@ -55,3 +55,8 @@ def decoded(codes: Column, lows: Column, scales: Column, shift: int = 0) -> Colu
 def code_distance(a: Column, b: Column, scales: Column) -> Column:
     """Squared distance of two coded vectors."""
     return total(F.transform(F.arrays_zip(a.alias("a"), b.alias("b"), scales.alias("s")), lambda z: F.pow((z["a"] - z["b"]) * z["s"], 2)))
+
+
+def symmetric_codes(v: Column) -> Column:
+    """Codes -127..127 of a unit vector's values, without an offset."""
+    return F.transform(v, lambda x: F.greatest(F.lit(-127.0), F.least(F.lit(127.0), F.rint(x * 127))).cast("int"))

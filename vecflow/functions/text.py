@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed patterns.
 URL = r"(?i)https?://\S+|www\.\S+"
-SPECIAL = r"[^\p{L}\p{N}_\s.,!?]"
+SPECIAL = r"(?U)[^\p{L}\p{N}_\s\x1c-\x1f.,!?]"
 BLANKS = r"(?U)[\s\x1c-\x1f]+"
 TAG = r"<[^>]*>"
 
-#: Categories in order of precedence, with the words that name them.
+#: Categories in order of precedence, with the words that name them; the last is for all other texts.
 CATEGORIES = {
-    "sport": "football|match|team|goal",
-    "business": "market|bank|price|company",
-    "law": "license|rights|court|law",
-    "technology": "token|password|data|software",
-    "health": "health|doctor|hospital",
+    "Kinh doanh & Tài chính": ["chứng khoán", "tài chính", "ngân hàng", "xuất khẩu", "kinh tế", "doanh nghiệp", "usd", "giá cả", "lãi suất", "thương mại", "thị trường", "cổ phiếu"],
+    "Khoa học & Công nghệ": ["công nghệ", "trí tuệ nhân tạo", "vi mạch", "bán dẫn", "robot", "máy tính", "phần mềm", "lưới điện", "mạng nơ ron", "thuật toán", "kỹ thuật số"],
+    "Giáo dục": ["giáo dục", "đại học", "trường học", "sinh viên", "học sinh", "đào tạo", "giảng viên", "học bổng", "luận văn", "tiến sĩ", "học viện"],
+    "Y tế & Sức khỏe": ["y tế", "bệnh viện", "bác sĩ", "dược phẩm", "chữa bệnh", "sức khỏe", "điều trị", "chẩn đoán", "phòng dịch", "thuốc", "y học"],
+    "Giao thông & Xây dựng": ["giao thông", "cao tốc", "đường bộ", "ngập", "xe cộ", "hạ tầng", "cầu đường", "quy hoạch", "vận tải", "sân bay", "cảng biển"],
 }
+OTHER_CATEGORY = "Văn hóa & Đời sống"
 
 
 def text_or_empty(c: Column) -> Column:
@@ -30,6 +34,28 @@ def without_tags(c: Column) -> Column:
     return F.when(c.contains("<") | c.contains(">"), F.regexp_replace(c, TAG, " ")).otherwise(c)
 
 
+def normal(c: Column) -> Column:
+    """Markup taken out as a parser reads it, and Unicode's composed form. Only texts that either can
+    change leave the JVM, as Arrow batches."""
+    from ..sources.html import strip_html  # which itself uses this module
+
+    @F.arrow_udf("string")
+    def parsed(texts: pa.Array) -> pa.Array:
+        return pa.array([t and unicodedata.normalize("NFC", strip_html(t)) for t in texts.to_pylist()], pa.string())
+
+    touched = c.contains("<") | c.contains(">") | c.rlike(r"[^\x{0}-\x{2ff}]")
+    return F.coalesce(parsed(F.when(touched, c)), c)
+
+
+def nfc(c: Column) -> Column:
+    """Unicode's composed form."""
+    @F.arrow_udf("string")
+    def composed(texts: pa.Array) -> pa.Array:
+        return pa.array([t and unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
+
+    return F.coalesce(composed(F.when(c.rlike(r"[^\x{0}-\x{2ff}]"), c)), c)
+
+
 def without_urls(c: Column) -> Column:
     return F.regexp_replace(c, URL, " ")
 
@@ -44,8 +70,9 @@ def collapsed(c: Column) -> Column:
 
 
 def cleaned(c: Column, urls: bool = True, special: bool = True) -> Column:
-    """The whole chain; null becomes the empty text."""
-    out = without_tags(text_or_empty(c))
+    """The whole chain: markup, composed form, addresses, special characters, blanks; null becomes the
+    empty text."""
+    out = normal(text_or_empty(c))
     out = without_urls(out) if urls else out
     out = without_special(out) if special else out
     return collapsed(out)
@@ -100,9 +127,9 @@ def chunk_starts(n: Column, size: int, overlap: int) -> Column:
 
 
 def category(c: Column) -> Column:
-    out = F.lit("other")
+    out = F.lit(OTHER_CATEGORY)
     for name, words in reversed(CATEGORIES.items()):
-        out = F.when(F.lower(c).rlike(words), F.lit(name)).otherwise(out)
+        out = F.when(F.lower(c).rlike("|".join(words)), F.lit(name)).otherwise(out)
     return out
 
 
@@ -116,3 +143,20 @@ def wikitext(c: Column) -> Column:
     out = F.regexp_replace(out, r"(?s)<ref[^>]*/>|<ref[^>]*>.*?</ref>", "")
     out = F.regexp_replace(out, r"\[\[(?:[^|\]]*\|)?([^\]]*)\]\]", "$1")
     return collapsed(F.regexp_replace(out, "'{2,}", ""))
+
+
+def first_filled(*columns: Column) -> Column:
+    """The first that is neither null nor empty, else the empty text."""
+    return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns], F.lit(""))
+
+
+def file_id(c: Column) -> Column:
+    """The id in a file's address; anything without a slash is an id itself."""
+    found = F.regexp_extract(c, "/(?:file/d/|id=)([a-zA-Z0-9_-]+)", 1)
+    return F.when(c.contains("/") & (found != ""), found).otherwise(c)
+
+
+def sql_escaped(c: Column) -> Column:
+    """Backslashes and double quotes behind a backslash, single quotes twice; null is empty."""
+    out = F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    return F.replace(out, F.lit("'"), F.lit("''"))

@@ -56,3 +56,16 @@ def similarity(distance: Column, metric: str) -> Column:
     if metric == "l2":
         return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - distance * distance / 2))
     return 1 - distance / 2 if metric == "l2_squared" else 1 - distance
+
+
+def thirds(a: Column) -> Column:
+    """Three coordinates of a vector where no projection was fitted: the mean of each third, times 30."""
+    third = F.ceil(F.size(a) / 3).cast("int")
+    part = lambda i: F.slice(a, i * third + 1, third)
+    return F.array(*[F.when(F.size(part(i)) > 0, total(part(i)) / F.size(part(i)) * 30).otherwise(F.lit(0.0)) for i in range(3)])
+
+
+def projected(a: Column, mean: Column, components: list[Column], scale: Column) -> Column:
+    """Coordinates of a vector under a fitted projection."""
+    centred = F.zip_with(a, mean, lambda x, m: x - m)
+    return F.array(*[inner_product(centred, c) * scale for c in components])

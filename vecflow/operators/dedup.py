@@ -1,4 +1,4 @@
-"""Exact and near duplicates, dense numbering, containment."""
+"""Exact and near duplicates, dense numbering."""
 
 from __future__ import annotations
 
@@ -11,8 +11,6 @@ from ..workspace import stored
 PERMUTATIONS, BANDS, ROWS = 128, 9, 13
 RESET_EVERY = 50_000
 SHINGLE = 3
-#: Characters of a key that texts and needles meet by.
-GRAM = 16
 
 
 def first_of(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -96,19 +94,3 @@ def greedy_first_wins(docs: DataFrame, k: int = 1, reset_every: int = RESET_EVER
         return pd.DataFrame({"doc_id": part["doc_id"], "kept": kept})
 
     return rows.groupBy("epoch").applyInPandas(replay, "doc_id long, kept boolean")
-
-
-def containing(docs: DataFrame, needles: DataFrame) -> DataFrame:
-    """doc_id, item_id where a text holds a needle. Texts are met by runs of GRAM characters, an
-    equi-join: a text's runs follow each other, a needle's start at its first GRAM characters, so
-    one of them falls on one of the text's wherever the needle stands. Only those texts are
-    searched; needles too short for that are searched in all."""
-    whole = F.length("needle") >= 2 * GRAM - 1
-    at = lambda c, i: F.substring(c, i, F.lit(GRAM))
-    keyed = needles.filter(whole).select("item_id", "needle", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda i: at(F.col("needle"), i)))).alias("key"))
-    long = docs.filter(F.length("text") >= 2 * GRAM - 1)
-    grams = F.regexp_extract_all("text", F.lit(f"(?s).{{{GRAM}}}"), F.lit(0))  # one after the other; substring would start over for each
-    holds = F.expr("contains(text, needle)")
-    met = long.select("doc_id", "text", F.explode(F.array_distinct(grams)).alias("key")).join(keyed, "key").filter(holds)
-    rest = docs.select("doc_id", "text").join(F.broadcast(needles.filter(~whole).select("item_id", "needle")), holds)
-    return met.select("doc_id", "item_id").unionByName(rest.select("doc_id", "item_id")).distinct()

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import vector as V
 from ..operators import search as S
-from . import composed, relational, texts, vectors
+from . import composed, relational, retrieval, stores, texts, vectors
 from .tables import query_set, table
 
-ALL = vectors.QUERIES | texts.QUERIES | relational.QUERIES | composed.QUERIES
+ALL = vectors.QUERIES | texts.QUERIES | relational.QUERIES | composed.QUERIES | stores.QUERIES | retrieval.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

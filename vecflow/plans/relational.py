@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import statistics
+from ..operators.stores import size_columns
 from ..streaming import ingest
 from .tables import table
 
@@ -16,7 +18,9 @@ def dated_top(spark, d):
 
 def global_aggregates(spark, d):
     l = table(spark, d, "lineitem")
-    return l.agg(F.round(F.sum("l_quantity"), 4).alias("total"), F.round(F.avg("l_extendedprice"), 6).alias("mean"), F.max("l_discount").alias("most"), F.min("l_tax").alias("least"), F.round(F.median("l_quantity"), 6).alias("middle"), F.count("*").alias("n"))
+    middle = statistics.percentiles(l.withColumn("all", F.lit(0)), "all", "l_quantity", [0.5]).select(F.round("p0", 6).alias("middle"))
+    whole = l.agg(F.round(F.sum("l_quantity"), 4).alias("total"), F.round(F.avg("l_extendedprice"), 6).alias("mean"), F.max("l_discount").alias("most"), F.min("l_tax").alias("least"), F.count("*").alias("n"))
+    return whole.crossJoin(F.broadcast(middle))  # one row beside one row
 
 
 def grouped(method: str, group: str, field: str):
@@ -52,7 +56,7 @@ def distinct_values(spark, d):
 def null_audit(spark, d):
     o = table(spark, d, "documents")
     nulls = o.agg(*[F.sum(F.col(c).isNull().cast("long")).alias(c) for c in ("text", "lang", "source")], F.count("*").alias("n"))
-    return nulls.crossJoin(o.select("text", "lang", "source").distinct().agg(F.count("*").alias("distinct_rows"))).withColumn("duplicates", F.col("n") - F.col("distinct_rows"))
+    return nulls.crossJoin(o.select(F.md5("text").alias("h"), F.length("text").alias("chars"), "lang", "source").distinct().agg(F.count("*").alias("distinct_rows"))).withColumn("duplicates", F.col("n") - F.col("distinct_rows"))
 
 
 def left_dimension(spark, d):
@@ -123,17 +127,14 @@ def histogram(spark, d):
 
 def latency(spark, d):
     e = table(spark, d, "events")
-    p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return e.groupBy("event_type").agg(p.alias("p"), F.avg("value").alias("mean"), (F.count("*") / F.greatest(F.sum("value"), F.lit(1e-9))).alias("rate")).select("event_type", F.round("mean", 3).alias("mean"), *[F.round(F.col("p")[i], 3).alias(f"p{q}") for i, q in enumerate((50, 95, 99))], F.round("rate", 6).alias("rate"))
+    p = statistics.percentiles(e, "event_type", "value", [0.5, 0.95, 0.99])
+    rest = e.groupBy("event_type").agg(F.avg("value").alias("mean"), (F.count("*") / F.greatest(F.sum("value"), F.lit(1e-9))).alias("rate"))
+    return rest.join(p, F.col("event_type").eqNullSafe(F.col("group")), "left").select("event_type", F.round("mean", 3).alias("mean"), *[F.round(f"p{i}", 3).alias(f"p{q}") for i, q in enumerate((50, 95, 99))], F.round("rate", 6).alias("rate"))
 
 
 def floor_rank(spark, d):
-    """The value at place floor(n q), from 0, in ascending order: a numbering, no list in memory."""
-    e = table(spark, d, "events")
-    w = Window.partitionBy("event_type").orderBy("value", "event_id")
-    n = F.count("*").over(Window.partitionBy("event_type"))
-    r = e.select("event_type", "value", (F.row_number().over(w) - 1).alias("r"), n.alias("n"))
-    return r.filter(F.col("r") == F.floor(F.col("n") * 0.95)).select("event_type", F.col("value").alias("p95"))
+    """The value at place floor(n q), from 0, in ascending order."""
+    return statistics.at_floor_rank(table(spark, d, "events"), "event_type", "value", 0.95).select(F.col("group").alias("event_type"), F.col("value").alias("p95"))
 
 
 def rollup(spark, d):
@@ -193,6 +194,36 @@ def sql_surface(spark, d):
     return spark.sql(f"SELECT o_orderstatus, count(*) AS n, round(avg(o_totalprice), 6) AS mean FROM parquet.`{d}/orders.parquet` WHERE o_totalprice > :least GROUP BY o_orderstatus", args={"least": 1000.0})
 
 
+def renamed(spark, d):
+    """Columns under other names, with a value for what is missing."""
+    p = table(spark, d, "part").withColumnsRenamed({"p_partkey": "key", "p_brand": "maker"})
+    return p.select("key", "maker", F.coalesce(F.col("p_size").cast("double"), F.lit(500.0)).alias("size"))
+
+
+def named_columns(spark, d):
+    """Columns chosen by a part of their name."""
+    l = table(spark, d, "lineitem")
+    return l.select("l_orderkey", "l_linenumber", *statistics.column_like(l.columns, "price"))
+
+
+def sizes(spark, d):
+    """What vectors of 384 values would take for each language's documents, as floats and as codes."""
+    n = table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("vectors"))
+    return n.select("lang", "vectors", *size_columns(F.col("vectors") * 384))
+
+
+def budgeted(spark, d):
+    """Up to forty orders of each priority, in order of priority, a hundred in all."""
+    o = table(spark, d, "orders").select("o_orderpriority", "o_orderkey")
+    own = o.withColumn("place", F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey"))).filter("place <= 40")
+    return own.orderBy("o_orderpriority", "o_orderkey").limit(100).select("o_orderpriority", "o_orderkey")
+
+
+def half_even(spark, d):
+    l = table(spark, d, "lineitem")
+    return l.groupBy(F.bround(F.col("l_quantity") / 4, 1).alias("quarter")).agg(F.count("*").alias("n"))
+
+
 def _grouped_sql(expression: str, group: str) -> str:
     return f"SELECT {group}, {expression} AS value FROM (SELECT *, year(l_shipdate)::INT AS year, month(l_shipdate)::INT AS month FROM lineitem) GROUP BY {group}"
 
@@ -231,6 +262,11 @@ QUERIES = {
     "bounded_history": (history, "SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 20"),
     "json_props_extract": (props, "SELECT event_id, (props->>'$.k')::INT AS k FROM events"),
     "fixed_batches": (batches, "SELECT (rn // 512)::BIGINT AS batch, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS rn FROM orders) GROUP BY 1"),
+    "renamed_columns": (renamed, "SELECT p_partkey AS key, p_brand AS maker, coalesce(p_size::DOUBLE, 500.0) AS size FROM part"),
+    "named_columns": (named_columns, "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem"),
+    "size_formulae": (sizes, "SELECT lang, n AS vectors, round(n * 384 * 4 / 1048576, 2) AS raw_float32_size_mb, round(n * 384 / 1048576, 2) AS quantized_size_mb, 75.0 AS ram_saving_percent FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang)"),
+    "budgeted_limit": (budgeted, "SELECT o_orderpriority, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS r FROM orders) WHERE r <= 40 ORDER BY o_orderpriority, o_orderkey LIMIT 100"),
+    "half_even_rounding": (half_even, "SELECT round_even(l_quantity / 4, 1) AS quarter, count(*) AS n FROM lineitem GROUP BY 1"),
     "anti_join": (anti, "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
     "set_operations": (
         set_operations,

@@ -54,8 +54,13 @@ def streamed(spark, d):
     return clean.select("doc_id", F.concat(F.lit("hf_"), T.short_hash(F.substring("clean", 1, 200))).alias("record_id"), F.col("token_count").cast("long").alias("token_count"))
 
 
+def _hashed(docs: DataFrame) -> DataFrame:
+    """doc_id and 128 bits and the length of each text, which stand for it where it would be a key."""
+    return docs.select("doc_id", F.md5("text").alias("h"), F.length("text").alias("chars"))
+
+
 def exact_first(spark, d):
-    return D.first_of(_docs(spark, d), ["text"], "doc_id").select("doc_id")
+    return D.first_of(_hashed(_docs(spark, d)), ["h", "chars"], "doc_id").select("doc_id")
 
 
 def prefix_first(spark, d):
@@ -64,7 +69,7 @@ def prefix_first(spark, d):
 
 def dedup_stats(spark, d):
     n = F.count("*")
-    return _docs(spark, d).groupBy("text").agg(n.alias("c")).agg(F.sum("c").alias("seen"), F.sum(F.col("c") - 1).alias("duplicates"), F.count("*").alias("kept"))
+    return _hashed(_docs(spark, d)).groupBy("h", "chars").agg(n.alias("c")).agg(F.sum("c").alias("seen"), F.sum(F.col("c") - 1).alias("duplicates"), F.count("*").alias("kept"))
 
 
 def jaccard_pairs(spark, d):
@@ -114,12 +119,6 @@ def hash_sample(spark, d):
     return _docs(spark, d).select("doc_id").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(100)
 
 
-def contamination(spark, d):
-    """Documents that hold a benchmark item's first sixty characters."""
-    items = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 60).alias("needle")).filter(F.length("needle") >= 40)
-    return D.containing(_docs(spark, d), items).groupBy("doc_id").agg(F.countDistinct("item_id").alias("items"))
-
-
 def labelled(spark, d):
     j = _docs(spark, d).join(table(spark, d, "labels"), "doc_id")
     return j.groupBy("lang", "quality", "toxic").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 6).alias("mean_chars"))
@@ -190,12 +189,80 @@ def page_ids(spark, d):
     return D.first_of(own, ["url"], "page_id").select("page_id", F.concat(F.lit("news_"), T.short_hash(F.col("url"))).alias("news_id"))
 
 
+def stripped(spark, d):
+    """Text of pages as a parser reads it."""
+    return table(spark, d, "pages").select("page_id", F.md5(T.collapsed(T.normal(F.coalesce("html", F.lit(""))))).alias("text_md5"))
+
+
+def numbered_stream(spark, d):
+    """Ids that count all rows; rows without text are left out afterwards."""
+    own = D.numbered(_docs(spark, d).select("doc_id", "text"), "doc_id", "idx").filter("text is not null and text <> ''")
+    return own.select("doc_id", F.format_string("hf_train_%08d", "idx").alias("record_id"))
+
+
+def sources_stream(spark, d):
+    """Two sources behind each other, cleaned and filtered alike."""
+    both = _docs(spark, d).select(F.lit("documents").alias("source"), F.col("doc_id").alias("id"), "text").unionByName(table(spark, d, "benchmark").select(F.lit("benchmark").alias("source"), F.col("item_id").alias("id"), "text"))
+    clean = both.filter(F.length("text") >= 50).withColumn("clean", T.collapsed(F.col("text"))).filter(T.token_count(F.col("clean")) >= 20)
+    return clean.select("source", "id", F.concat(F.lit("hf_"), T.short_hash(F.substring("clean", 1, 200))).alias("record_id"))
+
+
+def legal_stream(spark, d):
+    """The first of the texts that begin alike once they are cleaned."""
+    own = _docs(spark, d).filter(F.length("text") >= 60).withColumn("clean", T.cleaned_lines(F.col("text"))).filter(T.token_count(F.col("clean")) >= 25)
+    keyed = own.select("doc_id", F.sha2(F.substring("clean", 1, 250), 256).alias("h"))
+    return D.first_of(keyed, ["h"], "doc_id").select("doc_id", "h")
+
+
+def chained(spark, d):
+    """Up to thirty benchmark texts first, then documents, a hundred records in all."""
+    first = table(spark, d, "benchmark").orderBy("item_id").limit(30).select(F.lit(0).alias("turn"), F.col("item_id").alias("id"))
+    rest = _docs(spark, d).orderBy("doc_id").limit(100).select(F.lit(1).alias("turn"), F.col("doc_id").alias("id"))
+    return first.unionByName(rest).orderBy("turn", "id").limit(100)
+
+
+def prefix_by_source(spark, d):
+    """The first twenty texts of each source that begin with a word, with their places in the corpus."""
+    own = D.numbered(_docs(spark, d).select("doc_id", "source", "text"), "doc_id", "line").filter(F.col("text").startswith("The"))
+    place = F.row_number().over(Window.partitionBy("source").orderBy("line"))
+    return own.withColumn("place", place).filter("place <= 20").select("source", (F.col("line") + 1000).alias("global_idx"))
+
+
+def corpus_stride(spark, d):
+    """Every fifth document of each corpus, counted from its first."""
+    return D.numbered(_docs(spark, d).select("doc_id", "lang"), "doc_id", "pos", "lang").filter("pos % 5 = 0").select("lang", "doc_id")
+
+
+def gather_metadata(spark, d):
+    """Metadata of requested positions, once for each position."""
+    asked = spark.sql("SELECT g FROM VALUES (15L), (0L), (15L), (40L) AS t(g)").distinct()
+    met = asked.join(union(spark, d), F.col("g") == F.col("global_idx")).join(_docs(spark, d).select("doc_id", "source", "n_chars"), "doc_id")
+    return met.select("g", "corpus_source", "doc_id", "source", "n_chars")
+
+
+def file_ids(spark, d):
+    given = spark.sql("SELECT id, address FROM VALUES (1, 'https://drive.example/file/d/a_B-9/view'), (2, 'https://drive.example/uc?export=x/id=Zz1&y'), (3, 'plain_id'), (4, 'https://drive.example/none') AS t(id, address)")
+    return given.select("id", T.file_id(F.col("address")).alias("file_id"))
+
+
+def escaped(spark, d):
+    given = table(spark, d, "benchmark").select("item_id", F.concat(F.lit("it's a \\ \"quote\": "), F.substring("text", 1, 40)).alias("text"))
+    return given.select("item_id", T.sql_escaped(F.col("text")).alias("escaped"))
+
+
+def preview_or_text(spark, d):
+    """An empty preview counts as missing."""
+    own = _docs(spark, d).withColumn("preview", F.when(F.col("doc_id") % 3 == 0, F.lit("")).when(F.col("doc_id") % 3 == 1, F.substring("text", 1, 20)))
+    return own.select("doc_id", F.md5(T.first_filled(F.col("preview"), F.col("text"))).alias("shown"))
+
+
 def case_search(spark, d):
     p = table(spark, d, "part")
     needle = "steel"
     return p.filter(F.lower("p_name").contains(needle) | F.lower("p_type").contains(needle)).select("p_partkey")
 
 
+CATEGORY_CASES = " ".join(f"WHEN regexp_matches(lower(text), '{'|'.join(words)}') THEN '{name}'" for name, words in T.CATEGORIES.items())
 NUMBERED = "(SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS rn FROM documents)"
 OFFSETS = "o AS (SELECT lang, n, coalesce(sum(n) OVER (ORDER BY lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang))"
 UNION = f"{OFFSETS}, u AS (SELECT first + local AS global_idx, lang AS corpus_source, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS local FROM documents) JOIN o USING (lang))"
@@ -205,11 +272,11 @@ COLLAPSED = f"trim(regexp_replace(text, {SPACED}, ' ', 'g'))"
 
 QUERIES = {
     "strip_urls": (_mapped(lambda c: digest(T.without_urls(c))), r"SELECT doc_id, sha256(regexp_replace(text, '(?i)https?://\S+|www\.\S+', ' ', 'g')) AS result FROM documents"),
-    "strip_special": (_mapped(lambda c: digest(T.without_special(c))), r"SELECT doc_id, sha256(regexp_replace(text, '[^\p{L}\p{N}_\s\x0b.,!?]', ' ', 'g')) AS result FROM documents"),
+    "strip_special": (_mapped(lambda c: digest(T.without_special(c))), r"SELECT doc_id, sha256(regexp_replace(text, '[^\p{L}\p{N}_\s\x0b\x1c-\x1f\x{85}\p{Z}.,!?]', ' ', 'g')) AS result FROM documents"),
     "collapse_whitespace": (_mapped(lambda c: digest(T.collapsed(c))), f"SELECT doc_id, sha256({COLLAPSED}) AS result FROM documents"),
     "clean_text_full": (
         _mapped(lambda c: digest(T.cleaned(c))),
-        rf"SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]*>', ' ', 'g'), '(?i)https?://\S+|www\.\S+', ' ', 'g'), '[^\p{{L}}\p{{N}}_\s\x0b.,!?]', ' ', 'g'), {SPACED}, ' ', 'g'))) AS result FROM documents",
+        rf"SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(regexp_replace(coalesce(text, ''), '<[^>]*>', ' ', 'g')), '(?i)https?://\S+|www\.\S+', ' ', 'g'), '[^\p{{L}}\p{{N}}_\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}.,!?]', ' ', 'g'), {SPACED}, ' ', 'g'))) AS result FROM documents",
     ),
     "clean_text_lines": (
         _mapped(lambda c: digest(T.cleaned_lines(c))),
@@ -235,14 +302,13 @@ QUERIES = {
     ),
     "minhash_near_dups": (minhash, None),
     "dedup_greedy_stream": (greedy, None),
-    "classify_category": (classified, "SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'football|match|team|goal') THEN 'sport' WHEN regexp_matches(lower(text), 'market|bank|price|company') THEN 'business' WHEN regexp_matches(lower(text), 'license|rights|court|law') THEN 'law' WHEN regexp_matches(lower(text), 'token|password|data|software') THEN 'technology' WHEN regexp_matches(lower(text), 'health|doctor|hospital') THEN 'health' ELSE 'other' END AS category FROM documents"),
+    "classify_category": (classified, f"SELECT doc_id, CASE {CATEGORY_CASES} ELSE '{T.OTHER_CATEGORY}' END AS category FROM documents"),
     "quality_filter": (quality, f"SELECT doc_id, len({TOKENS})::BIGINT AS token_count FROM documents WHERE length(text) >= 60 AND len({TOKENS}) >= 25"),
     "length_bucket": (buckets, f"SELECT CASE WHEN len({TOKENS}) > 300 THEN 'Long' WHEN len({TOKENS}) > 150 THEN 'Medium' ELSE 'Short' END AS bucket, count(*) AS n FROM documents GROUP BY 1"),
     "prefix_scan": (prefix_scan, "SELECT doc_id, replace(left(text, 180), chr(10), ' ') AS preview, source FROM documents WHERE starts_with(text, 'The')"),
     "stride_sample": (stride_sample, f"SELECT doc_id, rn AS pos FROM {NUMBERED} WHERE rn % 5 = 0"),
     "linspace_sample": (even_sample, f"SELECT doc_id, rn AS pos FROM {NUMBERED} WHERE rn IN (SELECT floor(i * (n - 1) / 49)::BIGINT FROM range(50) t(i), (SELECT count(*) AS n FROM documents))"),
     "hash_sample": (hash_sample, "SELECT doc_id FROM documents ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT 100"),
-    "benchmark_contamination": (contamination, "SELECT doc_id, count(DISTINCT item_id) AS items FROM documents d JOIN (SELECT item_id, left(text, 60) AS needle FROM benchmark WHERE length(left(text, 60)) >= 40) b ON contains(d.text, needle) GROUP BY doc_id"),
     "label_quality_join": (labelled, "SELECT lang, quality, toxic, count(*) AS n, round(avg(n_chars), 6) AS mean_chars FROM documents JOIN labels USING (doc_id) GROUP BY ALL"),
     "corpus_offsets": (offsets, f"WITH {OFFSETS} SELECT lang, first, first + n AS last, n FROM o"),
     "federated_union": (union, f"WITH {UNION} SELECT global_idx, corpus_source, doc_id FROM u"),
@@ -255,5 +321,20 @@ QUERIES = {
     "html_strip_regex": (pages_stripped, f"SELECT page_id, md5(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), {SPACED}, ' ', 'g'))) AS text_md5 FROM pages"),
     "html_article_parse": (articles, None),
     "page_url_ids": (page_ids, "SELECT min(page_id) AS page_id, 'news_' || left(sha256(url), 16) AS news_id FROM pages GROUP BY url"),
+    "nfc": (_mapped(lambda c: digest(T.nfc(F.concat(c, F.lit("e\u0301 \u1100\u1161 \u212b"))))), "SELECT doc_id, sha256(nfc_normalize(text || 'e\u0301 \u1100\u1161 \u212b')) AS result FROM documents"),
+    "html_strip": (stripped, None),
+    "text_stream_ids": (numbered_stream, f"SELECT doc_id, 'hf_train_' || lpad(rn::VARCHAR, 8, '0') AS record_id FROM {NUMBERED} WHERE text <> ''"),
+    "multi_source_stream": (sources_stream, f"SELECT source, id, 'hf_' || left(sha256(left(c, 200)), 16) AS record_id FROM (SELECT source, id, {COLLAPSED} AS c FROM (SELECT 'documents' AS source, doc_id AS id, text FROM documents UNION ALL SELECT 'benchmark', item_id, text FROM benchmark) WHERE length(text) >= 50) WHERE len(list_filter(regexp_split_to_array(c, {SPACED}), lambda x: x <> '')) >= 20"),
+    "legal_stream": (
+        legal_stream,
+        rf"SELECT min(doc_id) AS doc_id, h FROM (SELECT doc_id, c, sha256(left(c, 250)) AS h FROM (SELECT doc_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS c FROM documents WHERE length(text) >= 60)) WHERE len(list_filter(regexp_split_to_array(c, {SPACED}), lambda x: x <> '')) >= 25 GROUP BY h",
+    ),
+    "chained_source": (chained, "SELECT turn, id FROM (SELECT * FROM (SELECT 0 AS turn, item_id AS id FROM benchmark ORDER BY id LIMIT 30) UNION ALL SELECT * FROM (SELECT 1, doc_id FROM documents ORDER BY doc_id LIMIT 100)) ORDER BY turn, id LIMIT 100"),
+    "prefix_scan_by_source": (prefix_by_source, f"SELECT source, rn + 1000 AS global_idx FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rn) AS r FROM {NUMBERED} WHERE starts_with(text, 'The')) WHERE r <= 20"),
+    "stride_sample_by_corpus": (corpus_stride, "SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS r FROM documents) WHERE r % 5 = 0"),
+    "batch_gather_metadata": (gather_metadata, f"WITH {UNION} SELECT g, corpus_source, doc_id, source, n_chars FROM (VALUES (15), (0), (40)) t(g) JOIN u ON g = global_idx JOIN documents USING (doc_id)"),
+    "file_ids": (file_ids, "SELECT * FROM (VALUES (1, 'a_B-9'), (2, 'Zz1'), (3, 'plain_id'), (4, 'https://drive.example/none')) t(id, file_id)"),
+    "sql_escape": (escaped, "SELECT item_id, replace(replace(replace(t, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)), chr(39), chr(39) || chr(39)) AS escaped FROM (SELECT item_id, 'it' || chr(39) || 's a ' || chr(92) || ' ' || chr(34) || 'quote' || chr(34) || ': ' || left(text, 40) AS t FROM benchmark)"),
+    "first_filled": (preview_or_text, "SELECT doc_id, md5(coalesce(nullif(CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN left(text, 20) END, ''), nullif(text, ''), '')) AS shown FROM documents"),
     "crud_search": (case_search, "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'steel') OR contains(lower(p_type), 'steel')"),
 }

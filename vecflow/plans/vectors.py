@@ -36,14 +36,13 @@ def _exact(metric: str):
 
 def bulk(spark, d):
     v = vectors(spark, d)
-    return _out(S.bulk_knn(query_set(v), v, K))
+    return _out(S.nearest(query_set(v), v, K))
 
 
 def filtered(spark, d):
     v = vectors(spark, d)
     q = query_set(v).join(v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label")), "query_id")
-    pairs = S.beside(v, q, F.col("label") == F.col("query_label"))
-    return _out(S.ranked(pairs.select("query_id", "vec_id", V.l2_squared(F.col("q"), F.col("v")).alias("distance")), K, F.col("distance")))
+    return _out(S.nearest(q.withColumnRenamed("query_label", "label"), v, K, on="label"))
 
 
 def backfilled(spark, d):
@@ -74,11 +73,18 @@ def row_codes(spark, d):
     return c.select("vec_id", _csv(F.col("c.code")).alias("code"), F.round("c.scale", 9).alias("scale"), F.round("c.offset", 6).alias("low"))
 
 
+def decoded_rows(codes, scale, offset):
+    return codes * scale[:, None] + offset[:, None]
+
+
+def _row_coded(v):
+    return v.select("vec_id", Q.row_code(F.col("v")).alias("c")).select("vec_id", F.col("c.code").alias("v"), "c.scale", "c.offset")
+
+
 def row_adc(spark, d):
     v = vectors(spark, d)
-    coded = v.select("vec_id", Q.row_code(F.col("v")).alias("c"))
-    pairs = S.beside(coded, query_set(v))
-    return _out(S.ranked(pairs.select("query_id", "vec_id", Q.adc(F.col("q"), F.col("c.code"), F.col("c.scale"), F.col("c.offset")).alias("distance")), K, F.col("distance")))
+    found = S.nearest(query_set(v), _row_coded(v), K, decode=decoded_rows, extra=("scale", "offset"))
+    return _out(found.withColumn("distance", F.sqrt("distance")))
 
 
 def _coded(spark, d):
@@ -111,18 +117,18 @@ def reconstruction(spark, d):
 
 
 def u8_distance(spark, d):
-    c = _coded(spark, d).withColumn("code", Q.unsigned_codes(F.col("v"), F.col("lows"), F.col("scales"))).select("vec_id", "code", "scales")
-    q = c.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("code").alias("q"))
-    pairs = S.beside(c, q).select("query_id", "vec_id", Q.code_distance(F.col("q"), F.col("code"), F.col("scales")).alias("distance"))
-    return _out(S.ranked(pairs, K, F.round("distance", 9)))
+    """The distance of two codes is that of the codes times the scales."""
+    c = _coded(spark, d).select("vec_id", F.zip_with(Q.unsigned_codes(F.col("v"), F.col("lows"), F.col("scales")), "scales", lambda x, s: x * s).alias("v"))
+    q = c.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    return _out(S.nearest(q, c, K, by=F.round("distance", 9)))
 
 
 def scaled_query(spark, d):
     """Inner product of scaled queries with raw codes: ranks as on decoded vectors."""
-    c = _coded(spark, d).withColumn("code", Q.signed_codes(F.col("v"), F.col("lows"), F.col("scales")))
+    c = _coded(spark, d)
     q = c.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.zip_with("v", "scales", lambda x, s: x * s).alias("q"))
-    pairs = S.beside(c, q).select("query_id", "vec_id", (-V.inner_product(F.col("q"), F.col("code"))).alias("distance"))
-    return _out(S.ranked(pairs, K, F.round("distance", 9)))
+    codes = c.select("vec_id", Q.signed_codes(F.col("v"), F.col("lows"), F.col("scales")).alias("v"))
+    return _out(S.nearest(q, codes, K, "ip", by=F.round("distance", 9)))
 
 
 def ivf_assign(spark, d):
@@ -161,10 +167,24 @@ def pq_encode(spark, d):
     return S.pq_encoded(v, S.codebook(v, PARTS, CODES, DIMENSION), PARTS, DIMENSION).select("vec_id", _csv(F.col("codes")).alias("codes"))
 
 
+def _pq_nearest(queries, coded, book, **on):
+    return S.nearest(queries, coded.withColumnRenamed("codes", "v"), K, decode=S.pq_decoder(book), by=F.round("distance", 9), **on)
+
+
 def pq_search(spark, d):
     v = vectors(spark, d)
     book = S.codebook(v, PARTS, CODES, DIMENSION)
-    return _out(S.ranked(S.pq_distances(query_set(v), S.pq_encoded(v, book, PARTS, DIMENSION), book, PARTS, DIMENSION), K, F.round("distance", 9)))
+    return _out(_pq_nearest(query_set(v), S.pq_encoded(v, book, PARTS, DIMENSION), book))
+
+
+def pq_trained(spark, d):
+    """Recall of a product quantizer with a fitted codebook, behind an inverted file with fitted lists."""
+    v = vectors(spark, d)
+    c = S.trained_lists(v, 16)
+    own = S.residuals(v, c)
+    book = S.trained_codebook(own, PARTS, 256)
+    asked = S.residuals(query_set(v).select(F.col("query_id").alias("vec_id"), F.col("q").alias("v")), c, 4).select(F.col("vec_id").alias("query_id"), "cid", F.col("v").alias("q"))
+    return _out(_pq_nearest(asked, S.pq_encoded(own, book, PARTS, DIMENSION, "cid"), book, on="cid"))
 
 
 def pq_decode(spark, d):
@@ -183,7 +203,7 @@ def ivf_pq(spark, d):
     book = S.codebook(own, PARTS, CODES, DIMENSION)
     coded = S.pq_encoded(own, book, PARTS, DIMENSION, "cid")
     asked = S.residuals(query_set(v).select(F.col("query_id").alias("vec_id"), F.col("q").alias("v")), c, 3).select(F.col("vec_id").alias("query_id"), "cid", F.col("v").alias("q"))
-    return _out(S.ranked(S.pq_distances(asked, coded, book, PARTS, DIMENSION, "cid"), K, F.round("distance", 9)))
+    return _out(_pq_nearest(asked, coded, book, on="cid"))
 
 
 def sql_search(spark, d):
@@ -198,8 +218,7 @@ def sql_search(spark, d):
 def _two_tier(spark, d):
     v = vectors(spark, d)
     q = query_set(v)
-    coded = v.select("vec_id", Q.row_code(F.col("v")).alias("c"))
-    pool = S.ranked(S.beside(coded, q).select("query_id", "vec_id", Q.adc(F.col("q"), F.col("c.code"), F.col("c.scale"), F.col("c.offset")).alias("distance")), 30, F.col("distance"))
+    pool = S.nearest(q, _row_coded(v), 30, decode=decoded_rows, extra=("scale", "offset"), by=F.sqrt("distance"))
     return v, q, S.reranked(pool.select("query_id", "vec_id"), q, v, K)
 
 
@@ -226,14 +245,19 @@ def memory_model(spark, d):
     return spark.createDataFrame(rows, "kind string, bytes long")
 
 
-def beam(spark, d):
+def _graph(spark, d, **options):
+    """Lists by the size of the table, each with a graph of its own; queries are routed to the nearest."""
     v = vectors(spark, d)
-    return _out(S.beam_search(query_set(v), v, S.neighbour_graph(v, 8), K))
+    c = S.few_lists(S.trained_lists(v, max(1, -(-v.count() // S.SHARD_ROWS))))
+    return S.graph_search(query_set(v), S.graph_index(v, c), c, K, nprobe=4, **options)
+
+
+def beam(spark, d):
+    return _out(_graph(spark, d))
 
 
 def beam_early(spark, d):
-    v = vectors(spark, d)
-    return _out(S.beam_search(query_set(v), v, S.neighbour_graph(v, 8), K, tau=3))
+    return _out(_graph(spark, d, tau=3))
 
 
 def _features(spark, d):
@@ -346,6 +370,7 @@ QUERIES = {
         memory_model,
         "WITH n AS (SELECT count(*) AS n FROM embeddings) SELECT 'flat' AS kind, 4 * n * 64 AS bytes FROM n UNION ALL SELECT 'graph', 4 * n * 64 + 8 * n * 16 FROM n UNION ALL SELECT 'ivf_pq', 4 * 16 * 64 + 1024 * 64 + n * 16 FROM n UNION ALL SELECT 'two_tier', n * 64 + 8 * n * 16 + 8 * 64 FROM n",
     ),
+    "pq_trained_topk": (pq_trained, None),
     "graph_beam_search": (beam, None),
     "graph_beam_early_exit": (beam_early, None),
     "kmeans_fit": (kmeans, None),

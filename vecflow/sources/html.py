@@ -1,8 +1,9 @@
-"""Articles from raw HTML and items from RSS, with the standard library's parsers."""
+"""Articles and plain text from HTML and items from RSS, with the standard library's parsers."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -10,55 +11,150 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Elements whose text is no article text, and classes that mark an article.
-STRIPPED = {"script", "style", "nav", "footer", "header", "aside", "form", "iframe", "noscript", "button", "svg", "figure"}
+from ..functions import text as T
+
+#: Elements that hold no article text, places of an article's body in order of
+#: precedence, classes that name a summary, the least length of a paragraph, captions.
+STRIPPED = ["script", "style", "nav", "footer", "header", "aside", "figure", "form", "iframe", "noscript", "svg", "button"]
+SELECTORS = ["article", ".fck_detail", ".singular-content", ".article-content", ".detail-content", ".content-detail", ".post-content", ".entry-content", "[itemprop='articleBody']", "main"]
+SUMMARY_CLASS = re.compile(r"(sapo|description|lead)", re.I)
 SHORTEST_PARAGRAPH = 25
 CAPTION = re.compile(r"^(Ảnh|Video|Nguồn|Theo|Từ khóa):")
+#: Fixed values of the plainer extraction.
+PLAIN_STRIPPED = ["script", "style", "nav", "footer", "header", "aside", "figure"]
+PLAIN_CLASS = re.compile(r"(fck_detail|singular-content|article-content|detail-content)")
+PLAIN_SHORTEST = 20
+#: Elements without content, by the HTML standard.
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+
+
+class Node:
+    """An element with its attributes, and its children: elements and texts."""
+
+    def __init__(self, tag: str, attributes: dict[str, str | None]):
+        self.tag, self.attributes, self.children = tag, attributes, []
+
+    def walk(self, without: frozenset[str] = frozenset()) -> Iterator[Node | str]:
+        """All below, in document order, without the elements of some tags."""
+        waiting = self.children[::-1]
+        while waiting:
+            child = waiting.pop()
+            if isinstance(child, Node):
+                if child.tag in without:
+                    continue
+                waiting += child.children[::-1]
+            yield child
+
+    def first(self, holds: Callable[[Node], bool], without: frozenset[str] = frozenset()) -> Node | None:
+        return next((n for n in self.walk(without) if isinstance(n, Node) and holds(n)), None)
+
+    def text(self, between: str, without: frozenset[str] = frozenset()) -> str:
+        return between.join(s for n in self.walk(without) if isinstance(n, str) and (s := n.strip()))
+
+    def classes(self) -> list[str]:
+        return (self.attributes.get("class") or "").split()
 
 
-class _Article(HTMLParser):
+class _Tree(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.skip, self.title, self.h1, self.summary = 0, "", "", ""
-        self.paragraphs: list[str] = []
-        self.open: list[str] = []
-        self.text: list[str] | None = None
+        self.root = Node("", {})
+        self.open = [self.root]
 
     def handle_starttag(self, tag, attrs):
-        given = dict(attrs)
-        if tag in STRIPPED:
-            self.skip += 1
-        if tag == "meta" and not self.summary and (given.get("property") == "og:description" or given.get("name") == "description"):
-            self.summary = (given.get("content") or "").strip()
-        if tag in ("p", "h1", "title"):
-            self.open.append(tag)
-            self.text = []
+        node = Node(tag, dict(attrs))
+        self.open[-1].children.append(node)
+        if tag not in VOID:
+            self.open.append(node)
+
+    def handle_startendtag(self, tag, attrs):
+        self.open[-1].children.append(Node(tag, dict(attrs)))
 
     def handle_endtag(self, tag):
-        if tag in STRIPPED and self.skip:
-            self.skip -= 1
-        if self.open and tag == self.open[-1]:
-            self.open.pop()
-            got = " ".join("".join(self.text or []).split())
-            if tag == "h1" and not self.h1:
-                self.h1 = got
-            elif tag == "title" and not self.title:
-                self.title = got
-            elif tag == "p" and not self.skip and len(got) > SHORTEST_PARAGRAPH and not CAPTION.match(got):
-                self.paragraphs.append(got)
-            self.text = None
+        if any(n.tag == tag for n in self.open[1:]):
+            while self.open.pop().tag != tag:
+                pass
+
+    def handle_data(self, data):
+        own = self.open[-1].children
+        if own and isinstance(own[-1], str):
+            data = own.pop() + data
+        own.append(data)
+
+
+class _Texts(HTMLParser):
+    """Texts, each from one piece of markup to the next."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.found = [""]
 
     def handle_data(self, data):
-        if self.text is not None and not self.skip:
-            self.text.append(data)
+        self.found[-1] += data
 
+    def markup(self, *_):
+        self.found.append("")
 
-def parse_article(html: str | None) -> dict:
-    """title, summary, content of a page; empty texts where there is none."""
-    page = _Article()
-    page.feed(html or "")
-    page.close()
-    return {"title": page.h1 or page.title, "summary": page.summary, "content": "\n".join(page.paragraphs)}
+    handle_starttag = handle_endtag = handle_comment = handle_decl = handle_pi = unknown_decl = markup
+
+
+def strip_html(text: str) -> str:
+    """The text between tags, parted by blanks, character references resolved; comments go, the text
+    of scripts stays. Text without any angle bracket is left alone."""
+    if "<" not in text and ">" not in text:
+        return text
+    parser = _Texts()
+    parser.feed(text)
+    parser.close()
+    return " ".join(t for t in parser.found if t)
+
+
+def tree(html: str) -> Node:
+    parser = _Tree()
+    parser.feed(html)
+    parser.close()
+    return parser.root
+
+
+def _selected(selector: str) -> Callable[[Node], bool]:
+    if selector.startswith("."):
+        return lambda n: selector[1:] in n.classes()
+    if selector.startswith("["):
+        name, value = selector[1:-1].split("=")
+        return lambda n: n.attributes.get(name) == value.strip("'")
+    return lambda n: n.tag == selector
+
+
+def _meta(root: Node, key: str, value: str) -> str:
+    found = root.first(lambda n: n.tag == "meta" and n.attributes.get(key) == value)
+    return ((found.attributes.get("content") or "") if found else "").strip()
+
+
+def parse_article(html: str | None, fallback_title: str = "", fallback_summary: str = "") -> dict:
+    """title, summary and content (title, summary and paragraphs, parted by blank lines) of a page; the
+    fallbacks where the page has none."""
+    root = tree(html or "")
+    heading = root.first(lambda n: n.tag == "h1") or root.first(lambda n: n.tag == "title")
+    title = (heading.text("") if heading else "") or _meta(root, "property", "og:title") or fallback_title
+    named = root.first(lambda n: any(SUMMARY_CLASS.search(c) for c in n.classes()))
+    # the first of two descriptions counts, even if it is empty
+    described = root.first(lambda n: n.tag == "meta" and n.attributes.get("property") == "og:description")
+    summary = _meta(root, "property", "og:description") if described else _meta(root, "name", "description")
+    summary = summary or (named.text("") if named else "") or fallback_summary
+    without = frozenset(STRIPPED)
+    body = next((n for s in SELECTORS if (n := root.first(_selected(s), without))), None) or root.first(lambda n: n.tag == "body", without) or root
+    paragraphs = [p.text(" ", without) for p in body.walk(without) if isinstance(p, Node) and p.tag == "p"]
+    paragraphs = [p for p in paragraphs if len(p) > SHORTEST_PARAGRAPH and not CAPTION.search(p)]
+    parts = [title, summary if summary != title else "", "\n\n".join(paragraphs)]
+    return {"title": title, "summary": summary, "content": "\n\n".join(p for p in parts if p)}
+
+
+def parse_body(html: str | None) -> str:
+    """The paragraphs of an article, by plainer rules, a line each."""
+    root, without = tree(html or ""), frozenset(PLAIN_STRIPPED)
+    body = root.first(lambda n: n.tag == "article", without) or root.first(lambda n: any(PLAIN_CLASS.search(c) for c in n.classes()), without) or root.first(lambda n: n.tag == "body", without)
+    found = [p.text("", without) for p in (body.walk(without) if body else ()) if isinstance(p, Node) and p.tag == "p"]
+    return "\n".join(p for p in found if len(p) > PLAIN_SHORTEST)
 
 
 def articles(pages: DataFrame) -> DataFrame:
@@ -68,12 +164,23 @@ def articles(pages: DataFrame) -> DataFrame:
     def parse(html: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([parse_article(h) for h in html], columns=["title", "summary", "content"])
 
-    parsed = pages.select("page_id", parse("html").alias("a"))
-    return parsed.select("page_id", "a.title", "a.summary", "a.content", F.size(F.filter(F.split("a.content", r"\s+"), lambda x: x != "")).alias("token_count"))
+    parsed = pages.select("page_id", parse("html").alias("a")).select("page_id", *[T.cleaned_lines(F.col(f"a.{c}")).alias(c) for c in ("title", "summary", "content")])
+    return parsed.withColumn("token_count", T.token_count(F.col("content")))
+
+
+def bodies(pages: DataFrame) -> DataFrame:
+    """page_id, body by the plainer rules"""
+
+    @F.pandas_udf("string")
+    def parse(html: pd.Series) -> pd.Series:
+        return html.map(parse_body)
+
+    return pages.select("page_id", parse("html").alias("body"))
 
 
-def parse_rss(xml: str | None) -> list[dict]:
-    """Items with a link; a bare & is taken as text; malformed input has no items."""
+def parse_rss(xml: str | None, titled: bool = False) -> list[dict]:
+    """Items with a link (or at least a title, if titled); a bare & is taken as text; malformed input
+    has no items."""
     try:
         root = ElementTree.fromstring(re.sub(r"&(?!#?\w+;)", "&amp;", xml or ""))
     except ElementTree.ParseError:
@@ -82,16 +189,16 @@ def parse_rss(xml: str | None) -> list[dict]:
     for item in root.iter("item"):
         got = {k: (item.findtext(k) or "").strip() for k in ("title", "link", "description", "guid", "pubDate")}
         got["description"] = " ".join(re.sub(r"<[^>]*>", " ", got["description"]).split())
-        if got["link"]:
+        if got["link"] or (titled and got["title"]):
             out.append(got)
     return out
 
 
-def rss_items(feeds: DataFrame) -> DataFrame:
+def rss_items(feeds: DataFrame, titled: bool = False) -> DataFrame:
     """feed_url and the items of each feed (feed_url, xml)."""
 
     @F.pandas_udf("array<struct<title: string, link: string, description: string, guid: string, pubDate: string>>")
     def parse(xml: pd.Series) -> pd.Series:
-        return xml.map(parse_rss)
+        return xml.map(lambda x: parse_rss(x, titled))
 
     return feeds.select("feed_url", F.explode(parse("xml")).alias("item")).select("feed_url", "item.*")

@@ -2,17 +2,54 @@
 
 from __future__ import annotations
 
+import fnmatch
 import json
 import struct
+from contextlib import contextmanager
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..workspace import file_system
+
+SPLIT_BYTES = 64 << 20
 GRAPH_MAGIC = b"AGYHNSW1"
 
 
+@contextmanager
+def opened(uri: str):
+    system, path = file_system(uri)
+    with system.open_input_file(path) as f:
+        yield f
+
+
+@contextmanager
+def written(uri: str):
+    """A file that is there under its name once all went well."""
+    system, path = file_system(uri)
+    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    with system.open_output_stream(f"{path}.tmp") as f:
+        yield f
+    system.move(f"{path}.tmp", path)
+
+
+def listed(uri: str) -> list[tuple[str, int]]:
+    """Address and size of a file, of the files of a folder, or of those that a name with * means."""
+    from pyarrow import fs
+
+    system, path = file_system(uri)
+    folder, pattern = (path.rsplit("/", 1) if "*" in path else (path, "*"))
+    info = system.get_file_info(folder)
+    if info.type == fs.FileType.File:
+        return [(uri, info.size)]
+    found = system.get_file_info(fs.FileSelector(folder)) if info.type == fs.FileType.Directory else []
+    scheme = uri[: uri.index(":") + 1] + "//" if ":" in uri else ""
+    some = [x for x in found if x.is_file and fnmatch.fnmatch(x.base_name, pattern) and not x.base_name.startswith(("_", "."))]
+    return sorted((f"{scheme}{x.path}", x.size) for x in some)
+
+
 def encode_records(rows: np.ndarray, kind: str) -> bytes:
     """Records of a 32-bit dimension and that many 32-bit values (kind f or i)."""
     values = rows.astype("<f4" if kind == "f" else "<i4")
@@ -30,19 +67,85 @@ def decode_records(raw: bytes, kind: str, most: int = -1) -> np.ndarray:
     return whole.view("<f4") if kind == "f" else whole.astype(np.int64)
 
 
+class RecordReader(DataSourceReader):
+    """Records of a file in splits of whole records; a split reads its own bytes only."""
+
+    def __init__(self, options: dict):
+        self.path, self.kind = options["path"], options.get("kind", "f")
+        self.most, self.bytes = int(options.get("most", "-1")), int(options.get("splitbytes", SPLIT_BYTES))
+
+    def partitions(self) -> list[InputPartition]:
+        splits = []
+        for uri, size in listed(self.path):
+            with opened(uri) as f:
+                head = f.read(4)
+            if len(head) < 4:
+                continue
+            width = 4 + 4 * struct.unpack("<i", head)[0]
+            n = size // width  # a partial record at the end is dropped
+            n = min(n, self.most) if self.most > 0 else n
+            each = max(1, self.bytes // width)
+            splits += [InputPartition((uri, width, a, min(a + each, n))) for a in range(0, n, each)]
+        return splits
+
+    def read(self, partition: InputPartition | None):
+        if partition is None:  # Spark asks so where there are no splits
+            return
+        uri, width, start, end = partition.value
+        with opened(uri) as f:
+            f.seek(start * width)
+            for a in range(start, end, 4096):
+                n = min(4096, end - a)
+                rows = np.frombuffer(f.read(n * width), "<i4").reshape(n, -1)[:, 1:]
+                flat = rows.copy().view("<f4").ravel() if self.kind == "f" else rows.astype(np.int64).ravel()
+                offsets = pa.array(np.arange(n + 1) * rows.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([uri] * n), pa.array(np.arange(a, a + n)), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=["path", "pos", "values"])
+
+
+class RecordSource(DataSource):
+    """spark.read.format("vecrecords").option("kind", "i").load(path)"""
+
+    @classmethod
+    def name(cls) -> str:
+        return "vecrecords"
+
+    def schema(self) -> str:
+        return f"path string, pos long, values array<{'float' if self.options.get('kind', 'f') == 'f' else 'long'}>"
+
+    def reader(self, schema) -> RecordReader:
+        return RecordReader(dict(self.options))
+
+
 def read_records(spark: SparkSession, path: str, kind: str = "f", most: int = -1) -> DataFrame:
-    """path, pos, values of every record of the files at path; a file is read by one task."""
-    item = "float" if kind == "f" else "long"
+    """path, pos, values of every record of the files at path (a file, a folder, or a name with *), of the
+    first most of each file if that is positive."""
+    spark.dataSource.register(RecordSource)
+    return spark.read.format("vecrecords").options(kind=kind, most=str(most)).load(path)
+
+
+def write_records(rows: DataFrame, uri: str, order: str, column: str, kind: str = "f") -> None:
+    """A file of records for each partition, in the order of their names."""
+
+    def write(batches):
+        from pyspark import TaskContext
 
-    def decode(batches):
-        for batch in batches:
-            for name, raw in zip(batch["path"], batch["content"]):
-                rows = decode_records(raw, kind, most)
-                for i in range(0, len(rows), 4096):
-                    part = rows[i : i + 4096]
-                    yield pd.DataFrame({"path": name, "pos": np.arange(i, i + len(part)), "values": list(part)})
+        part, data = TaskContext.get().partitionId(), []
+        name = f"{uri}/part-{part:05d}.{kind}vecs"
+        with written(name) as f:
+            for batch in batches:
+                values = batch.column(1)
+                if batch.num_rows:
+                    flat = values.flatten().to_numpy().reshape(batch.num_rows, -1)
+                    f.write(encode_records(flat, kind))
+                    data.append(batch.num_rows)
+        yield pa.RecordBatch.from_pydict({"file": [name], "records": [sum(data)]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, f"path string, pos long, values array<{item}>")
+    rows.repartitionByRange(order).sortWithinPartitions(order).select(order, column).mapInArrow(write, "file string, records long").collect()  # a row per file
+
+
+def dataset(spark: SparkSession, folder: str, max_base: int = -1) -> dict[str, DataFrame]:
+    """base, query and groundtruth of a benchmark folder; max_base holds for base only."""
+    return {"base": read_records(spark, f"{folder}/base", "f", max_base), "query": read_records(spark, f"{folder}/query", "f"), "groundtruth": read_records(spark, f"{folder}/groundtruth", "i")}
 
 
 def flat_type(name: str, size: int, dimension: int) -> str:
@@ -68,13 +171,3 @@ def decode_graph(raw: bytes) -> tuple[dict, list[list[int]]]:
         out.append(list(struct.unpack_from(f"<{k}I", raw, at + 2)))
         at += 2 + 4 * k
     return json.loads(raw[12 : 12 + n]), out
-
-
-def write_shards(rows: DataFrame, path: str, per_file: int) -> None:
-    """JSON lines in files of at most per_file rows; blank lines never occur."""
-    rows.write.mode("append").option("maxRecordsPerFile", per_file).json(path)
-
-
-def shard_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A line for each shard: its file name and rows."""
-    return spark.read.schema(schema).json(path).groupBy(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("shard")).agg(F.count("*").alias("records"), F.max("_metadata.file_size").alias("bytes"))

@@ -35,6 +35,6 @@ def sessions(events: DataFrame, gap: str) -> DataFrame:
     return out.select("user_id", F.col("w.start").alias("start"), "n")
 
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> None:
-    """Runs a stream over all that is there into an in-memory table (for small results)."""
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def each_batch(stream: DataFrame, write, checkpoint: str) -> None:
+    """Gives all that is there to write(rows), batch by batch; a rerun takes up only new files."""
+    stream.writeStream.foreachBatch(lambda rows, _: write(rows)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
