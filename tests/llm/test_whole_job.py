@@ -341,3 +341,48 @@ def test_mixing_warns_of_contradicting_targets(spark):
     cells = spark.createDataFrame([("a", "x", "t", 100), ("b", "y", "t", 100)], "source string, lang string, topic string, tokens long")
     with pytest.warns(UserWarning, match="shares are still off"):
         mixing.raked(cells, {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.1, "y": 0.9}})
+
+
+def test_fingerprints_by_brute_force(spark):
+    import math
+
+    import xxhash
+
+    def spark_hash(*values):
+        seed = 42
+        for v in values:
+            raw = v.encode() if isinstance(v, str) else int(v).to_bytes(8 if abs(v) >= 1 << 31 or isinstance(v, Long) else 4, "little", signed=True)
+            seed = xxhash.xxh64(raw, seed=seed).intdigest()
+        return seed
+
+    class Long(int):
+        pass
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    uniforms = lambda h: (((h & 0x7FFFFFFF) + 1) / (2**31 + 1), ((h >> 33) + 1) / (2**31 + 1))
+
+    def fingerprint(text):
+        weights = collections.Counter(signed(spark_hash(w)) >> 1 for w in re.split("[ \n\t\r]+", text.lower().strip(" ")))
+        out = ""
+        for k in range(weighted_sampling.SAMPLES):
+            drawn = []
+            for term, n in weights.items():
+                a, b = uniforms(spark_hash(Long(term), 3 * k))
+                c, d = uniforms(spark_hash(Long(term), 3 * k + 1))
+                h = spark_hash(Long(term), 3 * k + 2)
+                uniform = (h & 0x7FFFFFFF) / 2**31
+                r, g = -math.log(a * b), -math.log(c * d)
+                point = math.floor(math.log(n) / r + uniform)
+                drawn.append((math.log(g) - r * (point - uniform + 1), ((h >> 31) + point * 0x9E3779) & 0xFFFFFF))
+            out += f"{min(drawn)[1]:06x}"
+        return out
+
+    r = random.Random(12)
+    own = [" ".join(r.choice("ab cd ef gh ij kl mn".split()) + str(r.randrange(6)) for _ in range(r.randint(1, 60))) for _ in range(12)] + ["", "One  one\tONE two\n", "é ß 語 語"]
+    got = {x.doc_id: x for x in weighted_sampling.fingerprints(spark.createDataFrame([*enumerate(own), (3, own[3])], "doc_id long, text string")).collect()}
+    for i, t in enumerate(own):
+        q = len(t) // 4
+        edited = t[: len(t) - q] + own[(i + 1) % len(own)][:q]
+        assert got[i].fingerprint == fingerprint(t) and got[i].edited_fingerprint == fingerprint(edited)
+        same = lambda a, b: sum(a[6 * k : 6 * k + 6] == b[6 * k : 6 * k + 6] for k in range(weighted_sampling.SAMPLES)) / weighted_sampling.SAMPLES
+        assert got[i].near_edited == same(fingerprint(t), fingerprint(edited)) and got[i].near_next == same(fingerprint(t), fingerprint(own[(i + 1) % len(own)]))

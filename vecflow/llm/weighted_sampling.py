@@ -8,9 +8,10 @@ with a probability equal to their generalised Jaccard similarity (sum of minima
 of the weights), so the share of equal samples estimates it.
 
 A null text is an empty one; an empty text has one empty term. Rows with a null id come first; rows
-that repeat an id follow each other by text, rows that repeat id and text count once. A single
-document is its own next one. An empty table gives an empty result. Columns other than doc_id and
-text are ignored.
+that repeat an id follow each other in a fixed order. Rows that repeat id and text are one document
+(told by 128 bits of a hash of both), whose next one is another document; each of them gets the
+document's result. A single document is its own next one. An empty table gives an empty result.
+Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -41,30 +42,36 @@ def _uniforms(h: Column) -> tuple[Column, Column]:
     return low, high
 
 
-def sample(term: Column, log_weight: Column, k: Column) -> Column:
-    """The k-th sample's value in the high bits, its identity in the low ones; the least one counts.
-    A null weight gives none."""
+def variates(term: Column, k: Column, name: str) -> list[Column]:
+    """What the k-th sample has of a term: a gamma variate of shape 2, the logarithm of another one, a
+    uniform one, and a hash."""
     a, b = _uniforms(F.xxhash64(term, 3 * k))
     c, d = _uniforms(F.xxhash64(term, 3 * k + 1))
     h = F.xxhash64(term, 3 * k + 2)
-    shift = h.bitwiseAND(0x7FFFFFFF).cast("double") / _UNIT
-    r, g = -F.log(a * b), -F.log(c * d)  # gamma variates of shape 2
-    point = F.floor(log_weight / r + shift)
-    value = F.log(g) - r * (point - shift + 1)
-    identity = (F.shiftrightunsigned(h, 31) + point * 0x9E3779).bitwiseAND((1 << SAMPLE_BITS) - 1)
+    uniform = h.bitwiseAND(0x7FFFFFFF).cast("double") / _UNIT
+    return [(-F.log(a * b)).alias(f"r{name}"), F.log(-F.log(c * d)).alias(f"g{name}"), uniform.alias(f"u{name}"), F.shiftrightunsigned(h, 31).alias(f"h{name}")]
+
+
+def sample(log_weight: Column, name: str) -> Column:
+    """The sample's value in the high bits, its identity in the low ones, from the columns that variates
+    made; the least one counts. A null weight gives none."""
+    r, g, uniform, h = (F.col(f"{x}{name}") for x in "rguh")
+    point = F.floor(log_weight / r + uniform)
+    value = g - r * (point - uniform + 1)
+    identity = (h + point * 0x9E3779).bitwiseAND((1 << SAMPLE_BITS) - 1)
     return F.shiftleft(((F.greatest(F.least(value, F.lit(60.0)), F.lit(-60.0)) + 64) * _UNIT).cast("long"), SAMPLE_BITS).bitwiseOR(identity)
 
 
 def successors(docs: DataFrame) -> DataFrame:
-    """key, doc_id, n_chars, next_key for rows (doc_id, key, n_chars), in ascending doc_id and key; the
-    last one's next is the first. Only ids and sizes are sorted; partitions meet at their ends."""
+    """The columns of rows (doc_id, key, ..) and next_key, in ascending doc_id and key; the last one's
+    next is the first. Only ids and sizes are sorted; partitions meet at their ends."""
     placed = stored(docs.repartitionByRange("doc_id", "key").withColumn("part", F.spark_partition_id()), "order")
     within = Window.partitionBy("part").orderBy(F.asc_nulls_first("doc_id"), "key")
     firsts = placed.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "key"))["key"].alias("key"))
     ends = Window.partitionBy(F.lit(0)).orderBy("part")
     all_ = ends.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     following = firsts.select("part", F.coalesce(F.lead("key").over(ends), F.first("key").over(all_)).alias("first_of_next"))
-    return placed.withColumn("inner_next", F.lead("key").over(within)).join(F.broadcast(following), "part").select("key", "doc_id", "n_chars", F.coalesce("inner_next", "first_of_next").alias("next_key"))  # a row per partition
+    return placed.withColumn("inner_next", F.lead("key").over(within)).join(F.broadcast(following), "part").select(*docs.columns, F.coalesce("inner_next", "first_of_next").alias("next_key"))  # a row per partition
 
 
 def signatures(edits: DataFrame, samples: int = SAMPLES) -> DataFrame:
@@ -77,10 +84,11 @@ def signatures(edits: DataFrame, samples: int = SAMPLES) -> DataFrame:
     # a term that a text does not have has no weight there
     logs = [F.log(F.nullif(F.col(n), F.lit(0)).cast("double")).alias(f"log{i}") for i, n in enumerate(("n0", "n1"))]
     rows = weights.select("key", "term", *logs, F.explode(F.sequence(F.lit(0), F.lit(samples - 1), F.lit(GROUP))).alias("first"))
-    least = [F.min(sample(F.col("term"), F.col(f"log{i}"), F.col("first") + k)).alias(f"s{i}_{k}") for k in range(GROUP) for i in (0, 1)]
+    drawn = rows.select("key", "first", "log0", "log1", *[v for k in range(GROUP) for v in variates(F.col("term"), F.col("first") + k, str(k))])
+    least = [F.min(sample(F.col(f"log{i}"), str(k))).alias(f"s{i}_{k}") for k in range(GROUP) for i in (0, 1)]
     # the samples of a group as text: hexadecimal, of fixed length
     hexed = lambda i: F.concat(*[F.lpad(F.lower(F.hex(F.col(f"s{i}_{k}").bitwiseAND((1 << SAMPLE_BITS) - 1))), SAMPLE_BITS // 4, "0") for k in range(GROUP)])
-    parts = rows.groupBy("key", "first").agg(*least).select("key", "first", hexed(0).alias("f0"), hexed(1).alias("f1"))
+    parts = drawn.groupBy("key", "first").agg(*least).select("key", "first", hexed(0).alias("f0"), hexed(1).alias("f1"))
     whole = lambda f: F.concat(*[F.max(F.when(F.col("first") == a, F.col(f))) for a in range(0, samples, GROUP)])
     return parts.groupBy("key").agg(whole("f0").alias("fingerprint"), whole("f1").alias("edited_fingerprint"))
 
@@ -96,8 +104,9 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: each
     document, the document with its last quarter replaced by the next one's beginning, and the next."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), "text"))
-    order = stored(successors(rows.select("doc_id", "key", F.length("text").cast("long").alias("n_chars")).dropDuplicates(["key"])), "successors")
+    rows = rows.withColumn("key", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(" "), "text"))))
+    known = rows.groupBy("doc_id", "key").agg(F.max(F.length("text")).cast("long").alias("n_chars"), F.count("*").alias("copies"))
+    order = stored(successors(known), "successors")
     # only key and text move, once: whatever uses them has the same columns and so the same exchange
     own = rows.select("key", "text").repartition(partitions_for(docs, TEXT_BYTES), "key").dropDuplicates(["key"])
     # what each document gives to the one before it: only that much of it is moved
@@ -106,8 +115,9 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     edits = own.join(heads, "key").select("key", "text", F.expr("concat(substring(text, 1, cast(length(text) - floor(length(text) / 4) as int)), head)").alias("edited"))
     prints = signatures(edits, samples)
     found = stored(edits.select("key", F.sha2("edited", 256).alias("edited_sha256")).join(prints, "key"), "fingerprints")
-    following = order.join(found.select(F.col("key").alias("next_key"), F.col("fingerprint").alias("next")), "next_key").select("key", "doc_id", "n_chars", "next")
-    return found.join(following, "key").select(
+    following = order.join(found.select(F.col("key").alias("next_key"), F.col("fingerprint").alias("next")), "next_key").select("key", "doc_id", "n_chars", "copies", "next")
+    each = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))
+    return found.join(following, "key").withColumn("copy", each).select(
         "doc_id",
         "n_chars",
         "edited_sha256",
