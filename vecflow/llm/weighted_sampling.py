@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .storage import partitions_for, stored
 
 SAMPLES = 64
-#: Samples drawn from a row at once; SAMPLES is a multiple of it.
-GROUP = 8
+#: Samples drawn from a row at once; SAMPLES is a multiple of it. With more the generated code is too long for the JVM to compile.
+GROUP = 2
 #: A sample in the fingerprint: so many bits of a hash of term and grid point.
 SAMPLE_BITS = 24
 TEXT_BYTES = 8 << 20
