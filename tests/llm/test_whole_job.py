@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from vecflow.llm import lsh_forest, pii, weighted_sampling
 from vecflow.llm.shingles import shingle_sets
-from vecflow.operators import dedup
 
 
 def test_lsh_forest_finds_pairs_that_share_no_long_prefix(spark):
@@ -28,17 +27,6 @@ def test_lsh_forest_finds_pairs_that_share_no_long_prefix(spark):
     assert sorted((x.doc_id, x.class_id, x.n_links) for x in got) == [(i, i - i % 2, 1) for i in range(12)]
 
 
-def test_needles_of_few_words_are_found(spark):
-    r = random.Random(2)
-    letters = lambda n: "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(n))
-    needles = [letters(60), "x" * 30 + " " + "y" * 25, "".join(r.choice("abc") for _ in range(200)), "one two three four five six seven eight", "short", letters(31)]
-    texts = [*needles, *[letters(k) + n + letters(40 - k) for k, n in enumerate(needles * 6)], "one two three", "", None]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    items = spark.createDataFrame(list(enumerate(needles)), "item_id long, needle string")
-    want = {(i, k) for i, t in enumerate(texts) for k, n in enumerate(needles) if n in (t or "")}
-    assert {tuple(x) for x in dedup.containing(docs, items).collect()} == want
-
-
 def test_fingerprints_are_near_for_each_document(spark):
     r = random.Random(4)
     words = [[f"w{r.randrange(50000)}" for _ in range(r.randint(40, 200))] for _ in range(80)]
@@ -386,3 +374,64 @@ def test_fingerprints_by_brute_force(spark):
         assert got[i].fingerprint == fingerprint(t) and got[i].edited_fingerprint == fingerprint(edited)
         same = lambda a, b: sum(a[6 * k : 6 * k + 6] == b[6 * k : 6 * k + 6] for k in range(weighted_sampling.SAMPLES)) / weighted_sampling.SAMPLES
         assert got[i].near_edited == same(fingerprint(t), fingerprint(edited)) and got[i].near_next == same(fingerprint(t), fingerprint(own[(i + 1) % len(own)]))
+
+
+def test_toxicity_by_brute_force(spark):
+    import math
+    import zlib
+
+    from vecflow.llm import toxicity
+
+    r = random.Random(3)
+    words = ["alpha", "beta", "gammas", "deltas", "horridly", "horrid", "ab", "é", "x"]
+    model = toxicity.Model(-3.0, {i: r.uniform(-2, 4) for w in words for i in toxicity.features(w) if r.random() < 0.8})
+    texts = [r.choice(["", " "]).join(r.choice(words) + r.choice([" ", ". ", "! ", "\n", " 12 "]) for _ in range(r.randint(1, 300))) for _ in range(60)] + ["", None, "123 ...", "É x"]
+
+    def score(text):
+        rest = 1.0
+        for sentence in re.split(r"[.!?\n]+", (text or "").lower()):
+            own = re.findall(r"[^\W\d_]+", sentence)
+            for i in range(0, len(own), 64):
+                hashed = {zlib.crc32(part.encode()) % (1 << 18) for w in own[i : i + 64] for part in [w] + [f"^{w[:n]}" for n in (4, 5) if len(w) >= n]}
+                rest *= 1 - 1 / (1 + math.exp(-(-3.0 + sum(model.weights.get(h, 0.0) for h in hashed))))
+        return 1 - rest
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for x in toxicity.with_toxicity(docs, model).collect():
+        assert abs(x.toxicity.score - score(x.text)) < 1e-9 and x.toxicity.predicted == (x.toxicity.score >= 0.5)
+    assert [x.h for x in spark.createDataFrame([(None,), (1,)], "doc_id long").select(toxicity.held_out(F.col("doc_id")).alias("h")).collect()] == [False, zlib.crc32(b"1") % 5 == 0]
+
+
+def test_toxicity_learns_from_bounded_text(spark):
+    from vecflow.llm import toxicity
+
+    rows = [(i, ("good words here. " if i % 2 else "horrid words here. ") * (1 if i else 5000), i % 2 == 0) for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(bad)) for i, _, bad in rows], "doc_id long, toxic int")
+    few = toxicity.fit(docs, labels, max_chars=400)
+    assert toxicity.fit(docs, labels).weights and len(few.weights) <= len(toxicity.fit(docs, labels).weights)
+    assert toxicity.fit(docs, labels, max_chars=0).weights == {}
+
+
+def test_stages_on_odd_rows_and_clashing_columns(spark):
+    import corpus_pipeline
+
+    text = " ".join(f"word{i}" for i in range(30))
+    rows = [(1, text, None, "s"), (1, text, "en", "s"), (None, "another text of some words", "en", None), (2, None, None, None), (3, "", "en", "s"), (3, "", "en", "s"), (4, "+1 (285) 555-0658", "en", "s")]
+    names = ["topic", "n_tokens", "probability", "token_weight", "kept_id", "kept_hash", "copy_", "toxicity_", "uid", "root", "key"]
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), *[f"{n}!" for n in names]) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    import tempfile
+
+    sf_dir = tempfile.mkdtemp()
+    spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{sf_dir}/labels.parquet")
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, now, sf_dir)
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert all(x[n] == f"{n}!" for x in got for n in names)
+        # one of the two equal texts goes; all rows without words, and the others, stay
+        assert len(got) == (7 if name == "toxicity" else 6) or name == "mixing"
+        now = out
+    assert {x.doc_id for x in now.filter("text is null or text = ''").collect()} == {2, 3}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == 7

@@ -55,7 +55,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Settings that name the pseudonyms' key, or a text file with it (which then shows in no plan).
 KEY_SETTING, KEY_FILE_SETTING = "spark.vecflow.pseudonym.key", "spark.vecflow.pseudonym.keyFile"
 #: Where neither is set: for tests and trials only, as everybody knows it.
-TRIAL_KEY = PSEUDONYM_KEY = "vecflow trial key"
+TRIAL_KEY = "vecflow trial key"
 
 
 def with_pseudonyms(docs: DataFrame) -> DataFrame:

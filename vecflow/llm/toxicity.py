@@ -9,7 +9,9 @@ the few features that matter, so single sentences can be pointed out afterwards.
 Null and empty texts, and texts without letters, hold no sentence and score 0. Labels that are
 null are ignored; a document labelled more than once counts as toxic if any of its labels says so.
 Without any usable label every document scores 0. Training reads a sample of labelled documents
-bounded by max_documents (chosen by a hash of their id); scoring reads every whole text.
+(in the order of a hash of their id) bounded by max_documents and by max_chars in all; scoring reads
+every whole text. A row without an id is never held out and never learned from. Rows that repeat are
+scored alike; other columns stay as they are; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -29,7 +31,7 @@ WORD = re.compile(r"[^\W\d_]+")
 PIECE_WORDS = 64
 DIMENSIONS = 1 << 18
 BEGINNINGS = (4, 5)
-MAX_TRAINING_DOCUMENTS = 6000
+MAX_TRAINING_DOCUMENTS, MAX_TRAINING_CHARS = 6000, 48_000_000
 EPOCHS, STEP, PENALTY = 80, 0.2, 1e-4
 OFFENDING = 0.2
 FOLDS, HELD_OUT = 5, 0
@@ -46,7 +48,7 @@ def features(word: str) -> tuple[int, ...]:
 
 def held_out(doc_id: Column) -> Column:
     """True for the rows that training must not see."""
-    return F.crc32(doc_id.cast("string")) % FOLDS == HELD_OUT
+    return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == HELD_OUT, F.lit(False))
 
 
 @dataclass(frozen=True)
@@ -117,9 +119,9 @@ def train(labels: np.ndarray, sentence_counts: np.ndarray, sizes: np.ndarray, fl
     return Model(float(b), {int(i): float(w[i]) for i in np.flatnonzero(w)})
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_documents: int = MAX_TRAINING_DOCUMENTS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_documents: int = MAX_TRAINING_DOCUMENTS, max_chars: int = MAX_TRAINING_CHARS) -> Model:
     """Learns from labels (doc_id, toxic) outside the held-out fold. The driver gets the hashed
-    features of max_documents documents at most."""
+    features of max_documents documents of max_chars characters in all at most."""
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
         .filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
@@ -129,8 +131,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_documents: int = MAX_TRAINING_DO
         .limit(max_documents)
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sizes = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.sum(F.length("text")).alias("chars"))  # max_documents rows at most
+    upto = F.sum("chars").over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id"), "doc_id"))
+    few = sizes.withColumn("upto", upto).filter(F.coalesce("upto", F.lit(0)) <= max_chars).select("doc_id", "toxic")
     bags = (
-        texts.join(F.broadcast(chosen), "doc_id")  # max_documents rows at most
+        texts.join(F.broadcast(few), "doc_id")
         .select("doc_id", "toxic", "text")
         .mapInArrow(_bags, "doc_id long, toxic int, sizes array<int>, features array<int>")
         .toArrow()
