@@ -27,9 +27,6 @@ HEADLINES = [
     "star_join_revenue",
     "latency_percentiles",
     "session_windows",
-    "global_aggregates",
-    "routed_two_tier",
-    "semantic_text_search",
 ]
 
 
