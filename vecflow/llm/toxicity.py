@@ -33,6 +33,8 @@ DIMENSIONS = 1 << 18
 BEGINNINGS = (4, 5)
 MAX_TRAINING_DOCUMENTS, MAX_TRAINING_CHARS = 6000, 48_000_000
 EPOCHS, STEP, PENALTY = 80, 0.2, 1e-4
+#: Features that a training step holds in double precision at once, which bounds the driver's memory.
+TRAINED_AT_ONCE = 1 << 19
 OFFENDING = 0.2
 FOLDS, HELD_OUT = 5, 0
 
@@ -100,16 +102,23 @@ def train(labels: np.ndarray, sentence_counts: np.ndarray, sizes: np.ndarray, fl
     y, n = labels[used].astype(np.float32), int(used.sum())
     owner = np.repeat(np.arange(n, dtype=np.int32), sentence_counts[used])
     sentence = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    often = np.bincount(flat, minlength=DIMENSIONS) >= 3
-    sentence, flat = sentence[often[flat]], flat[often[flat]]
+    parts = lambda: range(0, len(flat), TRAINED_AT_ONCE)
+    often = sum((np.bincount(flat[i : i + TRAINED_AT_ONCE], minlength=DIMENSIONS) for i in parts()), np.zeros(DIMENSIONS, np.int64)) >= 3
+    used_features = often[flat]
+    sentence, flat = sentence[used_features], flat[used_features]
     w, m, v = (np.zeros(DIMENSIONS) for _ in range(3))
     b, mb, vb = -6.0, 0.0, 0.0
     for k in range(1, EPOCHS + 1):
-        z = np.clip(b + np.bincount(sentence, w[flat], minlength=len(sizes)), -30, 30)
+        z = np.full(len(sizes), b)
+        for i in parts():
+            z += np.bincount(sentence[i : i + TRAINED_AT_ONCE], w[flat[i : i + TRAINED_AT_ONCE]], minlength=len(sizes))
+        z = np.clip(z, -30, 30)
         p = 1 / (1 + np.exp(-z))
         document = np.clip(-np.expm1(-np.bincount(owner, np.logaddexp(0, z), minlength=n)), 1e-6, 1 - 1e-6)
         back = np.where(y == 1, -(1 - document) / document, 1.0)[owner] * p
-        g, gb = np.bincount(flat, back[sentence], minlength=DIMENSIONS) / n, back.sum() / n
+        g, gb = np.zeros(DIMENSIONS), back.sum() / n
+        for i in parts():
+            g += np.bincount(flat[i : i + TRAINED_AT_ONCE], back[sentence[i : i + TRAINED_AT_ONCE]], minlength=DIMENSIONS) / n
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         scale = STEP / (np.sqrt(v / (1 - 0.99**k)) + 1e-6)
@@ -141,9 +150,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_documents: int = MAX_TRAINING_DO
         .toArrow()
         .sort_by("doc_id")
     )
-    sizes, flat = bags["sizes"].combine_chunks(), bags["features"].combine_chunks()
+    toxic = (bags["toxic"].to_numpy() > 0).astype(int)
+    sizes = bags["sizes"].combine_chunks()
     counts = sizes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    return train((bags["toxic"].to_numpy() > 0).astype(int), counts, sizes.flatten().to_numpy(), flat.flatten().to_numpy())
+    sizes, flat = sizes.flatten().to_numpy(), bags["features"].combine_chunks().flatten().to_numpy()
+    del bags
+    model = train(toxic, counts, sizes, flat)
+    del sizes, flat
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def scorer(model: Model):
