@@ -30,6 +30,8 @@ from .storage import stored
 from .tokens import encoder
 
 GROUP_PIECES = 16_384
+#: Documents encoded at once; the encoder takes them in runs of bounded size.
+ROWS = 4096
 #: Bins filled less than this share of a sequence go to the next round.
 CLOSED = 0.995
 
@@ -44,9 +46,9 @@ def cut(docs: DataFrame, vocabulary: str, end_id: int, size: int, id_column: str
         encode = encoder(vocabulary).encode
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
+            for i in range(0, batch.num_rows, ROWS):
                 rows: list[tuple] = []
-                part = batch.slice(i, 512)
+                part = batch.slice(i, ROWS)
                 for key, ids in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()])):
                     ids += end
                     for k, a in enumerate(range(0, len(ids), 4 * size)):

@@ -38,6 +38,8 @@ DICTIONARY_BYTES = 64 * 1024
 LEVEL = 3
 #: Text that a shard holds, about.
 SHARD_BYTES = 64 << 20
+#: Documents encoded at once; the encoder takes them in runs of bounded size.
+ROWS = 4096
 
 READ_SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
 
@@ -89,8 +91,8 @@ def _shards(uri: str, name: str, digest: str, dtype: str, vocabulary: str, end_i
         compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(f"{uri}/{name}", digest), write_content_size=True)
         with new_file(f"{uri}/{shard}.tok") as frames:
             while batch is not None:
-                for i in range(0, batch.num_rows, 512):
-                    part = batch.slice(i, 512)
+                for i in range(0, batch.num_rows, ROWS):
+                    part = batch.slice(i, ROWS)
                     for key, got in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()])):
                         raw = serialized(got, end_id, dtype)
                         frame = compressor.compress(raw)

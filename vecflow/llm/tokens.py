@@ -2,8 +2,9 @@
 
 Both vocabularies split a text into words before merging bytes, and no merge crosses a word.
 A text may therefore be cut where a word surely ends, and each distinct piece needs the library
-only once per worker. Cuts are made between letters and other signs and before blanks, in texts
-whose characters are all known to be safe for that; every other text goes to the library whole.
+only once per worker: texts are cut as arrays of bytes and their distinct pieces told by Arrow.
+Cuts are made between letters and other signs and before blanks, in texts whose characters are all
+known to be safe for that; every other text goes to the library whole.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Texts of these characters only may be cut (no other blanks, letters, marks or digits).
@@ -20,6 +23,16 @@ PLAIN = re.compile(rf"[\n -~¡¿«»{LETTERS}]*")
 LONGEST_KEPT = 48
 #: Pieces kept per worker before the memo starts anew (about 200 bytes each).
 MEMO_LIMIT = 800_000
+#: Texts encoded at once.
+RUN_CHARACTERS = 4 << 20
+#: Between pieces in one string; no character of a text that may be cut.
+CUT = "\x01"
+#: What the bytes of such texts are: blanks, letters, other signs, or the second byte of a character.
+BLANK, LETTER, SIGN, SECOND_BYTE = range(4)
+KINDS = np.full(256, SIGN, np.uint8)
+KINDS[[ord(" "), ord("\n")]] = BLANK
+KINDS[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), 0xC3]] = LETTER  # 0xC3 begins À to ÿ
+KINDS[0x80:0xC0] = SECOND_BYTE
 
 
 class MemoEncoder:
@@ -30,12 +43,6 @@ class MemoEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.blanks_count = self.tokenizer.encode("a b", add_special_tokens=False).ids != self.tokenizer.encode("a  b", add_special_tokens=False).ids
-        if self.blanks_count:
-            self.fine = re.compile(rf"[ \n]*[{LETTERS}]+|[ \n]*[^{LETTERS} \n]+|[ \n]+$")
-            self.coarse = re.compile(r"[ \n]*[^ \n]+|[ \n]+$")
-        else:
-            self.fine = re.compile(rf"[{LETTERS}]+|[^{LETTERS} \n]+")
-            self.coarse = re.compile(r"[^ \n]+")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: Put between short pieces that are encoded in one go; its id can't come from a piece without mark.
         self.mark, self.separator = ("\n", "\n") if self.blanks_count else ("|", " | ")
@@ -71,30 +78,80 @@ class MemoEncoder:
         if other := [p for p in pieces if p not in simple_set]:
             self.memo.update(zip(other, self._library(other)))
 
-    def cuts(self, text: str) -> list[str] | None:
-        if PLAIN.fullmatch(text) is None or any(s in text for s in self.special):
-            return None
-        return (self.coarse if "'" in text else self.fine).findall(text)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def cuttable(self, text: str) -> bool:
+        return PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)
+
+    @staticmethod
+    def pieces(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Distinct pieces of the texts, the number of each piece in order, and where each text's
+        pieces end. A piece is letters or other signs with the blanks before them, or blanks at the
+        end of a text; words with an apostrophe stay whole, as contractions are tokens. The pieces of
+        a text joined are the text."""
+        encoded = [t.encode() for t in texts]
+        data = b"".join(encoded)
+        raw = np.frombuffer(data, np.uint8)
+        end = np.cumsum(np.fromiter(map(len, encoded), np.int64, len(encoded)))
+        begins = np.unique(np.concatenate([[0], end[:-1]])) if len(raw) else np.zeros(0, np.int64)
+        begins = begins[begins < len(raw)]
+        kind = KINDS[raw]
+        second = np.flatnonzero(kind == SECOND_BYTE)
+        kind[second] = kind[second - 1]
+        cut = np.zeros(len(raw), bool)
+        cut[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] != BLANK)
+        cut[begins] = True
+        if len(quotes := np.flatnonzero(raw == ord("'"))):
+            word_begins = cut & (kind == BLANK)
+            word_begins[begins] = True
+            word = np.cumsum(word_begins)
+            whole = np.zeros(len(raw) + 1, bool)
+            whole[word[quotes]] = True
+            cut &= word_begins | ~whole[word]
+        at = np.flatnonzero(cut)
+        offsets = np.append(at, len(raw)).astype(np.int32)
+        coded = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
+        names = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), CUT)[0].as_py().split(CUT) if len(at) else []
+        return names, coded.indices.to_numpy(), np.searchsorted(at, end)
+
+    def ids_of(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each of some distinct pieces."""
         if len(self.memo) > self.memo_limit:
             self.memo = {}
-        get = self.memo.get
-        pieces = [self.cuts(t) for t in texts]
-        found = [None if p is None else list(map(get, p)) for p in pieces]
-        missing = {w for p, v in zip(pieces, found) if v is not None and None in v for w, x in zip(p, v) if x is None}
-        self._learn([w for w in missing if len(w) <= LONGEST_KEPT])
-        long = [w for w in missing if len(w) > LONGEST_KEPT]
-        own = dict(zip(long, self._library(long)))
-        out = []
-        for text, p, v in zip(texts, pieces, found):
-            if p is None:
-                out.append(self._library([text])[0])
-            elif None in v:
-                out.append(b"".join([own[w] if x is None and w in own else get(w) if x is None else x for w, x in zip(p, v)]))
-            else:
-                out.append(b"".join(v))
-        return out
+        known = list(map(self.memo.get, pieces))
+        if None in known:
+            unknown = [k for k, ids in enumerate(known) if ids is None]
+            self._learn([pieces[k] for k in unknown if len(pieces[k]) <= LONGEST_KEPT])
+            long = [k for k in unknown if len(pieces[k]) > LONGEST_KEPT]
+            own = dict(zip(long, self._library([pieces[k] for k in long])))
+            for k in unknown:
+                known[k] = own[k] if k in own else self.memo[pieces[k]]
+        return known
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids. Texts are taken in runs of RUN_CHARACTERS, a longer one alone."""
+        out: list[bytes] = []
+        run, characters = [], 0
+        for text in texts:
+            if run and characters + len(text) > RUN_CHARACTERS:
+                out += self._encode_run(run)
+                run, characters = [], 0
+            run.append(text)
+            characters += len(text)
+        return out + self._encode_run(run) if run else out
+
+    def _encode_run(self, texts: list[str]) -> list[bytes]:
+        cuttable = [self.cuttable(t) for t in texts]
+        whole = iter(self._library([t for t, c in zip(texts, cuttable) if not c]))
+        pieces, number, ends = self.pieces([t for t, c in zip(texts, cuttable) if c])
+        ids = self.ids_of(pieces)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first = np.cumsum(size) - size
+        size, first = size[number], first[number]
+        after = np.cumsum(size)
+        at = np.repeat(first - (after - size), size) + np.arange(after[-1] if len(after) else 0)
+        raw = np.frombuffer(b"".join(ids), "<u4")[at].tobytes()
+        bounds = 4 * np.concatenate([[0], np.concatenate([[0], after])[ends]])
+        cut = iter([raw[a:b] for a, b in zip(bounds.tolist(), bounds[1:].tolist())])
+        return [next(cut) if c else next(whole) for c in cuttable]
 
 
 @lru_cache(maxsize=4)
