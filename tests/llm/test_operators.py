@@ -271,3 +271,23 @@ def test_local_search_empties_bins():
     bins = np.arange(len(lengths))  # the worst start: a bin each
     better = packing.improve(lengths, bins, 12, patience=200)
     assert better.max() + 1 <= -(-lengths.sum() // 12) + 1 and np.bincount(better, lengths).max() <= 12
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoding_by_pieces_equals_the_library(name, monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from vecflow.llm import tokens
+
+    path = public_tokenizers.path(name)
+    rng = random.Random(5)
+    signs = [*"ab Z'0. \n\n -|,é¿ñ", "<|endoftext|>", "'s", "n't", "  ", " | ", "\t", "\x01", "中"]
+    texts = ["".join(rng.choices(signs[: rng.choice([17, len(signs)])], k=rng.randint(0, 50))) for _ in range(3000)]
+    texts += ["", " ", "\n\n", "'", "a  ", "  a", "x" * 100 + " y" * 500, "don 't can't " * 40]
+    library = Tokenizer.from_file(path)
+    expected = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert tokens.MemoEncoder(path).encode(texts) == expected
+    monkeypatch.setattr(tokens, "RUN_CHARACTERS", 64)  # many runs, and a memo that starts anew
+    assert tokens.MemoEncoder(path, memo_limit=50).encode(texts) == expected
+    assert tokens.MemoEncoder(path).encode([]) == []
