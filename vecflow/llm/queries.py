@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lsh_forest, mixing, multi_index, packing, pii, sql, suffix_dedup, token_store, toxicity, warc, weighted_sampling
+from . import late_sessions, lsh_forest, mixing, multi_index, packing, pii, sql, suffix_dedup, token_store, toxicity, warc, weighted_sampling
 from .storage import workdir
 
 
@@ -92,6 +92,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, size=4096)
 
 
+def op13_late_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return late_sessions.versions(late_sessions.events_of(_table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": op1_token_store,
@@ -104,6 +108,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_weighted_sampling": op8_weighted_sampling,
         "op9_warc": op9_warc,
         "op10_packing": op10_packing,
+        "op13_late_sessions": op13_late_sessions,
     }
 
 

@@ -92,5 +92,41 @@ FROM (SELECT page_id, coalesce(html, '') AS h, min(page_id) OVER (PARTITION BY c
 """
 
 
+#: CRC-32 of the ASCII text {0}, bit by bit.
+CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({0}, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, skip: xor(r >> 1, CASE WHEN r & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"""
+
+#: The state after each batch of a user built anew, sessions by the gaps in it.
+SESSIONS = f"""
+WITH turns AS (
+    SELECT CAST(conv_id AS BIGINT) AS conv, CAST(turn AS BIGINT) AS t,
+        {CRC.format("CAST(conv_id AS VARCHAR)")} AS c, {CRC.format("CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR)")} AS h
+    FROM conversations WHERE turn IS NOT NULL AND conv_id IS NOT NULL
+), placed AS (
+    SELECT 2 * CAST(floor(conv / 8) AS BIGINT) + c % 2 AS u, (c // 2) % 7200 + 300 * t + h % 600 AS s, h, h // 600 AS g FROM turns
+), events AS (
+    SELECT u, s, h, CAST(floor(s / 3600) AS BIGINT) + CASE WHEN g % 3 = 0 THEN g % 4 ELSE 0 END AS b FROM placed
+), states AS (
+    SELECT k.u, k.b AS upto, e.b, e.s, e.h FROM (SELECT DISTINCT u, b FROM events) k JOIN events e ON e.u = k.u AND e.b <= k.b
+), gaps AS (
+    SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY u, upto ORDER BY s) <= 420 THEN 0 ELSE 1 END AS breaks FROM states
+), runs AS (
+    SELECT *, sum(breaks) OVER (PARTITION BY u, upto ORDER BY s ROWS UNBOUNDED PRECEDING) AS run FROM gaps
+), versions AS (
+    SELECT u, upto, min(s) AS first, max(s) AS last, count(*) AS n, count(*) FILTER (b = upto) AS fresh, CAST(sum(h) AS BIGINT) AS total
+    FROM runs GROUP BY u, upto, run HAVING max(b) = upto
+), log AS (
+    SELECT v.u, v.upto, v.first, min(w.upto) AS by_batch, arg_min(w.first, w.upto) AS by_start
+    FROM versions v JOIN versions w ON w.u = v.u AND w.upto > v.upto AND v.first BETWEEN w.first AND w.last GROUP BY ALL
+), swallowed AS (
+    SELECT u, by_batch, by_start, count(*) AS n FROM log GROUP BY ALL
+)
+SELECT v.u AS "user", v.upto AS batch, v.first AS start_s, v.last AS end_s, v.n AS n_events, v.fresh AS n_new, coalesce(r.n, 0) AS n_retracted,
+    v.total AS h_sum, l.by_batch AS retracted_batch, l.by_start AS retracted_start_s
+FROM versions v LEFT JOIN log l ON l.u = v.u AND l.upto = v.upto AND l.first = v.first
+LEFT JOIN swallowed r ON r.u = v.u AND r.by_batch = v.upto AND r.by_start = v.first
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_lsh_forest": JOIN, "op7_mixing": mix(), "op9_warc": WARC}
+    return {"op4_lsh_forest": JOIN, "op7_mixing": mix(), "op9_warc": WARC, "op13_late_sessions": SESSIONS}
