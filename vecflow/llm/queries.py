@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, late_sessions, lsh_forest, mixing, multi_index, packing, pii, sql, suffix_dedup, token_store, toxicity, warc, weighted_sampling
+from . import alignment, block_labeller, late_sessions, lsh_forest, mixing, multi_index, packing, pii, sql, suffix_dedup, token_store, toxicity, warc, weighted_sampling
 from .storage import workdir
 
 
@@ -92,6 +92,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, size=4096)
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return block_labeller.extracted(pages, block_labeller.fit(pages))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = alignment.chunks(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
     return alignment.aligned(chunks, alignment.pair_counts(chunks))
@@ -113,6 +118,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_weighted_sampling": op8_weighted_sampling,
         "op9_warc": op9_warc,
         "op10_packing": op10_packing,
+        "op11_html_extraction": op11_html_extraction,
         "op12_alignment": op12_alignment,
         "op13_late_sessions": op13_late_sessions,
     }
