@@ -5,6 +5,7 @@ import itertools
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from vecflow.llm import alignment
 from vecflow.llm.queries import vocabulary
@@ -84,23 +85,44 @@ def test_whole_small_table(spark):
 
 
 def test_units_by_random_texts():
-    r, align = random.Random(2), alignment.Aligner(A, B, memo_limit=50)
-    marks = [" ", " ", "\n", "\t", " ", "​", " ", "\x85", "\x1c", "a", "'s", "B", "9", "!", "é", "日", "\U0001f600", "the", "'"]
-    texts = ["".join(r.choices(marks, k=r.randint(1, 30))) for _ in range(1500)]
-    for t in texts:
-        a = [i for x, _ in align.encoded(align.units(t)) for i in x]
-        b = [i for _, y in align.encoded(align.units(t)) for i in y]
-        assert (a, b) == tuple(next(align.encoded([" " + t])))
-
-
-def test_transducer_steps():
+    r, align = random.Random(2), alignment.Aligner(A, B)
+    marks = [" ", " ", "\n", "\t", "@a0", "@200b", "@3000", "\x85", "\x1c", "a", "'s", "B", "9", "!", "é", "日", "\U0001f600", "the", "'"]
+    marks = [chr(int(m[1:], 16)) if m[0] == "@" else m for m in marks]
+    for _ in range(1500):
+        t = "".join(r.choices(marks, k=r.randint(1, 30)))
+        parts = align.encoded(align.units(t))
+        assert [[i for x in side for i in x] for side in parts] == [side[0] for side in align.encoded([" " + t])]
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_transducer_steps(monkeypatch, few):
+    """All units at once, or one by one."""
+    monkeypatch.setattr(alignment, "FEW_UNITS", max(few, 1))
     t = alignment.Transducer([b"ab", b"c", b"d", b"abc"], [b"a", b"bc", b"d", b"x"])
-    assert t.groups([0, 1, 2], [0, 1, 2]) == [([0, 1], [0, 1]), ([2], [2])]
-    assert t.groups([3], [0, 1]) == [([3], [0, 1])]
-    assert t.groups([0], [0]) is None and t.groups([0], [3]) is None and t.groups([2], [2, 2]) is None and t.groups([], []) == []
-    before = len(t.steps)
-    t.groups([0, 1, 2], [0, 1, 2])
-    assert len(t.steps) == before
+    units = [([0, 1, 2], [0, 1, 2]), ([3], [0, 1]), ([0], [0]), ([0], [3]), ([2], [2, 2]), ([], []), ([2, 2], [2]), ([], [2]), ([3, 2, 0, 1], [0, 1, 2, 0, 1])]
+    flat = [np.array([x for u in units for x in u[k]], np.int64) for k in (0, 1)]
+    counts = [np.array([len(u[k]) for u in units]) for k in (0, 1)]
+    for _ in range(2):
+        a, b, good = t.groups(tuple(flat), tuple(counts))
+        assert good.tolist() == [True, True, False, False, False, True, False, False, True]
+        assert a[:4].tolist() == [0, 0, 1, 0] and a[-4:].tolist() == [0, 1, 2, 2]
+        assert b[:5].tolist() == [0, 0, 1, 0, 0] and b[-5:].tolist() == [0, 0, 1, 2, 2]
+    assert t.steps[0 << 16 | 0] == t.numbers[0][b"ab"] and t.states[0] == (1, b"")
+
+
+def test_large_groups(monkeypatch):
+    align = alignment.Aligner(A, B)
+    units = align.units("naïve aaaaaaaaaaaaaaaaaa 日本語 the")
+    want = align.aligned(units)
+    monkeypatch.setattr(alignment, "LARGE_GROUP", 1)
+    got = align.aligned(units)
+    for u in range(len(units)):
+        pairs = [Counter(), Counter()]
+        for c, x in zip(pairs, (want, got)):
+            end = np.cumsum(x.n_codes)
+            for code, n in zip(x.codes[end[u] - x.n_codes[u] : end[u]].tolist(), x.times[end[u] - x.n_codes[u] : end[u]].tolist()):
+                c[code] += n
+        assert pairs[0] == pairs[1]
 
 
 def test_nothing_and_groups(spark):

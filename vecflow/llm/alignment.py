@@ -3,10 +3,11 @@
 Both tokenizers cover the same bytes. One side leads by some unmatched bytes, the residual; the other side
 takes its next token, which either eats into the residual or overtakes it and leads by what is left over.
 A group of tokens closes when the residual is empty: there both sides end a token. The step depends on the
-residual and the next token alone, so steps are memoised by them.
+residual and the next token alone. Residuals, with the side that leads, are numbered as states, and steps
+are memoised in a sorted table by state and token, so all units of a chunk take a step at once.
 
 No token of either vocabulary goes from a visible character over to a blank, so a text is cut there into
-units (blanks and a word), each of which is encoded and aligned once per worker.
+units (blanks and a word), and each distinct unit of a chunk is encoded and aligned once.
 
 A corpus is counted in two passes. The first turns some megabytes of text at a time into one row, a chunk:
 its distinct id pairs, in how many of its documents each is linked, and for each document the positions of
@@ -21,8 +22,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -35,11 +36,11 @@ from pyspark.sql import functions as F
 from .storage import stored
 
 #: Characters of text in a chunk, but for a longer single text.
-CHUNK_CHARACTERS = 6 << 20
-#: Units longer than this are not kept; so many are kept per worker before the memo starts anew.
-LONGEST_KEPT, MEMO_LIMIT = 48, 250_000
-#: Steps kept per worker.
-STEP_LIMIT = 500_000
+CHUNK_CHARACTERS = 4 << 20
+#: Steps kept per worker, and units that are fewer than this take them one by one.
+STEP_LIMIT, FEW_UNITS = 500_000, 48
+#: Groups with more pairs of tokens than this are counted by their distinct tokens.
+LARGE_GROUP = 1024
 #: U+2581 stands for a blank in pieces.
 BLANK_MARK = "\u2581"
 UNIT = re.compile(r" +[^ ]*")
@@ -70,54 +71,118 @@ def piece_bytes(piece: str) -> bytes:
 
 
 class Transducer:
-    """Tokens of two sides into groups. State: who leads (0 or 1) and its unmatched bytes."""
+    """Tokens of two sides into groups. A state is the side that leads (0 or 1) and its unmatched bytes;
+    state 0 has none."""
 
     def __init__(self, first: list[bytes], second: list[bytes]):
         self.bytes = first, second
-        self.steps: dict[tuple[int, bytes, int], tuple[int, bytes] | None] = {}
-
-    def step(self, lead: int, residual: bytes, token: int) -> tuple[int, bytes] | None:
-        """The state after the side that does not lead takes a token; None if the bytes differ."""
-        key = lead, residual, token
+        self.forget()
+
+    def forget(self) -> None:
+        self.states: list[tuple[int, bytes]] = [(1, b"")]
+        self.numbers = {b"": 0}, {b"": 0}
+        self.leads = np.ones(1, np.int8)
+        self.steps: dict[int, int] = {}
+        self.keys, self.targets = np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def step(self, key: int) -> int:
+        """The state after the side that does not lead takes a token, -1 if the bytes differ. key: state
+        and token."""
         if key in self.steps:
             return self.steps[key]
-        new = self.bytes[1 - lead][token]
+        (lead, residual), new = self.states[key >> 16], self.bytes[1 - self.states[key >> 16][0]][key & 0xFFFF]
         if residual.startswith(new):
-            to = lead, residual[len(new) :]
+            lead, left = lead, residual[len(new) :]
         elif new.startswith(residual):
-            to = 1 - lead, new[len(residual) :]
+            lead, left = 1 - lead, new[len(residual) :]
         else:
-            to = None
-        if len(residual) <= LONGEST_KEPT:
-            if len(self.steps) >= STEP_LIMIT:
-                self.steps.clear()
-            self.steps[key] = to
+            lead, left = lead, None
+        to = -1 if left is None else self.numbers[lead].get(left)
+        if to is None:
+            to = self.numbers[lead][left] = len(self.states)
+            self.states.append((lead, left))
+        self.steps[key] = to
         return to
 
-    def groups(self, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]] | None:
-        """Groups of ids, None if the two sides' bytes differ."""
-        sides, at = (a, b), [0, 0]
-        lead, residual, begun = 1, b"", [0, 0]
-        found = []
-        while at[0] < len(a) or at[1] < len(b):
-            other = 1 - lead
-            if at[other] == len(sides[other]):
-                return None
-            state = self.step(lead, residual, sides[other][at[other]])
-            if state is None:
-                return None
-            at[other] += 1
-            lead, residual = state
-            if not residual:
-                found.append((a[begun[0] : at[0]], b[begun[1] : at[1]]))
-                lead, begun = 1, at.copy()
-        return None if residual else found
+    def take(self, keys: np.ndarray) -> np.ndarray:
+        """step for each of many keys."""
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        unknown = keys if not len(self.keys) else keys[self.keys[at] != keys]
+        if len(unknown):
+            for key in np.unique(unknown).tolist():
+                self.step(key)
+            self.keys = np.fromiter(self.steps.keys(), np.int64, len(self.steps))
+            order = np.argsort(self.keys)
+            self.keys, self.targets = self.keys[order], np.fromiter(self.steps.values(), np.int32, len(self.steps))[order]
+            self.leads = np.fromiter((lead for lead, _ in self.states), np.int8, len(self.states))
+            at = np.searchsorted(self.keys, keys)
+        return self.targets[at]
+
+    def groups(self, tokens: tuple[np.ndarray, np.ndarray], counts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For units with so many tokens on each side: the group of each token within its unit, on both
+        sides, and which units' bytes are the same on both."""
+        if len(self.steps) > STEP_LIMIT:
+            self.forget()
+        ends = [np.cumsum(c) for c in counts]
+        at = [e - c for e, c in zip(ends, counts)]
+        group = [np.zeros(len(t), np.int32) for t in tokens]
+        units = len(counts[0])
+        state, now, good = np.zeros(units, np.int64), np.zeros(units, np.int32), np.zeros(units, bool)
+        active = np.arange(units)
+        while len(active) >= FEW_UNITS:
+            side = 1 - self.leads[state[active]]
+            going = []
+            for k in (0, 1):
+                own = active[side == k]
+                over = at[k][own] == ends[k][own]
+                done = own[over]
+                good[done] = (state[done] == 0) & (at[1][done] == ends[1][done]) & (at[0][done] == ends[0][done])
+                own = own[~over]
+                place = at[k][own]
+                group[k][place] = now[own]
+                state[own] = to = self.take(state[own] << 16 | tokens[k][place])
+                at[k][own] += 1
+                now[own] += to == 0
+                going.append(own[to >= 0])
+            active = np.concatenate(going)
+        for u in active.tolist():
+            s, g, places, limits = int(state[u]), int(now[u]), [int(x[u]) for x in at], [int(x[u]) for x in ends]
+            while s >= 0:
+                k = 1 - self.states[s][0]
+                if places[k] == limits[k]:
+                    good[u] = s == 0 and places == limits
+                    break
+                group[k][places[k]] = g
+                s = self.step(s << 16 | int(tokens[k][places[k]]))
+                places[k] += 1
+                g += s == 0
+        return group[0], group[1], good
+
+
+@dataclass
+class Units:
+    """Aligned units. totals: n_a, n_b, n_groups, n_links of each; the links' codes and times, and the
+    groups' text as places in a table of pieces, are in one row, with how many each unit has. Units
+    that are not good have none."""
+
+    good: np.ndarray
+    totals: np.ndarray
+    codes: np.ndarray
+    times: np.ndarray
+    n_codes: np.ndarray
+    pieces: np.ndarray
+    n_pieces: np.ndarray
+
+
+def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... for each first, size of them."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
 class Aligner:
     """Units of text and what their alignment gives."""
 
-    def __init__(self, path_a: str, path_b: str, memo_limit: int = MEMO_LIMIT):
+    def __init__(self, path_a: str, path_b: str):
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -130,9 +195,11 @@ class Aligner:
         self.blank = [self.b.piece_to_id(BLANK_MARK)]
         self.whole = any(re.search(f"[^{BLANK_MARK}]{BLANK_MARK}", n) for n in names)
         ids = range(self.a.get_vocab_size())
-        self.transducer = Transducer(byte_level_bytes([self.a.id_to_token(i) or "" for i in ids]), [piece_bytes(n) for n in names])
-        self.memo: dict[str, tuple | None] = {}
-        self.memo_limit = memo_limit
+        self.a_bytes = byte_level_bytes([self.a.id_to_token(i) or "" for i in ids])
+        self.a_sizes = np.fromiter(map(len, self.a_bytes), np.int64)
+        self.transducer = Transducer(self.a_bytes, [piece_bytes(n) for n in names])
+        #: Numbers with what follows them in a text of groups: , or | after the first side's, , or ; after the second's.
+        self.pieces = pa.array([f"{i}{sign}" for n, signs in ((len(ids), ",|"), (len(names), ",;")) for sign in signs for i in range(n)])
 
     def units(self, text: str) -> list[str]:
         """A blank and the text, cut before blanks that follow a visible character."""
@@ -150,45 +217,81 @@ class Aligner:
             units = joined
         return units
 
-    def encoded(self, units: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+    def encoded(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Both sides' ids of units, each of which begins with a blank (which the second side adds)."""
         first = self.a.encode_batch_fast(units, add_special_tokens=False)
         second = self.b.encode([u[1:] for u in units], num_threads=1)
-        return zip((e.ids for e in first), (ids if u != " " else self.blank for u, ids in zip(units, second)))
-
-    def _aligned(self, unit: str, a: list[int], b: list[int]) -> tuple | None:
-        groups = self.transducer.groups(a, b)
-        if groups is None or b"".join(self.transducer.bytes[0][i] for i in a) != unit.encode():
-            return None
-        pairs: Counter[int] = Counter()
-        for x, y in groups:
-            if len(x) == len(y) == 1:
-                pairs[x[0] * SECOND + y[0]] += 1
-            else:
-                right = Counter(y).items()
-                for i, n in Counter(x).items():
-                    for j, m in right:
-                        pairs[i * SECOND + j] += n * m
-        text = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
-        codes, times = np.fromiter(pairs.keys(), np.int32, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs))
-        return len(a), len(b), len(groups), sum(len(x) * len(y) for x, y in groups), text, codes.tobytes(), times.tobytes()
-
-    def results(self, units: list[str]) -> list[tuple | None]:
-        """For each distinct unit (n_a, n_b, n_groups, n_links, groups, codes, times), None if the bytes differ."""
-        if len(self.memo) > self.memo_limit:
-            self.memo = {}
-        new = [u for u in units if u not in self.memo]
-        own: dict[str, tuple | None] = {}
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for u, (a, b) in zip(part, self.encoded(part)):
-                (self.memo if len(u) <= LONGEST_KEPT else own)[u] = self._aligned(u, a, b)
-        return [own[u] if u in own else self.memo[u] for u in units]
+        return [e.ids for e in first], [ids if u != " " else self.blank for u, ids in zip(units, second)]
+
+    def _same_bytes(self, units: list[str], a: np.ndarray, n_a: np.ndarray) -> np.ndarray:
+        """Which units their tokens of the first side give back."""
+        want = [u.encode() for u in units]
+        ends = np.concatenate([[0], np.cumsum(self.a_sizes[a])])[np.concatenate([[0], np.cumsum(n_a)])]
+        got = b"".join([self.a_bytes[i] for i in a.tolist()])
+        if got == b"".join(want) and (np.diff(ends) == np.fromiter(map(len, want), np.int64, len(want))).all():
+            return np.ones(len(units), bool)
+        return np.array([got[x:y] == w for x, y, w in zip(ends[:-1].tolist(), ends[1:].tolist(), want)], bool)
+
+    def aligned(self, units: list[str]) -> Units:
+        """The alignment of some units."""
+        ids: tuple[list[np.ndarray], list[np.ndarray]] = [], []
+        counts: tuple[list[int], list[int]] = [], []
+        for i in range(0, len(units), 8192):
+            for k, side in enumerate(self.encoded(units[i : i + 8192])):
+                counts[k].extend(map(len, side))
+                ids[k].append(np.fromiter((x for y in side for x in y), np.int64))
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in ids)
+        n_a, n_b = (np.array(x, np.int64) for x in counts)
+        group_a, group_b, good = self.transducer.groups((a, b), (n_a, n_b))
+        good &= self._same_bytes(units, a, n_a)
+        # tokens of good units, groups numbered over all units
+        unit_a, unit_b = (np.repeat(np.arange(len(units)), n) for n in (n_a, n_b))
+        keep_a, keep_b = good[unit_a], good[unit_b]
+        a, group_a, unit_a, b, group_b, unit_b = a[keep_a], group_a[keep_a], unit_a[keep_a], b[keep_b], group_b[keep_b], unit_b[keep_b]
+        n_groups = np.zeros(len(units), np.int64)
+        np.maximum.at(n_groups, unit_a, group_a + 1)
+        first_group = np.cumsum(n_groups) - n_groups
+        group_a, group_b = first_group[unit_a] + group_a, first_group[unit_b] + group_b
+        unit_of = np.repeat(np.arange(len(units)), n_groups)
+        in_a, in_b = (np.bincount(g, minlength=len(unit_of)) for g in (group_a, group_b))
+        # links of each token of the first side with the group's tokens of the second
+        large = in_a * in_b > LARGE_GROUP
+        begin_a, begin_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
+        few = ~large[group_a]
+        width = in_b[group_a[few]]
+        codes = np.repeat(a[few] * SECOND, width) + b[_spread(begin_b[group_a[few]], width)]
+        owner, times = np.repeat(unit_a[few], width), np.ones(len(codes), np.int64)
+        for g in np.flatnonzero(large).tolist():
+            (x, m), (y, n) = (np.unique(side[begin[g] : begin[g] + size[g]], return_counts=True) for side, begin, size in ((a, begin_a, in_a), (b, begin_b, in_b)))
+            codes = np.concatenate([codes, np.add.outer(x * SECOND, y).ravel()])
+            times = np.concatenate([times, np.multiply.outer(m, n).ravel()])
+            owner = np.concatenate([owner, np.full(len(x) * len(y), unit_of[g])])
+        if large.any():
+            order = np.argsort(owner, kind="stable")
+            codes, times, owner = codes[order], times[order], owner[order]
+        # text of the groups: the first side's tokens, then the second's
+        last_a, last_b = (np.diff(g, append=-1) != 0 for g in (group_a, group_b))
+        pieces = np.empty(len(a) + len(b), np.int32)
+        own_a, own_b = a + last_a * len(self.a_bytes), 2 * len(self.a_bytes) + b + last_b * self.b.get_piece_size()
+        pieces[np.arange(len(a)) + (np.cumsum(in_b) - in_b)[group_a]] = own_a
+        pieces[np.arange(len(b)) + np.cumsum(in_a)[group_b]] = own_b
+        tokens = [np.where(good, n, 0) for n in (n_a, n_b)]
+        links = np.bincount(unit_of, in_a * in_b, len(units)).astype(np.int64)
+        return Units(good, np.stack([*tokens, n_groups, links], axis=1), codes, times, np.bincount(owner, minlength=len(units)), pieces, tokens[0] + tokens[1])
+
+    def texts_of(self, pieces: np.ndarray, counts: np.ndarray) -> list[memoryview]:
+        """Groups' texts from places of pieces, so many for each."""
+        made = self.pieces.take(pa.array(pieces))
+        offsets, data = np.frombuffer(made.buffers()[1], np.int32)[: len(made) + 1], memoryview(made.buffers()[2] or b"")
+        bounds = offsets[np.concatenate([[0], np.cumsum(counts)])].tolist() if len(made) else [0] * (len(counts) + 1)
+        return [data[x : max(x, y - 1)] for x, y in zip(bounds, bounds[1:])]
 
     def groups(self, text: str | None) -> str:
         """A text's groups as a1,a2|b1;a3|b2,b3, empty if it has no tokens."""
-        found = self.results(units) if (units := self.units(text or "")) and text else [None]
-        return "" if None in found else ";".join(r[4] for r in found)
+        if not text:
+            return ""
+        found = self.aligned(self.units(text))
+        return str(self.texts_of(found.pieces, found.n_pieces.sum(keepdims=True))[0], "ascii") if found.good.all() else ""
 
 
 @lru_cache(maxsize=2)
@@ -208,39 +311,40 @@ def _unpacked(data: bytes, kind: str) -> np.ndarray:
 def chunk_row(align: Aligner, ids: list, texts: list[str | None]) -> dict:
     """A chunk's row, but for its number."""
     index: dict[str, int] = {}
-    of_text = [[index.setdefault(u, len(index)) for u in align.units(t)] if t else [] for t in texts]
-    results = align.results(list(index))
-    broken = {k for k, r in enumerate(results) if r is None}
-    if broken:
-        of_text = [[] if broken.intersection(x) else x for x in of_text]
-    known = [r or (0, 0, 0, 0, "", b"", b"") for r in results]
-    counts = np.array([r[:4] for r in known], np.int64).reshape(-1, 4)
-    unit_codes, unit_times = (np.frombuffer(b"".join(r[k] for r in known), kind) for k, kind in ((5, np.int32), (6, np.int64)))
-    size = np.fromiter((len(r[5]) // 4 for r in known), np.int64, len(known))
-    first = np.cumsum(size) - size
-
+    number = index.setdefault
+    of_text = [np.array([number(u, len(index)) for u in align.units(t)], np.int64) if t else np.zeros(0, np.int64) for t in texts]
+    units = align.aligned(list(index))
+    if not units.good.all():
+        of_text = [x if units.good[x].all() else x[:0] for x in of_text]
     length = np.fromiter(map(len, of_text), np.int64, len(of_text))
-    unit = np.fromiter((u for x in of_text for u in x), np.int64, int(length.sum()))
-    keys, repeats = np.unique(np.repeat(np.arange(len(texts)), length) * max(len(known), 1) + unit, return_counts=True)
-    doc, unit = np.divmod(keys, max(len(known), 1))
-    totals = np.zeros((len(texts), 4), np.int64)
-    np.add.at(totals, doc, counts[unit] * repeats[:, None])
-
-    n = size[unit]
-    at = np.repeat(first[unit] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    codes, place = np.unique(unit_codes[at], return_inverse=True)
-    pairs, where = np.unique(np.repeat(doc, n) * max(len(codes), 1) + place, return_inverse=True)
-    times = np.zeros(len(pairs), np.int64)
-    np.add.at(times, where, unit_times[at] * np.repeat(repeats, n))
-    doc, place = np.divmod(pairs, max(len(codes), 1))
-    sizes = np.bincount(doc, minlength=len(texts))
-    digests = [hashlib.sha256(";".join([known[u][4] for u in x]).encode()).hexdigest() if x else "" for x in of_text]
+    unit, n_units = np.concatenate(of_text) if of_text else np.zeros(0, np.int64), max(len(index), 1)
+
+    first_piece = np.cumsum(units.n_pieces) - units.n_pieces
+    pieces = units.pieces[_spread(first_piece[unit], units.n_pieces[unit])]
+    per_text = np.diff(np.concatenate([[0], np.cumsum(units.n_pieces[unit])])[np.concatenate([[0], np.cumsum(length)])])
+    digests = [hashlib.sha256(t).hexdigest() if n else "" for n, t in zip(per_text.tolist(), align.texts_of(pieces, per_text))]
+
+    keys, repeats = np.unique(np.repeat(np.arange(len(texts)), length) * n_units + unit, return_counts=True)
+    doc, unit = np.divmod(keys, n_units)
+    totals = [np.bincount(doc, units.totals[unit, k] * repeats, len(texts)).astype(np.int64) for k in range(4)]
+
+    n = units.n_codes[unit]
+    at = _spread((np.cumsum(units.n_codes) - units.n_codes)[unit], n)
+    codes, place = np.unique(units.codes, return_inverse=True)
+    n_codes = max(len(codes), 1)
+    pairs, where = np.unique(np.repeat(doc, n) * n_codes + place[at], return_inverse=True)
+    times = np.bincount(where, units.times[at] * np.repeat(repeats, n), len(pairs)).astype(np.int64)
+    doc, place = np.divmod(pairs, n_codes)
+    used = np.bincount(place, minlength=len(codes))
+    if (used == 0).any():  # codes of units in no text that counts
+        place = (np.cumsum(used > 0) - 1)[place]
+        codes, used = codes[used > 0], used[used > 0]
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
     return {
-        "documents": [dict(zip(names, row)) for row in zip(ids, *totals.T.tolist(), digests)],
+        "documents": [dict(zip(names, row)) for row in zip(ids, *(t.tolist() for t in totals), digests)],
         "codes": codes.astype(np.int32),
-        "linked_in": np.bincount(place, minlength=len(codes)).astype(np.int32),
-        "sizes": _packed(sizes.astype(np.int64)),
+        "linked_in": used.astype(np.int32),
+        "sizes": _packed(np.bincount(doc, minlength=len(texts)).astype(np.int64)),
         "places": _packed(np.diff(place, prepend=0).astype(np.int32)),
         "times": _packed(times),
     }
