@@ -14,7 +14,7 @@ where that is no date; their years are 1900 to 2099.
 
 A telephone number has a country code after a plus sign and 8 to 15 digits in all, or begins with a
 trunk 0 and has 9 to 11, or has three figures of area and three of exchange, neither beginning with 0
-or 1, and four more.
+or 1, and four more. A mail domain has 127 labels at most; of a longer one the first count.
 
 The key is a text or a column; a column that is read from a file shows in no plan.
 
@@ -33,7 +33,7 @@ WALK = 64
 
 #: Fixed patterns, in order of precedence.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,125}\.[A-Za-z]{2,24}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "ymd": r"(?<![0-9./-])[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}(?![0-9]|[-/.][0-9])",
@@ -212,15 +212,16 @@ WRITTEN = r"^(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}$"
 
 
 def _phone(m: Column, key: str | Column) -> Column:
-    """Behind a country code (three figures, where none is told from the rest) all figures go round,
-    elsewhere those of the same plan."""
+    """Behind a country code (three figures, where none is told from the rest) and behind a trunk 0 all
+    figures go round, elsewhere those of the same plan."""
     permuted = lambda x: permuted_text(x, key, "phone")
     told = F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
     country = F.when(told == "", F.substring(m, 1, 4)).otherwise(told)
     rest = F.substring(m, F.length(country) + 1, F.length(m))
     abroad = F.when(digits(m).rlike("^[1-9][0-9]{7,14}$"), F.concat(country, in_places(rest, permuted(digits(rest)), "0-9"))).otherwise(m)
     within = lambda plan: in_places(m, walked(digits(m), permuted, lambda x: x.rlike(plan)), "0-9")
-    return F.when(m.startswith("+"), abroad).when(digits(m).rlike(TRUNK), within(TRUNK)).when(m.rlike(WRITTEN) & digits(m).rlike(PLAN), within(PLAN)).otherwise(m)
+    trunk = in_places(m, F.concat(F.lit("0"), permuted(F.substring(digits(m), F.lit(2), F.length(m)))), "0-9")
+    return F.when(m.startswith("+"), abroad).when(digits(m).rlike(TRUNK), trunk).when(m.rlike(WRITTEN) & digits(m).rlike(PLAN), within(PLAN)).otherwise(m)
 
 
 def _is(m: Column, kind: str) -> Column:
