@@ -9,8 +9,8 @@ the few features that matter, so single sentences can be pointed out afterwards.
 Null and empty texts, and texts without letters, hold no sentence and score 0. Labels that are
 null are ignored; a document labelled more than once counts as toxic if any of its labels says so.
 Without any usable label every document scores 0. Training reads a sample of labelled documents
-(in the order of a hash of their id) bounded by max_documents and by max_chars in all; scoring reads
-every whole text. A row without an id is never held out and never learned from. Rows that repeat are
+(in the order of a hash of their id) bounded by max_documents and by max_chars in all: a document
+that would go beyond max_chars is left out, later ones that fit are not. Scoring reads every whole text. A row without an id is never held out and never learned from. Rows that repeat are
 scored alike; other columns stay as they are; an empty table stays empty.
 """
 
@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -141,8 +141,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_documents: int = MAX_TRAINING_DO
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sizes = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.sum(F.length("text")).alias("chars"))  # max_documents rows at most
-    upto = F.sum("chars").over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id"), "doc_id"))
-    few = sizes.withColumn("upto", upto).filter(F.coalesce("upto", F.lit(0)) <= max_chars).select("doc_id", "toxic")
+    fitting, left = [], max_chars
+    for x in sizes.orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if (x.chars or 0) <= left:
+            fitting.append((x.doc_id, x.toxic))
+            left -= x.chars or 0
+    few = docs.sparkSession.createDataFrame(fitting, "doc_id long, toxic int")
     bags = (
         texts.join(F.broadcast(few), "doc_id")
         .select("doc_id", "toxic", "text")
