@@ -177,10 +177,11 @@ def _search(coders: dict[int, Coder], queries: str, k: int):
         table = table.sort_by("vec_id")
         coder = coders[table["n"][0].as_py()]
         ids, rows = _matrix(table)
+        numbers = table["row"].to_numpy()
         index = Index(coder.codes(rows))
         for block in parquet_batches(f"{queries}/n={rows.shape[1]}", QUERY_BLOCK):
             asked, points = _matrix(block)
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for i, (q, x, code) in enumerate(zip(asked, points, coder.codes(points))):
 
                 def rank(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,9 +192,10 @@ def _search(coders: dict[int, Coder], queries: str, k: int):
                 top = best(ids[at], score, k)
                 out[0].append(np.full(len(top), q))
                 out[1].append(ids[at[top]])
-                out[2].append(score[top])
-                out[3].append(np.full(len(top), met))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], names=["query_id", "vec_id", "score", "met"])
+                out[2].append(numbers[at[top]])
+                out[3].append(score[top])
+                out[4].append(np.full(len(top), met))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()))], names=["query_id", "vec_id", "row", "score", "met"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -220,17 +222,17 @@ def valid(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
 
 
 def found_by_shard(vectors: DataFrame, query_filter, k: int, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
-    """query_id, vec_id, score, met: up to k answers of each shard for each query, and how many of the
-    shard's rows were retrieved for it."""
+    """query_id, vec_id, row (a number of the candidate row), score, met: up to k answers of each shard for
+    each query row, and how many of the shard's rows were retrieved for it."""
     spark = vectors.sparkSession
-    own = stored(valid(vectors, id_column, vector_column), "vectors")
+    own = stored(valid(vectors, id_column, vector_column).withColumn("row", F.monotonically_increasing_id()), "vectors")
     sizes = {r["n"]: r["count"] for r in own.groupBy("n").count().collect()}  # a row per length of vectors
     coders = {}
     for n in sizes:
         sample = own.filter(F.col("n") == n).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
         coders[n] = learn(_matrix(sample)[1], k)
     queries = workdir(spark, "queries")
-    own.filter(query_filter).dropDuplicates(["vec_id", "embedding"]).write.partitionBy("n").parquet(queries)
+    own.filter(query_filter).drop("row").dropDuplicates(["vec_id", "embedding"]).write.partitionBy("n").parquet(queries)
     shards = {n: max(1, math.ceil(rows / SHARD_ROWS)) for n, rows in sizes.items()}
     parts = F.lit(1)
     for n, count in shards.items():
@@ -238,12 +240,14 @@ def found_by_shard(vectors: DataFrame, query_filter, k: int, id_column: str = "v
     # shards are told by number, lengths by the higher bits
     shard = F.shiftleft(F.col("n").cast("long"), 32) + F.pmod(F.xxhash64("vec_id", F.lit(1)), parts)
     index = own.withColumn("shard", shard).repartition(max(1, sum(shards.values())), "shard").sortWithinPartitions("shard")
-    return index.select("shard", "n", "vec_id", "embedding").mapInArrow(_search(coders, queries, k), "query_id long, vec_id long, score double, met long")
+    return index.select("shard", "n", "vec_id", "row", "embedding").mapInArrow(_search(coders, queries, k), "query_id long, vec_id long, row long, score double, met long")
 
 
 def search(vectors: DataFrame, query_filter, k: int, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row that passes query_filter
-    (a condition on vec_id), among all other rows."""
+    (a condition on vec_id), among all other rows. A row found by several vectors of one query id counts
+    once, with its largest cosine."""
     found = found_by_shard(vectors, query_filter, k, id_column, vector_column)
+    found = found.groupBy("query_id", "row", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
