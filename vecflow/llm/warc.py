@@ -15,7 +15,10 @@ begins a record. That is wrong for archives that hold archives, so it is off by
 The source takes over filters on the header columns, where the session pushes filters to Python
 sources, and builds payloads only of records that pass (and of none with option payload=false).
 resource and conversion records are all payload; other types have none. A file that ends within a
-record ends with the record before. An empty table gives an archive folder without records.
+record ends with the record before. Where a gzip member is damaged or headers are too long, the record
+is lost and reading goes on at the next member, in a plain file at the next line, that begins a record;
+with option damaged=fail that is an error instead. In archives with an index it is always one, as the
+index tells where each record is. An empty table gives an archive folder without records.
 """
 
 from __future__ import annotations
@@ -147,12 +150,17 @@ def parse_headers(raw: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:]) if v}
 
 
+class Damaged(ValueError):
+    """What is read is no gzip member, or no headers of a record."""
+
+
 class Blocks:
     """A file's bytes, inflated if need be, from where it stands on; holds about CHUNK of them."""
 
     def __init__(self, file, packed: bool, end: int | None = None, chunk: int = CHUNK):
         self.file, self.packed, self.end, self.chunk = file, packed, end, chunk
         self.at, self.raw, self.inflate, self.held = file.tell(), b"", None, bytearray()
+        self.torn = False
 
     def more(self, between: bool = False) -> bool:
         """Reads on; between records a gzip member that begins at the end or later is not begun."""
@@ -177,8 +185,9 @@ class Blocks:
                 self.inflate = zlib.decompressobj(31)
             try:
                 got = self.inflate.decompress(self.raw, self.chunk)
-            except zlib.error:
-                return False  # no gzip member: the file's end is damaged
+            except zlib.error as e:
+                self.torn = True
+                raise Damaged(f"no gzip member before byte {self.at}") from e
             if self.inflate.eof:
                 self.raw, self.inflate = self.inflate.unused_data, None
             else:
@@ -187,12 +196,36 @@ class Blocks:
                 self.held += got
                 return True
 
+    def recover(self) -> bool:
+        """Goes on at the next member, or where none was torn at the next line, that begins a record;
+        False if there is none."""
+        if self.torn:
+            self.torn = False
+            here = self.at - len(self.raw)
+            # the member's own first bytes are behind what is left to inflate, or are passed over
+            start = resynced(self.file, here + (self.inflate is not None and self.raw[:3] == b"\x1f\x8b\x08"), self.end)
+            self.raw, self.inflate, self.held = b"", None, bytearray()
+            if start is None:
+                return False
+            self.file.seek(start)
+            self.at = start
+            return True
+        while (n := self.held.find(b"\nWARC/")) < 0:
+            del self.held[: max(0, len(self.held) - 5)]
+            if not self.more():
+                return False
+        del self.held[: n + 1]
+        return True
+
     def until(self, mark: bytes, most: int) -> bytes | None:
-        """What comes before mark, which is passed over; None if it does not come within most bytes."""
+        """What comes before mark, which is passed over; None if the file ends before it. An error if it
+        does not come within most bytes."""
         seen = 0
         while (n := self.held.find(mark, max(0, seen - len(mark)))) < 0:
             seen = len(self.held)
-            if seen > most or not self.more():
+            if seen > most:
+                raise Damaged(f"headers of more than {most} bytes before byte {self.at}")
+            if not self.more():
                 return None
         out = bytes(self.held[:n])
         del self.held[: n + len(mark)]
@@ -230,14 +263,14 @@ class Blocks:
                 return False
 
 
-def resynced(file, start: int, end: int) -> int | None:
-    """Where the first gzip member from start on, before end, begins that begins a record."""
+def resynced(file, start: int, end: int | None) -> int | None:
+    """Where the first gzip member from start on, before end (if given), begins that begins a record."""
     file.seek(start)
     held, at = b"", start
-    while at < end and (got := file.read(CHUNK)):
+    while (end is None or at < end) and (got := file.read(CHUNK)):
         held += got
         k = held.find(b"\x1f\x8b\x08")
-        while 0 <= k and at + k < end:
+        while 0 <= k and (end is None or at + k < end):
             if len(held) < k + 4096:
                 held += file.read(4096)
             try:
@@ -255,6 +288,7 @@ class WarcReader(DataSourceReader):
         self.path = options["path"].rstrip("/")
         self.payload = options.get("payload", "true").lower() != "false"
         self.resync = options.get("resync", "false").lower() == "true"
+        self.fail = options.get("damaged", "skip").lower() == "fail"
         self.split_bytes = int(options.get("splitbytes", options.get("splitBytes", RESYNC_BYTES)))
         self.tests: list[tuple[str, str, object]] = []
 
@@ -289,8 +323,10 @@ class WarcReader(DataSourceReader):
 
     def found(self, blocks: Blocks, one: bool = False) -> Iterator[dict]:
         """The wanted records from where blocks stand on, headers first; or of one record, if it is wanted."""
+        self.cut_short = False
         while blocks.next_record():
             if (head := blocks.until(END, HEADER_BYTES)) is None:
+                self.cut_short = True
                 return
             fields = self.fields(head)
             left = fields["content_length"]
@@ -301,7 +337,11 @@ class WarcReader(DataSourceReader):
                 continue
             kind, out = fields["record_type"], dict(fields, http_length=None, payload=None)
             if kind in ("response", "revisit"):
-                body = blocks.take(left if self.payload and kind == "response" else min(left, HEADER_BYTES))
+                want = left if self.payload and kind == "response" else min(left, HEADER_BYTES)
+                body = blocks.take(want)
+                if len(body) < want:
+                    self.cut_short = True
+                    return
                 http, _, payload = body.partition(END)
                 size = parse_headers(http).get("content-length", "")
                 out["http_length"] = int(size) if size.isascii() and size.isdigit() else None
@@ -310,6 +350,9 @@ class WarcReader(DataSourceReader):
                 left -= len(body)
             elif kind in ("resource", "conversion") and self.payload:
                 out["payload"] = blocks.take(left)
+                if len(out["payload"]) < left:
+                    self.cut_short = True
+                    return
                 left = 0
             yield out
             if one:
@@ -322,7 +365,23 @@ class WarcReader(DataSourceReader):
             if start and (start := resynced(f, start, end)) is None:
                 return
             f.seek(start)
-            yield from self.found(Blocks(f, file.endswith(".gz"), end))
+            blocks = Blocks(f, file.endswith(".gz"), end)
+            while True:
+                try:
+                    yield from self.found(blocks)
+                    return
+                except Damaged as e:
+                    if self.fail:
+                        raise Damaged(f"{file}: {e}") from e
+                    if not self.recovered(blocks):
+                        return
+
+    def recovered(self, blocks: Blocks) -> bool:
+        while True:
+            try:
+                return blocks.recover()
+            except Damaged:
+                continue
 
     def indexed(self, split: Split) -> Iterator[dict]:
         """Records of members whose places are known: of an unwanted one only the headers are inflated."""
@@ -332,7 +391,13 @@ class WarcReader(DataSourceReader):
             for k in range(*offsets.searchsorted([split.start, split.end]).tolist()):
                 f.seek(int(offsets[k]))
                 member = io.BytesIO(f.read(int(sizes[k])))
-                yield from self.found(Blocks(member, True, chunk=4096), one=True)
+                try:
+                    blocks = Blocks(member, True, chunk=4096)
+                    yield from self.found(blocks, one=True)
+                    if self.cut_short:
+                        raise Damaged("a record ends before its length")
+                except Damaged as e:
+                    raise Damaged(f"{split.file}, byte {offsets[k]}: {e}") from e
 
     def read(self, partition: Split | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # Spark asks so where there are no splits
