@@ -377,13 +377,12 @@ def arranged(r: random.Random, article: list[str], prose: list[str]) -> tuple[li
 
 def fit(pages: DataFrame, max_pages: int = MAX_PAGES, max_characters: int = MAX_PAGE_CHARACTERS, epochs: int = EPOCHS) -> Labeller:
     """Learns from max_pages pages (page_id, html) of max_characters each at most, on the driver."""
-    chosen = (
-        pages.select(F.col("page_id").cast("string").alias("page_id"), F.col("html").cast("string").alias("html"))
-        .filter(F.length("html").between(1, max_characters))
-        .orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html"))
-        .limit(max_pages)
-    )
-    read = [leaf_blocks(x.html) for x in chosen.collect()]
+    own = pages.select(F.col("html").cast("string").alias("html"), F.xxhash64(F.col("page_id").cast("string")).alias("a"), F.xxhash64("html").alias("b"))
+    own = own.filter(F.length("html").between(1, max_characters))
+    # pages' hashes are ordered alone, so that no task or driver gets more than max_pages pages
+    few = own.select("a", "b").distinct().orderBy("a", "b").limit(max_pages)
+    chosen = own.join(F.broadcast(few), ["a", "b"]).groupBy("a", "b").agg(F.first("html").alias("html"))
+    read = [leaf_blocks(x.html) for x in sorted(chosen.collect(), key=lambda x: (x.a, x.b))]
     read = [b for b in read if b]
     model = Labeller()
     if not read:
