@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from vecflow import evaluation
-from vecflow.operators import embedding, indexes, search, statistics, stores
+from vecflow.operators import embedding, indexes, product_codes, search, statistics, stores
 from vecflow.sources import vecfiles
 from vecflow.workspace import workdir
 
@@ -92,12 +92,13 @@ def test_sharded_graphs(vectors, queries, points, monkeypatch):
 
 def test_trained_quantizers(vectors, points):
     book = search.trained_codebook(vectors, 4, 64)
-    decode = search.pq_decoder(book)
-    codes = search.pq_encoded(vectors, book, 4, 16).orderBy("vec_id").collect()
-    back = decode(np.array([r.codes for r in codes]))
-    first = search.pq_decoder(search.codebook(vectors, 4, 16, 16))
-    untrained = first(np.array([r.codes for r in search.pq_encoded(vectors, search.codebook(vectors, 4, 16, 16), 4, 16).orderBy("vec_id").collect()]))
-    assert np.square(back - points).mean() < 0.6 * np.square(untrained - points).mean()
+    def error(book):
+        words = book.groupBy("m").agg(F.sort_array(F.collect_list(F.struct("code", "c")))["c"].alias("w")).orderBy("m").collect()
+        codes = np.array([r.codes for r in product_codes.encoded(vectors, book).orderBy("vec_id").collect()])
+        back = np.concatenate([np.array(r.w)[codes[:, r.m]] for r in words], axis=1)
+        return np.square(back - points).mean()
+
+    assert error(book) < 0.6 * error(search.codebook(vectors, 4, 16, 16))
     with pytest.raises(ValueError):
         search.trained_codebook(vectors, 4, 257)
     assert search.kmeans(points[:3], 5).shape == (5, 16)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -66,6 +66,15 @@ def banded(docs: DataFrame, k: int = 1) -> DataFrame:
     return least.select("doc_id", F.posexplode(bands).alias("band", "bucket"))
 
 
+def band_keys(text: Column, k: int = 1) -> Column:
+    """The buckets of a text's bands as numbers, row by row (as `banded`, without a shuffle); null for a
+    text without words."""
+    words = F.array_distinct(T.shingles(T.tokens(text), k))
+    least = F.transform(F.sequence(F.lit(0), F.lit(BANDS * ROWS - 1)), lambda i: F.array_min(F.transform(words, lambda t: F.xxhash64(t, i))))
+    bands = lambda m: F.array(*[F.xxhash64(F.lit(b), F.xxhash64(*[m[b * ROWS + r] for r in range(ROWS)])) for b in range(BANDS)])
+    return F.when(F.size(words) > 0, F.element_at(F.transform(F.array(least), bands), 1))
+
+
 def minhash_duplicates(docs: DataFrame, k: int = 1) -> DataFrame:
     """doc_id, first_id: documents that share a band's bucket with an earlier one, with the least such."""
     own = banded(docs, k)

@@ -7,7 +7,9 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..workspace import stored
+from ..workspace import stored, workdir
+from . import layered as Y
+from . import product_codes as C
 from . import search as S
 
 
@@ -66,12 +68,12 @@ class IvfPqIndex(_Sized):
         self.centroids = S.trained_lists(vectors, self.nlist)
         own = S.residuals(vectors, self.centroids)
         self.book = S.trained_codebook(own, self.parts, self.codes)
-        self.coded = stored(S.pq_encoded(own, self.book, self.parts, self.dimension, "cid").withColumnRenamed("codes", "v"), "codes", "cid")
+        self.coded = stored(C.encoded(own, self.book, "cid"), "codes", "cid")
         return self
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         asked = S.residuals(queries.select(F.col("query_id").alias("vec_id"), F.col("q").alias("v")), self.centroids, self.nprobe)
-        return S.nearest(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "cid"), self.coded, k, on="cid", decode=S.pq_decoder(self.book))
+        return C.nearest_coded(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "cid"), self.coded, self.book, k, on="cid")
 
 
 class GraphIndex(_Sized):
@@ -92,6 +94,33 @@ class GraphIndex(_Sized):
         return S.graph_search(queries, self.graph, self.centroids, k, self.nprobe, self.ef, self.tau, self.epsilon).drop("measured")
 
 
+class LayeredIndex(_Sized):
+    """Shards of near vectors with a layered graph each, which can be added to."""
+
+    name, kind = "layered", "graph"
+
+    def __init__(self, m: int = Y.M, ef: int = 64, nprobe: int = 4):
+        self.m, self.ef, self.nprobe = m, ef, nprobe
+
+    def fit(self, vectors: DataFrame) -> LayeredIndex:
+        self._measure(vectors)
+        spark = vectors.sparkSession
+        self.store = Y.GraphStore(spark, workdir(spark, "layered"), self.m).create(S.trained_lists(vectors, max(1, -(-self.n // Y.SHARD_ROWS))))
+        self.batches = 0
+        return self.add(vectors, counted=True)
+
+    def add(self, vectors: DataFrame, counted: bool = False) -> LayeredIndex:
+        """Puts more vectors in."""
+        if not counted:
+            self.n += vectors.count()
+        self.store.append(vectors, self.batches)
+        self.batches += 1
+        return self
+
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        return self.store.search(queries, k, self.nprobe, self.ef).drop("measured")
+
+
 class TwoTierIndex(_Sized):
     """A first tier walks graphs of coded vectors, a second ranks its pool by the whole ones. The pool
     holds factor times k rows, at least min_pool."""

@@ -21,8 +21,8 @@ from ..workspace import parquet_batches, stored, workdir
 
 #: Queries compared at once with up to CHUNK vectors: some 100 MB of distances.
 QUERY_BLOCK, CHUNK = 1024, 16_384
-#: Lists of an inverted file at most: what is sent to every task grows with them.
-MOST_LISTS = 16_384
+#: Lists of an inverted file at most: what every worker reads grows with them.
+MOST_LISTS = 131_072
 #: Rows of a stored shard; rows that models are fitted on.
 SHARD_ROWS, SAMPLE_ROWS = 8192, 65_536
 
@@ -44,6 +44,16 @@ def lists_matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat.to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), width), rows
 
 
+def by_length(column: pa.Array):
+    """The vectors of each length as a matrix, and which rows they are of."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    n = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+    for width in np.unique(n[n > 0]).tolist():
+        rows = np.flatnonzero(n == width)
+        flat = (column if len(rows) == len(n) else column.take(pa.array(rows))).flatten()
+        yield flat.to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), width), rows
+
+
 def _measure(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Distances row by row; equal rows give equal distances wherever they stand."""
     if metric == "l2":
@@ -75,8 +85,8 @@ def _near(metric: str, q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray
 
 def _blocks(uri: str, rows: int):
     for table in parquet_batches(uri, rows):
-        points, own = lists_matrix(table["q"])
-        yield table["query_id"].to_numpy()[own], points
+        for points, own in by_length(table["q"]):
+            yield table["query_id"].to_numpy()[own], points
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", on: str | None = None, decode=None, extra: tuple[str, ...] = (), by=None) -> DataFrame:
@@ -87,7 +97,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2",
     reads them block by block beside its own rows: matrix products, whose best are measured exactly. A
     task gives k rows for each query and CHUNK vectors. decode(matrix, *extra) makes vectors of
     coded rows. by orders the result (the distance, if it is not given); ties go to the smaller id.
-    Null vectors, and vectors of another length than most, take no part."""
+    Null vectors take no part; a vector is compared with queries of its own length."""
     uri, block, chunk = workdir(queries.sparkSession, "queries"), QUERY_BLOCK, CHUNK
     asked = queries.select("query_id", "q", *([F.col(on).alias("on_")] if on else [])).filter(F.col("q").isNotNull())
     writer = asked.filter("on_ is not null").write.partitionBy("on_") if on else asked.write
@@ -102,18 +112,18 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2",
                 continue
             table = pa.Table.from_batches(held)
             held = []
-            x, rows = lists_matrix(table["v"])
-            ids = table["vec_id"].to_numpy()[rows]
-            if decode:
-                x = decode(x, *(table[c].to_numpy()[rows] for c in extra))
-            keys = table["on_"].to_numpy(zero_copy_only=False)[rows] if on else np.zeros(len(rows), int)
-            for key in np.unique(keys).tolist():
-                own = np.flatnonzero(keys == key)
-                for asked_ids, points in _blocks(f"{uri}/on_={key}" if on else uri, block):
-                    if points.shape[1] != x.shape[1]:
-                        continue
-                    i, j, d = _near(metric, points, x[own], k)
-                    yield pa.RecordBatch.from_arrays([pa.array(asked_ids[i]), pa.array(ids[own[j]]), pa.array(d)], names=["query_id", "vec_id", "distance"])
+            for x, rows in by_length(table["v"]):
+                ids = table["vec_id"].to_numpy()[rows]
+                if decode:
+                    x = decode(x, *(table[c].to_numpy()[rows] for c in extra))
+                keys = table["on_"].to_numpy(zero_copy_only=False)[rows] if on else np.zeros(len(rows), int)
+                for key in np.unique(keys).tolist():
+                    own = np.flatnonzero(keys == key)
+                    for asked_ids, points in _blocks(f"{uri}/on_={key}" if on else uri, block):
+                        if points.shape[1] != x.shape[1]:
+                            continue
+                        i, j, d = _near(metric, points, x[own], k)
+                        yield pa.RecordBatch.from_arrays([pa.array(asked_ids[i]), pa.array(ids[own[j]]), pa.array(d)], names=["query_id", "vec_id", "distance"])
 
     own = vectors.select("vec_id", "v", *extra, *([F.col(on).alias("on_")] if on else []))
     found = (own.filter("on_ is not null") if on else own).filter("vec_id is not null").mapInArrow(search, "query_id long, vec_id long, distance double")
@@ -133,18 +143,17 @@ def centroids_by_label(vectors: DataFrame) -> DataFrame:
 
 
 def few_lists(centroids: DataFrame) -> DataFrame:
-    """centroids, if they are few enough to be sent to every task."""
+    """centroids, if they are few enough to be read by every worker."""
     if (n := centroids.count()) > MOST_LISTS:
         raise ValueError(f"{n} lists are more than {MOST_LISTS}")
     return centroids
 
 
 def assigned(vectors: DataFrame, centroids: DataFrame, nprobe: int = 1) -> DataFrame:
-    """Each row with its nprobe nearest centroids (few, broadcast); nprobe is held to 1 .. all."""
-    near = F.col("near")
-    few = centroids.agg(F.collect_list(F.struct("cid", "c")).alias("all"))
-    scored = vectors.crossJoin(F.broadcast(few)).withColumn("near", F.sort_array(F.transform("all", lambda z: F.struct(V.l2_squared(F.col("v"), z["c"]).alias("d"), z["cid"].alias("cid")))))
-    return scored.withColumn("cids", F.transform(F.slice(near, 1, max(nprobe, 1)), lambda z: z["cid"])).drop("all", "near")
+    """Each row with cids, its nprobe nearest centroids (at most MOST_LISTS)."""
+    from .product_codes import assigned as by_matrix
+
+    return by_matrix(vectors, centroids, nprobe)
 
 
 def probe(queries: DataFrame, vectors: DataFrame, centroids: DataFrame, k: int, nprobe: int) -> DataFrame:
@@ -227,7 +236,9 @@ def sample(vectors: DataFrame, rows: int = SAMPLE_ROWS) -> np.ndarray:
 
 def trained_lists(vectors: DataFrame, nlist: int, seed: int = 42) -> DataFrame:
     """cid, c: nlist centroids, fitted on a bounded sample."""
-    centroids = kmeans(sample(vectors), min(nlist, MOST_LISTS), seed=seed)
+    if nlist > MOST_LISTS:
+        raise ValueError(f"{nlist} lists are more than {MOST_LISTS}")
+    centroids = kmeans(sample(vectors), nlist, seed=seed)
     return vectors.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "cid int, c array<double>")
 
 
@@ -358,31 +369,6 @@ def codebook(vectors: DataFrame, parts: int, codes: int, dimension: int) -> Data
     return first.select(F.posexplode(pieces).alias("m", "c"), F.col("vec_id").cast("int").alias("code")).select("m", "code", "c")
 
 
-def _to_codeword(piece: Column):
-    return lambda z: F.struct(V.l2_squared(piece, z["c"]).alias("d"), z["code"].alias("code"))
-
-
-def pq_encoded(vectors: DataFrame, book: DataFrame, parts: int, dimension: int, *keep: str) -> DataFrame:
-    """vec_id, the columns to keep, codes: the nearest codeword of each sub-vector (the codebook is
-    small: broadcast)."""
-    words = book.groupBy("m").agg(F.sort_array(F.collect_list(F.struct("code", "c"))).alias("words"))
-    whole = words.agg(F.sort_array(F.collect_list(F.struct("m", "words")))["words"].alias("book"))
-    pieces = V.subspaces(F.col("v"), parts, dimension)
-    nearest = [F.array_min(F.transform(F.col("book")[i], _to_codeword(p)))["code"] for i, p in enumerate(pieces)]
-    return vectors.crossJoin(F.broadcast(whole)).select("vec_id", *keep, F.array(*nearest).alias("codes"))
-
-
-def pq_decoder(book: DataFrame):
-    """Codes to vectors; a distance to them is the sum of a query's table of distances to codewords."""
-    rows = book.orderBy("m", "code").collect()  # as many as the quantizer has codewords
-    words = [np.array([r["c"] for r in rows if r["m"] == m]) for m in sorted({r["m"] for r in rows})]
-
-    def decode(codes: np.ndarray) -> np.ndarray:
-        return np.concatenate([w[codes[:, m].astype(int)] for m, w in enumerate(words)], axis=1)
-
-    return decode
-
-
 def index_bytes(n: int, dimension: int, m: int = 16, nlist: int = 16, parts: int = 8) -> dict[str, int]:
     """Bytes that each kind of index needs for n vectors."""
     return {"flat": 4 * n * dimension, "graph": 4 * n * dimension + 8 * n * m, "ivf_pq": 4 * nlist * dimension + 1024 * dimension + n * (parts + 8), "two_tier": n * dimension + 8 * n * m + 8 * dimension}

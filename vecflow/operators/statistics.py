@@ -5,45 +5,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: How far, as a share of a group, the values kept lie from the wanted rank; the sketch is finer by ten.
-MARGIN = 0.002
-#: Groups of up to so many values are kept whole.
-SMALL = 10_000
-
-
-def near_rank(rows: DataFrame, group: str, value: str, shares: list[float]) -> DataFrame:
-    """group, share, n, rank (from 0), value: the values around each share of each group, with their
-    exact ranks. A sketch tells between which values they lie, a count how many come before; only what
-    is between is sorted. Nulls are left out."""
-    own = rows.select(F.col(group).alias("g_"), F.col(value).alias("v_")).filter("v_ is not null")
-    cuts = [c for s in shares for c in (max(0.0, s - MARGIN), min(1.0, s + MARGIN))]
-    ends = own.groupBy("g_").agg(F.count("*").alias("n"), F.percentile_approx("v_", cuts, int(10 / MARGIN)).alias("cuts"))
-    small = F.col("n") <= SMALL
-    low = lambda i: F.when(~small, F.col("cuts")[2 * i])
-    high = lambda i: F.when(~small, F.col("cuts")[2 * i + 1])
-    bands = F.array(*[F.struct(F.lit(s).alias("share"), low(i).alias("low"), high(i).alias("high")) for i, s in enumerate(shares)])
-    ends = ends.select(F.col("g_").alias("of_"), "n", bands.alias("bands"))
-    met = own.join(ends, F.col("g_").eqNullSafe(F.col("of_"))).drop("of_")
-    counted = met.groupBy("g_").agg(*[F.count_if(F.col("v_") < F.col("bands")[i]["low"]).alias(f"before{i}") for i in range(len(shares))])
-    before = counted.select(F.col("g_").alias("of_"), F.explode(F.array(*[F.struct(F.lit(s).alias("part"), F.col(f"before{i}").alias("before")) for i, s in enumerate(shares)])).alias("b")).select("of_", "b.*")
-    band = met.select("g_", "v_", "n", F.explode("bands").alias("b")).filter((F.col("b.low").isNull() | (F.col("v_") >= F.col("b.low"))) & (F.col("b.high").isNull() | (F.col("v_") <= F.col("b.high"))))
-    placed = band.select("g_", "v_", "n", F.col("b.share").alias("share"), F.row_number().over(Window.partitionBy("g_", "b.share").orderBy("v_")).alias("place"))
-    ranked = placed.join(before, F.col("g_").eqNullSafe(F.col("of_")) & (F.col("share") == F.col("part")))
-    return ranked.select(F.col("g_").alias("group"), "share", "n", (F.col("before") + F.col("place") - 1).alias("rank"), F.col("v_").alias("value"))
+from ..workspace import stored
+
+#: Tables of up to so many rows are left to Spark's own aggregates, which hold a group's values.
+SMALL = 1_000_000
+
+
+def value_ranks(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """group, value, n (its rows), before (the group's rows of smaller values), total: a row for each distinct
+    value of each group, nulls left out.
+
+    Rows of one value are counted before anything is sorted, so ties take no room. Distinct values are
+    dealt out by ranges and written once; sums within a range and a small table of sums per range give
+    each value its place. No task holds more than a range."""
+    own = rows.select(F.col(group).alias("g_"), F.col(value).alias("v_")).filter("v_ is not null").groupBy("g_", "v_").agg(F.count("*").alias("n_"))
+    dealt = stored(own.repartitionByRange("g_", "v_").sortWithinPartitions("g_", "v_").withColumn("range_", F.shiftright(F.monotonically_increasing_id(), 33)), "value_counts")
+    sums = dealt.groupBy("g_", "range_").agg(F.sum("n_").alias("sum_"))
+    of_group = Window.partitionBy("g_")
+    sums = sums.select(F.col("g_").alias("of_"), F.col("range_").alias("in_"), (F.sum("sum_").over(of_group.orderBy("range_")) - F.col("sum_")).alias("start_"), F.sum("sum_").over(of_group).alias("total"))
+    within = F.sum("n_").over(Window.partitionBy("g_", "range_").orderBy("v_")) - F.col("n_")
+    met = dealt.withColumn("within_", within).join(sums, (F.col("range_") == F.col("in_")) & F.col("g_").eqNullSafe(F.col("of_")))
+    return met.select(F.col("g_").alias("group"), F.col("v_").alias("value"), F.col("n_").alias("n"), (F.col("start_") + F.col("within_")).alias("before"), "total")
 
 
 def percentiles(rows: DataFrame, group: str, value: str, shares: list[float]) -> DataFrame:
     """group and a column p0, p1, .. for each share, linear between the two nearest ranks."""
-    at = F.col("share") * (F.col("n") - 1)
-    two = near_rank(rows, group, value, shares).filter((F.col("rank") == F.floor(at)) | (F.col("rank") == F.ceil(at)))
-    ends = two.groupBy("group", "share").agg(F.min("value").alias("a"), F.max("value").alias("b"), F.first(at - F.floor(at)).alias("part"), F.first(F.floor(at) + 1 - at).alias("rest"))
-    found = ends.withColumn("x", F.when(F.col("part") == 0, F.col("a")).otherwise(F.col("rest") * F.col("a") + F.col("part") * F.col("b")))
-    return found.groupBy("group").agg(*[F.max(F.when(F.col("share") == s, F.col("x"))).alias(f"p{i}") for i, s in enumerate(shares)])
+    own = rows.select(F.col(group).alias("group"), F.col(value).alias("value")).filter("value is not null")
+    if own.limit(SMALL + 1).count() <= SMALL:
+        found = own.groupBy("group").agg(F.percentile("value", F.array(*map(F.lit, shares))).alias("p"))
+        return found.select("group", *[F.col("p")[i].alias(f"p{i}") for i in range(len(shares))])
+    ranks = value_ranks(own, "group", "value")
+    holds = lambda place: (F.col("before") <= place) & (place < F.col("before") + F.col("n"))
+    at = lambda place: F.max(F.when(holds(place), F.col("value")))
+    columns = []
+    for i, s in enumerate(shares):
+        place = F.lit(float(s)) * (F.col("total") - 1)
+        columns += [at(F.floor(place)).alias(f"a{i}"), at(F.ceil(place)).alias(f"b{i}"), F.first(place - F.floor(place)).alias(f"part{i}")]
+    between = lambda i: F.when(F.col(f"part{i}") == 0, F.col(f"a{i}")).otherwise((1 - F.col(f"part{i}")) * F.col(f"a{i}") + F.col(f"part{i}") * F.col(f"b{i}"))
+    return ranks.groupBy("group").agg(*columns).select("group", *[between(i).alias(f"p{i}") for i in range(len(shares))])
 
 
 def at_floor_rank(rows: DataFrame, group: str, value: str, share: float) -> DataFrame:
     """group, value: the value at place floor(n * share), from 0, in ascending order."""
-    return near_rank(rows, group, value, [share]).filter(F.col("rank") == F.floor(F.col("n") * F.col("share"))).select("group", "value")
+    own = rows.select(F.col(group).alias("group"), F.col(value).alias("value")).filter("value is not null")
+    if own.limit(SMALL + 1).count() <= SMALL:
+        sorted_ = own.groupBy("group").agg(F.sort_array(F.collect_list("value")).alias("v"))
+        return sorted_.select("group", F.get("v", F.floor(F.size("v") * F.lit(float(share))).cast("int")).alias("value")).filter("value is not null")
+    place = F.floor(F.col("total") * F.lit(float(share)))
+    return value_ranks(own, "group", "value").filter((F.col("before") <= place) & (place < F.col("before") + F.col("n"))).select("group", "value")
 
 
 def column_like(names: list[str], part: str) -> list[Column]:

@@ -213,6 +213,50 @@ def fail_counter(spark, d):
     return folded.select("query_id", F.col("end.stopped").alias("stopped"), F.round("end.best", 6).alias("best"))
 
 
+def _layered(spark, v):
+    from ..operators import layered
+
+    lists = S.trained_lists(v, max(1, -(-v.count() // layered.SHARD_ROWS)))
+    return layered.GraphStore(spark, workdir(spark, "layered")).create(stored(lists, "lists"))
+
+
+def layered_graph(spark, d):
+    """A layered graph for each list, built at once."""
+    v = vectors(spark, d)
+    store = _layered(spark, v)
+    store.append(v, 0)
+    return _out(store.search(query_set(v), K))
+
+
+def layered_growth(spark, d):
+    """The same graphs grown by a stream of four files, a batch each."""
+    v, source = vectors(spark, d), workdir(spark, "vectors-in")
+    v.select("vec_id", "v").repartition(4, "vec_id").write.parquet(source)
+    store = _layered(spark, v)
+    stream = spark.readStream.schema("vec_id long, v array<double>").option("maxFilesPerTrigger", 1).parquet(source)
+    store.grow(stream, workdir(spark, "vectors-state"))
+    return _out(store.search(query_set(v), K))
+
+
+def duplicate_stream(spark, d):
+    """Documents as a stream of files: which are kept, with memory over batches."""
+    source, target, state = (workdir(spark, n) for n in ("docs-in", "docs-kept", "docs-state"))
+    numbered = D.numbered(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "n")
+    numbered.repartitionByRange(4, "n").write.parquet(source)
+    stream = spark.readStream.schema("doc_id long, text string, n long").option("maxFilesPerTrigger", 1).parquet(source)
+    ingest.ingest(ingest.first_wins(stream), target, state)
+    return spark.read.schema("doc_id long, kept boolean").parquet(target)
+
+
+def telemetry_stream(spark, d):
+    """Events as a stream of files by time, windows of an hour that the watermark has passed or that wait."""
+    source, target, state = (workdir(spark, n) for n in ("events-in", "windows", "events-state"))
+    table(spark, d, "events").select("ts", "event_type", "value").repartitionByRange(4, "ts").write.parquet(source)
+    stream = spark.readStream.schema("ts timestamp, event_type string, value double").option("maxFilesPerTrigger", 1).parquet(source)
+    ingest.telemetry(stream, target, state, "1 hour", "10000 days", "update")
+    return ingest.latest(spark, target).select(F.col("start").cast("string").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
 def index_increments(spark, d):
     """Vectors that arrive as a stream, each batch added to the lists of a stored index."""
     v = vectors(spark, d)
@@ -271,5 +315,9 @@ QUERIES = {
         f"{WITH.replace('WITH v', 'WITH RECURSIVE v')}, s AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY vec_id) AS step, {SQUARED} AS d FROM v, q WHERE vec_id < 60), w AS (SELECT query_id, 0::BIGINT AS step, 'inf'::DOUBLE AS best, 0 AS fails FROM q UNION ALL SELECT w.query_id, s.step, CASE WHEN best - d >= 0.1 THEN d ELSE best END, CASE WHEN best - d >= 0.1 THEN 0 ELSE fails + 1 END FROM w JOIN s ON s.query_id = w.query_id AND s.step = w.step + 1 WHERE fails < 3) SELECT query_id, coalesce(max(step) FILTER (fails >= 3), 0)::INT AS stopped, round(arg_max(best, step), 6) AS best FROM w GROUP BY 1",
     ),
     "index_increments": (index_increments, f"{CENTROIDS}, {NEAR} SELECT cid, count(*) AS n, sum(vec_id)::BIGINT AS ids FROM near WHERE r = 1 GROUP BY 1"),
+    "layered_graph_topk": (layered_graph, None),
+    "layered_graph_stream": (layered_growth, None),
+    "stream_first_wins": (duplicate_stream, None),
+    "stream_telemetry": (telemetry_stream, "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"),
     "stream_micro_batches": (micro_batches, "SELECT count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents"),
 }

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import quantize as Q
 from ..functions import vector as V
+from ..operators import product_codes as C
 from ..operators import search as S
 from .sqlfunctions import register_vector_search
 from .tables import query_set, table, vectors
 
 K, PARTS, CODES, DIMENSION = 10, 8, 16, 64
+#: Rows that a first tier of codes hands on.
+POOL_ROWS = 100
 
 WITH = "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings), q AS (SELECT vec_id AS query_id, v AS q, label AS query_label FROM v WHERE vec_id % 50 = 0)"
 SQUARED = "list_sum(list_transform(list_zip(q, v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
@@ -164,17 +167,25 @@ def residuals(spark, d):
 
 def pq_encode(spark, d):
     v = vectors(spark, d)
-    return S.pq_encoded(v, S.codebook(v, PARTS, CODES, DIMENSION), PARTS, DIMENSION).select("vec_id", _csv(F.col("codes")).alias("codes"))
+    return C.encoded(v, S.codebook(v, PARTS, CODES, DIMENSION)).select("vec_id", _csv(F.col("codes")).alias("codes"))
 
 
 def _pq_nearest(queries, coded, book, **on):
-    return S.nearest(queries, coded.withColumnRenamed("codes", "v"), K, decode=S.pq_decoder(book), by=F.round("distance", 9), **on)
+    return C.nearest_coded(queries, coded, book, K, **on)
 
 
 def pq_search(spark, d):
     v = vectors(spark, d)
     book = S.codebook(v, PARTS, CODES, DIMENSION)
-    return _out(_pq_nearest(query_set(v), S.pq_encoded(v, book, PARTS, DIMENSION), book))
+    return _out(_pq_nearest(query_set(v), C.encoded(v, book), book))
+
+
+def pq_reranked(spark, d):
+    """The hundred nearest by tables, ranked by whole vectors."""
+    v = vectors(spark, d)
+    book = S.codebook(v, PARTS, CODES, DIMENSION)
+    pool = C.nearest_coded(query_set(v), C.encoded(v, book), book, POOL_ROWS)
+    return _out(S.reranked(pool.select("query_id", "vec_id"), query_set(v), v, K))
 
 
 def pq_trained(spark, d):
@@ -184,13 +195,13 @@ def pq_trained(spark, d):
     own = S.residuals(v, c)
     book = S.trained_codebook(own, PARTS, 256)
     asked = S.residuals(query_set(v).select(F.col("query_id").alias("vec_id"), F.col("q").alias("v")), c, 4).select(F.col("vec_id").alias("query_id"), "cid", F.col("v").alias("q"))
-    return _out(_pq_nearest(asked, S.pq_encoded(own, book, PARTS, DIMENSION, "cid"), book, on="cid"))
+    return _out(_pq_nearest(asked, C.encoded(own, book, "cid"), book, on="cid"))
 
 
 def pq_decode(spark, d):
     v = vectors(spark, d)
     book = S.codebook(v, PARTS, CODES, DIMENSION)
-    codes = S.pq_encoded(v, book, PARTS, DIMENSION).select("vec_id", F.posexplode("codes").alias("m", "code"))
+    codes = C.encoded(v, book).select("vec_id", F.posexplode("codes").alias("m", "code"))
     back = codes.join(F.broadcast(book), ["m", "code"]).groupBy("vec_id").agg(F.flatten(F.sort_array(F.collect_list(F.struct("m", "c")))["c"]).alias("back"))
     return back.join(v, "vec_id").select("vec_id", F.round(V.l2_squared(F.col("v"), F.col("back")), 6).alias("error"))
 
@@ -201,7 +212,7 @@ def ivf_pq(spark, d):
     c = S.centroids_by_label(v)
     own = S.residuals(v, c)
     book = S.codebook(own, PARTS, CODES, DIMENSION)
-    coded = S.pq_encoded(own, book, PARTS, DIMENSION, "cid")
+    coded = C.encoded(own, book, "cid")
     asked = S.residuals(query_set(v).select(F.col("query_id").alias("vec_id"), F.col("q").alias("v")), c, 3).select(F.col("vec_id").alias("query_id"), "cid", F.col("v").alias("q"))
     return _out(_pq_nearest(asked, coded, book, on="cid"))
 
@@ -353,6 +364,11 @@ QUERIES = {
         pq_search,
         f"{BOOK} " + _rank("SELECT query_id, enc.vec_id, sum(list_sum(list_transform(list_zip(q[m * 8 + 1 : m * 8 + 8], c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS distance FROM enc, q GROUP BY ALL", by="round(distance, 9)"),
     ),
+    "pq_rerank_topk": (
+        pq_reranked,
+        f"{BOOK}, coded AS (SELECT query_id, enc.vec_id, sum(list_sum(list_transform(list_zip(q[m * 8 + 1 : m * 8 + 8], c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM enc, q GROUP BY ALL), pool AS (SELECT query_id, vec_id FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), vec_id) AS r FROM coded) WHERE r <= {POOL_ROWS}) "
+        + _rank(f"SELECT query_id, vec_id, {SQUARED} AS distance FROM pool JOIN q USING (query_id) JOIN v USING (vec_id)"),
+    ),
     "ivf_pq_topk": (
         ivf_pq,
         f"{CENTROIDS}, {NEAR}, res AS (SELECT vec_id, cid, r, list_transform(list_zip(v, c), lambda z: z[1] - z[2]) AS d FROM near JOIN c USING (cid)), book AS (SELECT m, vec_id::INT AS code, d[m * 8 + 1 : m * 8 + 8] AS b FROM res, range(8) t(m) WHERE r = 1 AND vec_id < 16), enc AS (SELECT vec_id, cid, m, b FROM (SELECT res.vec_id, res.cid, m, b, row_number() OVER (PARTITION BY res.vec_id, m ORDER BY list_sum(list_transform(list_zip(d[m * 8 + 1 : m * 8 + 8], b), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), code) AS k FROM res, book WHERE r = 1) WHERE k = 1), ask AS (SELECT vec_id AS query_id, cid, d AS q FROM res WHERE r <= 3 AND vec_id % 50 = 0) "

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..operators import dedup
 
 
 def file_stream(spark: SparkSession, folder: str, schema) -> DataFrame:
@@ -38,3 +43,64 @@ def sessions(events: DataFrame, gap: str) -> DataFrame:
 def each_batch(stream: DataFrame, write, checkpoint: str) -> None:
     """Gives all that is there to write(rows), batch by batch; a rerun takes up only new files."""
     stream.writeStream.foreachBatch(lambda rows, _: write(rows)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def telemetry(stream: DataFrame, target: str, checkpoint: str, width: str, delay: str, mode: str = "append") -> dict[str, int]:
+    """Windows of event time (ts, event_type, value) of all files that are there, written to target as
+    Parquet: batch, start, event_type, n, total. With append a window is written once, when the watermark
+    (delay behind the latest ts) has passed its end; with update at each batch in which it grew (`latest`
+    reads the newest). Windows that wait are kept in the checkpoint, so a later run goes on with them.
+    Gives the number of batches, and of groups of late rows (of a window and type within a task) that the
+    watermark dropped."""
+    if mode not in ("append", "update"):
+        raise ValueError(f"no such mode: {mode}")
+    own = stream.filter("ts is not null").withWatermark("ts", delay)
+    windows = own.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    rows = windows.select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")  # a batch tried again replaces itself
+
+    query = rows.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    dropped = [op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"]]
+    return {"batches": len(query.recentProgress), "dropped": sum(dropped)}
+
+
+WINDOWS = "start timestamp, event_type string, n long, total double, batch long"
+
+
+def latest(spark: SparkSession, target: str) -> DataFrame:
+    """Each window as its newest batch has it."""
+    rows = spark.read.schema(WINDOWS).parquet(target)
+    return rows.groupBy("start", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("w")).select("start", "event_type", "w.n", "w.total")
+
+
+def first_wins(stream: DataFrame, k: int = 1, reset_every: int = dedup.RESET_EVERY) -> DataFrame:
+    """doc_id, kept of a stream of documents (doc_id, text, n: their number in the stream from 0, each batch
+    behind the one before): `dedup.greedy_first_wins`, going on over batches and restarts.
+
+    Memory is emptied every reset_every documents; the documents between are an epoch, the state's key.
+    The state holds the buckets of an epoch's kept documents, and goes when all its documents were seen.
+    Epochs are independent of each other and are worked on in parallel."""
+    epoch = F.floor((F.col("n") + 1) / reset_every).cast("long")
+    rows = stream.select("doc_id", "n", epoch.alias("epoch"), dedup.band_keys(F.col("text"), k).alias("keys"))
+
+    def replay(key: tuple, parts, state: GroupState):
+        held, seen = state.get if state.exists else (b"", 0)
+        kept_keys = set(np.frombuffer(held, np.int64).tolist())
+        part = pd.concat(list(parts)).sort_values("n")
+        kept = []
+        for keys in part["keys"]:
+            own = set() if keys is None else set(np.asarray(keys, np.int64).tolist())
+            kept.append(not own & kept_keys)
+            if kept[-1]:
+                kept_keys |= own
+        seen += len(part)
+        if seen >= reset_every - (key[0] == 0):
+            state.remove()
+        else:
+            state.update((np.fromiter(kept_keys, np.int64, len(kept_keys)).tobytes(), seen))
+        yield pd.DataFrame({"doc_id": part["doc_id"], "kept": kept})
+
+    return rows.groupBy("epoch").applyInPandasWithState(replay, "doc_id long, kept boolean", "keys binary, seen long", "append", GroupStateTimeout.NoTimeout)
