@@ -232,3 +232,16 @@ def test_telemetry_with_late_rows_and_a_restart(spark):
             assert spark.read.schema(ingest.WINDOWS).parquet(target).count() == 3
     with pytest.raises(ValueError):
         ingest.telemetry(None, "", "", "1 hour", "1 hour", "complete")
+
+
+def test_graded_quality_by_hand(spark):
+    from vecflow.evaluation import graded_quality
+
+    found = spark.createDataFrame([(1, 1, 0), (1, 2, 2), (1, 3, 1), (2, 1, 2), (2, 2, 2), (3, 1, 0)], "query_id long, rank int, grade int")
+    there = spark.createDataFrame([(1, [1, 3]), (2, [2, 0]), (3, [0, 0]), (4, [5, 5])], "query_id long, there array<long>")
+    rows = {r.query_id: r for r in graded_quality(found, there, 3).collect()}
+    log = lambda r: np.log2(r + 1)
+    assert rows[1].reciprocal_rank == 0.5 and rows[1].precision == 0.666667 and rows[1].recall == 0.5
+    assert abs(rows[1].ndcg - (3 / log(2) + 1 / log(3)) / (3 / log(1) + 1 / log(2) + 1 / log(3))) < 1e-6
+    assert (rows[2].reciprocal_rank, rows[2].recall, rows[2].ndcg) == (1.0, 1.0, 1.0)
+    assert all((rows[q].reciprocal_rank, rows[q].precision, rows[q].recall, rows[q].ndcg) == (0.0, 0.0, 0.0, 0.0) for q in (3, 4))

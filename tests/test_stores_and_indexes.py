@@ -190,3 +190,53 @@ def test_percentiles_are_exact(spark, monkeypatch, small):
         assert np.allclose([got[g].p0, got[g].p1, got[g].p2], np.percentile(v, [50, 95, 99]))
     floors = {row.group: row.value for row in statistics.at_floor_rank(rows, "g", "x", 0.95).collect()}
     assert floors == {g: float(np.sort(v)[int(len(v) * 0.95)]) for g, v in groups.items()}
+
+
+def test_flat_matrices(spark, tmp_path):
+    x = np.arange(60, dtype="f4").reshape(12, 5)
+    (tmp_path / "a.bin").write_bytes(x.tobytes())
+    (tmp_path / "b_int8.bin").write_bytes(x.astype("i1").tobytes())
+    read = lambda name, **how: [(r.pos, r["values"]) for r in vecfiles.read_flat(spark, f"file://{tmp_path}/{name}", 5, **how).orderBy("path", "pos").collect()]
+    assert read("a.bin") == read("b_int8.bin") == list(enumerate(x.tolist()))
+    assert read("a.bin", rows=(3, 99), columns=(1, 3)) == [(i, x[i, 1:3].tolist()) for i in range(3, 12)]
+    reader = vecfiles.FlatReader({"path": f"file://{tmp_path}/a.bin", "dimension": "5", "splitbytes": "50", "from": "1"})
+    assert [p.value[2:] for p in reader.partitions()] == [(1, 3), (3, 5), (5, 7), (7, 9), (9, 11), (11, 12)]
+    with pytest.raises(ValueError):
+        vecfiles.FlatReader({"path": "", "dimension": "5", "last": "6"})
+    for bad in ([(1, [1.0]), (2, [1.0, 2.0])], [(1, [1.0]), (2, None)], [(1, [1.0]), (2, [None])]):
+        with pytest.raises(Exception, match="one length"):
+            vecfiles.write_records(spark.createDataFrame(bad, "id long, v array<double>").coalesce(1), workdir(spark, "test-bad"), "id", "v")
+
+
+def test_gathered_reads_only_what_is_asked_for(spark, tmp_path, monkeypatch):
+    x = np.arange(3000, dtype="f4").reshape(1000, 3)
+    (tmp_path / "a.f32").write_bytes(x[:400].tobytes())
+    (tmp_path / "b.f32").write_bytes(x[400:].tobytes())
+    asked = [(1, 5), (2, 399), (3, 400), (4, 999), (5, 5), (6, 1000), (7, -1), (8, None), (9, 700)]
+    got = vecfiles.gathered(spark.createDataFrame(asked, "pos long, idx long"), f"file://{tmp_path}", 3, gap_bytes=0).orderBy("pos").collect()
+    assert [(r.pos, r.v) for r in got] == [(p, x[i].tolist()) for p, i in asked if i is not None and 0 <= i < 1000]
+
+
+def test_the_newest_committed_version_counts(spark, tmp_path):
+    uri = f"file://{tmp_path}/table"
+    now = stores.replaced(spark.createDataFrame([(1,)], "i int"), uri)
+    stores.replaced(spark.createDataFrame([(2,)], "i int"), uri)
+    assert now.collect()[0].i == 1 and stores.current(spark, uri, "i int").collect()[0].i == 2
+    (tmp_path / "table" / "versions" / "000001" / "_SUCCESS").unlink()  # as if its writer had died
+    assert stores.current(spark, uri, "i int").collect()[0].i == 1
+    assert stores.replaced(spark.createDataFrame([(3,)], "i int"), uri).collect()[0].i == 3
+    assert (tmp_path / "table" / "versions" / "000002").exists()
+
+
+def test_table_search_in_sql(spark, vectors, points):
+    from vecflow.plans import sqlfunctions
+
+    sqlfunctions.register_table_search(spark, embedding.TermEmbedder(16))
+    uri = sqlfunctions.store_vector_index(vectors)
+    rows = [(1, points[0].tolist()), (2, None), (None, points[1].tolist()), (4, [1.0]), (5, points[7].tolist())]
+    spark.createDataFrame(rows, "query_id long, q array<double>").createOrReplaceTempView("asked")
+    for how in ("FLOAT32_EXACT", "SQ8_UINT8"):
+        got = spark.sql(f"SELECT * FROM vector_search_of(queries => TABLE(asked) PARTITION BY query_id, index => '{uri}', metric => 'l2', k => 6, quantization => '{how}', min_rerank_k => 60)").collect()
+        assert {q: [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] for q in (1, 5)} == {1: exact(points, 0, 6), 5: exact(points, 7, 6)} and len(got) == 12
+    text = spark.sql(f"SELECT vec_id FROM vector_search_of(queries => TABLE(SELECT 1L AS query_id, embed('a b c') AS q), index => '{uri}', metric => 'cosine', k => 3, quantization => 'FLOAT32_EXACT', min_rerank_k => 0)").collect()
+    assert len(text) == 3

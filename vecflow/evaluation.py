@@ -30,15 +30,13 @@ def evaluate(index: Index, vectors: DataFrame, queries: DataFrame, truth: DataFr
     index.fit(vectors)
     built = time.perf_counter() - began
     index.search(queries.limit(WARM_UP), k).count()
-    took, found = [], None
+    took = []
     for _ in range(repeats):
         began = time.perf_counter()
-        found = index.search(queries, k).collect()  # k rows for each query
+        index.search(queries, k).write.format("noop").mode("overwrite").save()
         took.append(time.perf_counter() - began)
     n = queries.count()
-    spark = queries.sparkSession
-    have = spark.createDataFrame([(r["query_id"], r["rank"], r["vec_id"]) for r in found], "query_id long, rank int, vec_id long")
-    recall = S.recall(truth, have, k).first()["recall"]
+    recall = S.recall(truth, index.search(queries, k), k).first()["recall"]
     return {
         "index": index.name,
         "recall_percent": round(100 * recall, 2),
@@ -50,6 +48,24 @@ def evaluate(index: Index, vectors: DataFrame, queries: DataFrame, truth: DataFr
     }
 
 
+def graded_quality(found: DataFrame, there: DataFrame, k: int) -> DataFrame:
+    """For each query of there: reciprocal_rank of the first row of a grade above 0, precision and recall of
+    such rows among k, and ndcg, the discounted gain (2 ** grade - 1 over log2(rank + 1)) as a share of the
+    best possible. found: query_id, rank, grade of up to k rows each; there: query_id and there, how many
+    rows of each grade there are, the highest grade first, so no query meets all rows."""
+    hit = F.col("grade") > 0
+    gain = (F.pow(F.lit(2.0), F.col("grade")) - 1) / F.log2(F.col("rank") + 1)
+    sums = found.filter(F.col("rank") <= k).groupBy("query_id").agg(F.min(F.when(hit, F.col("rank"))).alias("first"), F.count_if(hit).alias("hits"), F.sum(gain).alias("gain"))
+    top = F.size("there")
+    upto = F.transform("there", lambda n, g: F.struct((top - g).alias("grade"), F.aggregate(F.slice("there", F.lit(1), g + 1), F.lit(0).cast("long"), lambda s, x: s + x).alias("last")))
+    grade_at = lambda i: F.coalesce(F.get(F.filter(upto, lambda u: i <= u["last"]), F.lit(0))["grade"], F.lit(0))
+    with_best = F.aggregate(F.sequence(F.lit(1), F.lit(k)), F.lit(0.0), lambda s, i: s + (F.pow(F.lit(2.0), grade_at(i)) - 1) / F.log2(i + 1))
+    total = F.aggregate("there", F.lit(0).cast("long"), lambda s, x: s + x)
+    own = there.select("query_id", total.alias("total"), with_best.alias("best")).join(sums, "query_id", "left")
+    share = lambda x, of: F.round(F.when(of > 0, F.coalesce(x, F.lit(0)) / of).otherwise(F.lit(0.0)), 6)
+    return own.select("query_id", F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("reciprocal_rank"), share(F.col("hits"), F.lit(k)).alias("precision"), share(F.col("hits"), F.col("total")).alias("recall"), share(F.col("gain"), F.col("best")).alias("ndcg"))
+
+
 def comparison(vectors: DataFrame, queries: DataFrame, k: int = 10, indexes: list[Index] | None = None, repeats: int = REPEATS) -> list[dict]:
     """A report on each index, the fastest first."""
     truth = FlatIndex().fit(vectors).search(queries, k)

@@ -88,11 +88,10 @@ def greedy_first_wins(docs: DataFrame, k: int = 1, reset_every: int = RESET_EVER
     import pandas as pd
 
     epochs = numbered(docs.select("doc_id"), "doc_id", "n").select("doc_id", F.floor((F.col("n") + 1) / reset_every).alias("epoch"))
-    buckets = banded(docs, k).groupBy("doc_id").agg(F.collect_list(F.concat_ws(":", "band", "bucket")).alias("keys"))
-    rows = epochs.join(buckets, "doc_id", "left")
+    rows = epochs.join(docs.select("doc_id", band_keys(F.col("text"), k).alias("keys")), "doc_id")
 
     def replay(part: pd.DataFrame) -> pd.DataFrame:
-        seen: set[str] = set()
+        seen: set[int] = set()
         kept = []
         part = part.sort_values("doc_id")
         for keys in part["keys"]:

@@ -153,20 +153,27 @@ def log_queries(found: DataFrame, uri: str, at: datetime | None = None) -> DataF
 
 
 def replaced(table: DataFrame, uri: str) -> DataFrame:
-    """The changed table written to a new version beside the old one, and the pointer moved to it, so
-    readers see either."""
+    """The changed table written to a new version beside the old ones. A version counts once its write is
+    committed, which one file marks, so readers see the old table or the new one; two writers of the
+    same version: the second fails."""
     spark = table.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    versions = hadoop.Path(f"{uri}/versions")
-    system = versions.getFileSystem(spark._jsc.hadoopConfiguration())
-    n = len(system.listStatus(versions)) if system.exists(versions) else 0
-    table.write.parquet(f"{uri}/versions/{n:06d}")
-    spark.createDataFrame([(n,)], "version int").write.mode("overwrite").json(f"{uri}/current")
+    begun = [n for n, _ in _versions(spark, uri)]
+    table.write.parquet(f"{uri}/versions/{max(begun, default=-1) + 1:06d}")
     return current(spark, uri, table.schema)
 
 
+def _versions(spark: SparkSession, uri: str) -> list[tuple[int, bool]]:
+    """Number of each version, and whether it is committed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    versions = path(f"{uri}/versions")
+    system = versions.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [x.getPath() for x in system.listStatus(versions)] if system.exists(versions) else []
+    return [(int(p.getName()), system.exists(path(p, "_SUCCESS"))) for p in found if p.getName().isdigit()]
+
+
 def current(spark: SparkSession, uri: str, schema) -> DataFrame:
-    n = spark.read.schema("version int").json(f"{uri}/current").first()["version"]
+    """The newest committed version."""
+    n = max(n for n, whole in _versions(spark, uri) if whole)
     return spark.read.schema(schema).parquet(f"{uri}/versions/{n:06d}")
 
 

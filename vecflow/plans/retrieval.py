@@ -148,17 +148,44 @@ class SemanticEngine:
 
 
 def document_pipeline(spark, d):
-    """Documents cleaned, blank ones and repeats dropped, embedded and stored: what came of each step."""
-    clean = table(spark, d, "documents").select("doc_id", T.cleaned(F.col("text")).alias("text"))
+    """Documents cleaned, blank ones and near copies of earlier ones dropped, embedded and stored: what came
+    of each step."""
+    clean = stored(table(spark, d, "documents").select("doc_id", T.cleaned(F.col("text")).alias("text")), "clean")
     filled = clean.filter("text <> ''")
-    kept = filled.groupBy(F.md5("text").alias("h"), F.length("text").alias("n")).agg(F.min("doc_id").alias("doc_id"))
-    texts = filled.join(kept.select("doc_id"), "doc_id")
+    kept = stored(D.greedy_first_wins(filled).filter("kept").select("doc_id"), "kept")
+    texts = filled.join(kept, "doc_id")
     store = stores.VectorStore(spark, workdir(spark, "pipeline"), 64)
     store.append(E.embedded(texts, E.HashEmbedder(64), "text").select("doc_id", "v"), "doc_id")
     counts = clean.agg(F.count("*").alias("total_input"), F.count_if(F.col("text") != "").alias("filled"))
     return counts.crossJoin(kept.agg(F.count("*").alias("valid"))).select("total_input", F.col("valid").alias("total_valid_embedded"), (F.col("filled") - F.col("valid")).alias("total_duplicates"), F.lit(store.count()).alias("storage_written_records"))
 
 
+def _graded(spark, d):
+    """Each query's ten nearest with grades (2 for its own label, 1 for a neighbouring one), and for each
+    query how many rows of each grade there are."""
+    v = vectors(spark, d)
+    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))
+    found = S.knn(query_set(v), v, K + 1, "cosine").filter("query_id <> vec_id")
+    found = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).filter(F.col("rank") <= K)
+    grade = F.greatest(F.lit(0), 2 - F.abs(F.col("label") - F.col("own")))
+    graded = found.join(v.select("vec_id", "label"), "vec_id").join(q, "query_id").select("query_id", "rank", F.coalesce(grade, F.lit(0)).alias("grade"))
+    labels = v.groupBy("label").agg(F.count("*").alias("rows"))  # a row per label
+    there = q.join(F.broadcast(labels), F.abs(F.col("label") - F.col("own")) < 2)
+    counts = there.groupBy("query_id").agg(F.sum(F.when(F.col("label") == F.col("own"), F.col("rows") - 1).otherwise(0)).alias("n2"), F.sum(F.when(F.col("label") != F.col("own"), F.col("rows")).otherwise(0)).alias("n1"))
+    return graded, counts.select("query_id", F.array("n2", "n1").alias("there"))
+
+
+def retrieval_quality(spark, d):
+    """How well cosine search finds rows of a query's label, query by query."""
+    return evaluation.graded_quality(*_graded(spark, d), K)
+
+
+def retrieval_summary(spark, d):
+    """The means over all queries."""
+    names = ("reciprocal_rank", "precision", "recall", "ndcg")
+    return evaluation.graded_quality(*_graded(spark, d), K).agg(F.count("*").alias("queries"), *[F.round(F.avg(n), 6).alias(n) for n in names])
+
+
 def quantization_pipeline(spark, d):
     """Documents cut into chunks, embedded, coded with ranges of a bounded sample, stored with a manifest."""
     words = table(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("w")).filter(F.size("w") > 0)
@@ -278,6 +305,19 @@ def micro_batches(spark, d):
     return spark.read.schema("doc_id long, n_chars long").parquet(target).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
+GRADED = f"""{WITH}, near AS (
+    SELECT query_id, query_label, label, row_number() OVER (PARTITION BY query_id ORDER BY {COSINE}, vec_id) AS r FROM v, q WHERE vec_id <> query_id
+), hits AS (
+    SELECT query_id, r, coalesce(greatest(0, 2 - abs(label - query_label)), 0) AS g FROM near WHERE r <= {K}
+), all_ AS (
+    SELECT query_id, sum(CASE WHEN label = query_label THEN 1 ELSE 0 END) AS n2, sum(CASE WHEN abs(label - query_label) = 1 THEN 1 ELSE 0 END) AS n1 FROM v, q WHERE vec_id <> query_id GROUP BY query_id
+), ideal AS (
+    SELECT query_id, n1 + n2 AS n, list_sum(list_transform(range(1, {K} + 1), lambda i: CASE WHEN i <= n2 THEN 3 WHEN i <= n2 + n1 THEN 1 ELSE 0 END / log2(i + 1))) AS best FROM all_
+), quality AS (
+    SELECT h.query_id, coalesce(1.0 / min(r) FILTER (g > 0), 0) AS reciprocal_rank, count(*) FILTER (g > 0) / {K} AS precision,
+        CASE WHEN any_value(n) > 0 THEN count(*) FILTER (g > 0) / any_value(n) ELSE 0 END AS recall, CASE WHEN any_value(best) > 0 THEN sum((pow(2, g) - 1) / log2(r + 1)) / any_value(best) ELSE 0 END AS ndcg
+    FROM hits h JOIN ideal i ON i.query_id = h.query_id GROUP BY h.query_id
+)"""
 ROW_I = f"rows_ AS ({ROW}), rc AS (SELECT vec_id, v, low, span / 255 AS scale, list_transform(v, lambda x: greatest(0, least(255, round_even((x - low) / span * 255, 0)))::INT) AS code FROM rows_)"
 PROBED = "FROM q JOIN near m ON m.vec_id = query_id AND m.r <= 3 JOIN near n ON n.cid = m.cid AND n.r = 1"
 
@@ -315,6 +355,8 @@ QUERIES = {
         f"{WITH.replace('WITH v', 'WITH RECURSIVE v')}, s AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY vec_id) AS step, {SQUARED} AS d FROM v, q WHERE vec_id < 60), w AS (SELECT query_id, 0::BIGINT AS step, 'inf'::DOUBLE AS best, 0 AS fails FROM q UNION ALL SELECT w.query_id, s.step, CASE WHEN best - d >= 0.1 THEN d ELSE best END, CASE WHEN best - d >= 0.1 THEN 0 ELSE fails + 1 END FROM w JOIN s ON s.query_id = w.query_id AND s.step = w.step + 1 WHERE fails < 3) SELECT query_id, coalesce(max(step) FILTER (fails >= 3), 0)::INT AS stopped, round(arg_max(best, step), 6) AS best FROM w GROUP BY 1",
     ),
     "index_increments": (index_increments, f"{CENTROIDS}, {NEAR} SELECT cid, count(*) AS n, sum(vec_id)::BIGINT AS ids FROM near WHERE r = 1 GROUP BY 1"),
+    "retrieval_quality": (retrieval_quality, f"{GRADED} SELECT query_id, round(reciprocal_rank, 6) AS reciprocal_rank, round(precision, 6) AS precision, round(recall, 6) AS recall, round(ndcg, 6) AS ndcg FROM quality"),
+    "retrieval_summary": (retrieval_summary, f"{GRADED} SELECT count(*) AS queries, round(avg(round(reciprocal_rank, 6)), 6) AS reciprocal_rank, round(avg(round(precision, 6)), 6) AS precision, round(avg(round(recall, 6)), 6) AS recall, round(avg(round(ndcg, 6)), 6) AS ndcg FROM quality"),
     "layered_graph_topk": (layered_graph, None),
     "layered_graph_stream": (layered_growth, None),
     "stream_first_wins": (duplicate_stream, None),

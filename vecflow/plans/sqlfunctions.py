@@ -1,8 +1,15 @@
-"""Table functions for SQL users; their bodies are SQL, so Catalyst plans through them."""
+"""Table functions for SQL users: one whose body is SQL, so Catalyst plans through it, and one in Python
+that takes a table of queries and reads a stored index block by block."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import quantize as Q
+from ..operators import search as S
+from ..workspace import parquet_batches, workdir
 
 #: Distances as SQL over the columns q (the argument) and v.
 _DOT = "aggregate(zip_with({}, {}, (x, y) -> x * y), 0D, (s, x) -> s + x)"
@@ -26,3 +33,98 @@ def register_vector_search(spark: SparkSession, vectors: DataFrame, name: str =
         "SELECT rank, vec_id, distance FROM (SELECT vec_id, distance, row_number() OVER (ORDER BY distance, vec_id) AS rank "
         f"FROM (SELECT vec_id, CASE {name}.metric {measure} END AS distance FROM {name}_rows) WHERE distance IS NOT NULL) WHERE rank <= {name}.k"
     )
+
+
+#: Vectors compared at once with a block of queries.
+CHUNK = 16_384
+
+
+def store_vector_index(vectors: DataFrame) -> str:
+    """The folder of an index that vector_search_of reads: vectors (vec_id, v) of one length beside their
+    unsigned eight-bit codes, and the codes' ranges."""
+    spark = vectors.sparkSession
+    uri = workdir(spark, "sql-index")
+    own = vectors.select("vec_id", "v").filter("vec_id is not null and v is not null")
+    Q.as_arrays(Q.dimension_ranges(own)).write.parquet(f"{uri}/ranges")
+    ranges = spark.read.parquet(f"{uri}/ranges")  # one row
+    coded = own.crossJoin(F.broadcast(ranges))
+    coded.select("vec_id", "v", F.transform(Q.unsigned_codes(F.col("v"), F.col("lows"), F.col("scales")), lambda x: x.cast("short")).alias("code")).write.parquet(f"{uri}/rows")
+    return uri
+
+
+class VectorSearch:
+    """The table function vector_search_of(queries => TABLE(..) PARTITION BY .., index => folder, metric => ..,
+    k => .., quantization => .., min_rerank_k => ..). The table has query_id and q. Queries are answered in
+    blocks as they come, each against the whole index, which is read in chunks.
+
+    With FLOAT32_EXACT all vectors are measured. With SQ8_UINT8 codes are, and the best of them, k or
+    min_rerank_k where that is more, are measured again by their vectors. Distances are those of
+    `nearest`; ties go to the smaller id. Null queries, and those of another length, have no answers."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[int, list[float]]] = []
+        self.how: tuple | None = None
+
+    def eval(self, queries: Row, index: str, metric: str, k: int, quantization: str, min_rerank_k: int):
+        self.how = (index, metric.lower(), k, quantization.upper(), min_rerank_k)
+        if queries["query_id"] is not None and queries["q"] is not None:
+            self.held.append((queries["query_id"], queries["q"]))
+        if len(self.held) >= S.QUERY_BLOCK:
+            yield from self.answers()
+
+    def terminate(self):
+        if self.held:
+            yield from self.answers()
+
+    def answers(self):
+        index, metric, k, quantization, least = self.how
+        if metric not in MEASURES or quantization not in ("FLOAT32_EXACT", "SQ8_UINT8"):
+            raise ValueError(f"no such metric or quantization: {metric}, {quantization}")
+        held, self.held = self.held, []
+        for width in sorted({len(q) for _, q in held}):
+            asked = [q for q, x in held if len(x) == width]
+            points = np.array([x for _, x in held if len(x) == width], float)
+            if quantization == "FLOAT32_EXACT":
+                found = self.best(f"{index}/rows", metric, points, k)
+            else:
+                ranges = next(parquet_batches(f"{index}/ranges", 1)).to_pylist()[0]
+                low, scale = np.array(ranges["lows"], float), np.array(ranges["scales"], float)
+                pool = self.best(f"{index}/rows", metric, points, max(k, least), decode=lambda c: c * scale + low)
+                found = self.best(f"{index}/rows", metric, points, k, among=[set(ids.tolist()) for ids, _ in pool])
+            for q, (ids, distances) in zip(asked, found):
+                yield from ((q, rank, int(i), float(d)) for rank, (i, d) in enumerate(zip(ids, distances), 1))
+
+    @staticmethod
+    def best(uri: str, metric: str, points: np.ndarray, k: int, decode=None, among: list[set] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids and distances of the k nearest of each point, of the rows named for it if any are."""
+        kept = [(np.zeros(0, np.int64), np.zeros(0))] * len(points)
+        named = np.array(sorted(set().union(*among)), np.int64) if among else None
+        for table in parquet_batches(uri, CHUNK):
+            if named is not None:
+                table = table.filter(np.isin(table["vec_id"].to_numpy(), named))
+            for x, rows in S.by_length(table["code" if decode else "v"]):
+                if x.shape[1] != points.shape[1]:
+                    continue
+                ids = table["vec_id"].to_numpy()[rows]
+                i, j, d = S._near(metric, points, decode(x) if decode else x, k if among is None else len(x))
+                d = np.round(d, 9) if decode else d
+                for q in np.unique(i).tolist():
+                    own = i == q
+                    if among is not None:
+                        own &= np.isin(ids[j], list(among[q]))
+                    new, far = np.concatenate([kept[q][0], ids[j[own]]]), np.concatenate([kept[q][1], d[own]])
+                    first = np.lexsort((new, far))[:k]
+                    kept[q] = new[first], far[first]
+        return kept
+
+
+def register_table_search(spark: SparkSession, embedder=None) -> None:
+    """Makes vector_search_of a table function of the session and, given an embedder, embed(text) a function."""
+    spark.udtf.register("vector_search_of", F.udtf(VectorSearch, returnType="query_id bigint, rank int, vec_id bigint, distance double"))
+    if embedder is not None:
+
+        @F.pandas_udf("array<double>")
+        def embed(texts):
+            return texts.map(lambda t: None if t is None else embedder.encode([t])[0].astype(float).tolist())
+
+        spark.udf.register("embed", embed)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import quantize as Q
 from ..functions import text as T
 from ..functions import vector as V
+from ..operators import dedup as D
 from ..operators import search as S
 from ..operators import stores
 from ..sources import html, vecfiles
@@ -98,10 +99,29 @@ def dequantized(spark, d):
     return back.select(F.col("id").alias("vec_id"), F.round(V.total(F.col("v")), 6).alias("total"))
 
 
+def flat_matrix(spark, d):
+    """Vectors as a flat matrix of eight-bit codes, read back with the type its size tells."""
+    v, uri = vectors(spark, d), workdir(spark, "flat")
+    codes = v.select("vec_id", F.transform("v", lambda x: F.greatest(F.lit(-127.0), F.least(F.lit(127.0), F.rint(x * 40)))).alias("c"))
+    vecfiles.write_flat(codes, uri, "vec_id", "c", "<i1")
+    got = vecfiles.read_flat(spark, uri, 64, columns=(8, 24))
+    return got.select(F.transform("values", lambda x: x.cast("int")).alias("c")).groupBy(F.aggregate("c", F.lit(0), lambda s, x: s + x).alias("total")).agg(F.count("*").alias("n"))
+
+
+def positional_gather(spark, d):
+    """The neighbours of each query row by position from a flat file: of every seventh row, the first again."""
+    v, uri = D.numbered(vectors(spark, d).select("vec_id", "v"), "vec_id", "idx"), workdir(spark, "flat")
+    vecfiles.write_flat(v, uri, "idx", "v")
+    asked = v.filter("idx % 7 = 0").select(F.col("vec_id").alias("pos"), F.explode(F.array("idx", F.col("idx") + 3, "idx")).alias("idx"))
+    got = vecfiles.gathered(asked, uri, 64)
+    return got.groupBy("pos", "idx").agg(F.count("*").alias("n"), F.max(F.round(V.total(F.transform("v", lambda x: x.cast("double"))), 3)).alias("total"))
+
+
 def concatenated(spark, d):
     """A corpus per language, physically behind each other."""
     docs = table(spark, d, "documents").select("doc_id", "lang")
-    members = [docs.filter(F.col("lang") == x) for x in ("en", "fr", "de")]
+    languages = [x["lang"] for x in docs.select("lang").distinct().orderBy("lang").collect()]  # a row per language
+    members = [docs.filter(F.col("lang").eqNullSafe(x)) for x in languages]
     return stores.merged(members, workdir(spark, "merged"))
 
 
@@ -245,7 +265,9 @@ QUERIES = {
     "quantized_store": (quantized_store, f"{PARAMETERS} SELECT row_number() OVER (ORDER BY (vec_id % 3 = 0)::INT, vec_id) - 1 AS vector_idx, vec_id, array_to_string({I8}, ',') AS code FROM v, a"),
     "quantized_manifest": (quantized_manifest, "SELECT n AS total_vectors, 64 AS vector_dimension, round(n * 64 * 4 / 1048576, 2) AS raw_float32_size_mb, round(n * 64 / 1048576, 2) AS quantized_size_mb, 75.0 AS ram_saving_percent FROM (SELECT count(*) AS n FROM embeddings)"),
     "sq8_dequantize": (dequantized, f"{PARAMETERS} SELECT vec_id, round(list_sum(list_transform(list_zip({I8}, lows, scales), lambda z: (z[1] + 128) * z[3] + z[2])), 6) AS total FROM v, a"),
-    "corpora_concatenated": (concatenated, "SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'fr', 'de')"),
+    "corpora_concatenated": (concatenated, "SELECT doc_id, lang FROM documents"),
+    "flat_matrix_codes": (flat_matrix, "SELECT list_sum(list_transform((embedding::DOUBLE[])[9:24], lambda x: greatest(-127, least(127, round_even(x * 40, 0)))))::BIGINT AS total, count(*) AS n FROM embeddings GROUP BY 1"),
+    "positional_gather": (positional_gather, "WITH i AS (SELECT vec_id, embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY vec_id) - 1 AS idx FROM embeddings), a AS (SELECT vec_id AS pos, unnest([idx, idx + 3, idx]) AS idx FROM i WHERE idx % 7 = 0) SELECT pos, a.idx, count(*) AS n, round(max(list_sum(v)), 3) AS total FROM a JOIN i ON i.idx = a.idx GROUP BY ALL"),
     "index_artefacts": (artefacts, f"{CENTROIDS}, {NEAR} SELECT c.cid, count(near.vec_id) AS n, sum(near.vec_id)::BIGINT AS ids FROM c LEFT JOIN near ON near.cid = c.cid AND r = 1 GROUP BY c.cid"),
     "query_log": (query_log, "SELECT 'query_1704067200_' || left(md5(text), 8) AS name, 10::BIGINT AS results FROM benchmark"),
     "crud_written": (crud_written, "SELECT p_partkey, CASE WHEN p_partkey = 7 THEN 'renamed' ELSE p_name END AS p_name, CASE WHEN p_partkey = 7 THEN 1 ELSE p_size END AS p_size FROM part WHERE p_partkey <> 9"),

@@ -246,7 +246,7 @@ def file_ids(spark, d):
 
 
 def escaped(spark, d):
-    given = table(spark, d, "benchmark").select("item_id", F.concat(F.lit("it's a \\ \"quote\": "), F.substring("text", 1, 40)).alias("text"))
+    given = table(spark, d, "benchmark").select("item_id", F.concat(F.lit("it's a \\ \"quote\": "), F.col("text")).alias("text"))
     return given.select("item_id", T.sql_escaped(F.col("text")).alias("escaped"))
 
 
@@ -334,7 +334,7 @@ QUERIES = {
     "stride_sample_by_corpus": (corpus_stride, "SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS r FROM documents) WHERE r % 5 = 0"),
     "batch_gather_metadata": (gather_metadata, f"WITH {UNION} SELECT g, corpus_source, doc_id, source, n_chars FROM (VALUES (15), (0), (40)) t(g) JOIN u ON g = global_idx JOIN documents USING (doc_id)"),
     "file_ids": (file_ids, "SELECT * FROM (VALUES (1, 'a_B-9'), (2, 'Zz1'), (3, 'plain_id'), (4, 'https://drive.example/none')) t(id, file_id)"),
-    "sql_escape": (escaped, "SELECT item_id, replace(replace(replace(t, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)), chr(39), chr(39) || chr(39)) AS escaped FROM (SELECT item_id, 'it' || chr(39) || 's a ' || chr(92) || ' ' || chr(34) || 'quote' || chr(34) || ': ' || left(text, 40) AS t FROM benchmark)"),
+    "sql_escape": (escaped, "SELECT item_id, replace(replace(replace(t, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)), chr(39), chr(39) || chr(39)) AS escaped FROM (SELECT item_id, 'it' || chr(39) || 's a ' || chr(92) || ' ' || chr(34) || 'quote' || chr(34) || ': ' || text AS t FROM benchmark)"),
     "first_filled": (preview_or_text, "SELECT doc_id, md5(coalesce(nullif(CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN left(text, 20) END, ''), nullif(text, ''), '')) AS shown FROM documents"),
     "crud_search": (case_search, "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'steel') OR contains(lower(p_type), 'steel')"),
 }

@@ -9,7 +9,7 @@ from ..functions import quantize as Q
 from ..functions import vector as V
 from ..operators import product_codes as C
 from ..operators import search as S
-from .sqlfunctions import register_vector_search
+from .sqlfunctions import register_table_search, register_vector_search, store_vector_index
 from .tables import query_set, table, vectors
 
 K, PARTS, CODES, DIMENSION = 10, 8, 16, 64
@@ -217,6 +217,19 @@ def ivf_pq(spark, d):
     return _out(_pq_nearest(asked, coded, book, on="cid"))
 
 
+def _sql_table_search(quantization: str):
+    def run(spark, d):
+        v = vectors(spark, d)
+        register_table_search(spark)
+        query_set(v).select("query_id", "q", F.pmod(F.xxhash64("query_id"), F.lit(8)).alias("bucket")).createOrReplaceTempView("asked_vectors")
+        return spark.sql(
+            "SELECT query_id, rank, vec_id, round(distance, 6) AS distance FROM vector_search_of(queries => TABLE(asked_vectors) PARTITION BY bucket, "
+            f"index => '{store_vector_index(v)}', metric => 'cosine', k => {K}, quantization => '{quantization}', min_rerank_k => 40)"
+        )
+
+    return run
+
+
 def sql_search(spark, d):
     """The table function vector_search for the vector of id 0."""
     v = vectors(spark, d)
@@ -375,6 +388,12 @@ QUERIES = {
         + _rank("SELECT query_id, enc.vec_id, sum(list_sum(list_transform(list_zip(q[m * 8 + 1 : m * 8 + 8], b), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS distance FROM enc JOIN ask USING (cid) GROUP BY ALL", by="round(distance, 9)"),
     ),
     "sql_vector_search": (sql_search, f"WITH t AS ({_top(COSINE, 'query_id = 0')}) SELECT rank, vec_id, distance FROM t"),
+    "sql_search_exact": (_sql_table_search("FLOAT32_EXACT"), _top(COSINE)),
+    "sql_search_coded": (
+        _sql_table_search("SQ8_UINT8"),
+        f"{PARAMETERS}, b AS (SELECT vec_id, list_transform(list_zip({U8}, lows, scales), lambda z: z[1] * z[3] + z[2]) AS v FROM v, a), pool AS (SELECT query_id, vec_id FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round({COSINE}, 9), vec_id) AS r FROM b, q) WHERE r <= 40) "
+        + _rank(f"SELECT query_id, vec_id, {COSINE} AS distance FROM pool JOIN q USING (query_id) JOIN v USING (vec_id)"),
+    ),
     "two_tier_rerank": (two_tier, f"{WITH}, {ROW_CODED}, {POOL} " + _rank(TIER)),
     "two_tier_recall": (
         two_tier_recall,

@@ -5,16 +5,20 @@ from __future__ import annotations
 import fnmatch
 import json
 import struct
+import uuid
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..workspace import file_system
 
 SPLIT_BYTES = 64 << 20
+#: Fixed value: how a graph file begins.
 GRAPH_MAGIC = b"AGYHNSW1"
 
 
@@ -27,12 +31,14 @@ def opened(uri: str):
 
 @contextmanager
 def written(uri: str):
-    """A file that is there under its name once all went well."""
+    """A file that is there under its name once all went well; each attempt writes one of its own."""
     system, path = file_system(uri)
-    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    with system.open_output_stream(f"{path}.tmp") as f:
+    folder, name = path.rsplit("/", 1)
+    system.create_dir(folder, recursive=True)
+    own = f"{folder}/.{name}.{uuid.uuid4().hex}"
+    with system.open_output_stream(own) as f:
         yield f
-    system.move(f"{path}.tmp", path)
+    system.move(own, path)
 
 
 def listed(uri: str) -> list[tuple[str, int]]:
@@ -123,19 +129,28 @@ def read_records(spark: SparkSession, path: str, kind: str = "f", most: int = -1
     return spark.read.format("vecrecords").options(kind=kind, most=str(most)).load(path)
 
 
+def matrix(values: pa.Array, dimension: int | None = None) -> np.ndarray:
+    """Lists as a matrix. Files of vectors have no place for a null, nor for a vector of another length."""
+    n = pc.list_value_length(values)
+    if n.null_count or values.flatten().null_count or len(n.unique()) > 1 or (dimension is not None and len(n) and n[0].as_py() != dimension):
+        raise ValueError("vectors of a file must be whole and of one length")
+    return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
+
+
 def write_records(rows: DataFrame, uri: str, order: str, column: str, kind: str = "f") -> None:
     """A file of records for each partition, in the order of their names."""
 
     def write(batches):
         from pyspark import TaskContext
 
-        part, data = TaskContext.get().partitionId(), []
+        part, data, width = TaskContext.get().partitionId(), [], None
         name = f"{uri}/part-{part:05d}.{kind}vecs"
         with written(name) as f:
             for batch in batches:
                 values = batch.column(1)
                 if batch.num_rows:
-                    flat = values.flatten().to_numpy().reshape(batch.num_rows, -1)
+                    flat = matrix(values, width)
+                    width = flat.shape[1]
                     f.write(encode_records(flat, kind))
                     data.append(batch.num_rows)
         yield pa.RecordBatch.from_pydict({"file": [name], "records": [sum(data)]})
@@ -155,6 +170,122 @@ def flat_type(name: str, size: int, dimension: int) -> str:
     return "<i1" if "int8" in name or (size % (4 * dimension) and size % dimension == 0) else "<f4"
 
 
+class FlatReader(DataSourceReader):
+    """Rows of a matrix without a header, in splits of whole rows; of a row only the wanted columns, and of a
+    file only the wanted rows, are read."""
+
+    def __init__(self, options: dict):
+        self.path, self.dimension = options["path"], int(options["dimension"])
+        self.kind, self.bytes = options.get("kind"), int(options.get("splitbytes", SPLIT_BYTES))
+        self.rows = int(options.get("from", "0")), int(options.get("to", str(1 << 62)))
+        self.columns = int(options.get("first", "0")), int(options.get("last", str(self.dimension)))
+        if not 0 <= self.columns[0] < self.columns[1] <= self.dimension:
+            raise ValueError("columns must lie in the matrix")
+
+    def partitions(self) -> list[InputPartition]:
+        splits = []
+        for uri, size in listed(self.path):
+            kind = self.kind or flat_type(uri.rsplit("/", 1)[1], size, self.dimension)
+            width = np.dtype(kind).itemsize * self.dimension
+            start, end = max(self.rows[0], 0), min(self.rows[1], size // width)
+            each = max(1, self.bytes // width)
+            splits += [InputPartition((uri, kind, a, min(a + each, end))) for a in range(start, end, each)]
+        return splits
+
+    def read(self, partition: InputPartition | None):
+        if partition is None:
+            return
+        uri, kind, start, end = partition.value
+        item, (first, last) = np.dtype(kind).itemsize, self.columns
+        width, wide = item * self.dimension, item * (last - first)
+        with opened(uri) as f:
+            for a in range(start, end, 4096):
+                n = min(4096, end - a)
+                if 4 * (last - first) < self.dimension and width > 16_384:  # long rows: their wanted bytes alone
+                    raw = b"".join(f.read_at(wide, (a + i) * width + first * item) for i in range(n))
+                    rows = np.frombuffer(raw, kind).reshape(n, -1)
+                else:
+                    rows = np.frombuffer(f.read_at(n * width, a * width), kind).reshape(n, -1)[:, first:last]
+                yield pa.RecordBatch.from_arrays([pa.array([uri] * n), pa.array(np.arange(a, a + n)), lists_of(rows.astype("<f4"))], names=["path", "pos", "values"])
+
+
+def lists_of(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel()))
+
+
+class FlatSource(DataSource):
+    """spark.read.format("flatvectors").option("dimension", 64).load(path)"""
+
+    @classmethod
+    def name(cls) -> str:
+        return "flatvectors"
+
+    def schema(self) -> str:
+        return "path string, pos long, values array<float>"
+
+    def reader(self, schema) -> FlatReader:
+        return FlatReader(dict(self.options))
+
+
+def read_flat(spark: SparkSession, path: str, dimension: int, kind: str | None = None, rows: tuple[int, int] | None = None, columns: tuple[int, int] | None = None) -> DataFrame:
+    """path, pos, values of flat matrices (a file, a folder, or a name with *), int8 or float, told by name and
+    size where kind (<i1 or <f4) is not given; of rows and columns a range each, ends excluded."""
+    spark.dataSource.register(FlatSource)
+    options = {"dimension": str(dimension)} | ({"kind": kind} if kind else {})
+    options |= {"from": str(rows[0]), "to": str(rows[1])} if rows else {}
+    options |= {"first": str(columns[0]), "last": str(columns[1])} if columns else {}
+    return spark.read.format("flatvectors").options(**options).load(path)
+
+
+def write_flat(rows: DataFrame, uri: str, order: str, column: str, kind: str = "<f4") -> None:
+    """A flat matrix for each partition, in the order of their names."""
+
+    def write(batches):
+        from pyspark import TaskContext
+
+        name, n, width = f"{uri}/part-{TaskContext.get().partitionId():05d}.{'int8' if kind == '<i1' else 'f32'}", 0, None
+        with written(name) as f:
+            for batch in batches:
+                if batch.num_rows:
+                    flat = matrix(batch.column(1), width)
+                    width, n = flat.shape[1], n + len(flat)
+                    f.write(flat.astype(kind).tobytes())
+        yield pa.RecordBatch.from_pydict({"file": [name], "rows": [n]})
+
+    rows.repartitionByRange(order).sortWithinPartitions(order).select(order, column).mapInArrow(write, "file string, rows long").collect()  # a row per file
+
+
+def gathered(asked: DataFrame, path: str, dimension: int, kind: str = "<f4", gap_bytes: int = 4096) -> DataFrame:
+    """pos, idx, v for requests (pos, idx) to the rows of flat matrices, numbered through in the order of the
+    files' names. A task sorts its requests, reads each row once, and rows that lie near each other in one
+    go; nothing else of the files is read. A row asked for twice comes twice; one that is not there (or
+    null) has no row."""
+    width = np.dtype(kind).itemsize * dimension
+    files = [(uri, size // width) for uri, size in listed(path)]  # a number per file
+    ends = np.cumsum([n for _, n in files])
+    total = int(ends[-1]) if files else 0
+
+    def read(batches):
+        for batch in batches:
+            idx = batch.column("idx").to_numpy()
+            if not len(idx):
+                continue
+            wanted, place = np.unique(idx, return_inverse=True)
+            rows = np.zeros((len(wanted), dimension), "<f4")
+            file = np.searchsorted(ends, wanted, side="right")
+            runs = np.flatnonzero(np.r_[True, (np.diff(wanted) * width > gap_bytes + width) | (np.diff(file) > 0), True])
+            for a, e in zip(runs[:-1].tolist(), runs[1:].tolist()):
+                uri, n = files[file[a]]
+                at = wanted[a:e] - (ends[file[a]] - n)
+                with opened(uri) as f:
+                    raw = f.read_at(int(at[-1] - at[0] + 1) * width, int(at[0]) * width)
+                rows[a:e] = np.frombuffer(raw, kind).reshape(-1, dimension)[at - at[0]]
+            yield pa.RecordBatch.from_arrays([batch.column("pos"), batch.column("idx"), lists_of(rows[place])], names=["pos", "idx", "v"])
+
+    own = asked.select(F.col("pos").cast("long").alias("pos"), F.col("idx").cast("long").alias("idx")).filter((F.col("idx") >= 0) & (F.col("idx") < total))
+    return own.repartitionByRange("idx").sortWithinPartitions("idx").mapInArrow(read, "pos long, idx long, v array<float>")
+
+
 def encode_graph(header: dict, neighbours: list[list[int]]) -> bytes:
     head = json.dumps(header, sort_keys=True).encode()
     body = b"".join(struct.pack(f"<H{len(n)}I", len(n), *n) for n in neighbours)
