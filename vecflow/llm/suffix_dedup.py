@@ -7,11 +7,13 @@ Every string of LENGTH bytes is decided, at every position of every text:
    the same place. Only anchors are shuffled: per batch their distinct hashes, packed, each to the
    partition of its value. What comes back tells each batch which of its anchors some other
    document has too.
-3. Those anchors, with the bytes around them that their strings can reach, are sorted as suffixes by
-   bucket-pointer refinement: the q-gram (the anchor) gives the initial bucket, buckets of more
-   than one suffix are refined by the identifiers of the grams at later offsets, and the refined
-   pointers are what the next refinement sorts on. The order and the common prefixes of neighbours
-   give the class of every string that contains the anchor, and with it the least document id.
+3. Those anchors, with the bytes around them that their strings can reach, are sorted as suffixes, most
+   significant bytes first: the q-gram (the anchor) gives the initial bucket, buckets of more than one
+   suffix are refined by the words of bytes at later offsets. As a string is of fixed length, so is
+   the window that is compared, and it is shorter than pointers to other suffixes' buckets would pay
+   for: this is a fixed-width sort, not bucket-pointer refinement, which reuses refined pointers. The
+   order and the common prefixes of neighbours give the class of every string that contains the
+   anchor, and with it the least document id.
 4. Each batch marks the bytes of strings whose least document id is smaller than its own.
 
 Equal contexts of a batch travel as one, so a passage that all documents share costs an entry per
