@@ -245,3 +245,34 @@ def test_graded_quality_by_hand(spark):
     assert abs(rows[1].ndcg - (3 / log(2) + 1 / log(3)) / (3 / log(1) + 1 / log(2) + 1 / log(3))) < 1e-6
     assert (rows[2].reciprocal_rank, rows[2].recall, rows[2].ndcg) == (1.0, 1.0, 1.0)
     assert all((rows[q].reciprocal_rank, rows[q].precision, rows[q].recall, rows[q].ndcg) == (0.0, 0.0, 0.0, 0.0) for q in (3, 4))
+
+
+def test_rows_are_held_until_a_lot_is_full(spark):
+    source, target, state = (workdir(spark, n) for n in ("test-in", "test-lots", "test-state"))
+    buffer = lambda: ingest.Buffer(spark, target, "i long, t string", 10, lambda rows: rows.withColumn("n", F.length("t")), "i")
+    for a, e in ((0, 4), (4, 27), (27, 28)):  # a restart between each
+        spark.range(a, e).selectExpr("id AS i", "repeat('x', cast(id as int)) AS t").coalesce(1).write.mode("append").parquet(source)
+        buffer().run(spark.readStream.schema("i long, t string").parquet(source), state)
+    written = lambda: spark.read.schema("i long, n int, lot long").parquet(f"{target}/written")
+    assert sorted(x.i for x in written().collect()) == list(range(20)) and {x["count"] for x in written().groupBy("lot").count().collect()} == {10}
+    assert buffer().close() == 8 and buffer().close() == 0
+    assert sorted((x.i, x.n) for x in written().collect()) == [(i, i) for i in range(28)]
+
+
+def test_settings_and_caches(spark, tmp_path):
+    from vecflow.config import PipelineConfig
+    from vecflow.operators import stores
+
+    PipelineConfig(dimension=12, extra={"a": "ü"}).save_json(f"{tmp_path}/x/settings.json")
+    again = PipelineConfig.from_json(f"{tmp_path}/x/settings.json")
+    assert again.dimension == 12 and again.extra == {"a": "ü"} and PipelineConfig.from_dict({"none": 1, "dimension": 3}).dimension == 3
+    with pytest.raises(FileNotFoundError):
+        PipelineConfig.from_json(f"{tmp_path}/none.json")
+    uri = f"file://{tmp_path}/cache"
+    rows, there = stores.cached_vectors(spark, uri, 7)
+    assert not there and rows.count() == 100 and all(abs(np.linalg.norm(x.v) - 1) < 1e-9 for x in rows.collect())
+    assert stores.first_there(spark, [(uri, "cache")], 5) is None
+    spark.range(200).selectExpr("id AS vec_id", "array(1.5D) AS v").write.parquet(uri)
+    assert stores.cached_vectors(spark, uri, 7)[1] and stores.cached_vectors(spark, uri, 7)[0].count() == 200
+    rows, place = stores.first_there(spark, [(f"file://{tmp_path}/other", "cache"), (uri, "corpus")], 4)
+    assert place == uri and [x.vec_id for x in rows.orderBy("vec_id").collect()] == [0, 20, 40, 60]

@@ -6,6 +6,7 @@ import json
 import math
 from datetime import datetime, timezone
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -177,6 +178,33 @@ def current(spark: SparkSession, uri: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{uri}/versions/{n:06d}")
 
 
+def newest(spark: SparkSession, uri: str, schema, before: int | None = None) -> DataFrame:
+    """The newest committed version below `before`, no rows if there is none."""
+    whole = [n for n, committed in _versions(spark, uri) if committed and (before is None or n < before)]
+    return spark.read.schema(schema).parquet(f"{uri}/versions/{max(whole):06d}") if whole else spark.createDataFrame([], schema)
+
+
+def cached_vectors(spark: SparkSession, uri: str, dimension: int, rows: int = 100, seed: int = 42) -> tuple[DataFrame, bool]:
+    """vec_id, v of a cache at uri, and True; where there is none so many random unit vectors, and False."""
+    if _exists(spark, uri):
+        return spark.read.parquet(uri).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<double>").alias("v")), True
+    random = np.random.default_rng(seed).normal(size=(rows, dimension))
+    unit = random / np.maximum(np.linalg.norm(random, axis=1, keepdims=True), 1e-12)
+    return spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(unit)], "vec_id long, v array<double>"), False
+
+
+def first_there(spark: SparkSession, places: list[tuple[str, str]], limit: int, stride: int = 20) -> tuple[DataFrame, str] | None:
+    """Rows of the first of some places (address, kind) that is there, and its address; None if none is. A
+    cache gives its first rows by vec_id, a corpus every stride-th one; up to limit of them, a report's
+    sample."""
+    for uri, kind in places:
+        if _exists(spark, uri):
+            rows = spark.read.parquet(uri)
+            rows = rows.filter(F.col("vec_id") % stride == 0) if kind == "corpus" else rows
+            return rows.orderBy("vec_id").limit(limit), uri
+    return None
+
+
 def to_markdown(rows: list[dict]) -> str:
     """A small report as a table."""
     if not rows:

@@ -222,13 +222,17 @@ def split_by_position(spark, d):
     return v.groupBy(F.when(cut, "train").otherwise("query").alias("part")).agg(F.count("*").alias("n"), F.min("vec_id").alias("first"))
 
 
+#: Vectors that a walk in order of id takes at once.
+FAIL_BLOCK = 256
+
+
 def fail_counter(spark, d):
     """For each query the step at which three rows in a row, in order of id, brought no gain of 0.1; the
-    best only moves with a gain."""
-    v = vectors(spark, d).filter("vec_id < 60")
-    q = query_set(vectors(spark, d))
-    steps = v.crossJoin(F.broadcast(q)).select("query_id", F.struct("vec_id", V.l2_squared(F.col("q"), F.col("v")).alias("d")).alias("s"))  # sixty rows
+    best only moves with a gain. Rows are taken block by block, for those queries that go on."""
+    v = stored(D.numbered(vectors(spark, d).select("vec_id", "v"), "vec_id", "place"), "ordered")
+    n = v.count()
     start = F.struct(F.lit(float("inf")).alias("best"), F.lit(0).alias("fails"), F.lit(0).alias("step"), F.lit(0).alias("stopped"))
+    state = stored(query_set(vectors(spark, d)).select("query_id", "q", start.alias("end")), "walks")
 
     def turn(a, x):
         gain = a["best"] - x["d"] >= 0.1
@@ -236,7 +240,18 @@ def fail_counter(spark, d):
         went = F.struct(F.when(gain, x["d"]).otherwise(a["best"]).alias("best"), fails.alias("fails"), step.alias("step"), F.when(fails >= 3, step).otherwise(F.lit(0)).alias("stopped"))
         return F.when(a["stopped"] > 0, a).otherwise(went)
 
-    folded = steps.groupBy("query_id").agg(F.aggregate(F.sort_array(F.collect_list("s")), start, turn).alias("end"))
+    done = None
+    for first in range(0, n, FAIL_BLOCK):
+        block = v.filter((F.col("place") >= first) & (F.col("place") < first + FAIL_BLOCK)).agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias("block"))
+        measured = F.transform("block", lambda x: F.struct(x["vec_id"].alias("vec_id"), V.l2_squared(F.col("q"), x["v"]).alias("d")))
+        state = state.crossJoin(F.broadcast(block))  # one row of FAIL_BLOCK vectors
+        state = stored(state.select("query_id", "q", F.aggregate(measured, F.col("end"), turn).alias("end")), "walks")
+        ended = state.filter("end.stopped > 0")
+        done = ended if done is None else done.unionByName(ended)
+        state = state.filter("end.stopped = 0")
+        if state.isEmpty():
+            break
+    folded = state if done is None else done.unionByName(state)
     return folded.select("query_id", F.col("end.stopped").alias("stopped"), F.round("end.best", 6).alias("best"))
 
 
@@ -352,7 +367,7 @@ QUERIES = {
     "split_by_position": (split_by_position, "SELECT CASE WHEN vec_id < 150 THEN 'train' ELSE 'query' END AS part, count(*) AS n, min(vec_id) AS first FROM embeddings GROUP BY 1"),
     "fail_counter": (
         fail_counter,
-        f"{WITH.replace('WITH v', 'WITH RECURSIVE v')}, s AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY vec_id) AS step, {SQUARED} AS d FROM v, q WHERE vec_id < 60), w AS (SELECT query_id, 0::BIGINT AS step, 'inf'::DOUBLE AS best, 0 AS fails FROM q UNION ALL SELECT w.query_id, s.step, CASE WHEN best - d >= 0.1 THEN d ELSE best END, CASE WHEN best - d >= 0.1 THEN 0 ELSE fails + 1 END FROM w JOIN s ON s.query_id = w.query_id AND s.step = w.step + 1 WHERE fails < 3) SELECT query_id, coalesce(max(step) FILTER (fails >= 3), 0)::INT AS stopped, round(arg_max(best, step), 6) AS best FROM w GROUP BY 1",
+        f"{WITH.replace('WITH v', 'WITH RECURSIVE v')}, s AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY vec_id) AS step, {SQUARED} AS d FROM v, q), w AS (SELECT query_id, 0::BIGINT AS step, 'inf'::DOUBLE AS best, 0 AS fails FROM q UNION ALL SELECT w.query_id, s.step, CASE WHEN best - d >= 0.1 THEN d ELSE best END, CASE WHEN best - d >= 0.1 THEN 0 ELSE fails + 1 END FROM w JOIN s ON s.query_id = w.query_id AND s.step = w.step + 1 WHERE fails < 3) SELECT query_id, coalesce(max(step) FILTER (fails >= 3), 0)::INT AS stopped, round(arg_max(best, step), 6) AS best FROM w GROUP BY 1",
     ),
     "index_increments": (index_increments, f"{CENTROIDS}, {NEAR} SELECT cid, count(*) AS n, sum(vec_id)::BIGINT AS ids FROM near WHERE r = 1 GROUP BY 1"),
     "retrieval_quality": (retrieval_quality, f"{GRADED} SELECT query_id, round(reciprocal_rank, 6) AS reciprocal_rank, round(precision, 6) AS precision, round(recall, 6) AS recall, round(ndcg, 6) AS ndcg FROM quality"),

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import dedup
+from ..operators import dedup, stores
+from ..workspace import stored
 
 
 def file_stream(spark: SparkSession, folder: str, schema) -> DataFrame:
@@ -67,6 +68,41 @@ def telemetry(stream: DataFrame, target: str, checkpoint: str, width: str, delay
     return {"batches": len(query.recentProgress), "dropped": sum(dropped)}
 
 
+class Buffer:
+    """Rows of a stream held back until there are `size` of them, changed (embedded, say) and written in lots
+    of that many, in the order of a column within what is held; `close` writes the rest.
+
+    What is held is a version per batch in the shared folder, so a restart goes on with it, and a batch
+    that is tried again replaces what it wrote."""
+
+    def __init__(self, spark: SparkSession, target: str, schema: str, size: int, change, order: str):
+        self.spark, self.target, self.schema, self.size, self.change, self.order = spark, target, schema, max(1, size), change, order
+
+    def _put(self, rows: DataFrame, number: int, least: int) -> int:
+        held = stores.newest(self.spark, f"{self.target}/held", self.schema, number).unionByName(rows.select(*[x.split()[0] for x in self.schema.split(", ")]))
+        placed = stored(dedup.numbered(held, self.order, "place_"), "held")
+        n = placed.count()
+        out = n - n % least
+        if out:
+            lots = placed.filter(F.col("place_") < out).withColumn("lot", F.floor(F.col("place_") / self.size)).drop("place_")
+            self.change(lots).write.mode("overwrite").parquet(f"{self.target}/written/batch={number}")
+        placed.filter(F.col("place_") >= out).drop("place_").write.mode("overwrite").parquet(f"{self.target}/held/versions/{number:06d}")
+        return out
+
+    def add(self, rows: DataFrame, number: int) -> int:
+        """Batch number `number`; gives how many rows were written."""
+        return self._put(rows, number, self.size)
+
+    def run(self, stream: DataFrame, checkpoint: str) -> None:
+        """All that is there in a stream."""
+        stream.writeStream.foreachBatch(self.add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+    def close(self) -> int:
+        """Writes what is held; gives how many rows that were."""
+        versions = [n for n, whole in stores._versions(self.spark, f"{self.target}/held") if whole]
+        return self._put(self.spark.createDataFrame([], self.schema), max(versions, default=-1) + 1, 1)
+
+
 WINDOWS = "start timestamp, event_type string, n long, total double, batch long"
 
 
