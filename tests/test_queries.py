@@ -54,3 +54,38 @@ def test_flagship(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_kmeans_rows_are_nearest_to_their_own_mean(spark):
+    import numpy as np
+
+    rows = {r.vec_id: r.cid for r in catalogue.queries()["kmeans_fit"](spark, SMALL).collect()}
+    x = {r.vec_id: np.array(r.embedding) for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()}
+    assert set(rows) == set(x) and len(set(rows.values())) == 10
+    means = {c: np.mean([x[i] for i, own in rows.items() if own == c], axis=0) for c in set(rows.values())}
+    nearest = [min(means, key=lambda c: np.square(means[c] - x[i]).sum()) == own for i, own in rows.items()]
+    assert np.mean(nearest) > 0.9
+
+
+def test_pca_is_that_of_the_singular_values(spark):
+    import numpy as np
+
+    rows = sorted((r.vec_id, r.x, r.y, r.z) for r in catalogue.queries()["pca_project_3d"](spark, SMALL).collect())
+    x = np.array([r.embedding for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").orderBy("vec_id").collect()], float)
+    _, _, axes = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    want, got = x @ axes[:3].T, np.array([r[1:] for r in rows])
+    want *= 45 / np.abs(want).max()
+    assert all(min(np.abs(got[:, i] - want[:, i]).max(), np.abs(got[:, i] + want[:, i]).max()) < 1e-2 for i in range(3))
+
+
+def test_minhash_duplicates_are_alike(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()}
+    words = {i: set((t or "").split()) for i, t in texts.items()}
+    found = {r.doc_id: r.first_id for r in catalogue.queries()["minhash_near_dups"](spark, SMALL).collect()}
+    assert found and all(f < i for i, f in found.items())
+    alike = [len(words[i] & words[f]) / max(len(words[i] | words[f]), 1) for i, f in found.items()]
+    assert sum(a >= 0.5 for a in alike) >= 0.9 * len(alike)
+    first = {}
+    for i in sorted(texts):
+        if words[i]:
+            assert first.setdefault(frozenset(words[i]), i) == i or i in found

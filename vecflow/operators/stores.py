@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import quantize as Q
+from ..workspace import stored
 from .dedup import numbered
 
 
@@ -19,6 +20,10 @@ def _exists(spark: SparkSession, uri: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
+#: Rows of a list of a stored index that a task writes.
+LIST_ROWS = 100_000
+
+
 def _rows(spark: SparkSession, uri: str, schema: str) -> DataFrame:
     """The rows of a folder, none if nothing was written yet."""
     return spark.read.schema(schema).parquet(uri) if _exists(spark, uri) else spark.createDataFrame([], schema)
@@ -132,11 +137,16 @@ def merged(members: list[DataFrame], uri: str) -> DataFrame:
 
 
 def save_index(shards: DataFrame, centroids: DataFrame, uri: str) -> None:
-    """Centroids, vectors by list, and the size of each list."""
+    """Centroids, vectors by list, and the size of each list. A list is written in parts of up to about
+    LIST_ROWS rows, each by a task of its own."""
     centroids.write.parquet(f"{uri}/centroids")
-    shards.repartition("cid").write.partitionBy("cid").parquet(f"{uri}/shards")
-    sizes = centroids.select("cid").join(shards.groupBy("cid").agg(F.count("*").alias("n")), "cid", "left").select("cid", F.coalesce("n", F.lit(0)).alias("n"))
-    sizes.write.json(f"{uri}/router")
+    held = stored(shards, "lists")
+    sizes = stored(held.groupBy("cid").agg(F.count("*").alias("n")), "list_sizes")  # a row per list
+    part = F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("list_rows_") / LIST_ROWS))
+    dealt = held.join(F.broadcast(sizes.withColumnRenamed("n", "list_rows_")), "cid").withColumn("part_", part)
+    dealt.repartition("cid", "part_").select(*shards.columns).write.partitionBy("cid").parquet(f"{uri}/shards")
+    every = centroids.select("cid").join(sizes, "cid", "left").select("cid", F.coalesce("n", F.lit(0)).alias("n"))
+    every.write.json(f"{uri}/router")
 
 
 def load_index(spark: SparkSession, uri: str) -> tuple[DataFrame, DataFrame, DataFrame]:
