@@ -18,12 +18,12 @@ WORST = {
     "no local part": "a." * (LONG // 2),
     "octets": "1." * (LONG // 2),
     "figures": "1" * LONG,
-    "groups of figures": "12 " * (LONG // 3),
+    "groups of figures": "12 " * (LONG // 15),
     "cards": "4111 1111 1111 1111 " * 2000,
     "accounts": "DE89 3704 0044 0532 0130 00 " * 2000,
-    "account beginnings": "AB12 " * (LONG // 5),
+    "account beginnings": "AB12 " * (LONG // 25),
     "dates": "2024-01-01 " * 20_000,
-    "date beginnings": "12-" * (LONG // 3),
+    "date beginnings": "12-" * (LONG // 15),
     "plus signs": "+1" * (LONG // 2),
     "brackets": "(12" * (LONG // 3),
     "security numbers": "123-45-6789 " * 20_000,
