@@ -367,6 +367,7 @@ def test_fingerprints_by_brute_force(spark):
 
     r = random.Random(12)
     own = [" ".join(r.choice("ab cd ef gh ij kl mn".split()) + str(r.randrange(6)) for _ in range(r.randint(1, 60))) for _ in range(12)] + ["", "One  one\tONE two\n", "é ß 語 語"]
+    own += [" ".join(f"w{int(r.paretovariate(0.7)) % 5000}" for _ in range(n)) for n in (41, 400, 4000)]  # texts with terms that no sample has
     got = {x.doc_id: x for x in weighted_sampling.fingerprints(spark.createDataFrame([*enumerate(own), (3, own[3])], "doc_id long, text string")).collect()}
     for i, t in enumerate(own):
         q = len(t) // 4

@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from .storage import partitions_for, stored
 
 SAMPLES = 64
-#: Samples drawn from a row at once; SAMPLES is a multiple of it. With more the generated code is too long for the JVM to compile.
-GROUP = 2
+#: Terms whose value is above so many times the mean of a text's least one are passed over: the least one is
+#: above it with chance exp(-REACH), 4e-18.
+REACH = 40.0
 #: A sample in the fingerprint: so many bits of a hash of term and grid point.
 SAMPLE_BITS = 24
 TEXT_BYTES = 8 << 20
@@ -42,20 +43,23 @@ def _uniforms(h: Column) -> tuple[Column, Column]:
     return low, high
 
 
-def variates(term: Column, k: Column, name: str) -> list[Column]:
-    """What the k-th sample has of a term: a gamma variate of shape 2, the logarithm of another one, a
-    uniform one, and a hash."""
-    a, b = _uniforms(F.xxhash64(term, 3 * k))
-    c, d = _uniforms(F.xxhash64(term, 3 * k + 1))
+def draws(term: Column, k: Column) -> list[Column]:
+    """What the k-th sample has of a term: ab and cd, of two uniform numbers each, whose -log are gamma
+    variates of shape 2; a uniform number u; a hash h."""
+    (a, b), (c, d) = (_uniforms(F.xxhash64(term, 3 * k + i)) for i in (0, 1))
     h = F.xxhash64(term, 3 * k + 2)
-    uniform = h.bitwiseAND(0x7FFFFFFF).cast("double") / _UNIT
-    return [(-F.log(a * b)).alias(f"r{name}"), F.log(-F.log(c * d)).alias(f"g{name}"), uniform.alias(f"u{name}"), F.shiftrightunsigned(h, 31).alias(f"h{name}")]
+    return [(a * b).alias("ab"), (c * d).alias("cd"), (h.bitwiseAND(0x7FFFFFFF).cast("double") / _UNIT).alias("u"), F.shiftrightunsigned(h, 31).alias("h")]
 
 
-def sample(log_weight: Column, name: str) -> Column:
-    """The sample's value in the high bits, its identity in the low ones, from the columns that variates
-    made; the least one counts. A null weight gives none."""
-    r, g, uniform, h = (F.col(f"{x}{name}") for x in "rguh")
+#: At most a term's value times its weight: -log(x) is 2 (1 - x) / (1 + x) or more. The other factor is at
+#: least ab; at weight one it is ab ** (1 - u), a geometric mean of 1 and ab, above their harmonic one.
+LEAST = "2 * (1 - cd) / (1 + cd) * if(single, ab / (u * ab + 1 - u), ab)"
+
+
+def sample(log_weight: Column) -> Column:
+    """The sample's value in the high bits, its identity in the low ones, from the columns of draws and their
+    logarithms r and g; the least one counts. A null weight gives none."""
+    r, g, uniform, h = (F.col(x) for x in "rguh")
     point = F.floor(log_weight / r + uniform)
     value = g - r * (point - uniform + 1)
     identity = (h + point * 0x9E3779).bitwiseAND((1 << SAMPLE_BITS) - 1)
@@ -76,21 +80,32 @@ def successors(docs: DataFrame) -> DataFrame:
 
 def signatures(edits: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """key, fingerprint and edited_fingerprint of rows (key, text, edited) that are partitioned by
-    key; no row leaves its partition. A term's variates serve both texts."""
+    key; no row leaves its partition. A term's variates serve both texts.
+
+    A term of weight w in a text of total weight W has a value that is exponentially distributed with rate
+    w, the text's least value has rate W. A term whose value is above REACH / W is the sample only if all
+    are, which has the chance exp(-REACH): where a bound without logarithms (LEAST) says so, the term is
+    passed over. A text of few words has no such terms."""
     mark = lambda words, side: F.transform(words, lambda h: F.shiftleft(F.shiftright(h, 1), 1) + side)
-    words = edits.select("key", F.explode(F.concat(mark(terms(F.col("text")), 0), mark(terms(F.col("edited")), 1))).alias("term"))
+    lists = edits.select("key", mark(terms(F.col("text")), 0).alias("t0"), mark(terms(F.col("edited")), 1).alias("t1"))
+    sized = lists.select("key", F.size("t0").alias("w0"), F.size("t1").alias("w1"), F.concat("t0", "t1").alias("both"))
+    # no list is empty; explode would split each text a second time to check that
+    words = sized.select("key", "w0", "w1", F.explode_outer("both").alias("term"))
     edited = F.col("term").bitwiseAND(1)
-    weights = words.groupBy("key", F.shiftright("term", 1).alias("term")).agg(F.sum(1 - edited).alias("n0"), F.sum(edited).alias("n1"))
+    weights = words.groupBy("key", "w0", "w1", F.shiftright("term", 1).alias("term")).agg(F.sum(1 - edited).alias("n0"), F.sum(edited).alias("n1"))
     # a term that a text does not have has no weight there
     logs = [F.log(F.nullif(F.col(n), F.lit(0)).cast("double")).alias(f"log{i}") for i, n in enumerate(("n0", "n1"))]
-    rows = weights.select("key", "term", *logs, F.explode(F.sequence(F.lit(0), F.lit(samples - 1), F.lit(GROUP))).alias("first"))
-    drawn = rows.select("key", "first", "log0", "log1", *[v for k in range(GROUP) for v in variates(F.col("term"), F.col("first") + k, str(k))])
-    least = [F.min(sample(F.col(f"log{i}"), str(k))).alias(f"s{i}_{k}") for k in range(GROUP) for i in (0, 1)]
-    # the samples of a group as text: hexadecimal, of fixed length
-    hexed = lambda i: F.concat(*[F.lpad(F.lower(F.hex(F.col(f"s{i}_{k}").bitwiseAND((1 << SAMPLE_BITS) - 1))), SAMPLE_BITS // 4, "0") for k in range(GROUP)])
-    parts = drawn.groupBy("key", "first").agg(*least).select("key", "first", hexed(0).alias("f0"), hexed(1).alias("f1"))
-    whole = lambda f: F.concat(*[F.max(F.when(F.col("first") == a, F.col(f))) for a in range(0, samples, GROUP)])
-    return parts.groupBy("key").agg(whole("f0").alias("fingerprint"), whole("f1").alias("edited_fingerprint"))
+    reach = (REACH * F.greatest(F.col("n0") / F.col("w0"), F.col("n1") / F.col("w1"))).alias("reach")
+    single = (F.greatest("n0", "n1") == 1).alias("single")
+    rows = weights.select("key", "term", *logs, reach, single, F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("k"))
+    near = rows.select("*", *draws(F.col("term"), F.col("k"))).filter(f"{LEAST} <= reach")
+    drawn = near.select("key", "k", "log0", "log1", (-F.log("ab")).alias("r"), F.log(-F.log("cd")).alias("g"), "u", "h")
+    parts = drawn.groupBy("key", "k").agg(*[F.min(sample(F.col(f"log{i}"))).alias(f"s{i}") for i in (0, 1)])
+    # hexadecimal, of fixed length; the samples of a document are collected, at most so many as there are
+    hexed = lambda s: F.lpad(F.lower(F.hex(F.coalesce(s, F.lit(0)).bitwiseAND((1 << SAMPLE_BITS) - 1))), SAMPLE_BITS // 4, "0")
+    found = parts.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("k", F.struct("s0", "s1")))).alias("found"))
+    text = lambda s: F.concat_ws("", F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda k: hexed(F.element_at("found", k)[s])))
+    return found.select("key", text("s0").alias("fingerprint"), text("s1").alias("edited_fingerprint"))
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
