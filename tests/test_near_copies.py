@@ -1,5 +1,7 @@
 """Similar pairs, signatures and the streams of duplicates that are built on them."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -50,3 +52,18 @@ def test_whole_sets_are_moved_for_similar_texts_only(spark):
     pairs = spark.createDataFrame([(a, b) for a in range(43) for b in range(a + 1, 43)], "a long, b long")
     left = {tuple(x) for x in dedup._may_be_similar(pairs, dedup._sketches(hashes), 0.75).collect()}
     assert left >= {(0, 40), (1, 41), (2, 42)} and len(left) <= 6
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_signatures_are_those_of_the_hash_function(spark, monkeypatch, k):
+    monkeypatch.setattr(dedup, "HASH_WORDS", 64)
+    docs = spark.createDataFrame([(i, t) for i, t in _texts() if i % 3 == 0] + [(9999, None), (9998, " "), (9997, "é ü ü")], "doc_id long, text string")
+    words = F.array_distinct(T.shingles(T.tokens(F.col("text")), k))
+    plain = docs.select("doc_id", F.explode(words).alias("t")).groupBy("doc_id").agg(F.array(*[F.min(F.xxhash64("t", F.lit(i))) for i in range(dedup.BANDS * dedup.ROWS)]).alias("m"))
+    want = {x.doc_id: list(x.m) for x in plain.collect()}
+    got = {x.doc_id: x.m and list(x.m) for x in docs.select("doc_id", dedup.signature(F.col("text"), k).alias("m")).collect()}
+    assert {i for i, m in got.items() if m is None} == set(got) - set(want) and {i: m for i, m in got.items() if m} == want
+    bands = {}
+    for x in dedup.banded(docs, k).collect():
+        bands.setdefault(x.doc_id, set()).add((x.band, x.bucket))
+    assert set(bands) == set(want) and all(len(b) == dedup.BANDS for b in bands.values())
