@@ -67,3 +67,29 @@ def test_signatures_are_those_of_the_hash_function(spark, monkeypatch, k):
     for x in dedup.banded(docs, k).collect():
         bands.setdefault(x.doc_id, set()).add((x.band, x.bucket))
     assert set(bands) == set(want) and all(len(b) == dedup.BANDS for b in bands.values())
+
+
+def test_stream_of_duplicates_runs_in_order_and_over_many_files(spark, monkeypatch):
+    """Each run is behind the one before, and its files are as many as there are partitions, not one."""
+    from vecflow.plans import catalogue
+    from vecflow.streaming import ingest
+
+    runs, plain = [], ingest.ingest
+
+    def noted(stream, target, checkpoint):
+        plain(stream, target, checkpoint)
+        runs.append({f for f in os.listdir(sources[0]) if f.endswith(".parquet")})
+
+    sources, read = [], ingest.file_stream
+    monkeypatch.setattr(ingest, "file_stream", lambda spark, folder, schema: sources.append(folder.removeprefix("file://")) or read(spark, folder, schema))
+    monkeypatch.setattr(ingest, "ingest", noted)
+    small = "/root/testdata/sf0.01"
+    got = catalogue.queries()["stream_first_wins"](spark, small).collect()
+    want = catalogue.queries()["dedup_greedy_stream"](spark, small).collect()
+    assert sorted((x.doc_id, x.kept) for x in got) == sorted((x.doc_id, x.kept) for x in want) and len(got) == 1000
+    last, before = -1, set()
+    for files in runs:
+        n = [x.n for x in spark.read.parquet(*[f"{sources[0]}/{f}" for f in files - before]).select("n").collect()]
+        assert n and min(n) == last + 1
+        last, before = max(n), files
+    assert len(runs) == 4 and last == 999
