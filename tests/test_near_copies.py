@@ -93,3 +93,36 @@ def test_stream_of_duplicates_runs_in_order_and_over_many_files(spark, monkeypat
         assert n and min(n) == last + 1
         last, before = max(n), files
     assert len(runs) == 4 and last == 999
+
+
+def test_queries_of_a_sql_search_are_dealt_over_tasks(spark, monkeypatch):
+    """Eight buckets, one task for a small table, whatever the number of queries, before."""
+    from vecflow.plans import catalogue, sqlfunctions
+
+    want = sorted(map(tuple, catalogue.queries()["sql_search_coded"](spark, "/root/testdata/sf0.001").collect()))
+    monkeypatch.setattr(sqlfunctions, "TASK_QUERIES", 1)
+    monkeypatch.setattr(sqlfunctions, "CHUNK", 60)
+    rows = catalogue.queries()["sql_search_coded"](spark, "/root/testdata/sf0.001")
+    assert rows.withColumn("task", F.spark_partition_id()).select("task").distinct().count() >= 5
+    assert sorted(map(tuple, rows.collect())) == want and len(want) == 100
+
+
+def test_distances_lie_in_memory_in_bounded_blocks(monkeypatch):
+    """A block of 1,024 queries and 16,384 vectors took several matrices of 134 MB."""
+    import tracemalloc
+
+    from vecflow.operators import search
+
+    r = np.random.default_rng(2)
+    q, x = r.normal(size=(1024, 8)), r.normal(size=(16_384, 8))
+    q[5], x[7] = np.nan, np.nan
+    x[900:903] = x[10]  # ties at the edge
+    for metric in ("l2", "cosine", "ip"):
+        tracemalloc.start()
+        got = search._near(metric, q, x, 4)
+        assert tracemalloc.get_traced_memory()[1] < 150e6
+        tracemalloc.stop()
+        monkeypatch.setattr(search, "PRODUCT", 1 << 30)
+        whole = search._near(metric, q, x, 4)
+        monkeypatch.undo()
+        assert all((a == b).all() for a, b in zip(got, whole)) and len(got[0]) >= 4 * 1023

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from ..functions import vector as V
 from ..workspace import parquet_batches, stored, workdir
 
-#: Queries compared at once with up to CHUNK vectors: some 100 MB of distances.
-QUERY_BLOCK, CHUNK = 1024, 16_384
+#: Queries read at once beside up to CHUNK vectors, and distances that lie in a worker at once (16 MB).
+QUERY_BLOCK, CHUNK, PRODUCT = 1024, 16_384, 1 << 21
 #: Lists of an inverted file at most: what every worker reads grows with them.
 MOST_LISTS = 131_072
 #: Rows of a stored shard; rows that models are fitted on.
@@ -66,21 +66,23 @@ def _measure(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _near(metric: str, q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query and row of all pairs that may be among a query's k nearest, by a matrix product, with
-    their exact distances."""
+    """Query and row of all pairs that may be among a query's k nearest, by matrix products of as many
+    queries as PRODUCT distances have room for, with their exact distances. Pairs come query by query."""
+    given, squares = (q, x), None
     if metric == "cosine":
         unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), V.EPSILON)
-        q, x, given = unit(q), unit(x), (q, x)
-        rough = -q @ x.T
+        q, x = unit(q), unit(x)
     elif metric == "l2":
-        given, rough = (q, x), np.square(x).sum(axis=1) - 2 * q @ x.T
-    else:
-        given, rough = (q, x), -q @ x.T
-    rough = np.where(np.isnan(rough), np.inf, rough)
-    slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(rough), rough, 0)).max(axis=1, initial=0))
-    edge = np.partition(rough, k - 1, axis=1)[:, k - 1] if rough.shape[1] > k else np.full(len(q), np.inf)
-    i, j = np.nonzero((rough <= (edge + slack)[:, None]) & np.isfinite(rough))
-    return i, j, _measure(metric, given[0][i], given[1][j])
+        squares = np.square(x).sum(axis=1)
+    step, found = max(1, PRODUCT // max(len(x), 1)), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for a in range(0, len(q), step):
+        rough = -(q[a : a + step] @ x.T) if squares is None else squares - 2 * (q[a : a + step] @ x.T)
+        rough[np.isnan(rough)] = np.inf
+        slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(rough), rough, 0)).max(axis=1, initial=0))
+        edge = np.partition(rough, k - 1, axis=1)[:, k - 1] if rough.shape[1] > k else np.full(len(rough), np.inf)
+        i, j = np.nonzero((rough <= (edge + slack)[:, None]) & np.isfinite(rough))
+        found.append((i + a, j, _measure(metric, given[0][i + a], given[1][j])))
+    return tuple(np.concatenate(c) for c in zip(*found))
 
 
 def _blocks(uri: str, rows: int):

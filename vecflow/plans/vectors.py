@@ -9,7 +9,7 @@ from ..functions import quantize as Q
 from ..functions import vector as V
 from ..operators import product_codes as C
 from ..operators import search as S
-from .sqlfunctions import register_table_search, register_vector_search, store_vector_index
+from .sqlfunctions import dealt_queries, register_table_search, register_vector_search, store_vector_index
 from .tables import query_set, table, vectors
 
 K, PARTS, CODES, DIMENSION = 10, 8, 16, 64
@@ -221,9 +221,9 @@ def _sql_table_search(quantization: str):
     def run(spark, d):
         v = vectors(spark, d)
         register_table_search(spark)
-        query_set(v).select("query_id", "q", F.pmod(F.xxhash64("query_id"), F.lit(8)).alias("bucket")).createOrReplaceTempView("asked_vectors")
+        dealt_queries(query_set(v).select("query_id", "q")).createOrReplaceTempView("asked_vectors")
         return spark.sql(
-            "SELECT query_id, rank, vec_id, round(distance, 6) AS distance FROM vector_search_of(queries => TABLE(asked_vectors) PARTITION BY bucket, "
+            "SELECT query_id, rank, vec_id, round(distance, 6) AS distance FROM vector_search_of(queries => TABLE(asked_vectors), "
             f"index => '{store_vector_index(v)}', metric => 'cosine', k => {K}, quantization => '{quantization}', min_rerank_k => 40)"
         )
 
