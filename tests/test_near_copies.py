@@ -126,3 +126,54 @@ def test_distances_lie_in_memory_in_bounded_blocks(monkeypatch):
         whole = search._near(metric, q, x, 4)
         monkeypatch.undo()
         assert all((a == b).all() for a, b in zip(got, whole)) and len(got[0]) >= 4 * 1023
+
+
+def test_graph_files_hold_a_bounded_number_of_nodes(spark, monkeypatch):
+    from vecflow.plans import catalogue, stores
+    from vecflow.sources import vecfiles
+
+    want = sorted(map(tuple, catalogue.queries()["knn_graph_edges"](spark, "/root/testdata/sf0.001").collect()))
+    sizes, plain = [], stores.workdir
+    monkeypatch.setattr(stores, "GRAPH_NODES", 7)
+    monkeypatch.setattr(stores, "workdir", lambda *a: sizes.append(plain(*a)) or sizes[-1])
+    assert sorted(map(tuple, catalogue.queries()["graphfile_roundtrip"](spark, "/root/testdata/sf0.001").collect())) == want
+    files = [f"{sizes[0].removeprefix('file://')}/{f}" for f in os.listdir(sizes[0].removeprefix("file://")) if f.endswith(".graph")]
+    ids = [vecfiles.decode_graph(open(f, "rb").read())[0]["ids"] for f in files]
+    assert max(map(len, ids)) <= 7 and sum(map(len, ids)) == 500
+
+
+def test_pages_are_parsed_a_few_at_a_time(spark):
+    import pyarrow as pa
+    from vecflow.sources import html
+
+    taken, plain = [], pa.array([f"<p>{i}</p>" for i in range(200)] + [None])
+
+    class Noted:
+        def __len__(self):
+            return len(plain)
+
+        def slice(self, start, n):
+            taken.append(n)
+            return plain.slice(start, n)
+
+    got = html._each(Noted(), lambda t: t and t[3:-4], pa.string()).to_pylist()
+    assert got == [*map(str, range(200)), None] and max(taken) <= 64
+
+
+def test_csv_files_follow_the_rows(spark, monkeypatch):
+    """Four files, whatever the size, before."""
+    from vecflow.plans import catalogue, stores
+
+    made, plain = [], stores.workdir
+    monkeypatch.setattr(stores, "workdir", lambda *a: made.append(plain(*a)) or made[-1])
+    for size, least in (("1", 20), (str(64 << 20), 1)):
+        spark.conf.set("spark.sql.shuffle.partitions", 40)
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", size)
+        try:
+            catalogue.queries()["csv_typed_scan"](spark, "/root/testdata/sf0.001").count()
+        finally:
+            for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize"):
+                spark.conf.unset(k)
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+        assert least <= sum(f.endswith(".csv") for f in os.listdir(made[-1].removeprefix("file://")))

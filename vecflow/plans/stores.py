@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
@@ -17,14 +18,16 @@ from ..workspace import stored, workdir
 from .tables import query_set, table, vectors
 from .vectors import CENTROIDS, EDGES, I8, NEAR, PARAMETERS, ROW_CODED, WITH
 
+#: Nodes of a graph file at most, so that a file is small beside a task's memory.
+GRAPH_NODES = 4096
 LINES = "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate timestamp"
 EVENTS = "event_id long, user_id long, event_type string, value double"
 
 
 def csv_typed(spark, d):
-    """Several CSV files, read with declared types."""
+    """CSV files, as many as the rows need, read with declared types."""
     uri = workdir(spark, "csv")
-    table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", F.col("l_shipdate").cast("timestamp").alias("l_shipdate")).repartition(4).write.option("header", "true").csv(uri)
+    table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", F.col("l_shipdate").cast("timestamp").alias("l_shipdate")).repartition("l_orderkey").write.option("header", "true").csv(uri)
     lines = spark.read.schema(LINES).option("header", "true").csv(uri)
     return lines.filter("l_quantity >= 25").groupBy(F.year("l_shipdate").alias("year")).agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
 
@@ -176,7 +179,7 @@ def fvecs(spark, d):
 
 
 def graph_file(spark, d):
-    """The neighbour graph through its binary format, a file for each part of the nodes, and back."""
+    """The neighbour graph through its binary format, files of up to GRAPH_NODES nodes, and back."""
     import pyarrow as pa
 
     edges = S.neighbour_graph(vectors(spark, d), 8)
@@ -186,19 +189,23 @@ def graph_file(spark, d):
     def write(batches):
         from pyspark import TaskContext
 
-        rows = [r for b in batches for r in b.to_pylist()]
-        name = f"{uri}/part-{TaskContext.get().partitionId():05d}.graph"
-        with vecfiles.written(name) as f:
-            f.write(vecfiles.encode_graph({"ids": [r["src"] for r in rows]}, [r["next"] for r in rows]))
-        yield pa.RecordBatch.from_pydict({"file": [name]})
+        part, files = TaskContext.get().partitionId(), 0
+        pieces = (b.slice(a, GRAPH_NODES).to_pylist() for b in batches for a in range(0, b.num_rows, GRAPH_NODES))
+        for rows in itertools.chain(pieces, [[]]):
+            if rows or not files:  # a task without nodes writes an empty file
+                name = f"{uri}/part-{part:05d}-{files:05d}.graph"
+                with vecfiles.written(name) as f:
+                    f.write(vecfiles.encode_graph({"ids": [r["src"] for r in rows]}, [r["next"] for r in rows]))
+                files += 1
+        yield pa.RecordBatch.from_pydict({"files": [files]})
 
     def read(batches):
-        for raw in (r for b in batches for r in b.column(0).to_pylist()):
-            header, neighbours = vecfiles.decode_graph(raw)
+        for raw in (x for b in batches for x in b.column(0)):
+            header, neighbours = vecfiles.decode_graph(raw.as_py())
             pairs = [(i, j) for i, some in zip(header["ids"], neighbours) for j in some]
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["src", "dst"])
 
-    lists.mapInArrow(write, "file string").collect()  # a row per file
+    lists.mapInArrow(write, "files long").collect()  # a row per task
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.graph").load(uri).select("content").mapInArrow(read, "src long, dst long")
 
 
