@@ -177,3 +177,30 @@ def test_csv_files_follow_the_rows(spark, monkeypatch):
                 spark.conf.unset(k)
             spark.conf.set("spark.sql.shuffle.partitions", 4)
         assert least <= sum(f.endswith(".csv") for f in os.listdir(made[-1].removeprefix("file://")))
+
+
+def test_cleaning_is_that_of_its_steps(spark):
+    rows = ["a  b", "x\x1cy", "  ", "", None, "(a)", "a - b", "é\u00a0ü\u3000.", "see HTTP://x.y/z now", "WwW.a.b c", "ww. w.", "a://b", "<b>x</b> y", "‘q’ e\u0301", "a_b\u2028,c!?", "-", "٣ ४ 中"]
+    c = F.col("text")
+    steps = T.collapsed(T.without_special(F.regexp_replace(T.normal(T.text_or_empty(c)), T.URL, " ")))
+    docs = spark.createDataFrame([(x,) for x in rows], "text string")
+    for a, b, words, plain in docs.select(T.cleaned(c), steps, T.clean_tokens(T.cleaned(c)), T.tokens(steps)).collect():
+        assert a == b and words == plain
+
+
+def test_a_batch_of_a_store_is_made_once(spark, tmp_path):
+    """It was looked at four times and made anew three times before, with texts embedded in Python each time."""
+    from vecflow.operators import embedding, stores
+
+    made = spark.sparkContext.accumulator(0)
+
+    class Counted(embedding.HashEmbedder):
+        def encode(self, texts):
+            made.add(len(texts))
+            return super().encode(texts)
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string")
+    store = stores.VectorStore(spark, f"file://{tmp_path}/store", 8)
+    assert store.append(embedding.embedded(docs, Counted(8), "text"), "doc_id") == (0, 50) and store.count() == 50 and made.value == 50
+    want = np.random.RandomState(int(__import__("hashlib").md5(b"text 7").hexdigest()[:8], 16) % 2**31).randn(8).astype(np.float32)
+    assert np.allclose(store.between(7, 8).first().v, want / np.linalg.norm(want))

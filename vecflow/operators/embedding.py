@@ -36,9 +36,11 @@ class HashEmbedder:
 
     def encode(self, texts: list[str]) -> np.ndarray:
         out = np.empty((len(texts), self.dimension), np.float32)
+        random = np.random.RandomState(0)  # made once: to make one draws a seed from the system
         for i, text in enumerate(texts):
             seed = int(hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) % 2**31
-            row = np.random.RandomState(seed).randn(self.dimension).astype(np.float32)
+            random.seed(seed)
+            row = random.randn(self.dimension).astype(np.float32)
             out[i] = row / max(float(np.linalg.norm(row)), 1e-12)
         return out
 

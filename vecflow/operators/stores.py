@@ -46,13 +46,15 @@ class VectorStore:
         return self.rows().count()
 
     def append(self, batch: DataFrame, order: str) -> tuple[int, int]:
-        """Adds the vectors v of batch in ascending order; the positions they got, end excluded."""
+        """Adds the vectors v of batch in ascending order; the positions they got, end excluded. The batch is
+        made once and read from there, as it is looked at four times."""
+        batch = stored(batch.select(order, "v"), "batch")
         if batch.filter(F.coalesce(F.size("v") != self.dimension, F.lit(True))).limit(1).count():
             raise ValueError(f"vectors must have {self.dimension} values")
         start, n = self.count(), batch.count()
         if self.capacity is not None and start + n > self.capacity:
             raise OverflowError(f"{start + n} vectors are more than {self.capacity}")
-        own = numbered(batch.select(order, "v"), order, "idx")
+        own = numbered(batch, order, "idx")
         own.select((F.col("idx") + start).alias("idx"), F.col("v").cast("array<float>").alias("v")).write.mode("append").parquet(self.uri)
         return start, start + n
 
