@@ -179,6 +179,29 @@ def test_csv_files_follow_the_rows(spark, monkeypatch):
         assert least <= sum(f.endswith(".csv") for f in os.listdir(made[-1].removeprefix("file://")))
 
 
+def test_signatures_are_dealt_over_tasks(spark, monkeypatch):
+    """One partition of the input was one task before, and a word that a text repeats was permuted each time."""
+    seen, plain = [], dedup.stored
+    monkeypatch.setattr(dedup, "stored", lambda df, *a: seen.append(df) or plain(df, *a))
+    rows = _texts()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {x.doc_id: x.first_id for x in dedup.minhash_duplicates(docs).collect()}
+    assert seen[0]._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1  # two before
+    assert seen[0].rdd.getNumPartitions() >= 8 and "array_distinct" in seen[0]._jdf.queryExecution().toString()
+    whole = {}
+    for x in dedup.banded(docs).collect():
+        whole.setdefault((x.band, x.bucket), []).append(x.doc_id)
+    want = {}
+    for ids in whole.values():
+        for i in ids:
+            if i > min(ids):
+                want[i] = min(want.get(i, i), min(ids))
+    assert got == want and want
+    seen.clear()
+    kept = {x.doc_id: x.kept for x in dedup.greedy_first_wins(docs).collect()}
+    assert seen[0].rdd.getNumPartitions() >= 8 and set(kept) == {i for i, _ in rows} and all(kept[i] for i in kept if i not in want)
+
+
 def test_cleaning_is_that_of_its_steps(spark):
     rows = ["a  b", "x\x1cy", "  ", "", None, "(a)", "a - b", "é\u00a0ü\u3000.", "see HTTP://x.y/z now", "WwW.a.b c", "ww. w.", "a://b", "<b>x</b> y", "‘q’ e\u0301", "a_b\u2028,c!?", "-", "٣ ४ 中"]
     c = F.col("text")
@@ -204,3 +227,42 @@ def test_a_batch_of_a_store_is_made_once(spark, tmp_path):
     assert store.append(embedding.embedded(docs, Counted(8), "text"), "doc_id") == (0, 50) and store.count() == 50 and made.value == 50
     want = np.random.RandomState(int(__import__("hashlib").md5(b"text 7").hexdigest()[:8], 16) % 2**31).randn(8).astype(np.float32)
     assert np.allclose(store.between(7, 8).first().v, want / np.linalg.norm(want))
+
+
+def test_words_are_hashed_once(monkeypatch):
+    """Each occurrence of a word had its own digest before."""
+    import hashlib
+
+    from vecflow.operators import embedding
+
+    made = []
+    monkeypatch.setattr(embedding, "word_hashes", embedding._WordHashes())
+    monkeypatch.setattr(embedding.hashlib, "md5", lambda b, md5=hashlib.md5: made.append(b) or md5(b))
+    texts = ["a b A c", "", "b  a", "c\u3000d"] * 50
+    found = embedding.TermEmbedder(16).encode(texts)
+    assert sorted(made) == [b"a", b"b", b"c", b"d"]
+    for most, rows in ((2, 3), (1, 1)):
+        monkeypatch.setattr(embedding, "MOST_WORDS", most)
+        monkeypatch.setattr(embedding, "TERM_ROWS", rows)
+        assert (embedding.TermEmbedder(16).encode(texts) == found).all()
+        assert len(embedding.word_hashes) <= 4
+    plain = np.zeros(16, np.float32)
+    for word in ("a", "b", "a", "c"):
+        h = int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "little")
+        plain[h % 16] += 1 if h >> 63 else -1
+    assert (found[0] == plain / np.linalg.norm(plain)).all() and not found[1].any()
+
+
+def test_search_of_texts_reads_found_chunks_only(spark, monkeypatch):
+    """Words of a text went with each of its chunks, and all chunks were dealt anew to meet those found."""
+    from vecflow.operators import embedding
+    from vecflow.plans import retrieval
+
+    docs = spark.createDataFrame([(0, " ".join(f"w{i}" for i in range(900)), "x", "s"), (1, "w5 other", None, "s"), (2, " - ", "x", "s"), (3, None, "x", "s")], "doc_id long, text string, lang string, source string").coalesce(1)
+    engine = retrieval.SemanticEngine(spark, docs, embedding.TermEmbedder(32))
+    rows = {r.vec_id: r.chunk for r in engine.rows.collect()}
+    assert rows == {**{c: " ".join(f"w{i}" for i in range(250 * c, min(250 * c + 300, 900))) for c in range(4)}, 100_000: "w5 other"}
+    found = engine.search(spark.createDataFrame([(1, "w5 other"), (2, "")], "query_id long, text string"), 2)
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    top = found.orderBy("rank").collect()
+    assert [r["rank"] for r in top] == [1, 2] and (top[0].vec_id, top[0].doc_id, top[0].score, top[0].lang, top[0].preview) == (100_000, 1, 1.0, "N/A", "w5 other")

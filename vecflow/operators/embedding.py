@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Callable
 from typing import Protocol
 
@@ -45,6 +46,21 @@ class HashEmbedder:
         return out
 
 
+class _WordHashes(dict):
+    """Words with the first 64 bits of their MD5 digests, made once. Emptied when there are MOST_WORDS."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= MOST_WORDS:
+            self.clear()
+        self[word] = h = int.from_bytes(hashlib.md5(word.encode("utf-8", "surrogatepass")).digest()[:8], "little")
+        return h
+
+
+#: Words that a worker knows at most, and texts whose words are counted at once.
+MOST_WORDS, TERM_ROWS = 1 << 19, 1024
+word_hashes = _WordHashes()
+
+
 class TermEmbedder:
     """Words hashed to signed dimensions and summed, as a unit vector: texts that share words are near
     each other, without a model. An empty text is the zero vector."""
@@ -54,10 +70,12 @@ class TermEmbedder:
 
     def encode(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dimension), np.float32)
-        for i, text in enumerate(texts):
-            for word in text.lower().split():
-                h = int.from_bytes(hashlib.md5(word.encode("utf-8", "surrogatepass")).digest()[:8], "little")
-                out[i, h % self.dimension] += 1 if h >> 63 else -1
+        for a in range(0, len(texts), TERM_ROWS):
+            words = [text.lower().split() for text in texts[a : a + TERM_ROWS]]
+            h = np.fromiter(map(word_hashes.__getitem__, itertools.chain.from_iterable(words)), np.uint64)
+            places = np.repeat(np.arange(len(words)) * self.dimension, [len(w) for w in words]) + (h % np.uint64(self.dimension)).astype(np.int64)
+            signs = np.where(h >> np.uint64(63), 1.0, -1.0)
+            out[a : a + TERM_ROWS] = np.bincount(places, signs, len(words) * self.dimension).reshape(len(words), -1)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
