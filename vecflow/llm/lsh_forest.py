@@ -98,13 +98,14 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 def _signatures(batches):
     for batch in batches:
-        sets = list(shingle_sets(batch.column("text")))
+        # a set goes as soon as it is signed
+        found = [(xxhash.xxh3_128_digest(s.tobytes()), signature(s).tobytes()) if len(s) else (None, None) for s in shingle_sets(batch.column("text"))]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
                 batch.column("text_hash"),
-                pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+                pa.array([k for k, _ in found], pa.binary()),
+                pa.array([s for _, s in found], pa.binary()),
             ],
             names=["doc_id", "text_hash", "set_key", "signature"],
         )

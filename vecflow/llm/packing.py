@@ -31,7 +31,9 @@ from .tokens import encoder
 
 GROUP_PIECES = 16_384
 #: Documents encoded at once; the encoder takes them in runs of bounded size.
-ROWS = 4096
+ROWS = 512
+#: Pieces of text whose ids a worker keeps (some 200 bytes each).
+KEPT_PIECES = 200_000
 #: Bins filled less than this share of a sequence go to the next round.
 CLOSED = 0.995
 
@@ -43,7 +45,7 @@ def cut(docs: DataFrame, vocabulary: str, end_id: int, size: int, id_column: str
     """PIECES of every document."""
 
     def pieces(batches):
-        encode = encoder(vocabulary).encode
+        encode = encoder(vocabulary, KEPT_PIECES).encode
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS):

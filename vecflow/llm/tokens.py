@@ -155,6 +155,6 @@ class MemoEncoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> MemoEncoder:
+def encoder(path: str, memo_limit: int = MEMO_LIMIT) -> MemoEncoder:
     """One encoder per worker and vocabulary."""
-    return MemoEncoder(path)
+    return MemoEncoder(path, memo_limit)

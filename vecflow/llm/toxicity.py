@@ -37,6 +37,8 @@ EPOCHS, STEP, PENALTY = 80, 0.2, 1e-4
 TRAINED_AT_ONCE = 1 << 19
 OFFENDING = 0.2
 FOLDS, HELD_OUT = 5, 0
+#: Texts that a worker holds as Python objects at once, and words whose features it keeps.
+ROWS, KEPT_WORDS = 256, 150_000
 
 RESULT = "struct<score: double, predicted: int, offending: array<struct<start: int, end: int, score: double>>>"
 _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
@@ -74,9 +76,11 @@ def sentences(text: str):
 def _bags(batches):
     memo: dict[str, tuple[int, ...]] = {}
     for batch in batches:
-        ids, labels, texts = (c.to_pylist() for c in batch.columns)
+        ids, labels, texts = batch.columns
         sizes, bags = [], []
-        for text in texts:
+        for text in (t for i in range(0, len(texts), ROWS) for t in texts.slice(i, ROWS).to_pylist()):
+            if len(memo) > KEPT_WORDS:
+                memo.clear()
             size, bag = [], []
             for _, _, words in sentences(text or ""):
                 got = set()
@@ -88,7 +92,7 @@ def _bags(batches):
                 bag.extend(sorted(got))
             sizes.append(size)
             bags.append(bag)
-        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "toxic": pa.array(labels, pa.int32()), "sizes": pa.array(sizes, pa.list_(pa.int32())), "features": pa.array(bags, pa.list_(pa.int32()))})
+        yield pa.RecordBatch.from_pydict({"doc_id": ids, "toxic": labels, "sizes": pa.array(sizes, pa.list_(pa.int32())), "features": pa.array(bags, pa.list_(pa.int32()))})
 
 
 def train(labels: np.ndarray, sentence_counts: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> Model:
@@ -146,7 +150,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_documents: int = MAX_TRAINING_DO
         if (x.chars or 0) <= left:
             fitting.append((x.doc_id, x.toxic))
             left -= x.chars or 0
-    few = docs.sparkSession.createDataFrame(fitting, "doc_id long, toxic int")
+    # from Arrow, which starts no Python workers
+    few = docs.sparkSession.createDataFrame(pa.table({"doc_id": pa.array([i for i, _ in fitting], pa.int64()), "toxic": pa.array([t for _, t in fitting], pa.int32())}))
     bags = (
         texts.join(F.broadcast(few), "doc_id")
         .select("doc_id", "toxic", "text")
@@ -173,7 +178,7 @@ def scorer(model: Model):
 
     def known(word: str) -> tuple[int, ...]:
         if (f := memo.get(word)) is None:
-            if len(memo) > 500_000:
+            if len(memo) > KEPT_WORDS:
                 memo.clear()
             f = memo[word] = tuple(x for x in features(word) if x in weights)
         return f
@@ -202,7 +207,7 @@ def scorer(model: Model):
 
     @F.arrow_udf(RESULT)
     def apply(texts: pa.Array) -> pa.Array:
-        got = [score(t) if t else (0.0, []) for t in texts.to_pylist()]
+        got = [score(t) if t else (0.0, []) for i in range(0, len(texts), ROWS) for t in texts.slice(i, ROWS).to_pylist()]
         return pa.StructArray.from_arrays(
             [pa.array([s for s, _ in got], pa.float64()), pa.array([int(s >= 0.5) for s, _ in got], pa.int32()), pa.array([x for _, x in got], pa.list_(_SPAN))],
             names=["score", "predicted", "offending"],
