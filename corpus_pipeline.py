@@ -17,6 +17,9 @@ from vecflow.llm.storage import stored
 
 #: Part of the tokens that mixing keeps.
 KEEP = 0.8
+#: Pieces of text whose ids a worker of packing keeps: a quarter of what it keeps alone, as an executor also
+#: holds what the stages before have left in its memory.
+KEPT_PIECES = 200_000
 OWN = ("doc_id", "text", "lang", "source")
 
 
@@ -57,7 +60,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing: every kept document's pieces with their places in sequences. Null and empty texts
     are documents of the end id alone; rows that repeat an id, or have none, are packed each for itself."""
-    return packing.packed_documents(docs, queries.vocabulary("word_bpe_49k.json"), end_id=1, size=4096)
+    return packing.packed_documents(docs, queries.vocabulary("word_bpe_49k.json"), end_id=1, size=4096, kept=KEPT_PIECES)
 
 
 STAGES = [

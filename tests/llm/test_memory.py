@@ -3,6 +3,7 @@
 import random
 import tracemalloc
 
+import corpus_pipeline
 import pyarrow as pa
 import pytest
 from vecflow.llm import lsh_forest, packing, queries, shingles, tokens, toxicity
@@ -77,12 +78,11 @@ class Table:
 def test_packing_holds_a_part_of_a_batch(spark, texts, monkeypatch):
     path = queries.vocabulary("word_bpe_49k.json")
     batch = pa.RecordBatch.from_arrays([pa.array(range(ROWS), pa.int64()), texts], names=["doc_id", "text"])
-    work = packing.cut(Table(), path, 1, 4096)
+    work = packing.cut(Table(), path, 1, 4096, kept=corpus_pipeline.KEPT_PIECES)
     tokens.encoder.cache_clear()
     most, got = held(lambda: [sum(b.num_rows for b in work([batch]))])
     assert got == [ROWS] and most < 25
-    first = lambda: pa.Table.from_batches(work([batch.slice(0, 700)]))
-    want = first()
+    first = lambda work: pa.Table.from_batches(work([batch.slice(0, 700)]))
+    want = first(work)
     monkeypatch.setattr(packing, "ROWS", 5)
-    monkeypatch.setattr(packing, "KEPT_PIECES", 20)
-    assert first().equals(want)
+    assert first(packing.cut(Table(), path, 1, 4096, kept=20)).equals(want)

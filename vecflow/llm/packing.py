@@ -27,13 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import stored
-from .tokens import encoder
+from .tokens import MEMO_LIMIT, encoder
 
 GROUP_PIECES = 16_384
 #: Documents encoded at once; the encoder takes them in runs of bounded size.
 ROWS = 512
-#: Pieces of text whose ids a worker keeps (some 200 bytes each).
-KEPT_PIECES = 200_000
 #: Bins filled less than this share of a sequence go to the next round.
 CLOSED = 0.995
 
@@ -41,11 +39,11 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACES = f"{PIECES}, uid long, sequence_id long, offset long, fill long"
 
 
-def cut(docs: DataFrame, vocabulary: str, end_id: int, size: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """PIECES of every document."""
+def cut(docs: DataFrame, vocabulary: str, end_id: int, size: int, id_column: str = "doc_id", text_column: str = "text", kept: int = MEMO_LIMIT) -> DataFrame:
+    """PIECES of every document. A worker keeps the ids of that many pieces of text."""
 
     def pieces(batches):
-        encode = encoder(vocabulary, KEPT_PIECES).encode
+        encode = encoder(vocabulary, kept).encode
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS):
@@ -263,6 +261,6 @@ def pack(pieces: DataFrame, size: int) -> DataFrame:
         bins_before, round_no = rest.filter("offset = 0").count(), round_no + 1
 
 
-def packed_documents(docs: DataFrame, vocabulary: str, end_id: int, size: int) -> DataFrame:
+def packed_documents(docs: DataFrame, vocabulary: str, end_id: int, size: int, kept: int = MEMO_LIMIT) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of docs."""
-    return pack(cut(docs, vocabulary, end_id, size), size).drop("uid", "fill")
+    return pack(cut(docs, vocabulary, end_id, size, kept=kept), size).drop("uid", "fill")
