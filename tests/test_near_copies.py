@@ -266,3 +266,32 @@ def test_search_of_texts_reads_found_chunks_only(spark, monkeypatch):
     assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
     top = found.orderBy("rank").collect()
     assert [r["rank"] for r in top] == [1, 2] and (top[0].vec_id, top[0].doc_id, top[0].score, top[0].lang, top[0].preview) == (100_000, 1, 1.0, "N/A", "w5 other")
+
+
+def test_greedy_duplicates_know_all_documents_before(spark):
+    """Memory was emptied at each 50,000th document, so what was like a document before it was kept."""
+    own = F.array(2 * F.col("id"), 2 * F.col("id") + 1)
+    late = F.when(F.col("id") == 50_003, F.array(F.lit(-1), F.lit(7))).when(F.col("id") == 50_005, F.array(F.lit(8), F.lit(9))).otherwise(own)
+    kept = {x.doc_id: x.kept for x in dedup.greedy_by_keys(spark.range(50_010).select(F.col("id").alias("doc_id"), late.alias("keys"))).collect()}
+    assert len(kept) == 50_010 and [i for i in kept if not kept[i]] == [50_003, 50_005]
+
+
+def test_greedy_duplicates_in_steps_are_those_of_a_walk(spark, monkeypatch):
+    """Tasks of 64 rows at most, over a long chain (documents like the one before only) and groups that overlap."""
+    monkeypatch.setattr(dedup, "AT_ONCE", 64)
+    r, tasks = np.random.default_rng(5), []
+    plain = dedup.stored
+    monkeypatch.setattr(dedup, "stored", lambda df, name: tasks.append(name) or plain(df, name))
+    chain = [[i, i + 1] for i in range(120)]
+    groups = [None if i % 40 == 7 else [1000 + int(x) for x in r.integers(0, 90, 3)] for i in range(200)]
+    for rows in (chain, groups, [None, [1, 2], [2, 1], [1, 2]]):
+        ids = r.permutation(len(rows)).tolist() if rows is groups else list(range(len(rows)))
+        seen, want = set(), {}
+        for i, keys in sorted(zip(ids, rows)):
+            want[i] = seen.isdisjoint(keys or ())
+            seen |= set(keys or ()) if want[i] else set()
+        tasks.clear()
+        docs = spark.createDataFrame(list(zip(ids, rows)), "doc_id long, keys array<long>")
+        got = dedup.greedy_by_keys(docs).collect()
+        assert len(got) == len(rows) and {x.doc_id: x.kept for x in got} == want
+        assert tasks.count("won") == 1 if len(rows) < 10 else 2 <= tasks.count("won") <= 10
