@@ -295,3 +295,19 @@ def test_greedy_duplicates_in_steps_are_those_of_a_walk(spark, monkeypatch):
         got = dedup.greedy_by_keys(docs).collect()
         assert len(got) == len(rows) and {x.doc_id: x.kept for x in got} == want
         assert tasks.count("won") == 1 if len(rows) < 10 else 2 <= tasks.count("won") <= 10
+
+
+def test_a_pipeline_drops_near_copies_of_documents_far_before(spark, tmp_path, monkeypatch):
+    """A copy of a document of another 50,000 was kept, embedded and stored."""
+    from vecflow.operators import embedding
+    from vecflow.plans import retrieval
+
+    made, plain = [], retrieval.stores.VectorStore
+    monkeypatch.setattr(retrieval.stores, "VectorStore", lambda *a: made.append(plain(*a)) or made[0])
+    own = F.format_string("w%d v%d u%d", "id", "id", "id")
+    text = F.when(F.col("id") == 50_003, " w7  v7 u7 ").when(F.col("id") == 50_005, " - ").otherwise(own)
+    spark.range(50_010).select(F.col("id").alias("doc_id"), text.alias("text")).write.parquet(f"file://{tmp_path}/documents.parquet")
+    assert tuple(retrieval.document_pipeline(spark, f"file://{tmp_path}").first()) == (50_010, 50_008, 1, 50_008)
+    found = {x.idx: x.v for x in made[0].rows().filter("idx in (7, 50003, 50004, 50007)").collect()}
+    want = embedding.HashEmbedder(64).encode([f"w{i} v{i} u{i}" for i in (7, 50_004, 50_006, 50_009)])
+    assert np.array_equal([found[i] for i in (7, 50_003, 50_004, 50_007)], want)
